@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import exact_dedup, html_text, mixing, sharding
+from lectern.llm import decontaminate, exact_dedup, html_text, minhash_dedup, mixing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_html_text": html_text.op8_html_text,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL}

@@ -19,6 +19,9 @@ BLOCK = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Breaks of plain words: white space and ASCII punctuation.
+BREAKS = SPACE.copy()
+BREAKS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -47,16 +50,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hash_words(words: list[str]) -> np.ndarray:
     """Hashes of single words, equal to those found inside texts."""
-    return np.concatenate([Words.of([w]).hash[:1] for w in words]) if words else np.zeros(0, np.uint64)
+    return Words.of(words).hash
 
 
 class Words:
     """Word hashes of a block of texts. Text ``d`` has ``hash[ptr[d]:ptr[d + 1]]``."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE):
         n = len(raw)
         self.raw, self.offsets = raw, offsets
-        space = SPACE[raw]
+        space = breaks[raw]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         before = np.ones(n, bool)
@@ -68,7 +71,7 @@ class Words:
         self.starts = np.flatnonzero(before & ~space)
         self.ends = np.flatnonzero(after & ~space) + 1
         up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
+        self.total = total = np.zeros(n + 1, np.uint64)
         np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts])
         self.ptr = np.searchsorted(self.starts, offsets)
@@ -78,6 +81,15 @@ class Words:
         data = [(t or "").encode() for t in texts]
         return cls(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
 
+    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``size`` bytes inside a word, and the text each is from."""
+        lengths = self.ends - self.starts
+        many = np.maximum(lengths - size + 1, 0)
+        ends = np.cumsum(many)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts - (ends - many), many)
+        _, down = powers(len(self.raw) + 1)
+        return mix((self.total[at + size] - self.total[at]) * down[at] ^ np.uint64(0xA5A5A5A5A5A5A5A5)), np.repeat(self.text_of_word, many)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.ptr)
@@ -105,7 +117,7 @@ class Words:
         return mix(out), ptr
 
 
-def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, Words]]:
+def blocks(texts: pa.Array, most: int = BLOCK, breaks: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """Split a string column into blocks of at most ``most`` bytes (or one text): first row, end row, words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -120,5 +132,5 @@ def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, Words
     while at < rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         own = offsets[at : end + 1]
-        yield at, end, Words(raw[own[0] : own[-1]], own - own[0])
+        yield at, end, Words(raw[own[0] : own[-1]], own - own[0], breaks)
         at = end
