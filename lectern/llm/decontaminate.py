@@ -120,9 +120,13 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     return scored.where(F.col("similarity") >= similarity).select("row", "doc_id", "item_id", "start", "similarity")
 
 
+def row_key() -> Column:
+    """A row's number, which a retried task computes again alike: a hash of the content."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit("")))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own that a retried task computes again alike: a hash of the content."""
-    return docs.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit(""))))
+    return docs.withColumn("row", row_key())
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -141,6 +145,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     ).withColumn("best_similarity", F.coalesce("best_similarity", F.lit(0.0)))
 
 
+def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns."""
+    hits = cut(find(numbered(docs.select("doc_id", "text")), benchmark).select("row").distinct())
+    few = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
+    return docs.withColumn("__row", row_key()).join(few.withColumnRenamed("row", "__row"), "__row", "left_anti").select(*docs.columns)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", F.size("item_ids").alias("n_items"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"), F.round("best_similarity", 6).alias("best_similarity"))

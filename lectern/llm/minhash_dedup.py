@@ -11,15 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, bound_batches, components, cut, table
-from lectern.llm.wordhash import Words, blocks, mix
+from lectern.llm.common import SPACES, bound_batches, cut, table
+from lectern.llm.linking import buckets, maybe, presence, resolve
+from lectern.llm.wordhash import blocks, mix
 
 #: Counters of the document-frequency table and slices in which it travels.
 SLOTS, SLICES = 1 << 18, 16
 #: Rows of random draws per sample; a shingle uses the row its hash selects.
 DRAWS = 1 << 14
-#: Bits of the filter that keeps texts without a candidate partner out of the shuffle.
-FILTER_WORDS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -180,25 +179,18 @@ def contents(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
     A filter of fixed size, built by a distributed bit-or, first drops most texts that have no
     candidate partner, so that only few texts are hashed and shuffled; the join then is exact.
     """
-    spot = F.xxhash64("id").bitwiseAND(FILTER_WORDS * 64 - 1)
-    bits = ids.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, CAST(xxhash64(id) & 63 AS INT))").alias("bit"))
-    present = np.zeros(FILTER_WORDS, np.uint64)
-    for x in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        present[x.word] = np.int64(x.bits).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(present)
+    shared = docs.sparkSession.sparkContext.broadcast(presence(ids))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            maybe = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            batch = batch.filter(pa.array(maybe))
+            batch = batch.filter(pa.array(maybe(shared.value, batch.column(1).to_numpy())))
             out = []
             for _, _, words in blocks(batch.column(2)):
                 shingles, ptr = words.shingles(settings.words)
                 out += [np.sort(shingles[ptr[d] : ptr[d + 1]]).tobytes() for d in range(len(ptr) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").bitwiseAND(FILTER_WORDS * 64 - 1).alias("at"), "text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("at"), "text")
     found = rows.mapInArrow(pack, "id long, shingles binary").join(ids, "id", "left_semi")
     return found.groupBy("id").agg(F.max("shingles").alias("shingles"))  # rows repeated with one id count once
 
@@ -242,36 +234,11 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     idf = frequencies(docs, settings)
     signed = cut(signatures(docs, idf, settings))
     groups = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    members = groups.where(F.col("rep").isNotNull()).select("rep", F.explode("keys").alias("key"))
-    pivots = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("n > 1")
-    hot = cut(members.join(pivots, "key").select("key", "rep", "pivot", "other"))
+    hot = buckets(groups.where(F.col("rep").isNotNull()).select(F.col("rep").alias("id"), F.explode("keys").alias("key")))
     labels = None
     if not hot.isEmpty():
-        texts = cut(contents(docs, hot.select(F.col("rep").alias("id")).distinct(), settings))
-        done = links = None
-        for step in ("pivot", "other", "rest"):
-            if labels is not None:
-                known = hot.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-                mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-                hot_now = cut(known.join(mixed, "key").select("key", "rep", "pivot", "other", "label"))
-            if step == "pivot":
-                near = hot.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-            elif step == "other":
-                of = hot_now.where("rep = other").select("key", F.col("label").alias("its"))
-                near = hot_now.join(of, "key").where("label <> its").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-            else:
-                x, y = hot_now.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), hot_now.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-                near = x.join(y, "key").where("la < lb").select("a", "b")
-            pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-            if done is not None:
-                pairs = pairs.join(done, ["a", "b"], "left_anti")
-            checked = cut(verify(cut(pairs), texts, idf, settings))
-            found = checked.where("linked").select("a", "b")
-            done = checked.select("a", "b") if done is None else done.unionAll(checked.select("a", "b"))
-            if labels is not None and found.isEmpty():
-                continue
-            links = found if links is None else links.unionAll(found)
-            labels = components(links)
+        texts = cut(contents(docs, hot.select("id").distinct(), settings))
+        labels = resolve(hot, lambda pairs: verify(pairs, texts, idf, settings))
     if labels is None:
         nodes = groups.select("digest", "rep", F.col("rep").alias("class_id"))
     else:
@@ -279,6 +246,16 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return signed.select("doc_id", "digest", "shingles").join(nodes, "digest").select("doc_id", "class_id", F.col("rep").alias("rep_id"), "shingles")
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """One document of each class, that with the smallest ``doc_id``, with all its columns; rows with a null id stay."""
+    found = cut(classes(docs).select("doc_id", "class_id"))
+    first = found.where("doc_id = class_id").select("doc_id").distinct()
+    out = docs.join(first, "doc_id", "left_semi")
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(classes(table(spark, sf_dir, "documents")))
     sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))

@@ -90,6 +90,22 @@ def mix(docs: DataFrame, epochs: float = 3.0, seed: int = 17, weights: DataFrame
     )
 
 
+def take(docs: DataFrame, epochs: float = 3.0, seed: int = 17, weights: DataFrame | None = None) -> DataFrame:
+    """The mix itself: every document as many times as :func:`mix` says, with all its columns.
+
+    Rows meet their number of repeats by a hash of the whole row; equal rows are interchangeable, so they are
+    taken together as often as all of them.
+    """
+    key = F.xxhash64(*[F.col(c) for c in docs.columns])
+    slim = docs.select("doc_id", "source", "text", key.alias("__key"))
+    chosen = cut(mix(slim, epochs, seed, weights, ("__key",)).groupBy("__key").agg(F.sum("repeats").alias("__repeats"), F.count(F.lit(1)).alias("__rows")))
+    keyed = docs.withColumn("__key", key)
+    if not chosen.where("__rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["__key"])
+    taken = keyed.join(chosen.where("__repeats > 0").select("__key", "__repeats"), "__key")
+    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

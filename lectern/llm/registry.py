@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, exact_dedup, html_text, minhash_dedup, mixing, sharding, toxicity
+from lectern.llm import decontaminate, exact_dedup, html_text, knn_quality, lbl_scoring, line_dedup, minhash_dedup, mixing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality": knn_quality.op4_quality,
+    "op5_lm_scoring": lbl_scoring.op5_lm_scoring,
     "op6_mixing": mixing.op6_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_html_text": html_text.op8_html_text,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 

@@ -2,74 +2,99 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, table
 
-#: Bits of the hash, and how many of them one pass over the rows can split.
+#: Bits of the hash, and how many of them one pass over the sizes can split.
 MAX_BITS, STEP = 60, 10
 LIMIT = 16 << 20
+#: Directory cells that may go to every task (some 50 bytes each); a larger table is joined by a shuffle.
+BROADCAST_CELLS = 100_000
+ADDED = ("n_bytes", "shard", "shard_bits", "page", "shard_bytes", "oversize")
 
 
-def shard(docs: DataFrame, limit: int = LIMIT, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Assign each document to a shard of at most ``limit`` bytes of UTF-8 text.
+def hashed() -> Column:
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
-    The directory is indexed by leading bits of a hash of ``doc_id``. It starts as one bucket; only a
-    bucket over the limit splits, on its next bit, until every bucket fits. Sizes are aggregated by
-    cells of ``STEP`` further bits, from which all splits in between follow, so a pass over
-    the rows settles ``STEP`` doublings and only rows of buckets still too large enter the next.
 
-    Rows with one ``doc_id`` share all bits: when such rows alone pass the limit, their bucket at full depth
-    gets overflow pages, which are filled partition by partition. One document larger than the limit has
-    a page to itself and is the only case of a shard over it (``oversize``).
+def sized() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
 
-    Returns ``doc_id, n_bytes, shard, shard_bits, page, shard_bytes, oversize`` and ``columns``: ``shard`` is the
-    bit string, ``shard_bytes`` the size of the shard's page. Null texts have 0 bytes, a null id hashes
-    as an empty string, an empty table gives no rows.
+
+def directory(docs: DataFrame, limit: int = LIMIT) -> tuple[list[DataFrame], bool]:
+    """Tables ``(cell, leaf)`` of the directory, one for each further ``STEP`` bits, and whether some bucket is full at the last.
+
+    It starts as one bucket; only a bucket over the limit splits, on its next bit, until every bucket fits.
+    Sizes are summed by cells of ``STEP`` further bits, from which all splits in between follow, and only rows
+    of buckets still too large enter the next pass.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    left = cut(docs.select("doc_id", size.alias("n_bytes"), F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("hash"), *columns))
-    done: list[DataFrame] = []
+    left = cut(docs.select(sized().alias("n_bytes"), hashed().alias("hash")).groupBy("hash").agg(F.sum("n_bytes").alias("n_bytes")))
+    levels: list[DataFrame] = []
     for base in range(0, MAX_BITS, STEP):
-        below = MAX_BITS - base - STEP
-        cell = F.shiftright("hash", below)
+        cell = F.shiftright("hash", MAX_BITS - base - STEP)
         cells = cut(left.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
         depths = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(base + 1 if base else 0), F.lit(base + STEP))).alias("bits"))
         prefixed = depths.withColumn("prefix", F.expr(f"shiftright(cell, CAST({base + STEP} - bits AS INT))"))
         buckets = prefixed.groupBy("bits", "prefix").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-        leaf = prefixed.join(buckets, ["bits", "prefix"]).groupBy("cell").agg(F.min(F.struct("bits", "prefix", "shard_bytes")).alias("leaf"))
-        placed = left.withColumn("cell", cell).join(leaf, "cell", "left")
-        done.append(
-            placed.where(F.col("leaf").isNotNull()).select(
-                "doc_id", "n_bytes", F.expr("lpad(bin(leaf.prefix), leaf.bits, '0')").alias("shard"), F.col("leaf.bits").alias("shard_bits"),
-                F.lit(0).cast("long").alias("page"), F.col("leaf.shard_bytes").alias("shard_bytes"), F.lit(False).alias("oversize"), *columns,
-            )
-        )
-        left = placed.where(F.col("leaf").isNull()).drop("cell", "leaf")
-        if cells.join(leaf, "cell", "left_anti").isEmpty():
-            break
-        left = cut(left)
-    else:
-        # Buckets at full depth: overflow pages inside each partition, so no key meets in one task.
-        own = Window.partitionBy("hash", "part").orderBy("n_bytes", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        paged = left.withColumn("part", F.spark_partition_id()).withColumn("slot", F.floor((F.sum("n_bytes").over(own) - 1) * 2 / F.lit(limit)))
-        # Half a limit a slot: a slot's rows end within it and begin at most one small row before it.
-        big = F.col("n_bytes") * 2 > limit
-        nth = F.row_number().over(Window.partitionBy("hash", "part").orderBy("n_bytes", "doc_id"))
-        paged = paged.withColumn("slot", F.when(big, -nth).otherwise(F.col("slot")))
-        page = Window.partitionBy("hash", "part", "slot")
-        number = F.shiftleft(F.col("part").cast("long"), 32) + F.col("slot")
-        done.append(
-            paged.select(
-                "doc_id", "n_bytes", F.expr(f"lpad(bin(hash), {MAX_BITS}, '0')").alias("shard"), F.lit(MAX_BITS).alias("shard_bits"),
-                number.alias("page"), F.sum("n_bytes").over(page).alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"), *columns,
-            )
-        )
-    return reduce(DataFrame.unionByName, done)
+        leaves = cut(prefixed.join(buckets, ["bits", "prefix"]).groupBy("cell").agg(F.min(F.struct("bits", "prefix", "shard_bytes")).alias("leaf")))
+        levels.append(leaves)
+        over = cells.join(leaves, "cell", "left_anti").select("cell")
+        if over.isEmpty():
+            return levels, False
+        left = left.withColumn("cell", cell).join(over, "cell", "left_semi").drop("cell")
+    return levels, True
+
+
+def shard(docs: DataFrame, limit: int = LIMIT, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Assign each document to a shard of at most ``limit`` bytes of UTF-8 text, by leading bits of a hash of ``doc_id``.
+
+    The directory is made from ids and sizes alone; then the documents look up their shard in it, so texts are
+    not shuffled while the directory is small.
+
+    Rows with one ``doc_id`` share all bits: when such rows alone pass the limit, their bucket at full depth
+    gets overflow pages, which are filled partition by partition. One document larger than the limit has
+    a page to itself and is the only case of a shard over it (``oversize``).
+
+    Returns ``doc_id``, ``columns`` and ``n_bytes, shard, shard_bits, page, shard_bytes, oversize``: ``shard`` is the
+    bit string, ``shard_bytes`` the size of the shard's page. Null texts have 0 bytes, a null id hashes
+    as an empty string, an empty table gives no rows; columns named like those added are replaced.
+    """
+    columns = tuple(c for c in columns if c not in ("doc_id", *ADDED))
+    levels, full = directory(docs.select("doc_id", "text"), limit)
+    kept = ["doc_id", *columns]
+    placed = docs.select(*kept, sized().alias("__bytes"), hashed().alias("__hash"))
+    for k, leaves in enumerate(levels):
+        # The first level has 2**STEP cells at most; a deeper one is counted before it is sent anywhere.
+        small = leaves if k and leaves.count() > BROADCAST_CELLS else F.broadcast(leaves)
+        here = small.select(F.col("cell").alias("__cell"), F.col("leaf").alias(f"__leaf{k}"))
+        placed = placed.withColumn("__cell", F.shiftright("__hash", MAX_BITS - (k + 1) * STEP)).join(here, "__cell", "left")
+    leaf = F.coalesce(*[F.col(f"__leaf{k}") for k in range(len(levels))])
+    placed = placed.select(*kept, "__bytes", "__hash", leaf.alias("__leaf"))
+    out = placed.where("__leaf IS NOT NULL") if full else placed
+    done = out.select(
+        *kept, F.col("__bytes").alias("n_bytes"), F.expr("lpad(bin(__leaf.prefix), __leaf.bits, '0')").alias("shard"), F.col("__leaf.bits").alias("shard_bits"),
+        F.lit(0).cast("long").alias("page"), F.col("__leaf.shard_bytes").alias("shard_bytes"), F.lit(False).alias("oversize"),
+    )
+    return done.unionByName(overflow(placed.where("__leaf IS NULL"), limit, kept)) if full else done
+
+
+def overflow(rows: DataFrame, limit: int, kept: list[str]) -> DataFrame:
+    """Pages for rows whose bucket is over the limit at full depth: inside each partition, so no key meets in one task."""
+    rows = cut(rows).withColumn("__part", F.spark_partition_id())
+    order = Window.partitionBy("__hash", "__part").orderBy("__bytes", "doc_id")
+    running = F.sum("__bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # Small rows fill slots of half a limit and overlap the next by less than half; a large row has a page of its own.
+    slot = F.when(F.col("__bytes") * 2 > limit, -F.row_number().over(order)).otherwise(F.floor(F.greatest(running - 1, F.lit(0)) * 2 / F.lit(limit)))
+    paged = rows.withColumn("__slot", slot)
+    page = F.shiftleft(F.col("__part").cast("long"), 32) + F.col("__slot")
+    own = Window.partitionBy("__hash", "__part", "__slot")
+    return paged.select(
+        *kept, F.col("__bytes").alias("n_bytes"), F.expr(f"lpad(bin(__hash), {MAX_BITS}, '0')").alias("shard"), F.lit(MAX_BITS).alias("shard_bits"),
+        page.alias("page"), F.sum("__bytes").over(own).alias("shard_bytes"), (F.col("__bytes") > limit).alias("oversize"),
+    )
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ SAMPLE = 20_000
 #: Slots in which features are first counted, those looked at exactly, and features of the classifier, at most.
 SLOTS, OPENED, FEATURES = 1 << 18, 4096, 1024
 GRAM = 5
+#: Share of mined features that may be there by chance.
+FALSE_SHARE = 0.1
 #: Voters into which the mined words, and the mined patterns, are dealt.
 GROUPS = 4
 #: Words that a person would vote on without having seen a label.
@@ -77,6 +79,13 @@ def log_odds(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float) -> np.nd
     return np.log((ones + 0.5) / (n1 + 1)) - np.log((zeros + 0.5) / (n0 + 1))
 
 
+def surprise(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Likelihood-ratio statistic (G) of a feature's being in as many documents of either label."""
+    part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    share = (ones + zeros) / (n1 + n0)
+    return 2 * (part(ones, share * n1) + part(zeros, share * n0) + part(n1 - ones, (1 - share) * n1) + part(n0 - zeros, (1 - share) * n0))
+
+
 def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> np.ndarray:
     """Posterior of label 1 from binary votes (rows, voters), by EM.
 
@@ -99,7 +108,7 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> np.ndarray:
     return q
 
 
-def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, steps: int = 500) -> tuple[np.ndarray, float]:
     """Linear classifier on soft targets: accelerated gradient descent on the ridge-penalised cross entropy."""
     w, b = np.zeros(x.shape[1]), float(np.log(target.mean() / (1 - target.mean()))) if 0 < target.mean() < 1 else 0.0
     look_w, look_b = w.copy(), b
@@ -121,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = log_odds(counts[1], counts[0], n1, n0) * np.sqrt(counts[1])
     order = np.argsort(-odds, kind="stable")[:OPENED]
     opened = np.sort(order[counts[1][order] >= 3])
+    tried = max(int((counts.sum(0) >= 3).sum()), 1)
     shared = docs.sparkSession.sparkContext.broadcast((ids, opened))
     seed = np.sort(hash_words(LEXICON))
 
@@ -158,7 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = log_odds(ones, zeros, n1, n0)
     strength = odds * np.sqrt(ones)
-    enough = (ones >= 3) & (odds > 1.2) | np.isin(hashes, seed)
+    # Among so many features some go with the label by chance: a false discovery rate decides which may vote.
+    chance = np.where(odds > 1.2, np.exp(-surprise(ones, zeros, n1, n0) / 2), 1.0)
+    ranked = np.sort(chance)
+    passed = np.flatnonzero(ranked <= FALSE_SHARE * np.arange(1, len(ranked) + 1) / max(tried, len(ranked)))
+    enough = (chance <= (ranked[passed[-1]] if len(passed) else 0.0)) | np.isin(hashes, seed)
     best = np.argsort(-np.where(enough, strength, -np.inf), kind="stable")[: min(FEATURES, int(enough.sum()))]
     place = np.full(len(hashes), -1)
     place[best] = np.arange(len(best))
