@@ -1,10 +1,462 @@
-"""Queries of the library operators and the SQL equal to them."""
+"""Queries of the library operators over the plain tables, and the SQL equal to each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as tx
+from lectern.model import CATEGORIES, LABEL_FIELDS, RELEVANCES
+from lectern.operators import metrics, search, state
+from lectern.plans import library as lib
+from lectern.plans.library import SQL as LIBRARY
+from lectern.plans.library import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, library: bool = True):
+    """Register a query under its function's name, with SQL that starts from the library's tables or from the plain ones."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = (LIBRARY if library else "") + sql
+        return f
+
+    return add
+
+
+EFFECTIVE = "effective_primary_category, effective_relevance, effective_relevance_confidence"
+LIKE = lambda column, word: f"lower({column}) LIKE '%{word}%'"
+
+
+# --- effective values, filters, search ---
+
+
+@query(f"SELECT id, {EFFECTIVE} FROM effective")
+def effective_values(spark: SparkSession, d: str) -> DataFrame:
+    return search.with_effective(lib.papers(spark, d)).select("id", "effective_primary_category", "effective_relevance", "effective_relevance_confidence")
+
+
+SEARCH = """
+, hits AS (
+  SELECT * FROM effective e WHERE status IN ('Unread', 'Read', 'Important') AND effective_relevance IN ('A', 'B') AND year >= 1995 AND year <= 2020
+  AND EXISTS (SELECT 1 FROM effective_labels l WHERE l.paper_id = e.id AND l.field = 'tags' AND lower(l.label) IN ('the', 'of', 'and', 'de', 'in'))
+)
+SELECT id, title, year, effective_relevance, CAST(row_number() OVER (ORDER BY CASE effective_relevance WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'C' THEN 2 ELSE 3 END, year DESC NULLS LAST,
+  translate(coalesce(title, filename), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), id) AS INTEGER) AS position FROM hits
+"""
+
+
+@query(SEARCH)
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: combined filters with a label facet, in display order (a position makes the order part of the rows)."""
+    found = search.search(
+        lib.papers(spark, d), lib.labels(spark, d), statuses=("Unread", "Read", "Important"), relevances=("A", "B"), year_min=1995, year_max=2020,
+        tags=("The", "OF", "and", "de", "in"), ordered=False,
+    )
+    # Ranked by a global sort and running count per range partition would do; a result set fits one window after the filters.
+    position = F.row_number().over(Window.orderBy(*search.order_key()))
+    return found.select("id", "title", "year", search.effective("relevance").alias("effective_relevance"), position.alias("position"))
+
+
+@query("SELECT id, effective_primary_category FROM effective WHERE effective_primary_category IN ('Authentication', 'Token Security')")
+def filter_category(spark: SparkSession, d: str) -> DataFrame:
+    found = search.search(lib.papers(spark, d), lib.labels(spark, d), categories=("Authentication", "Token Security"), ordered=False)
+    return found.select("id", search.effective("primary_category").alias("effective_primary_category"))
+
+
+@query("SELECT id, status, classification_status FROM papers WHERE status IN ('Unread', 'Read') AND classification_status IN ('failed', 'classified')")
+def filter_status(spark: SparkSession, d: str) -> DataFrame:
+    found = search.search(lib.papers(spark, d), lib.labels(spark, d), statuses=("Unread", "Read"), classification_statuses=("failed", "classified"), ordered=False)
+    return found.select("id", "status", "classification_status")
+
+
+@query("SELECT id, year FROM papers WHERE year >= 2010")
+def filter_year(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(lib.papers(spark, d), lib.labels(spark, d), year_min=2010, ordered=False).select("id", "year")
+
+
+@query(
+    """SELECT id FROM papers p WHERE lower(title) LIKE '%er_th%' OR lower(abstract) LIKE '%er_th%' OR EXISTS (
+      SELECT 1 FROM effective_labels l WHERE l.paper_id = p.id AND l.field IN ('tags', 'target_vulnerabilities') AND lower(l.label) LIKE '%er_th%')"""
+)
+def filter_keyword(spark: SparkSession, d: str) -> DataFrame:
+    """A typed underscore is a wildcard."""
+    return search.search(lib.papers(spark, d), lib.labels(spark, d), keyword="Er_TH", ordered=False).select("id")
+
+
+@query(
+    """SELECT id FROM papers p WHERE EXISTS (SELECT 1 FROM effective_labels l WHERE l.paper_id = p.id AND field = 'tags' AND lower(label) IN ('the', 'of'))
+      AND NOT EXISTS (SELECT 1 FROM effective_labels l WHERE l.paper_id = p.id AND field = 'research_methods' AND lower(label) = 'the')"""
+)
+def filter_labels(spark: SparkSession, d: str) -> DataFrame:
+    papers, labels = lib.papers(spark, d), lib.labels(spark, d)
+    found = search.search(papers, labels, tags=("The", "of"), ordered=False)
+    others = search.having_label(papers, labels, "research_methods", ("THE",)).select("id")
+    return found.join(others, "id", "left_anti").select("id")
+
+
+@query("SELECT id FROM papers JOIN user_state ON paper_id = id WHERE is_favorite AND read_later")
+def filter_flags(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(lib.papers(spark, d), lib.labels(spark, d), lib.user_state(spark, d), favorites_only=True, read_later_only=True, ordered=False).select("id")
+
+
+@query("SELECT id FROM papers WHERE id IN (SELECT paper_id FROM paper_folders WHERE folder_id = 3)")
+def filter_folder(spark: SparkSession, d: str) -> DataFrame:
+    return search.search(lib.papers(spark, d), lib.labels(spark, d), paper_folders=lib.paper_folders(spark, d), folder_id=3, ordered=False).select("id")
+
+
+LISTS = ", ".join(f"coalesce(array_to_string(list(label ORDER BY lower(label), label) FILTER (field = '{f}'), ', '), '') AS {f}" for f in LABEL_FIELDS)
+
+
+@query(f"""SELECT id, {", ".join(f"coalesce({f}, '') AS {f}" for f in LABEL_FIELDS)} FROM papers LEFT JOIN (SELECT paper_id, {LISTS} FROM effective_labels GROUP BY 1) ON paper_id = id""")
+def effective_label_lists(spark: SparkSession, d: str) -> DataFrame:
+    out = search.with_labels(lib.papers(spark, d), lib.labels(spark, d))
+    order = lambda f: F.array_join(f, ", ")
+    return out.select("id", *[order(f).alias(f) for f in LABEL_FIELDS])
+
+
+@query(
+    f"""SELECT e.id, coalesce(title, filename) AS title, year, effective_primary_category, effective_relevance,
+      {", ".join(f"coalesce({f}, '') AS {f}" for f in LABEL_FIELDS)}, status, coalesce(is_favorite, false) AS is_favorite, coalesce(read_later, false) AS read_later,
+      CASE WHEN manually_reviewed THEN 'Human' WHEN ai_primary_category IS NOT NULL THEN 'AI' END AS classification_source
+    FROM effective e LEFT JOIN (SELECT paper_id, {LISTS} FROM effective_labels GROUP BY 1) l ON l.paper_id = e.id LEFT JOIN user_state s ON s.paper_id = e.id"""
+)
+def table_view(spark: SparkSession, d: str) -> DataFrame:
+    return search.table_view(
+        search.hydrate(lib.papers(spark, d), lib.labels(spark, d), lib.user_state(spark, d), lib.folders(spark, d), lib.paper_folders(spark, d), lib.notes(spark, d))
+    )
+
+
+@query(
+    """SELECT p.id, coalesce(content, '') AS note, coalesce(is_favorite, false) AS is_favorite, coalesce(read_later, false) AS read_later,
+      coalesce(folders, '') AS folders FROM papers p LEFT JOIN notes n ON n.paper_id = p.id LEFT JOIN user_state s ON s.paper_id = p.id
+      LEFT JOIN (SELECT paper_id, string_agg(name, ', ' ORDER BY name_key, id) AS folders FROM paper_folders JOIN folders ON folder_id = id GROUP BY 1) f ON f.paper_id = p.id"""
+)
+def hydrated(spark: SparkSession, d: str) -> DataFrame:
+    out = search.hydrate(lib.papers(spark, d), lib.labels(spark, d), lib.user_state(spark, d), lib.folders(spark, d), lib.paper_folders(spark, d), lib.notes(spark, d))
+    return out.select("id", "note", "is_favorite", "read_later", F.array_join("folders", ", ").alias("folders"))
+
+
+@query("SELECT id, file_hash FROM papers WHERE file_hash = (SELECT sha256(text) FROM documents WHERE doc_id = 5)")
+def lookup_by_hash(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d)
+    wanted = read(spark, d, "documents").where("doc_id = 5").select(F.sha2("text", 256).alias("file_hash"))
+    return papers.join(F.broadcast(wanted), "file_hash", "left_semi").select("id", "file_hash")
+
+
+# --- dashboard and facets ---
+
+
+@query("SELECT count(*) AS total, CAST(count(*) FILTER (status = 'Unread') AS BIGINT) AS unread FROM papers")
+def dashboard_counts(spark: SparkSession, d: str) -> DataFrame:
+    return search.counts(lib.papers(spark, d))
+
+
+@query("SELECT coalesce(effective_primary_category, 'Unclassified') AS category, count(*) AS papers FROM effective GROUP BY 1")
+def papers_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return search.count_by_category(lib.papers(spark, d))
+
+
+@query("SELECT coalesce(effective_relevance, 'Unclassified') AS relevance, count(*) AS papers FROM effective GROUP BY 1")
+def papers_by_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return search.count_by_relevance(lib.papers(spark, d))
+
+
+@query("SELECT id, name, name_key, count(paper_id) AS papers FROM folders LEFT JOIN paper_folders ON folder_id = id GROUP BY ALL")
+def folder_counts(spark: SparkSession, d: str) -> DataFrame:
+    return search.folder_counts(lib.folders(spark, d), lib.paper_folders(spark, d))
+
+
+@query("SELECT DISTINCT field, label FROM effective_labels")
+def label_facets(spark: SparkSession, d: str) -> DataFrame:
+    return search.facets(lib.papers(spark, d), lib.labels(spark, d))
+
+
+@query("SELECT min(year) AS year_min, max(year) AS year_max FROM papers WHERE year <> 0")
+def year_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return search.year_range(lib.papers(spark, d))
+
+
+@query(
+    """SELECT classification_status, count(*) AS papers, CAST(count(*) FILTER (manually_reviewed) AS BIGINT) AS reviewed, CAST(coalesce(sum(n), 0) AS BIGINT) AS runs
+    FROM papers LEFT JOIN (SELECT paper_id, count(*) AS n FROM runs GROUP BY 1) ON paper_id = id GROUP BY 1"""
+)
+def status_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return search.status_histogram(lib.papers(spark, d), lib.runs(spark, d))
+
+
+# --- run history and state ---
+
+
+@query(
+    """SELECT paper_id, arg_max(status, id) AS classification_status, CASE WHEN arg_max(status, id) = 'failed' THEN 'failed' END AS classification_error,
+      arg_max(result_json, id) FILTER (status = 'classified') AS result_json,
+      CASE WHEN max(id) FILTER (status = 'classified') % 5 = 0 THEN NULL WHEN max(id) FILTER (status = 'classified') % 2 = 0 THEN 'local' WHEN max(id) FILTER (status = 'classified') IS NOT NULL THEN 'remote' END AS classification_provider,
+      arg_max(model, id) FILTER (status = 'classified') AS classification_model, arg_max(processing_seconds, id) AS processing_seconds,
+      CAST(count(*) FILTER (status = 'classified') AS BIGINT) AS successes, count(*) AS attempts FROM runs GROUP BY 1"""
+)
+def classification_projection(spark: SparkSession, d: str) -> DataFrame:
+    return state.classification_projection(lib.runs(spark, d))
+
+
+@query("SELECT id, paper_id, provider, model, status FROM runs QUALIFY row_number() OVER (PARTITION BY coalesce(provider, 'unknown'), model, paper_id ORDER BY id DESC) = 1")
+def latest_run_per_model(spark: SparkSession, d: str) -> DataFrame:
+    runs = lib.runs(spark, d).withColumn("named", F.coalesce("provider", F.lit("unknown")))
+    return metrics.latest_runs(runs, "named", "model", "paper_id").select("id", "paper_id", "provider", "model", "status")
+
+
+@query("SELECT id, status, json_extract_string(result_json, '$.primary_category') AS primary_category, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS position FROM runs WHERE paper_id = 7")
+def run_history(spark: SparkSession, d: str) -> DataFrame:
+    runs = lib.runs(spark, d).where("paper_id = 7")
+    return runs.select("id", "status", F.get_json_object("result_json", "$.primary_category").alias("primary_category"), F.row_number().over(Window.orderBy("id")).alias("position"))
+
+
+@query(
+    """, old AS (SELECT id, file_hash FROM papers WHERE id % 3 = 0), incoming AS (SELECT file_hash, filename AS filepath FROM papers)
+    SELECT file_hash, min(filepath) AS filepath, 'Insert' AS route FROM incoming WHERE file_hash NOT IN (SELECT file_hash FROM old) GROUP BY 1"""
+)
+def inserts_by_hash(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d)
+    incoming = papers.select("file_hash", F.col("filename").alias("filepath"))
+    fresh, _ = state.new_papers(incoming, papers.where("id % 3 = 0"))
+    return fresh.select("file_hash", "filepath", F.lit("Insert").alias("route"))
+
+
+@query(
+    """, old AS (SELECT file_hash, min(id) AS paper_id, arg_min(classification_status, id) AS s FROM papers WHERE id % 2 = 0 GROUP BY 1),
+    files AS (SELECT file_hash, filename AS filepath, row_number() OVER (PARTITION BY file_hash ORDER BY filename) AS nth FROM papers)
+    SELECT filepath, CASE WHEN nth > 1 THEN 'Skipped' WHEN paper_id IS NULL THEN 'Insert' WHEN s IN ('pending', 'failed', 'needs_review') THEN 'Retry' ELSE 'Skipped' END AS route
+    FROM files LEFT JOIN old USING (file_hash)"""
+)
+def scan_routes(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d)
+    stored = papers.where("id % 2 = 0").groupBy("file_hash").agg(F.min("id").alias("id"), F.min_by("classification_status", "id").alias("classification_status"))
+    return state.routed(papers.select("file_hash", F.col("filename").alias("filepath")), stored).select("filepath", "route")
+
+
+@query(
+    """, arrivals AS (SELECT paper_id, field, value_source, substr(trim(regexp_replace(label, '\\s+', ' ', 'g')), 1, 120) AS label, paper_id AS arrival FROM paper_labels),
+    folded AS (SELECT field, translate(label, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS label_key, label, arrival FROM arrivals WHERE label <> '')
+    SELECT field, label_key, count(*) AS uses, min(arrival) AS first_paper FROM folded GROUP BY ALL"""
+)
+def label_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    arrivals = lib.labels(spark, d).withColumn("arrival", F.col("paper_id"))
+    names = state.label_dictionary(arrivals)
+    clean = arrivals.withColumn("label_key", tx.ascii_lower(F.substring(tx.collapse(F.col("label")), 1, 120)))
+    return clean.join(names, ["field", "label_key"]).groupBy("field", "label_key").agg(F.count(F.lit(1)).alias("uses"), F.min("arrival").alias("first_paper"))
+
+
+@query(
+    """, changes AS (SELECT event_id AS seq, user_id AS paper_id, event_type = 'click' AS is_favorite, CASE WHEN event_type = 'view' THEN true END AS read_later FROM events),
+    new AS (SELECT paper_id, arg_max(is_favorite, seq) AS f, arg_max(read_later, CASE WHEN read_later IS NOT NULL THEN seq END) AS l FROM changes GROUP BY 1)
+    SELECT coalesce(s.paper_id, n.paper_id) AS paper_id, coalesce(f, is_favorite, false) AS is_favorite, coalesce(l, read_later, false) AS read_later,
+      coalesce(f, is_favorite, false) <> coalesce(is_favorite, false) OR coalesce(l, read_later, false) <> coalesce(read_later, false) AS changed
+    FROM user_state s FULL JOIN new n ON s.paper_id = n.paper_id"""
+)
+def flag_upserts(spark: SparkSession, d: str) -> DataFrame:
+    changes = read(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("paper_id"), (F.col("event_type") == "click").alias("is_favorite"), F.when(F.col("event_type") == "view", True).alias("read_later")
+    )
+    return state.upsert_flags(lib.user_state(spark, d), changes)
+
+
+@query(
+    """, changes AS (SELECT doc_id AS paper_id, doc_id AS seq, 'note ' || (doc_id - doc_id % 20) AS content, 'now' AS updated_at FROM documents WHERE doc_id % 5 = 0)
+    SELECT coalesce(n.paper_id, c.paper_id) AS paper_id, coalesce(c.content, n.content) AS content,
+      CASE WHEN c.content IS NULL OR n.content = c.content THEN 'before' ELSE 'now' END AS updated_at
+    FROM notes n FULL JOIN changes c ON n.paper_id = c.paper_id"""
+)
+def note_upserts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    changes = read(spark, d, "documents").where(i % 5 == 0).select(
+        i.alias("paper_id"), i.alias("seq"), F.concat(F.lit("note "), (i - i % 20).cast("string")).alias("content"), F.lit("now").alias("updated_at")
+    )
+    return state.upsert_notes(lib.notes(spark, d).withColumn("updated_at", F.lit("before")), changes)
+
+
+@query("SELECT paper_id, folder_id FROM paper_folders WHERE folder_id NOT IN (3, 5)")
+def folder_deletion(spark: SparkSession, d: str) -> DataFrame:
+    gone = spark.createDataFrame([(3,), (5,)], "id long")
+    return state.delete_folder(lib.folders(spark, d), lib.paper_folders(spark, d), gone)[1]
+
+
+@query(
+    """SELECT id AS paper_id FROM papers WHERE ai_primary_category IS NOT NULL AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.paper_id = papers.id)"""
+)
+def run_backfill(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d).withColumn("classification_error", F.lit(None).cast("string"))
+    return state.migrate(papers, lib.runs(spark, d))[1].select("paper_id")
+
+
+@query(
+    """SELECT p.id, CASE WHEN classification_status = 'pending' AND ai_primary_category IS NOT NULL THEN 'classified'
+      WHEN classification_status = 'pending' AND id % 2 = 0 THEN 'failed' ELSE classification_status END AS classification_status,
+      CASE WHEN manually_reviewed THEN primary_category END AS primary_category FROM papers p"""
+)
+def migration(spark: SparkSession, d: str) -> DataFrame:
+    error = F.when(F.col("id") % 2 == 0, "timeout").otherwise("Classifier is not configured")
+    papers = lib.papers(spark, d).withColumn("classification_error", error)
+    return state.migrate(papers, lib.runs(spark, d))[0].select("id", "classification_status", "primary_category")
+
+
+@query(
+    """, a AS (SELECT id, sha256(filename || coalesce(title, '')) AS h FROM papers WHERE id % 4 < 3), b AS (SELECT id, sha256(filename || CASE WHEN id % 9 = 0 THEN 'x' ELSE coalesce(title, '') END) AS h FROM papers WHERE id % 10 > 0)
+    SELECT id FROM a LEFT JOIN b USING (id) WHERE a.h IS DISTINCT FROM b.h"""
+)
+def append_only_check(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d)
+    digest = F.sha2(F.concat("filename", F.coalesce("title", F.lit(""))), 256)
+    changed = papers.withColumn("title", F.when(F.col("id") % 9 == 0, F.lit("x")).otherwise(F.col("title")))
+    return state.appended_only(papers.where("id % 4 < 3"), changed.where("id % 10 > 0"), digest)
+
+
+# --- evaluation ---
+
+RATIOS = """CAST(tp + fn AS BIGINT) AS support, CAST(tp + fp AS BIGINT) AS predicted,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END::DOUBLE AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END::DOUBLE AS recall,
+  CASE WHEN tp = 0 THEN 0.0 ELSE 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END::DOUBLE AS f1"""
+PAIRS = """, pairs AS (SELECT id, primary_category AS truth, ai_primary_category AS predicted FROM papers WHERE primary_category IS NOT NULL AND ai_primary_category IS NOT NULL)"""
+COUNTED = (
+    PAIRS
+    + """, counted AS (SELECT label, CAST(count(*) FILTER (truth = label AND predicted = label) AS BIGINT) AS tp, CAST(count(*) FILTER (truth <> label AND predicted = label) AS BIGINT) AS fp,
+    CAST(count(*) FILTER (truth = label AND predicted <> label) AS BIGINT) AS fn FROM (SELECT truth AS label FROM pairs UNION SELECT predicted FROM pairs), pairs GROUP BY 1)"""
+)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return lib.papers(spark, d).select("id", F.col("primary_category").alias("truth"), F.col("ai_primary_category").alias("predicted"))
+
+
+@query(COUNTED + f"SELECT label, tp, fp, fn, {RATIOS} FROM counted")
+def class_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.evaluate(_pairs(spark, d))[1]
+
+
+@query(PAIRS + "SELECT count(*) AS evaluated, count(*) FILTER (truth = predicted) / count(*) AS accuracy FROM pairs")
+def class_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.evaluate(_pairs(spark, d))[0]
+
+
+@query(
+    COUNTED
+    + f""", r AS (SELECT tp, fp, fn, {RATIOS} FROM counted), s AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf FROM r)
+    SELECT tp, fp, fn, tp / (tp + fp) AS micro_precision, tp / (tp + fn) AS micro_recall, 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) AS micro_f1,
+      round(mp, 9) AS macro_precision, round(mr, 9) AS macro_recall, round(mf, 9) AS macro_f1 FROM s"""
+)
+def metric_averages(spark: SparkSession, d: str) -> DataFrame:
+    out = metrics.averages(metrics.evaluate(_pairs(spark, d))[1])
+    return out.withColumns({c: F.round(c, 9) for c in ("macro_precision", "macro_recall", "macro_f1")})
+
+
+CLASSES = ", ".join(f"'{c}'" for c in CATEGORIES)
+
+
+@query(
+    f""", pairs AS (SELECT primary_category AS truth, ai_primary_category AS predicted FROM papers WHERE primary_category IS NOT NULL AND ai_primary_category IS NOT NULL),
+    classes AS (SELECT unnest([{CLASSES}]) AS label, CAST(unnest(range(8)) AS INTEGER) AS position),
+    counted AS (SELECT position, label, CAST(count(*) FILTER (truth = label AND predicted = label) AS BIGINT) AS tp, CAST(count(*) FILTER (truth <> label AND predicted = label) AS BIGINT) AS fp,
+    CAST(count(*) FILTER (truth = label AND predicted <> label) AS BIGINT) AS fn FROM classes, pairs GROUP BY ALL)
+    SELECT position, label, tp, fp, fn, {RATIOS} FROM counted"""
+)
+def fixed_class_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.fixed_classes(_pairs(spark, d).where("truth IS NOT NULL AND predicted IS NOT NULL"), CATEGORIES)
+
+
+@query(
+    """, pairs AS (SELECT relevance AS truth, ai_relevance AS predicted FROM papers WHERE relevance IS NOT NULL AND ai_relevance IS NOT NULL), c AS (SELECT unnest(['A', 'B', 'C']) AS truth, CAST(unnest(range(3)) AS INTEGER) AS position)
+    SELECT position, c.truth, CAST(count(*) FILTER (predicted = 'A') AS BIGINT) AS "A", CAST(count(*) FILTER (predicted = 'B') AS BIGINT) AS "B", CAST(count(*) FILTER (predicted = 'C') AS BIGINT) AS "C" FROM c LEFT JOIN pairs ON pairs.truth = c.truth GROUP BY ALL"""
+)
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    pairs = lib.papers(spark, d).where("relevance IS NOT NULL AND ai_relevance IS NOT NULL").select(F.col("relevance").alias("truth"), F.col("ai_relevance").alias("predicted"))
+    return metrics.confusion(pairs, RELEVANCES)
+
+
+@query(
+    """, last AS (SELECT * FROM (SELECT coalesce(provider, 'unknown') AS provider, model, r.id, file_hash, coalesce(primary_category, '') AS truth, coalesce(json_extract_string(result_json, '$.primary_category'), '') AS predicted
+      FROM runs r JOIN papers p ON p.id = r.paper_id WHERE manually_reviewed AND r.status = 'classified') QUALIFY row_number() OVER (PARTITION BY provider, model, file_hash ORDER BY id DESC) = 1)
+    SELECT provider, model, count(*) AS evaluated, count(*) FILTER (truth = predicted) / count(*) AS accuracy FROM last WHERE truth <> '' AND predicted <> '' GROUP BY ALL"""
+)
+def provider_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d).where("manually_reviewed").select(F.col("id").alias("paper_id"), "file_hash", F.coalesce("primary_category", F.lit("")).alias("truth"))
+    runs = lib.runs(spark, d).where("status = 'classified'").withColumn("predicted", F.coalesce(F.get_json_object("result_json", "$.primary_category"), F.lit("")))
+    return metrics.evaluate_providers(runs.join(papers, "paper_id").select("id", "provider", "model", "file_hash", "truth", "predicted"))[0]
+
+
+LABEL_SETS = """, sets AS (SELECT doc_id AS doc, list_distinct(list_transform(string_split(text, ' ')[1:3], x -> trim(regexp_replace(x, '[\\s]+', ' ', 'g')))) AS truth,
+  list_distinct(list_transform(string_split(text, ' ')[2:4], x -> trim(regexp_replace(x, '[\\s]+', ' ', 'g')))) AS predicted FROM documents WHERE len(string_split(text, ' ')) >= 4 AND NOT list_contains(string_split(text, ' ')[1:4], ''))"""
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split("text", " ")
+    four = F.slice(words, 1, 4)
+    docs = read(spark, d, "documents").where((F.size(words) >= 4) & ~F.array_contains(four, ""))
+    return docs.select(F.col("doc_id").alias("doc"), F.slice(words, 1, 3).alias("truth"), F.slice(words, 2, 3).alias("predicted"))
+
+
+@query(
+    LABEL_SETS
+    + f""", t AS (SELECT doc, unnest(truth) AS label FROM sets), p AS (SELECT doc, unnest(predicted) AS label FROM sets), j AS (SELECT coalesce(t.label, p.label) AS label, t.doc IS NOT NULL AS a, p.doc IS NOT NULL AS b FROM t FULL JOIN p ON t.doc = p.doc AND t.label = p.label),
+    counted AS (SELECT label, CAST(count(*) FILTER (a AND b) AS BIGINT) AS tp, CAST(count(*) FILTER (b AND NOT a) AS BIGINT) AS fp, CAST(count(*) FILTER (a AND NOT b) AS BIGINT) AS fn FROM j GROUP BY 1) SELECT label, tp, fp, fn, {RATIOS} FROM counted"""
+)
+def multilabel_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.multilabel(_sets(spark, d), "target_vulnerabilities")
+
+
+@query(LABEL_SETS + "SELECT count(*) AS evaluated, count(*) FILTER (list_sort(truth) = list_sort(predicted)) / count(*) AS exact_match_accuracy FROM sets")
+def multilabel_exact_match(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.exact_match(_sets(spark, d), "target_vulnerabilities")
+
+
+@query(
+    """, e AS (SELECT l_orderkey AS k, CAST(l_quantity % 4 AS INTEGER) AS priority, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem),
+    t AS (SELECT k, max(priority) AS priority FROM e GROUP BY 1)
+    SELECT k, CASE WHEN min(year) = max(year) THEN min(year) END AS year, priority FROM e JOIN t USING (k, priority) GROUP BY k, priority"""
+)
+def unanimous_evidence(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_quantity") % 4).cast("int").alias("priority"), F.year("l_shipdate").alias("year"))
+    return metrics.unanimous_top(e, "k", "priority", "year")
+
+
+# --- text functions ---
+
+
+@query("SELECT doc_id, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS clean FROM documents", library=False)
+def whitespace_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", tx.blank_to_null(F.col("text")).alias("clean"))
+
+
+@query(
+    "SELECT doc_id, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(len(regexp_replace(text, '\\P{L}', '', 'g')), 1) AS ratio FROM documents", library=False
+)
+def ascii_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", tx.ascii_letter_ratio(F.col("text")).alias("ratio"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages", library=False)
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", tx.collapse(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query("SELECT doc_id, CASE WHEN instr(text, '. ') > 0 THEN substr(text, 1, instr(text, '. ') - 1) ELSE text END AS head FROM documents", library=False)
+def text_before_stop(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", tx.cut_at_first(F.col("text"), r"\. ").alias("head"))
+
+
+@query("SELECT event_id, value >= 0 AND value < 50 AS good FROM events", library=False)
+def duration_checks(spark: SparkSession, d: str) -> DataFrame:
+    v = F.when(F.col("value") >= 50, F.lit(float("inf"))).otherwise(F.col("value"))
+    return read(spark, d, "events").select("event_id", tx.valid_seconds(v).alias("good"))
+
+
+@query("SELECT paper_id, string_agg(label, '|' ORDER BY pos) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, lower(label) ORDER BY pos) AS nth FROM (SELECT doc_id AS paper_id, unnest(string_split(text, ' ')[1:40]) AS label, unnest(range(1, 41)) AS pos FROM documents) WHERE label IS NOT NULL AND trim(regexp_replace(label, '\\s+', ' ', 'g')) = label AND label <> '') WHERE nth = 1 GROUP BY 1", library=False)
+def first_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """First spelling of the words of each text's start that agree but for case, in order."""
+    words = F.filter(F.slice(F.split("text", " "), 1, 40), lambda w: (tx.collapse(w) == w) & (w != ""))
+    out = read(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.array_join(tx.clean_list(words), "|").alias("labels"))
+    return out.where("labels <> ''")
