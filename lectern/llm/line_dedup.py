@@ -10,56 +10,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, bound_batches, cut, table
-from lectern.llm.linking import buckets, maybe, presence, resolve
-from lectern.llm.wordhash import BLOCK, mix, powers
+from lectern.llm.common import bound_batches, cut, table
+from lectern.llm.linking import Sets, maybe, presence, resolve, sorted_buckets
+from lectern.llm.wordhash import BLOCK, LOWER, SPACE, mix, powers, utf8
+
+NEWLINE, BLANK = 10, 32
+#: Line hashes a task remembers, so as to sign a line that it saw before only once.
+REMEMBERED = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bytes of a shingle, similarity of a link, bands and rows: at 0.8 a pair shares a band with 0.9996.
+    #: Bytes of a shingle, similarity of a link, bands and rows: at 0.8 a pair shares a band with 0.9994.
     size: int = 8
     similarity: float = 0.8
-    bands: int = 20
-    rows: int = 5
-
+    bands: int = 14
+    rows: int = 4
 
-def normal(line):
-    """The line as it is compared: lower case, runs of white space as one space, none at the ends."""
-    return F.lower(F.btrim(F.regexp_replace(line, SPACES, " ")))
 
+class Lines:
+    """Lines of a block of texts in normal form: A-Z in lower case, runs of white space as one blank, none at the ends.
 
-def lines(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns, line_no, line``: every line that is not blank, in normal form."""
-    split = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line_no", "line")
-    return docs.select(*columns, split).withColumn("line", normal(F.col("line"))).where(F.col("line") != "")
-
+    ``raw[ptr[k]:ptr[k + 1]]`` is line ``k``, of text ``text[k]`` with number ``number[k]``; blank lines are left out.
+    """
 
-def shingles(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Blocks of lines: first, end, shingle hashes and pointers. A line shorter than ``size`` bytes is one shingle."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
-    _, where, data = texts.buffers()
-    offsets = np.frombuffer(where, np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        n = len(raw)
+        newline = raw == NEWLINE
+        space = SPACE[raw] & ~newline
+        solid = ~space & ~newline
+        # A line starts at each text and behind each line feed; an empty text has one line too.
+        line_of = np.cumsum(newline) - newline + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        at = np.arange(n)
+        last_solid = np.maximum.accumulate(np.where(solid, at, -1))
+        before = np.concatenate([[-1], last_solid[:-1]]) if n else last_solid
+        follows = np.zeros(n, bool)
+        follows[:-1] = solid[1:] & (line_of[1:] == line_of[:-1])
+        # One blank of a run is kept: its last, if solid bytes of the same line stand on both sides.
+        kept_blank = space & follows & (before >= 0)
+        kept_blank[kept_blank] &= line_of[before[kept_blank]] == line_of[kept_blank]
+        keep = solid | kept_blank
+        self.raw = np.where(space, np.uint8(BLANK), LOWER[raw])[keep]
+        lines = int(newline.sum()) + len(offsets) - 1
+        length = np.bincount(line_of[keep], minlength=lines)
+        per_text = np.add.reduceat(np.append(newline, False).astype(np.int64), np.minimum(offsets[:-1], n)) * (np.diff(offsets) > 0) + 1 if len(offsets) > 1 else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(offsets) - 1), per_text)
+        number = np.arange(lines) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        some = length > 0
+        self.text, self.number = text[some], number[some]
+        self.ptr = np.concatenate([[0], np.cumsum(length[some])])
+
+    def ids(self) -> np.ndarray:
+        """64-bit hash of each line."""
+        total, down = prefix(self.raw)
+        return mix((total[self.ptr[1:]] - total[self.ptr[:-1]]) * down[self.ptr[:-1]] + np.diff(self.ptr).astype(np.uint64)).view(np.int64)
+
+    def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and pointers of chosen lines."""
+        length = np.diff(self.ptr)
+        chosen = np.zeros(len(length), bool)
+        chosen[which] = True
+        return self.raw[np.repeat(chosen, length)], np.concatenate([[0], np.cumsum(length[chosen])])
+
+
+def prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    return total, down
+
+
+def lines(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
+    """Blocks of texts: first row, end row, lines."""
+    raw, offsets = utf8(texts)
     at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK // 2, "right")) - 1)
-        own = offsets[at : end + 1] - offsets[at]
-        part = raw[offsets[at] : offsets[end]]
-        up, down = powers(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
-        length = np.diff(own)
-        many = np.maximum(length - size + 1, 1)
-        ptr = np.concatenate([[0], np.cumsum(many)])
-        begin = np.arange(ptr[-1]) + np.repeat(own[:-1] - ptr[:-1], many)
-        stop = np.minimum(begin + size, np.repeat(own[1:], many))
-        yield at, end, mix((total[stop] - total[begin]) * down[begin]), ptr
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        own = offsets[at : end + 1]
+        yield at, end, Lines(raw[own[0] : own[-1]], own - own[0])
         at = end
 
 
+def shingles(raw: np.ndarray, ptr: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` bytes of each line, and pointers. A shorter line is one shingle."""
+    total, down = prefix(raw)
+    length = np.diff(ptr)
+    many = np.maximum(length - size + 1, 1)
+    begin = np.ones(len(raw), bool)
+    # The last bytes of a line start no run, but the first byte of a short line does.
+    short = length < size
+    tail = np.minimum(size - 1, length)
+    gaps = np.repeat(ptr[1:] - tail, tail) + (np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail))
+    begin[gaps] = False
+    begin[ptr[:-1][short]] = True
+    at = np.flatnonzero(begin)
+    stop = at + size
+    if short.any():
+        stop = np.minimum(stop, np.repeat(ptr[1:], many))
+    return mix((total[stop] - total[at]) * down[at]), np.concatenate([[0], np.cumsum(many)])
+
+
 def signatures(hashes: np.ndarray, ptr: np.ndarray, settings: Settings) -> np.ndarray:
     """One-permutation MinHash of each line, empty bins filled from bins that a fixed hash sequence picks: (lines, bins)."""
     bins = settings.bands * settings.rows
@@ -91,71 +141,86 @@ def band_keys(full: np.ndarray, settings: Settings) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signed(distinct: DataFrame, settings: Settings) -> DataFrame:
-    """``id, keys`` of distinct lines ``(id, line)``."""
+def located(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, line_id`` of every line that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(signatures(h, ptr, settings), settings) for _, _, h, ptr in shingles(batch.column(1), settings.size)]
-            if keys:
-                flat = pa.array(np.concatenate(keys).ravel())
-                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * settings.bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["id", "keys"])
+            for first, _, found in lines(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids())], ["doc_id", "line_no", "line_id"]
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long")
+
 
-    return distinct.mapInArrow(run, "id long, keys array<long>")
+def signed(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``key, id``: one row for each band of each line; lines a task saw lately are not signed again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, _, found in lines(batch.column(0)):
+                ids, at = np.unique(found.ids(), return_index=True)
+                new = ~np.isin(ids, known, assume_unique=True)
+                if not new.any():
+                    continue
+                known = np.concatenate([known if len(known) < REMEMBERED else known[:0], ids[new]])
+                at = np.sort(at[new])
+                keys = band_keys(signatures(*shingles(*found.some(at), settings.size), settings), settings)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(found.ids()[at], settings.bands))], ["key", "id"])
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct shingles."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(len(a) + len(b) - common, 1)
+    return docs.select("text").mapInArrow(run, "key long, id long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """``a, b, linked`` by the exact Jaccard similarity of the lines' character shingles."""
+def contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, content``: the lines listed in ``ids``. A filter of fixed size keeps most others out of the shuffle."""
+    present = docs.sparkSession.sparkContext.broadcast(presence(ids, F.col("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for column in (2, 3):
-                sides.append([np.unique(h[ptr[k] : ptr[k + 1]]) for _, _, h, ptr in shingles(batch.column(column), settings.size) for k in range(len(ptr) - 1)])
-            linked = [jaccard(x, y) >= settings.similarity for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            for _, _, found in lines(batch.column(0)):
+                own, at = np.unique(found.ids(), return_index=True)
+                good = maybe(present.value, own)
+                at = np.sort(at[good])
+                raw, ptr = found.some(at)
+                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ptr.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(found.ids()[at]), packed], ["id", "content"])
+
+    rows = docs.select("text").mapInArrow(run, "id long, content binary").join(ids, "id", "left_semi")
+    return rows.groupBy("id").agg(F.first("content").alias("content"))
+
 
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+def compared(settings: Settings) -> Sets:
+    """Exact Jaccard similarity of the lines' character shingles."""
+
+    def unpack(column: pa.Array) -> list[np.ndarray]:
+        raw, offsets = utf8(column)
+        if len(offsets) == 1:
+            return []
+        found, ptr = shingles(raw[offsets[0] : offsets[-1]], offsets - offsets[0], settings.size)
+        return [np.unique(found[ptr[k] : ptr[k + 1]]) for k in range(len(ptr) - 1)]
+
+    return Sets(unpack, lambda e: np.ones(len(e), np.float32), settings.similarity)
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Class of every line that is not blank: ``doc_id, line_no, line_id, class_id, kept``.
 
-    Lines that agree but for case and white space are one node (``line_id``, a 64-bit hash). Nodes are compared
+    Lines that agree but for the case of A-Z and white space are one node (``line_id``, a 64-bit hash). Nodes are compared
     by character shingles: MinHash signatures, banding of high recall, exact Jaccard similarity of candidates, and
     components of the links. In each class the first line by (doc_id, line_no) is kept; a null ``doc_id`` sorts first.
 
     Blank lines have no row and are always kept in a text. Null and empty texts have no lines; a line shorter than a shingle
     links only to its equals; of repeated rows with equal ids each line's row is marked alike; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = lines(docs, "doc_id").withColumn("line_id", F.xxhash64("line"))
-    # Lines travel once per distinct line and task; the counts of copies do not matter here.
-    distinct = rows.groupBy(F.col("line_id").alias("id")).agg(F.first("line").alias("line"))
-    keys = signed(distinct, settings).select("id", F.explode("keys").alias("key"))
-    hot = buckets(keys)
+    bound_batches(docs.sparkSession)
+    spots = cut(located(docs))
+    hot = sorted_buckets(signed(docs, settings))
     labels = None
     if not hot.isEmpty():
-        ids = cut(hot.select("id").distinct())
-        present = spark.sparkContext.broadcast(presence(ids))
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(maybe(present.value, batch.column(1).to_numpy()))).select([0, 2])
-
-        wanted = rows.select(F.col("line_id").alias("id"), F.xxhash64("line_id").alias("spot"), "line").mapInArrow(pick, "id long, line string")
-        texts = cut(wanted.groupBy("id").agg(F.first("line").alias("line")).join(ids, "id", "left_semi"))
-        labels = resolve(hot, lambda pairs: verify(pairs, texts, settings))
-    spots = rows.select("doc_id", "line_no", "line_id")
+        texts = cut(contents(docs, cut(hot.select("id").distinct())))
+        labels = resolve(hot, texts, compared(settings))
     if labels is None:
         named = spots.withColumn("class_id", F.col("line_id"))
     else:

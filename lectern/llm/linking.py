@@ -1,23 +1,43 @@
-"""From band keys to classes: candidate pairs without emitting all pairs of a bucket, and their components."""
+"""From band keys to classes: candidate links without emitting all pairs of a bucket, and their components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import components, cut
 
 #: Words of 64 bits of the presence filter.
 FILTER_WORDS = 1 << 16
+#: Most rows and bytes, on average, of a block's queries and of the members they are compared with.
+QUERIES, MEMBERS = 512, 4096
+QUERY_BYTES, MEMBER_BYTES = 2 << 20, 8 << 20
+#: Elements that a matrix of a block spans at a time.
+SPAN = 2048
 
 
-def presence(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size that says for every id in ``ids`` (column ``id``) that it may be there: a distributed bit-or."""
-    spot = F.xxhash64("id").bitwiseAND(FILTER_WORDS * 64 - 1)
-    bits = ids.select(F.shiftright(spot, 6).alias("word"), F.expr("shiftleft(1L, CAST(xxhash64(id) & 63 AS INT))").alias("bit"))
+@dataclass(frozen=True)
+class Sets:
+    """How rows are compared: ``unpack`` turns a content column into sorted arrays of distinct elements, ``weigh`` weighs elements."""
+
+    unpack: Callable[[pa.Array], list[np.ndarray]]
+    weigh: Callable[[np.ndarray], np.ndarray]
+    similarity: float
+
+
+def presence(ids: DataFrame, spot: Column | None = None) -> np.ndarray:
+    """A filter of fixed size that says for every row of ``ids`` that its ``spot`` may be there: a distributed bit-or.
+
+    ``spot`` is a well-mixed long, by default xxhash64 of ``id``.
+    """
+    spot = F.xxhash64("id") if spot is None else spot
+    low = spot.bitwiseAND(FILTER_WORDS * 64 - 1)
+    bits = ids.select(F.shiftright(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int")).alias("bit"))
     present = np.zeros(FILTER_WORDS, np.uint64)
     for x in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         present[x.word] = np.int64(x.bits).view(np.uint64)
@@ -25,46 +45,167 @@ def presence(ids: DataFrame) -> np.ndarray:
 
 
 def maybe(present: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    """Which ``spots`` (xxhash64 of an id, low bits) the filter has."""
+    """Which ``spots`` the filter may have."""
     at = spots & (FILTER_WORDS * 64 - 1)
     return (present[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """``key, id, pivot, other`` of the ``(key, id)`` whose key has several members."""
-    ends = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot < other")
-    return cut(members.join(ends, "key").select("key", "id", "pivot", "other"))
+    """``key, id, pivot`` of the ``(key, id)`` whose key has several members; the pivot is the smallest id."""
+    ends = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+    return cut(members.join(ends, "key").select("key", "id", "pivot"))
 
 
-def resolve(hot: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Components ``(id, label)`` of the verified links among members of the buckets; None if there is no link.
+def sorted_buckets(members: DataFrame) -> DataFrame:
+    """As :func:`buckets`, for very many keys: one shuffle by key, a sort that can spill, and a pass that holds one row.
 
-    First every member meets its bucket's pivot, then a second one, and only members that still lie in
-    different components of a bucket meet pairwise. So each pair of a bucket is compared or
-    connected already, while a bucket of n copies takes n comparisons, not n * n. ``verify`` takes candidate pairs
-    ``(a, b)`` and returns them with ``linked``.
+    Rows arrive in order of ``(key, id)``; a key's first id is its pivot, and a key with one id is dropped.
     """
-    labels = done = links = None
-    for step in ("pivot", "other", "rest"):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = pivot = last = None  # of the run at hand
+        held = False  # whether its only row so far waits for a second
+        for batch in batches:
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if key is not None:
+                keys, ids = np.concatenate([[key], keys]), np.concatenate([[last], ids])
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids = keys[new], ids[new]
+            first = np.ones(len(keys), bool)
+            first[1:] = keys[1:] != keys[:-1]
+            run_of = np.cumsum(first) - 1
+            start = np.flatnonzero(first)
+            length = np.diff(np.append(start, len(keys)))
+            pivots = ids[start]
+            many = length > 1
+            if key is not None:
+                pivots[0] = pivot
+                many[0] |= not held
+            emit = many[run_of]
+            if key is not None and not held:
+                emit[0] = False  # sent before
+            out = np.flatnonzero(emit)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out]), pa.array(pivots[run_of[out]])], ["key", "id", "pivot"])
+            key, pivot, last, held = keys[-1], pivots[-1], ids[-1], not many[-1]
+
+    ordered = members.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
+    return cut(ordered.mapInArrow(run, "key long, id long, pivot long"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, sets: Sets) -> bool:
+    """Weighted Jaccard similarity of two sets of elements against the threshold; two empty sets are equal."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = sets.weigh(small[large[at] == small]).sum()
+    return bool(common >= sets.similarity * (sets.weigh(a).sum() + sets.weigh(b).sum() - common))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs ``(a, b)`` that are similar. Both joins are plain equi-joins on an id, so adaptive execution splits a pivot with many partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(x, y, sets) for x, y in zip(sets.unpack(batch.column(2)), sets.unpack(batch.column(3)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    left, right = texts.select(F.col("id").alias("a"), F.col("content").alias("x")), texts.select(F.col("id").alias("b"), F.col("content").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def block_links(queries: list[np.ndarray], members: list[np.ndarray], sets: Sets) -> np.ndarray:
+    """Which query is similar to which member: products of weighted incidence matrices over the elements that both sides have."""
+    of_q, of_m = np.repeat(np.arange(len(queries)), [len(x) for x in queries]), np.repeat(np.arange(len(members)), [len(x) for x in members])
+    all_q, all_m = np.concatenate(queries), np.concatenate(members)
+    size_q = np.bincount(of_q, sets.weigh(all_q), len(queries))
+    size_m = np.bincount(of_m, sets.weigh(all_m), len(members))
+    shared = np.intersect1d(all_q, all_m)
+    common = np.zeros((len(queries), len(members)), np.float32)
+    for at in range(0, len(shared), SPAN):
+        own = shared[at : at + SPAN]
+        sides = []
+        for elements, of, count in ((all_q, of_q, len(queries)), (all_m, of_m, len(members))):
+            where = np.searchsorted(own, elements)
+            where[where == len(own)] = 0
+            hit = own[where] == elements
+            matrix = np.zeros((count, len(own)), np.float32)
+            matrix[of[hit], where[hit]] = 1
+            sides.append(matrix)
+        common += (sides[0] * sets.weigh(own).astype(np.float32)) @ sides[1].T
+    # Sums in single precision may differ in the last digits: what is that near is compared exactly.
+    union = size_q[:, None] + size_m - common
+    link = (common >= (sets.similarity + 1e-4) * union) & (union > 0)
+    for i, j in zip(*np.nonzero(~link & (common >= (sets.similarity - 1e-4) * union)), strict=True):
+        link[i, j] = similar(queries[i], members[j], sets)
+    return link
+
+
+def compare_blocks(mixed: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
+    """Links ``(a, b)`` that join different components of a bucket, every such pair of ``(key, id, label)`` being compared.
+
+    In each bucket the rows outside its largest component are queries. They meet all rows of the bucket in blocks of
+    bounded rows and bytes; a block compares its pairs by matrix products and returns for each query one link into each
+    other component, so pairs are never rows, and no task holds more than a block.
+    """
+    sized = mixed.join(texts.select("id", F.octet_length("content").alias("bytes")), "id")
+    sizes = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    total = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "label")).alias("most"))
+    placed = mixed.join(total.select("key", "rows", "bytes", "most", F.col("most.label").alias("main")), "key")
+    wide = F.ceil(F.greatest(F.col("rows") / MEMBERS, F.col("bytes") / MEMBER_BYTES, F.lit(1.0)))
+    high = F.ceil(F.greatest((F.col("rows") - F.col("most.n")) / QUERIES, (F.col("bytes") - F.col("most.bytes")) / QUERY_BYTES, F.lit(1.0)))
+    blocks_ = placed.select("key", "id", "label", "main", wide.cast("int").alias("wide"), high.cast("int").alias("high"))
+    spot = F.xxhash64("id", "key")
+    is_query = F.col("label") != F.col("main")
+    as_query = blocks_.where(is_query).select("key", "id", "label", F.lit(True).alias("query"), F.pmod(spot, F.col("high")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("col"))
+    as_member = blocks_.select("key", "id", "label", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("row"), F.pmod(F.shiftright(spot, 20), F.col("wide")).cast("int").alias("col"))
+    rows = as_query.unionByName(as_member).join(texts, "id").select("key", "row", "col", "id", "label", "query", "content")
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        ids, labels = block.column("id").to_numpy(), block.column("label").to_numpy()
+        query = block.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        content = sets.unpack(block.column("content").combine_chunks())
+        q, m = np.flatnonzero(query), np.flatnonzero(~query)
+        out: list[tuple[int, int]] = []
+        if len(q) and len(m):
+            link = block_links([content[k] for k in q], [content[k] for k in m], sets) & (labels[q][:, None] != labels[m])
+            i, j = np.nonzero(link)
+            _, first = np.unique(np.stack([i, labels[m][j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, int))
+            out = [(int(ids[q[i[k]]]), int(ids[m[j[k]]])) for k in first]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "row", "col").applyInArrow(run, "a long, b long")
+
+
+def resolve(hot: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame | None:
+    """Components ``(id, label)`` of the links among members of the buckets; None if there is no link.
+
+    First every member meets its bucket's smallest id, then another member that a hash picks for each bucket, so that a
+    member meets different ones in different bands. What still lies in different components of a bucket is compared in blocks.
+    So each pair of a bucket is compared or connected already, and a bucket of n copies takes about n comparisons.
+    """
+    labels = links = None
+    for step in ("pivot", "random", "rest"):
         if step == "pivot":
             near = hot.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
         else:
             now = hot.withColumn("label", F.col("id")) if labels is None else hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            now = cut(now.join(mixed, "key").select("key", "id", "other", "label"))
-            if step == "other":
-                its = now.where("id = other").select("key", F.col("label").alias("its"))
-                near = now.join(its, "key").where("label <> its").select(F.col("id").alias("a"), F.col("other").alias("b"))
-            else:
-                x, y = now.select("key", F.col("id").alias("a"), F.col("label").alias("la")), now.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-                near = x.join(y, "key").where("la < lb").select("a", "b")
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        checked = cut(verify(pairs))
-        done = checked.select("a", "b") if done is None else done.unionAll(checked.select("a", "b"))
-        found = checked.where("linked").select("a", "b")
+            split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", "key")).alias("r"))
+            now = cut(now.join(split.where("low < high"), "key").select("key", "id", "pivot", "label", "r"))
+            if now.isEmpty():
+                break
+            near = now.where("label <> r.label AND id <> pivot AND r.id <> pivot").select("id", F.col("r.id").alias("b")).withColumnRenamed("id", "a")
+        if step == "rest":
+            found = cut(compare_blocks(now.select("key", "id", "label"), texts, sets))
+        else:
+            pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+            if pairs.isEmpty():
+                continue
+            found = cut(verify(pairs, texts, sets))
         if found.isEmpty():
             continue
         links = found if links is None else links.unionAll(found)

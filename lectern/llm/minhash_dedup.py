@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import SPACES, bound_batches, cut, table
-from lectern.llm.linking import buckets, maybe, presence, resolve
+from lectern.llm.linking import Sets, buckets, maybe, presence, resolve
 from lectern.llm.wordhash import blocks, mix
 
 #: Counters of the document-frequency table and slices in which it travels.
@@ -137,16 +137,28 @@ def weigh(shingles: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return distinct, tf * idf[(distinct >> np.uint64(46)).astype(np.int64)]
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
-    """Sum of the lesser over sum of the greater weights of two texts' shingles (repeats included)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.concatenate([a, b])
-    distinct, where = np.unique(both, return_inverse=True)
-    tf_a = np.bincount(where[: len(a)], minlength=len(distinct))
-    tf_b = np.bincount(where[len(a) :], minlength=len(distinct))
-    w = idf[(distinct >> np.uint64(46)).astype(np.int64)]
-    return float((np.minimum(tf_a, tf_b) * w).sum() / (np.maximum(tf_a, tf_b) * w).sum())
+#: Bits of a hash that select the slot of its frequency, and the others.
+SLOT_BITS = np.uint64(((1 << 18) - 1) << 46)
+
+
+def elements(shingles: np.ndarray) -> np.ndarray:
+    """A text's multiset of shingles as a sorted set: the second and later copies of a shingle are elements of their own, in its slot."""
+    s = np.sort(shingles)
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    start = np.flatnonzero(first)
+    copy = (np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))).astype(np.uint64)
+    other = (s & SLOT_BITS) | (mix(s + copy * np.uint64(0x9E3779B97F4A7C15)) & ~SLOT_BITS)
+    return np.unique(np.where(copy > 0, other, s))
+
+
+def compared(idf: np.ndarray, settings: Settings) -> Sets:
+    """Weighted Jaccard similarity over packed elements: the sum of the lesser tf * idf over the sum of the greater."""
+    return Sets(
+        lambda column: [np.frombuffer(x.as_buffer(), np.uint64) for x in column],
+        lambda e: idf[(e >> np.uint64(46)).astype(np.int64)],
+        settings.similarity,
+    )
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
@@ -174,7 +186,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, settings: Settings) -> DataFram
 
 
 def contents(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
-    """``id, shingles`` (packed 64-bit hashes) of the documents listed in ``ids``.
+    """``id, content`` (packed elements) of the documents listed in ``ids``.
 
     A filter of fixed size, built by a distributed bit-or, first drops most texts that have no
     candidate partner, so that only few texts are hashed and shuffled; the join then is exact.
@@ -187,41 +199,21 @@ def contents(docs: DataFrame, ids: DataFrame, settings: Settings) -> DataFrame:
             out = []
             for _, _, words in blocks(batch.column(2)):
                 shingles, ptr = words.shingles(settings.words)
-                out += [np.sort(shingles[ptr[d] : ptr[d + 1]]).tobytes() for d in range(len(ptr) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
+                out += [elements(shingles[ptr[d] : ptr[d + 1]]).tobytes() for d in range(len(ptr) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "content"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("at"), "text")
-    found = rows.mapInArrow(pack, "id long, shingles binary").join(ids, "id", "left_semi")
-    return found.groupBy("id").agg(F.max("shingles").alias("shingles"))  # rows repeated with one id count once
-
-
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, settings: Settings) -> DataFrame:
-    """``a, b, linked`` of the candidate pairs, by the exact weighted Jaccard similarity of the whole texts.
-
-    Both joins are plain equi-joins on an id, so adaptive execution splits a pivot with many partners.
-    """
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = [
-                weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), shared.value) >= settings.similarity
-                for x, y in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    left = texts.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+    found = rows.mapInArrow(pack, "id long, content binary").join(ids, "id", "left_semi")
+    return found.groupBy("id").agg(F.max("content").alias("content"))  # rows repeated with one id count once
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Near-duplicate class of every document.
 
     Texts that agree but for case and white space are one node, the copy with the smallest ``doc_id``.
-    Nodes that share a band are candidates. Pairs of a bucket are not emitted: first every member meets
-    the bucket's pivot, then another, and only what still lies in different components of its bucket meets
-    pairwise; so each bucket's pair is either compared or already connected, and no link that could join
+    Nodes that share a band are candidates: a pair at 0.8 does with probability 0.9998. Pairs of a bucket are not emitted:
+    every member meets the bucket's pivot, then another, and what still lies in different components of its bucket
+    is compared in blocks; so each bucket's pair is either compared or already connected, and no link that could join
     two classes is lost. Classes are the connected components of the verified links.
 
     Returns ``doc_id, class_id, rep_id, shingles`` with ``class_id`` the smallest ``doc_id`` of the class and ``rep_id``
@@ -238,7 +230,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     labels = None
     if not hot.isEmpty():
         texts = cut(contents(docs, hot.select("id").distinct(), settings))
-        labels = resolve(hot, lambda pairs: verify(pairs, texts, idf, settings))
+        labels = resolve(hot, texts, compared(idf, settings))
     if labels is None:
         nodes = groups.select("digest", "rep", F.col("rep").alias("class_id"))
     else:

@@ -16,6 +16,8 @@ P = np.uint64(0x9E3779B97F4A7C15 | 1)
 P_INVERSE = np.uint64(pow(int(P), -1, 2**64))
 #: Bytes of text per block; longer single texts get a block of their own.
 BLOCK = 2 << 20
+#: Texts per block.
+TEXTS = 512
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -117,20 +119,25 @@ class Words:
         return mix(out), ptr
 
 
-def blocks(texts: pa.Array, most: int = BLOCK, breaks: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
-    """Split a string column into blocks of at most ``most`` bytes (or one text): first row, end row, words."""
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary column and each row's offsets, without a copy; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
-    rows = len(texts)
-    if not rows:
-        return
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, where, data = texts.buffers()
-    offsets = np.frombuffer(where, np.int64, rows + 1, texts.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    offsets = np.frombuffer(where, np.int64, len(texts) + 1, texts.offset * 8)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def blocks(texts: pa.Array, most: int = BLOCK, breaks: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
+    """Split a string column into blocks of at most ``TEXTS`` texts and ``most`` bytes (or one text): first row, end row, words."""
+    raw, offsets = utf8(texts)
+    rows = len(offsets) - 1
     at = 0
     while at < rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = max(at + 1, min(at + TEXTS, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         own = offsets[at : end + 1]
         yield at, end, Words(raw[own[0] : own[-1]], own - own[0], breaks)
         at = end
