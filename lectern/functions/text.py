@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Python's white space: Java's Unicode class lacks U+001C to U+001F.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
@@ -44,13 +45,13 @@ def contains_keyword(value: Column, keyword: str) -> Column:
     return like_ascii(value, f"%{keyword.casefold()}%")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(values: pd.Series) -> pd.Series:
     """Full Unicode case folding, which maps one character to several."""
     return values.str.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folder_key(values: pd.Series) -> pd.Series:
     """NFC of the case-folded name: equal for names that a reader takes as equal."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v.casefold()))

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lectern.functions import i18n
 from lectern.functions import text as tx
-from lectern.model import CATEGORIES, LABEL_FIELDS, RELEVANCES
-from lectern.operators import metrics, search, state
+from lectern.model import BLOCK, CATEGORIES, LABEL_FIELDS, PAGE, RELEVANCES, SIZE
+from lectern.operators import extraction, metrics, search, state
+from lectern.plans import ingest, refresh
 from lectern.plans import library as lib
 from lectern.plans.library import SQL as LIBRARY
 from lectern.plans.library import read
+from lectern.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,7 +115,7 @@ def filter_folder(spark: SparkSession, d: str) -> DataFrame:
     return search.search(lib.papers(spark, d), lib.labels(spark, d), paper_folders=lib.paper_folders(spark, d), folder_id=3, ordered=False).select("id")
 
 
-LISTS = ", ".join(f"coalesce(array_to_string(list(label ORDER BY lower(label), label) FILTER (field = '{f}'), ', '), '') AS {f}" for f in LABEL_FIELDS)
+LISTS = ", ".join(f"coalesce(array_to_string(list(label ORDER BY translate(label, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), label) FILTER (field = '{f}'), ', '), '') AS {f}" for f in LABEL_FIELDS)
 
 
 @query(f"""SELECT id, {", ".join(f"coalesce({f}, '') AS {f}" for f in LABEL_FIELDS)} FROM papers LEFT JOIN (SELECT paper_id, {LISTS} FROM effective_labels GROUP BY 1) ON paper_id = id""")
@@ -388,8 +392,8 @@ def provider_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return metrics.evaluate_providers(runs.join(papers, "paper_id").select("id", "provider", "model", "file_hash", "truth", "predicted"))[0]
 
 
-LABEL_SETS = """, sets AS (SELECT doc_id AS doc, list_distinct(list_transform(string_split(text, ' ')[1:3], x -> trim(regexp_replace(x, '[\\s]+', ' ', 'g')))) AS truth,
-  list_distinct(list_transform(string_split(text, ' ')[2:4], x -> trim(regexp_replace(x, '[\\s]+', ' ', 'g')))) AS predicted FROM documents WHERE len(string_split(text, ' ')) >= 4 AND NOT list_contains(string_split(text, ' ')[1:4], ''))"""
+LABEL_SETS = """, sets AS (SELECT doc_id AS doc, list_distinct([trim(regexp_replace(x, '[\\s]+', ' ', 'g')) for x in string_split(text, ' ')[1:3]]) AS truth,
+  list_distinct([trim(regexp_replace(x, '[\\s]+', ' ', 'g')) for x in string_split(text, ' ')[2:4]]) AS predicted FROM documents WHERE len(string_split(text, ' ')) >= 4 AND NOT list_contains(string_split(text, ' ')[1:4], ''))"""
 
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:
@@ -460,3 +464,228 @@ def first_spelling(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.slice(F.split("text", " "), 1, 40), lambda w: (tx.collapse(w) == w) & (w != ""))
     out = read(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.array_join(tx.clean_list(words), "|").alias("labels"))
     return out.where("labels <> ''")
+
+
+# --- files, identity, mutations ---
+
+
+@query("SELECT file_hash, count(*) AS copies, min(id) AS first_id FROM papers GROUP BY 1 HAVING count(*) > 1")
+def duplicate_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return lib.papers(spark, d).groupBy("file_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
+
+
+@query(
+    """, f AS (SELECT file_hash, filename AS path, row_number() OVER (PARTITION BY file_hash ORDER BY filename) AS nth, id % 13 <> 0 AS valid FROM papers)
+    SELECT path, CASE WHEN NOT valid THEN 'invalid' WHEN nth > 1 THEN 'duplicate' END AS error FROM f"""
+)
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    found = lib.papers(spark, d).select("file_hash", F.col("filename").alias("path"), (F.col("id") % 13 != 0).alias("valid"))
+    return files.inventory(found).select("path", "error")
+
+
+@query(
+    """SELECT coalesce(a.file_hash, b.file_hash) AS file_hash, CASE WHEN a.file_hash IS NULL THEN 'missing' WHEN b.file_hash IS NULL THEN 'unexpected' ELSE 'present' END AS status
+    FROM (SELECT DISTINCT file_hash FROM papers WHERE id % 3 > 0) a FULL JOIN (SELECT DISTINCT file_hash FROM papers WHERE id % 5 > 0) b ON a.file_hash = b.file_hash"""
+)
+def inventory_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d)
+    return files.reconcile(papers.where("id % 3 > 0"), papers.where("id % 5 > 0"))
+
+
+@query(
+    """SELECT p.id, p.file_hash, arg_min(f.filename, (f.filename <> p.filename, f.filename)) AS path FROM papers p LEFT JOIN papers f ON f.file_hash = p.file_hash AND f.id % 4 > 0 GROUP BY ALL"""
+)
+def source_location(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d)
+    on_disk = papers.where("id % 4 > 0").select("file_hash", F.col("filename").alias("path"), F.col("filename").alias("name"))
+    return files.located(papers.withColumn("filepath", F.col("filename")), on_disk)
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'new' ELSE title END AS title FROM papers")
+def guarded_metadata_update(spark: SparkSession, d: str) -> DataFrame:
+    """Of the updates offered, those with a wrong hash (odd ids) change nothing."""
+    papers = lib.papers(spark, d).select("id", "file_hash", "title")
+    update = papers.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.col("file_hash")).otherwise("other").alias("file_hash"), F.lit("new").alias("title"))
+    return state.guarded_update(papers, update, ["title"]).select("id", "title")
+
+
+@query(
+    """SELECT id, CASE WHEN id % 4 = 0 THEN 'Authorization' ELSE primary_category END AS primary_category, CASE WHEN id % 4 = 0 THEN 'B' ELSE relevance END AS relevance,
+    CASE WHEN id % 8 = 0 THEN 'a reason' ELSE 'old' END AS relevance_reason, manually_reviewed OR id % 4 = 0 AS manually_reviewed FROM papers"""
+)
+def human_review(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d).withColumn("relevance_reason", F.lit("old"))
+    reviews = papers.where("id % 4 = 0").select(
+        F.col("id").alias("paper_id"), F.lit("Authorization").alias("primary_category"), F.lit("B").alias("relevance"), F.when(F.col("id") % 8 == 0, "  a \t reason ").alias("relevance_reason")
+    )
+    return state.review(papers, reviews).select("id", "primary_category", "relevance", "relevance_reason", "manually_reviewed")
+
+
+@query(
+    """, wanted AS (SELECT doc_id AS paper_id, CASE WHEN doc_id % 12 = 0 THEN NULL ELSE doc_id % 24 + 1 END AS folder_id FROM documents WHERE doc_id % 6 = 0)
+    SELECT paper_id, folder_id FROM paper_folders WHERE paper_id NOT IN (SELECT paper_id FROM wanted) UNION ALL SELECT paper_id, folder_id FROM wanted WHERE folder_id IS NOT NULL"""
+)
+def folder_membership(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    wanted = read(spark, d, "documents").where(i % 6 == 0).select(i.alias("paper_id"), F.when(i % 12 != 0, i % 24 + 1).alias("folder_id"))
+    return state.set_membership(lib.paper_folders(spark, d), wanted, lib.folders(spark, d))
+
+
+@query("SELECT paper_id, field, value_source, label FROM paper_labels WHERE NOT (paper_id % 3 = 0 AND field = 'tags' AND value_source = 'ai') UNION ALL SELECT id, 'tags', 'ai', 'replaced' FROM papers WHERE id % 6 = 0")
+def label_replacement(spark: SparkSession, d: str) -> DataFrame:
+    changes = lib.papers(spark, d).where("id % 3 = 0").select(
+        F.col("id").alias("paper_id"), F.lit("tags").alias("field"), F.lit("ai").alias("value_source"), F.when(F.col("id") % 6 == 0, "replaced").alias("label")
+    )
+    return state.replace_labels(lib.labels(spark, d), changes)
+
+
+# --- projections ---
+
+
+@query(
+    """SELECT id, substr(coalesce(title, 'Unknown'), 1, 500) AS title, nullif(abstract, '') AS abstract, CASE WHEN nullif(abstract, '') IS NULL THEN substr(nullif(coalesce(title, ''), ''), 1, 2500) END AS introduction_excerpt FROM papers"""
+)
+def classifier_payload(spark: SparkSession, d: str) -> DataFrame:
+    no_words = F.array().cast("array<string>")
+    p = ingest.payload(F.col("title"), F.col("abstract"), no_words, F.coalesce("title", F.lit("")))
+    return lib.papers(spark, d).select("id", p.alias("p")).select("id", "p.title", "p.abstract", "p.introduction_excerpt")
+
+
+@query("SELECT id, status, CASE status WHEN 'Unread' THEN '未読' WHEN 'Screened' THEN '確認済み' WHEN 'Read' THEN '既読' WHEN 'Important' THEN '重要' END AS status_name, coalesce(relevance, '') AS relevance, CASE relevance WHEN 'A' THEN 'A — directly relevant' WHEN 'C' THEN 'C — peripheral' ELSE '' END AS relevance_name FROM papers")
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d).select("id", "status", F.coalesce("relevance", F.lit("")).alias("relevance"))
+    return i18n.translated(i18n.translated(papers, "status", "ja"), "relevance", "ja")
+
+
+@query(
+    """SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, arg_max(text, turn) AS last_text FROM conversations GROUP BY 1""", library=False
+)
+def ordered_history(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return c.groupBy("conv_id").agg(F.array_join(turns, ">").alias("roles"), F.max_by("text", "turn").alias("last_text"))
+
+
+@query(
+    """SELECT conv_id, turn, text || ' ' || following AS record FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations) WHERE len(text) < 160 AND len(following) < 160""",
+    library=False,
+)
+def adjacent_records(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "conversations").withColumn("following", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.where((F.length("text") < 160) & (F.length("following") < 160)).select("conv_id", "turn", F.concat_ws(" ", "text", "following").alias("record"))
+
+
+@query(
+    """SELECT l_orderkey AS k, arg_max(l_partkey, (4 * l_quantity - 8 * l_discount, -l_linenumber, -l_partkey)) AS best FROM lineitem GROUP BY 1""", library=False
+)
+def first_best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Of equal scores the earliest candidate wins."""
+    score = F.struct((4 * F.col("l_quantity") - 8 * F.col("l_discount")).alias("s"), (-F.col("l_linenumber")).alias("p"), (-F.col("l_partkey")).alias("k"))
+    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max_by("l_partkey", score).alias("best"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?:19|20)[0-9]{2}')) AS years, min(CAST(nullif(regexp_extract(text, '((?:19|20)[0-9]{2})', 1), '') AS INTEGER)) AS first_year FROM documents GROUP BY ALL", library=False)
+def years_in_text(spark: SparkSession, d: str) -> DataFrame:
+    pattern = "((?:19|20)[0-9]{2})"
+    first = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    return read(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).cast("long").alias("years"), first.cast("int").alias("first_year"))
+
+
+# --- refresh and audit ---
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    i = F.col("id")
+    base = lib.papers(spark, d).select("id", "title", "abstract", "year", F.array("status").alias("keywords"), F.lit(None).cast("string").alias("introduction_excerpt"))
+    new = base.withColumns(
+        {"title": F.when(i % 5 == 0, F.lit("other")).otherwise(F.col("title")), "year": F.when(i % 3 == 0, F.lit(None)).otherwise(F.col("year")), "abstract": F.when(i % 4 == 0, F.concat(F.lit(". "), "abstract")).otherwise(F.col("abstract"))}
+    )
+    return base, new
+
+
+DIFF = """, diff AS (SELECT id, id % 5 = 0 AND coalesce(title, '') <> 'other' AS t, id % 4 = 0 AND abstract IS NOT NULL AS a, id % 3 = 0 AND year IS NOT NULL AS y FROM papers)"""
+
+
+@query(DIFF + " SELECT id, concat_ws(',', CASE WHEN t THEN 'title' END, CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'abstract' END) AS changes, t OR a AS input_changed FROM diff")
+def refresh_changes(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    out = refresh.changes(old, new, ("title", "year", "abstract", "keywords"))
+    return out.withColumn("changes", F.array_join("changes", ","))
+
+
+@query(
+    DIFF
+    + " SELECT count(*) AS papers, CAST(count(*) FILTER (t OR a OR y) AS BIGINT) AS changed, CAST(count(*) FILTER (t OR a) AS BIGINT) AS input_changed, CAST(count(*) FILTER (y AND NOT (t OR a)) AS BIGINT) AS bibliographic_only FROM diff"
+)
+def refresh_summary(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    return refresh.summary(refresh.changes(old, new, ("title", "year", "abstract", "keywords")))
+
+
+@query(DIFF + " SELECT id, NOT t AND (abstract IS NULL OR NOT a OR NOT starts_with(abstract, '. ')) AS format_only FROM diff JOIN papers USING (id)")
+def format_only_changes(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    return refresh.format_only(old, new)
+
+
+@query(
+    """SELECT id, unnest(CASE WHEN id % 7 = 0 THEN ['missing'] ELSE [x for x in [CASE WHEN id % 5 = 0 AND coalesce(title, '') <> 'x' THEN 'title' END, CASE WHEN id % 3 = 0 AND year IS NOT NULL THEN 'year' END] if x IS NOT NULL] END) AS field FROM papers"""
+)
+def evidence_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    a = lib.papers(spark, d).select("id", "title", "year")
+    b = a.where("id % 7 > 0").withColumn("title", F.when(F.col("id") % 5 == 0, F.lit("x")).otherwise(F.col("title")))
+    c = a.withColumn("year", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("year")))
+    return refresh.disagreements(a, b, c, ("title", "year"))
+
+
+@query(
+    """, c AS (SELECT id, id % 2 = 0 AS target, CASE WHEN id % 3 = 0 THEN 'A' WHEN id % 3 = 1 THEN 'B' END AS verdict FROM papers)
+    SELECT id, CASE WHEN target AND verdict IS NULL THEN 'no decision' WHEN NOT target AND verdict IS NOT NULL THEN 'not a candidate' WHEN target AND verdict = 'B' AND id % 4 > 0 THEN 'changes content' END AS error FROM c
+    WHERE (target AND verdict IS NULL) OR (NOT target AND verdict IS NOT NULL) OR (target AND verdict = 'B' AND id % 4 > 0)"""
+)
+def audit_check(spark: SparkSession, d: str) -> DataFrame:
+    papers = lib.papers(spark, d).select("id")
+    i = F.col("id")
+    decisions = papers.select("id", F.when(i % 3 == 0, "A").when(i % 3 == 1, "B").alias("verdict")).where("verdict IS NOT NULL")
+    return refresh.audit_errors(papers.where("id % 2 = 0"), decisions, papers.select("id", (i % 4 == 0).alias("format_only")))
+
+
+@query(
+    """, n AS (SELECT file_hash, count(*) AS n FROM papers WHERE id < 50 AND id <> 7 GROUP BY 1)
+    SELECT '7' AS what, 'id missing' AS error UNION ALL SELECT CAST(id AS VARCHAR), 'id unexpected' FROM papers WHERE id < 50 AND id > 40 UNION ALL SELECT '0', 'id unexpected' FROM papers WHERE id = 0
+    UNION ALL SELECT file_hash, 'hash twice' FROM n WHERE n > 1"""
+)
+def frozen_index_check(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.index_errors(lib.papers(spark, d).where("id < 50 AND id <> 7").select("id", "file_hash"), 1, 40)
+
+
+# --- rules that SQL cannot express: extraction and the scan ---
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    front = F.concat(F.lit("Abstract\n"), "text")
+    document = F.struct(
+        front.alias("text"), front.alias("first_page_text"), F.create_map(F.lit("title"), F.substring("text", 1, 60)).alias("metadata"), F.lit(1).alias("page_count"),
+        F.array().cast(T.ArrayType(BLOCK)).alias("first_page_blocks"), F.lit(None).cast(SIZE).alias("first_page_size"), F.array().cast(T.ArrayType(PAGE)).alias("page_layouts"),
+    )
+    return docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"), F.sha2("text", 256).alias("file_hash"), document.alias("parsed")).withColumn("filepath", F.col("filename"))
+
+
+@query()
+def extracted_metadata(spark: SparkSession, d: str) -> DataFrame:
+    out = extraction.extracted(_parsed(spark, d))
+    return out.select("id", "metadata.title", "metadata.abstract", "metadata.year", F.array_join("metadata.review_reasons", "; ").alias("review_reasons"), "failure")
+
+
+@query()
+def input_gate(spark: SparkSession, d: str) -> DataFrame:
+    issues = ingest.input_issues(F.col("title"), F.col("abstract"), F.lit(None).cast("string"))
+    return lib.papers(spark, d).select("id", F.array_join(issues, "; ").alias("issues"))
+
+
+@query()
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    stored = lib.papers(spark, d).where("id % 3 = 0").groupBy("file_hash").agg(F.min("id").alias("id"), F.min_by("classification_status", "id").alias("classification_status"))
+    out = ingest.plan(_parsed(spark, d).drop("id"), stored, extraction.extracted, ingest.RuleClassifier())
+    return out.select("filename", "status", "message", "paper_id", "classification.primary_category")
