@@ -15,6 +15,7 @@ from lectern.llm.linking import Sets, maybe, presence, resolve, sorted_buckets
 from lectern.llm.wordhash import BLOCK, LOWER, SPACE, mix, powers, utf8
 
 NEWLINE, BLANK = 10, 32
+NORMAL = np.where(SPACE, np.uint8(BLANK), LOWER).astype(np.uint8)
 #: Line hashes a task remembers, so as to sign a line that it saw before only once.
 REMEMBERED = 1 << 18
 
@@ -31,52 +32,77 @@ class Settings:
 class Lines:
     """Lines of a block of texts in normal form: A-Z in lower case, runs of white space as one blank, none at the ends.
 
-    ``raw[ptr[k]:ptr[k + 1]]`` is line ``k``, of text ``text[k]`` with number ``number[k]``; blank lines are left out.
+    ``raw[ptr[k]:ptr[k + 1]]`` is line ``k``, of text ``text[k]`` with number ``number[k]`` and hash ``ids[k]``; blank lines are left out.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        n = len(raw)
-        newline = raw == NEWLINE
-        space = SPACE[raw] & ~newline
-        solid = ~space & ~newline
-        # A line starts at each text and behind each line feed; an empty text has one line too.
-        line_of = np.cumsum(newline) - newline + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        at = np.arange(n)
-        last_solid = np.maximum.accumulate(np.where(solid, at, -1))
-        before = np.concatenate([[-1], last_solid[:-1]]) if n else last_solid
-        follows = np.zeros(n, bool)
-        follows[:-1] = solid[1:] & (line_of[1:] == line_of[:-1])
-        # One blank of a run is kept: its last, if solid bytes of the same line stand on both sides.
-        kept_blank = space & follows & (before >= 0)
-        kept_blank[kept_blank] &= line_of[before[kept_blank]] == line_of[kept_blank]
-        keep = solid | kept_blank
-        self.raw = np.where(space, np.uint8(BLANK), LOWER[raw])[keep]
-        lines = int(newline.sum()) + len(offsets) - 1
-        length = np.bincount(line_of[keep], minlength=lines)
-        per_text = np.add.reduceat(np.append(newline, False).astype(np.int64), np.minimum(offsets[:-1], n)) * (np.diff(offsets) > 0) + 1 if len(offsets) > 1 else np.zeros(0, np.int64)
-        text = np.repeat(np.arange(len(offsets) - 1), per_text)
+        space = SPACE[raw]
+        keep = ~space
+        at = np.flatnonzero(space)
+        newlines = at[raw[at] == NEWLINE]
+        if len(at):
+            # Runs of white space inside a text; one without a line feed and with text on both sides leaves one blank, at its last place.
+            first = np.ones(len(at), bool)
+            first[1:] = (at[1:] != at[:-1] + 1) | np.isin(at[1:], offsets, assume_unique=True)
+            start = np.flatnonzero(first)
+            last = at[np.append(start[1:], len(at)) - 1]
+            broken = np.add.reduceat(raw[at] == NEWLINE, start) > 0
+            inner = ~broken & ~np.isin(at[start], offsets) & ~np.isin(last + 1, offsets)
+            keep[last[inner]] = True
+        self.raw = NORMAL[raw][keep]
+        kept = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(keep, out=kept[1:])
+        # A line runs from the start of its text, or behind a line feed, to the next line feed or the end of the text.
+        per_text = np.diff(np.searchsorted(newlines, offsets)) + 1
+        lines = int(per_text.sum())
+        text = np.repeat(np.arange(len(per_text)), per_text)
         number = np.arange(lines) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        end = np.empty(lines, np.int64)
+        final = np.cumsum(per_text) - 1
+        inner_lines = np.ones(lines, bool)
+        inner_lines[final] = False
+        end[final], end[inner_lines] = offsets[1:], newlines
+        length = np.diff(kept[end], prepend=kept[offsets[0]])
         some = length > 0
         self.text, self.number = text[some], number[some]
         self.ptr = np.concatenate([[0], np.cumsum(length[some])])
+        self.total, self.down = prefix(self.raw)
+        a = self.ptr[:-1]
+        self.ids = mix((self.total[self.ptr[1:]] - self.total[a]) * self.down[a] + length[some].astype(np.uint64)).view(np.int64)
 
-    def ids(self) -> np.ndarray:
-        """64-bit hash of each line."""
-        total, down = prefix(self.raw)
-        return mix((total[self.ptr[1:]] - total[self.ptr[:-1]]) * down[self.ptr[:-1]] + np.diff(self.ptr).astype(np.uint64)).view(np.int64)
-
-    def some(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and pointers of chosen lines."""
+    def shingles(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``size`` bytes of the lines chosen (in order), and pointers. A shorter line is one shingle."""
         length = np.diff(self.ptr)
         chosen = np.zeros(len(length), bool)
         chosen[which] = True
-        return self.raw[np.repeat(chosen, length)], np.concatenate([[0], np.cumsum(length[chosen])])
+        short = length < size
+        begin = np.repeat(chosen & ~short, length)
+        tail = np.minimum(size - 1, length) * (chosen & ~short)
+        gaps = np.repeat(self.ptr[1:] - tail, tail) + (np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail))
+        begin[gaps] = False
+        n = len(self.raw) - size + 1
+        many = np.maximum(length - size + 1, 1)[chosen]
+        ptr = np.concatenate([[0], np.cumsum(many)])
+        whole = ((self.total[size:] - self.total[:n]) * self.down[:n])[begin[:n]] if n > 0 else np.zeros(0, np.uint64)
+        if (short & chosen).any():
+            k = np.flatnonzero(short & chosen)
+            out = np.zeros(ptr[-1], np.uint64)
+            alone = ptr[:-1][short[chosen]]
+            rest = np.ones(len(out), bool)
+            rest[alone] = False
+            out[rest] = whole
+            out[alone] = (self.total[self.ptr[1:][k]] - self.total[self.ptr[:-1][k]]) * self.down[self.ptr[:-1][k]]
+            whole = out
+        return mix(whole), ptr
 
 
 def prefix(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    part = raw.astype(np.uint64)
+    part += np.uint64(1)
+    part *= up[: len(raw)]
+    np.cumsum(part, out=total[1:])
     return total, down
 
 
@@ -91,36 +117,19 @@ def lines(texts: pa.Array) -> Iterator[tuple[int, int, Lines]]:
         at = end
 
 
-def shingles(raw: np.ndarray, ptr: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` bytes of each line, and pointers. A shorter line is one shingle."""
-    total, down = prefix(raw)
-    length = np.diff(ptr)
-    many = np.maximum(length - size + 1, 1)
-    begin = np.ones(len(raw), bool)
-    # The last bytes of a line start no run, but the first byte of a short line does.
-    short = length < size
-    tail = np.minimum(size - 1, length)
-    gaps = np.repeat(ptr[1:] - tail, tail) + (np.arange(tail.sum()) - np.repeat(np.cumsum(tail) - tail, tail))
-    begin[gaps] = False
-    begin[ptr[:-1][short]] = True
-    at = np.flatnonzero(begin)
-    stop = at + size
-    if short.any():
-        stop = np.minimum(stop, np.repeat(ptr[1:], many))
-    return mix((total[stop] - total[at]) * down[at]), np.concatenate([[0], np.cumsum(many)])
-
-
 def signatures(hashes: np.ndarray, ptr: np.ndarray, settings: Settings) -> np.ndarray:
     """One-permutation MinHash of each line, empty bins filled from bins that a fixed hash sequence picks: (lines, bins)."""
     bins = settings.bands * settings.rows
     count = len(ptr) - 1
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    empty = np.uint32(0xFFFFFFFF)
     out = np.full(count * bins, empty)
-    of = np.repeat(np.arange(count), np.diff(ptr))
-    # Bin by the high half, value by the whole hash.
-    np.minimum.at(out, of * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64), mix(hashes))
+    # Bin by the high bits, value by the low ones.
+    slot = ((hashes >> np.uint64(40)).astype(np.uint32) * np.uint32(bins) >> np.uint32(24)).astype(np.int32)
+    slot += np.repeat(np.arange(count, dtype=np.int32) * np.int32(bins), np.diff(ptr))
+    np.minimum.at(out, slot, hashes.astype(np.uint32))
     out = out.reshape(count, bins)
     filled = out != empty
+    filled[~filled.any(1), 0] = True  # a line whose only value is the empty mark itself
     full = out.copy()
     turn = np.uint64(1)
     line, slot = np.nonzero(~filled)
@@ -137,57 +146,63 @@ def band_keys(full: np.ndarray, settings: Settings) -> np.ndarray:
     rows = full.reshape(len(full), settings.bands, settings.rows)
     key = np.broadcast_to(np.arange(settings.bands, dtype=np.uint64) + np.uint64(1), rows.shape[:2]).copy()
     for j in range(settings.rows):
-        key = mix(key * np.uint64(0x9FB21C651E98DF25) + rows[:, :, j])
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + rows[:, :, j].astype(np.uint64))
     return key.view(np.int64)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, line_id`` of every line that is not blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, found in lines(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids())], ["doc_id", "line_no", "line_id"]
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long")
-
-
 def signed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``key, id``: one row for each band of each line; lines a task saw lately are not signed again."""
+    """``doc_id, line_no, line_id, keys`` of every line that is not blank; no keys for a line that its task signed lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64)
         for batch in batches:
-            for _, _, found in lines(batch.column(0)):
-                ids, at = np.unique(found.ids(), return_index=True)
+            for first, _, found in lines(batch.column(1)):
+                ids, at = np.unique(found.ids, return_index=True)
                 new = ~np.isin(ids, known, assume_unique=True)
-                if not new.any():
-                    continue
                 known = np.concatenate([known if len(known) < REMEMBERED else known[:0], ids[new]])
                 at = np.sort(at[new])
-                keys = band_keys(signatures(*shingles(*found.some(at), settings.size), settings), settings)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(found.ids()[at], settings.bands))], ["key", "id"])
+                keys = band_keys(signatures(*found.shingles(at, settings.size), settings), settings)
+                size = np.zeros(len(found.ids), np.int64)
+                size[at] = settings.bands
+                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids),
+                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                    ],
+                    ["doc_id", "line_no", "line_id", "keys"],
+                )
 
-    return docs.select("text").mapInArrow(run, "key long, id long")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long, keys array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, content``: the lines listed in ``ids``. A filter of fixed size keeps most others out of the shuffle."""
-    present = docs.sparkSession.sparkContext.broadcast(presence(ids, F.col("id")))
+def contents(docs: DataFrame, spots: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, content``: the lines listed in ``ids``, each read from one document that has it.
+
+    Filters of fixed size keep other documents and lines from being split and shuffled; the join then is exact.
+    """
+    chosen = spots.join(ids, spots["line_id"] == ids["id"], "left_semi").groupBy("line_id").agg(F.min("doc_id").alias("doc_id"))
+    chosen = cut(chosen)
+    spot = F.xxhash64("doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast((presence(chosen, spot), presence(ids, F.col("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_docs, in_lines = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(maybe(in_docs, batch.column(1).to_numpy())))
             for _, _, found in lines(batch.column(0)):
-                own, at = np.unique(found.ids(), return_index=True)
-                good = maybe(present.value, own)
-                at = np.sort(at[good])
-                raw, ptr = found.some(at)
-                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ptr.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(found.ids()[at]), packed], ["id", "content"])
-
-    rows = docs.select("text").mapInArrow(run, "id long, content binary").join(ids, "id", "left_semi")
+                own, at = np.unique(found.ids, return_index=True)
+                at = np.sort(at[maybe(in_lines, own)])
+                length = np.diff(found.ptr)
+                pick = np.zeros(len(length), bool)
+                pick[at] = True
+                raw = found.raw[np.repeat(pick, length)]
+                ptr = np.concatenate([[0], np.cumsum(length[pick])]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ptr.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(found.ids[at]), packed], ["id", "content"])
+
+    rows = docs.select("text", spot.alias("spot")).mapInArrow(run, "id long, content binary").join(ids, "id", "left_semi")
     return rows.groupBy("id").agg(F.first("content").alias("content"))
 
 
@@ -195,11 +210,12 @@ def compared(settings: Settings) -> Sets:
     """Exact Jaccard similarity of the lines' character shingles."""
 
     def unpack(column: pa.Array) -> list[np.ndarray]:
-        raw, offsets = utf8(column)
-        if len(offsets) == 1:
-            return []
-        found, ptr = shingles(raw[offsets[0] : offsets[-1]], offsets - offsets[0], settings.size)
-        return [np.unique(found[ptr[k] : ptr[k + 1]]) for k in range(len(ptr) - 1)]
+        # Contents are lines in normal form, so each is its own only line.
+        out = []
+        for _, _, found in lines(column):
+            hashes, ptr = found.shingles(np.arange(len(found.ids)), settings.size)
+            out += [np.unique(hashes[ptr[k] : ptr[k + 1]]) for k in range(len(ptr) - 1)]
+        return out
 
     return Sets(unpack, lambda e: np.ones(len(e), np.float32), settings.similarity)
 
@@ -215,11 +231,12 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     links only to its equals; of repeated rows with equal ids each line's row is marked alike; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    spots = cut(located(docs))
-    hot = sorted_buckets(signed(docs, settings))
+    signs = cut(signed(docs, settings))
+    spots = signs.drop("keys")
+    hot = sorted_buckets(signs.select(F.col("line_id").alias("id"), F.explode("keys").alias("key")))
     labels = None
     if not hot.isEmpty():
-        texts = cut(contents(docs, cut(hot.select("id").distinct())))
+        texts = cut(contents(docs, spots, cut(hot.select("id").distinct())))
         labels = resolve(hot, texts, compared(settings))
     if labels is None:
         named = spots.withColumn("class_id", F.col("line_id"))

@@ -164,50 +164,69 @@ def compare_blocks(mixed: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     as_member = blocks_.select("key", "id", "label", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("row"), F.pmod(F.shiftright(spot, 20), F.col("wide")).cast("int").alias("col"))
     rows = as_query.unionByName(as_member).join(texts, "id").select("key", "row", "col", "id", "label", "query", "content")
 
-    def run(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        ids, labels = block.column("id").to_numpy(), block.column("label").to_numpy()
-        query = block.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        content = sets.unpack(block.column("content").combine_chunks())
+    def compare(part: pa.RecordBatch, content: list[np.ndarray], at: int, end: int) -> Iterator[tuple[int, int]]:
+        ids, labels = part.column("id").to_numpy()[at:end], part.column("label").to_numpy()[at:end]
+        query = part.column("query").to_numpy(zero_copy_only=False)[at:end].astype(bool)
         q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        out: list[tuple[int, int]] = []
-        if len(q) and len(m):
-            link = block_links([content[k] for k in q], [content[k] for k in m], sets) & (labels[q][:, None] != labels[m])
-            i, j = np.nonzero(link)
-            _, first = np.unique(np.stack([i, labels[m][j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, int))
-            out = [(int(ids[q[i[k]]]), int(ids[m[j[k]]])) for k in first]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        if len(q) * len(m) <= 64:  # too small for matrices to pay
+            met = set()
+            for i in q.tolist():
+                for j in m.tolist():
+                    if labels[i] != labels[j] and (i, labels[j]) not in met and similar(content[at + i], content[at + j], sets):
+                        met.add((i, labels[j]))
+                        yield int(ids[i]), int(ids[j])
+            return
+        link = block_links([content[at + k] for k in q], [content[at + k] for k in m], sets) & (labels[q][:, None] != labels[m])
+        i, j = np.nonzero(link)
+        if len(i):
+            _, first = np.unique(np.stack([i, labels[m][j]]), axis=1, return_index=True)
+            yield from ((int(ids[q[i[k]]]), int(ids[m[j[k]]])) for k in first)
 
-    return rows.groupBy("key", "row", "col").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks arrive in order; the one that a batch cuts waits for its other rows."""
+        waiting: list[pa.RecordBatch] = []
+
+        def links(part: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
+            content = sets.unpack(part.column("content"))
+            out = [x for k in range(len(bounds) - 1) for x in compare(part, content, bounds[k], bounds[k + 1])]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            part = pa.concat_batches([*waiting, batch])
+            place = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "row", "col")])
+            starts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist()]
+            if len(starts) > 1:
+                yield links(part, starts)
+            waiting = [part.slice(starts[-1])]
+        if waiting and waiting[0].num_rows:
+            yield links(waiting[0], [0, waiting[0].num_rows])
+
+    ordered = rows.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def resolve(hot: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame | None:
     """Components ``(id, label)`` of the links among members of the buckets; None if there is no link.
 
-    First every member meets its bucket's smallest id, then another member that a hash picks for each bucket, so that a
-    member meets different ones in different bands. What still lies in different components of a bucket is compared in blocks.
+    First every member meets its bucket's smallest id, and another member that a hash picks for each bucket, so that a
+    member meets different ones in different bands. What then lies in different components of a bucket is compared in blocks.
     So each pair of a bucket is compared or connected already, and a bucket of n copies takes about n comparisons.
     """
-    labels = links = None
-    for step in ("pivot", "random", "rest"):
-        if step == "pivot":
-            near = hot.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        else:
-            now = hot.withColumn("label", F.col("id")) if labels is None else hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", "key")).alias("r"))
-            now = cut(now.join(split.where("low < high"), "key").select("key", "id", "pivot", "label", "r"))
-            if now.isEmpty():
-                break
-            near = now.where("label <> r.label AND id <> pivot AND r.id <> pivot").select("id", F.col("r.id").alias("b")).withColumnRenamed("id", "a")
-        if step == "rest":
-            found = cut(compare_blocks(now.select("key", "id", "label"), texts, sets))
-        else:
-            pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-            if pairs.isEmpty():
-                continue
-            found = cut(verify(pairs, texts, sets))
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionAll(found)
-        labels = components(links)
-    return labels
+    picked = hot.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("r"))
+    near = hot.join(picked, "key").select(F.explode(F.array(F.struct(F.col("pivot").alias("a"), F.col("id").alias("b")), F.struct(F.col("r").alias("a"), F.col("id").alias("b")))).alias("p"))
+    pairs = cut(near.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a < b").distinct())
+    labels = components(verify(pairs, texts, sets))
+    named = hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # The one pair of a bucket of two has been compared.
+    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2").select("key")
+    mixed = cut(named.join(split, "key").select("key", "id", "label"))
+    found = None if mixed.isEmpty() else cut(compare_blocks(mixed, texts, sets))
+    if found is None or found.isEmpty():
+        return None if labels.isEmpty() else labels
+    # The new links join whole components: it is these that are joined, and their members follow.
+    own = mixed.select("id", "label").distinct()
+    ends = found.join(own.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(own.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    everyone = labels.unionByName(mixed.select("id", "label")).distinct()
+    merged = everyone.join(joined.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left")
+    return cut(merged.select("id", F.coalesce("top", "label").alias("label")))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, lbl_scoring, line_dedup, minhash_dedup, registry, wordhash
+from lectern.llm import decontaminate, html_text, lbl_scoring, line_dedup, linking, minhash_dedup, registry, wordhash
 from tests.oracle import connect, same
 
 
@@ -146,3 +146,24 @@ PAGES = [
 @pytest.mark.parametrize("html,text", PAGES)
 def test_main_text_of_small_pages(html, text):
     assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("held", [4_000_000, 7])
+def test_buckets_hold_every_key_with_several_ids(spark, monkeypatch, held):
+    """Also where a task must settle its rows many times, with pivots that change."""
+    monkeypatch.setattr(linking, "HELD", held)
+    random = np.random.default_rng(4)
+    rows = [(int(k), int(i)) for k, i in zip(random.integers(0, 30, 300), random.integers(0, 200, 300), strict=True)]
+    members = spark.createDataFrame(rows, "key long, id long").repartition(3)
+    expected = collections.defaultdict(set)
+    for k, i in rows:
+        expected[k].add(i)
+    found, joined = collections.defaultdict(set), collections.defaultdict(dict)
+    for r in linking.partition_buckets(members).collect():
+        found[r.key].add(r.id)
+        joined[r.key].setdefault(r.id, set()).add(r.pivot)
+    assert found == {k: v for k, v in expected.items() if len(v) > 1}
+    for k, pivots in joined.items():
+        for i in pivots:  # every member leads to the smallest id
+            while i != min(expected[k]):
+                i = min(pivots[i] - {i})
