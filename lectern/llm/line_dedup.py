@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bound_batches, cut, table
-from lectern.llm.linking import Sets, maybe, presence, resolve, sorted_buckets
-from lectern.llm.wordhash import BLOCK, LOWER, SPACE, mix, powers, utf8
+from lectern.llm.linking import Sets, maybe, partition_buckets, presence, resolve
+from lectern.llm.wordhash import LOWER, SPACE, mix, powers, utf8
 
 NEWLINE, BLANK = 10, 32
+#: Bytes of texts per block: its arrays stay in a processor's cache.
+BLOCK = 1 << 17
 NORMAL = np.where(SPACE, np.uint8(BLANK), LOWER).astype(np.uint8)
 #: Line hashes a task remembers, so as to sign a line that it saw before only once.
 REMEMBERED = 1 << 18
@@ -217,7 +219,7 @@ def compared(settings: Settings) -> Sets:
             out += [np.unique(hashes[ptr[k] : ptr[k + 1]]) for k in range(len(ptr) - 1)]
         return out
 
-    return Sets(unpack, lambda e: np.ones(len(e), np.float32), settings.similarity)
+    return Sets(unpack, None, settings.similarity)
 
 
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -233,11 +235,11 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     bound_batches(docs.sparkSession)
     signs = cut(signed(docs, settings))
     spots = signs.drop("keys")
-    hot = sorted_buckets(signs.select(F.col("line_id").alias("id"), F.explode("keys").alias("key")))
+    hot = partition_buckets(signs.select(F.col("line_id").alias("id"), F.explode("keys").alias("key")))
     labels = None
     if not hot.isEmpty():
         texts = cut(contents(docs, spots, cut(hot.select("id").distinct())))
-        labels = resolve(hot, texts, compared(settings))
+        labels = resolve(hot, texts, compared(settings), partners=1)
     if labels is None:
         named = spots.withColumn("class_id", F.col("line_id"))
     else:

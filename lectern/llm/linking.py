@@ -17,6 +17,8 @@ FILTER_WORDS = 1 << 16
 #: Most rows and bytes, on average, of a block's queries and of the members they are compared with.
 QUERIES, MEMBERS = 512, 4096
 QUERY_BYTES, MEMBER_BYTES = 2 << 20, 8 << 20
+#: Rows of a partition that wait to be grouped by key.
+HELD = 4_000_000
 #: Elements that a matrix of a block spans at a time.
 SPAN = 2048
 
@@ -26,9 +28,12 @@ class Sets:
     """How rows are compared: ``unpack`` turns a content column into sorted arrays of distinct elements, ``weigh`` weighs elements."""
 
     unpack: Callable[[pa.Array], list[np.ndarray]]
-    weigh: Callable[[np.ndarray], np.ndarray]
+    weigh: Callable[[np.ndarray], np.ndarray] | None  # None: all weigh 1
     similarity: float
 
+    def weights(self, elements: np.ndarray) -> np.ndarray:
+        return np.ones(len(elements), np.float32) if self.weigh is None else self.weigh(elements)
+
 
 def presence(ids: DataFrame, spot: Column | None = None) -> np.ndarray:
     """A filter of fixed size that says for every row of ``ids`` that its ``spot`` may be there: a distributed bit-or.
@@ -56,42 +61,46 @@ def buckets(members: DataFrame) -> DataFrame:
     return cut(members.join(ends, "key").select("key", "id", "pivot"))
 
 
-def sorted_buckets(members: DataFrame) -> DataFrame:
-    """As :func:`buckets`, for very many keys: one shuffle by key, a sort that can spill, and a pass that holds one row.
+def partition_buckets(members: DataFrame) -> DataFrame:
+    """As :func:`buckets`, for very many keys: one shuffle by key, and a numpy sort of each partition's rows in turn.
 
-    Rows arrive in order of ``(key, id)``; a key's first id is its pivot, and a key with one id is dropped.
+    When the rows held pass ``HELD``, members of keys met more than once are sent on, and each key keeps its smallest id only; if
+    a later row has a smaller one still, the old pivot is sent as its member, so members stay joined through pivots.
+    Memory is in proportion to a partition's keys and not to the rows of any key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = pivot = last = None  # of the run at hand
-        held = False  # whether its only row so far waits for a second
-        for batch in batches:
-            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if key is not None:
-                keys, ids = np.concatenate([[key], keys]), np.concatenate([[last], ids])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, ids, whether sent on before
+        rows = 0
+
+        def settle() -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            keys, ids, sent = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((~sent, ids, keys))
+            keys, ids, sent = keys[order], ids[order], sent[order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            keys, ids = keys[new], ids[new]
+            keys, ids, sent = keys[new], ids[new], sent[new]
             first = np.ones(len(keys), bool)
             first[1:] = keys[1:] != keys[:-1]
-            run_of = np.cumsum(first) - 1
             start = np.flatnonzero(first)
-            length = np.diff(np.append(start, len(keys)))
-            pivots = ids[start]
-            many = length > 1
-            if key is not None:
-                pivots[0] = pivot
-                many[0] |= not held
-            emit = many[run_of]
-            if key is not None and not held:
-                emit[0] = False  # sent before
-            out = np.flatnonzero(emit)
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out]), pa.array(pivots[run_of[out]])], ["key", "id", "pivot"])
-            key, pivot, last, held = keys[-1], pivots[-1], ids[-1], not many[-1]
-
-    ordered = members.select("key", "id").repartition("key").sortWithinPartitions("key", "id")
-    return cut(ordered.mapInArrow(run, "key long, id long, pivot long"))
+            size = np.diff(np.append(start, len(keys)))
+            pivot = np.repeat(ids[start], size)
+            # A pivot that was sent and stays the smallest need not be sent again.
+            out = np.repeat(size > 1, size) & ~(sent & (ids == pivot))
+            batch = pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out]), pa.array(pivot[out])], ["key", "id", "pivot"])
+            return batch, (keys[start], ids[start], (size > 1) | sent[start])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(batch.num_rows, bool)))
+            rows += batch.num_rows
+            if rows > HELD:
+                out, kept = settle()
+                yield out
+                held, rows = [kept], min(len(kept[0]), HELD // 2)
+        if held:
+            yield settle()[0]
+
+    return cut(members.select("key", "id").repartition("key").mapInArrow(run, "key long, id long, pivot long"))
 
 
 def similar(a: np.ndarray, b: np.ndarray, sets: Sets) -> bool:
@@ -99,9 +108,12 @@ def similar(a: np.ndarray, b: np.ndarray, sets: Sets) -> bool:
     if not len(a) or not len(b):
         return len(a) == len(b)
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    common = sets.weigh(small[large[at] == small]).sum()
+    at = large.searchsorted(small)
+    hit = large.take(at, mode="clip") == small
+    if sets.weigh is None:
+        common = int(hit.sum())
+        return common >= sets.similarity * (len(a) + len(b) - common)
+    common = sets.weigh(small[hit]).sum()
     return bool(common >= sets.similarity * (sets.weigh(a).sum() + sets.weigh(b).sum() - common))
 
 
@@ -121,8 +133,8 @@ def block_links(queries: list[np.ndarray], members: list[np.ndarray], sets: Sets
     """Which query is similar to which member: products of weighted incidence matrices over the elements that both sides have."""
     of_q, of_m = np.repeat(np.arange(len(queries)), [len(x) for x in queries]), np.repeat(np.arange(len(members)), [len(x) for x in members])
     all_q, all_m = np.concatenate(queries), np.concatenate(members)
-    size_q = np.bincount(of_q, sets.weigh(all_q), len(queries))
-    size_m = np.bincount(of_m, sets.weigh(all_m), len(members))
+    size_q = np.bincount(of_q, sets.weights(all_q), len(queries))
+    size_m = np.bincount(of_m, sets.weights(all_m), len(members))
     shared = np.intersect1d(all_q, all_m)
     common = np.zeros((len(queries), len(members)), np.float32)
     for at in range(0, len(shared), SPAN):
@@ -135,7 +147,7 @@ def block_links(queries: list[np.ndarray], members: list[np.ndarray], sets: Sets
             matrix = np.zeros((count, len(own)), np.float32)
             matrix[of[hit], where[hit]] = 1
             sides.append(matrix)
-        common += (sides[0] * sets.weigh(own).astype(np.float32)) @ sides[1].T
+        common += (sides[0] * sets.weights(own).astype(np.float32)) @ sides[1].T
     # Sums in single precision may differ in the last digits: what is that near is compared exactly.
     union = size_q[:, None] + size_m - common
     link = (common >= (sets.similarity + 1e-4) * union) & (union > 0)
@@ -205,15 +217,19 @@ def compare_blocks(mixed: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def resolve(hot: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame | None:
+def resolve(hot: DataFrame, texts: DataFrame, sets: Sets, partners: int = 2) -> DataFrame | None:
     """Components ``(id, label)`` of the links among members of the buckets; None if there is no link.
 
-    First every member meets its bucket's smallest id, and another member that a hash picks for each bucket, so that a
-    member meets different ones in different bands. What then lies in different components of a bucket is compared in blocks.
+    First every member meets its bucket's pivot, and with two ``partners`` another member that a hash picks for each bucket, so that a
+    member meets different ones in different bands, which connects large groups of copies that are far from the pivot. What then lies in different components of a bucket is compared in blocks.
     So each pair of a bucket is compared or connected already, and a bucket of n copies takes about n comparisons.
     """
-    picked = hot.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("r"))
-    near = hot.join(picked, "key").select(F.explode(F.array(F.struct(F.col("pivot").alias("a"), F.col("id").alias("b")), F.struct(F.col("r").alias("a"), F.col("id").alias("b")))).alias("p"))
+    if partners > 1:
+        picked = hot.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("r"))
+        near = hot.join(picked, "key")
+    else:
+        near = hot.withColumn("r", F.col("pivot"))
+    near = near.select(F.explode(F.array(F.struct(F.col("pivot").alias("a"), F.col("id").alias("b")), F.struct(F.col("r").alias("a"), F.col("id").alias("b")))).alias("p"))
     pairs = cut(near.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a < b").distinct())
     labels = components(verify(pairs, texts, sets))
     named = hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
