@@ -19,8 +19,8 @@ VOCABULARY, WIDTH = 2048, 32
 UNKNOWN, END, BEGIN = 0, 1, 2
 #: Most frequent words whose counts every task holds (16 bytes each); the others are joined.
 FREQUENT = 1 << 17
-#: One position in so many is a training window; tasks that train side by side; noise words a batch shares.
-STRIDE, TRAINERS, NOISE, BATCH = 4, 12, 64, 512
+#: Tasks that train side by side; noise words a batch shares; windows of a batch.
+TRAINERS, NOISE, BATCH = 12, 64, 512
 #: Key of the end token in the table of counts.
 END_KEY = np.uint64(0xE0D0E0D0E0D0E0D1)
 LN10 = float(np.log(10))
@@ -173,9 +173,10 @@ def train(windows: Iterator[np.ndarray], share: np.ndarray, seed: int) -> tuple[
             state[name] += gradient**2
             p[name] -= 0.05 * gradient / np.sqrt(state[name])
             return
-        own, where = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(own), *gradient.shape[1:]), np.float32)
-        np.add.at(total, where, gradient)
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        own, total = ordered[first], np.add.reduceat(gradient[order], first)
         state[name][own] += total**2
         p[name][own] -= 0.05 * total / np.sqrt(state[name][own])
 
@@ -207,37 +208,42 @@ def train(windows: Iterator[np.ndarray], share: np.ndarray, seed: int) -> tuple[
 NAMES = ("context", "target", "one", "two", "bias")
 
 
-def fit(docs: DataFrame, counts: Counts, seed: int = 3, stride: int = STRIDE) -> dict[str, np.ndarray]:
-    """Train on windows of all training texts: one position in ``stride``, by a hash of word and place.
-
-    Windows are dealt at random to ``TRAINERS`` tasks, which start alike and stream through them; their
-    weights are averaged by the windows seen. A window is six bytes; what is gathered is in
-    proportion to the corpus, what reaches the driver is ``TRAINERS`` sets of weights.
-    """
-    share = unigram(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, share))
+def training_windows(docs: DataFrame, counts: Counts, seed: int = 3) -> DataFrame:
+    """``shard, windows``: every position of every text as (two back, one back, word), dealt at random to ``TRAINERS`` shards."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value[0]
+        counts = shared.value
         for batch in batches:
             for _, _, words in blocks(batch.column(0)):
                 at, hit = look_up(words.hash, counts)
                 target, one, two, _ = sequences(words, np.where(hit, counts.model_id[at], UNKNOWN) if len(counts.hashes) else np.zeros(len(at), np.int32))
                 where = mix(np.arange(len(target), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (words.hash[:1].sum() + np.uint64(seed)))
-                pick = np.flatnonzero(where % np.uint64(stride) == 0)
-                shard = ((where[pick] >> np.uint64(40)) % np.uint64(TRAINERS)).astype(np.int64)
-                rows = np.stack([two[pick], one[pick], target[pick]], 1).astype(np.int16)
+                shard = ((where >> np.uint64(40)) % np.uint64(TRAINERS)).astype(np.int64)
+                rows = np.stack([two, one, target], 1).astype(np.int16)
                 for k in np.unique(shard).tolist():
                     yield pa.RecordBatch.from_pydict({"shard": [k], "windows": [rows[shard == k].tobytes()]})
 
+    return docs.select("text").mapInArrow(gather, "shard long, windows binary")
+
+
+def fit(docs: DataFrame, counts: Counts, seed: int = 3) -> dict[str, np.ndarray]:
+    """Train on the windows of all positions of all training texts.
+
+    Windows are dealt at random to ``TRAINERS`` tasks, which start alike and stream through them; their
+    weights are averaged by the windows seen. A window is six bytes; what is gathered is in
+    proportion to the corpus, what reaches the driver is ``TRAINERS`` sets of weights.
+    """
+    share = unigram(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(share)
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (np.frombuffer(x.as_buffer(), np.int16).reshape(-1, 3) for batch in batches for x in batch.column(0))
-        seen, p = train(stream, shared.value[1], seed)
+        seen, p = train(stream, shared.value, seed)
         if seen:
             yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [b"".join(p[k].astype(np.float32).tobytes() for k in NAMES)]})
 
-    windows = docs.select("text").mapInArrow(gather, "shard long, windows binary")
-    trained = windows.repartition(TRAINERS, "shard").select("windows").mapInArrow(learn, "seen long, weights binary").collect()
+    trained = training_windows(docs, counts, seed).repartition(TRAINERS, "shard").select("windows").mapInArrow(learn, "seen long, weights binary").collect()
     start = initial(seed, share)
     if not trained:
         return start

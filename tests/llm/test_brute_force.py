@@ -105,6 +105,13 @@ def test_model_probabilities_sum_to_one():
         assert np.exp(t.one[a].astype(float) + t.two[b] - t.norm[a, b]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_model_trains_on_every_position(documents):
+    docs = documents.limit(20)
+    counts = lbl_scoring.summarise(lbl_scoring.word_counts(docs))
+    seen = sum(len(r.windows) // 6 for r in lbl_scoring.training_windows(docs, counts).select("windows").collect())
+    assert seen == counts.tokens > 0
+
+
 def test_lines_against_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away from the old stone house"
     near = base.replace("stone", "stony")
