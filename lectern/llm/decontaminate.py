@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, table
 
-#: Words of a shingle, least similarity, and the Hamming radius within which every fingerprint is found.
+#: Words of a shingle, least similarity, and the Hamming radius within which the search finds every fingerprint.
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 12
 #: Items up to this many go to every task (their shingles take 8 bytes each); beyond it all joins are shuffled.
 BROADCAST_SHINGLES = 200_000
@@ -71,15 +71,39 @@ def index_blocks(mark: str) -> Column:
     return F.array(*parts)
 
 
+def lay(matches: DataFrame, similarity: float) -> DataFrame:
+    """``row, start, length, item`` of all windows that may be as similar as asked for, from matches of single shingles.
+
+    ``matches`` has ``row, pos, item, length, words``: where a text of ``words`` words has a shingle of an item of
+    ``length`` words. A window shares at most as many shingles with the item as there are matches inside it, in
+    whatever order, so a window with fewer than the threshold needs is left out and no other. Matches are grouped by stretches
+    of two items' length that overlap by one, so that a group is in proportion to an item and not to a text.
+    """
+    size = F.greatest(F.col("length") - (WORDS - 1), F.lit(1))
+    stretch = F.floor(F.col("pos") / F.col("size"))
+    near = matches.withColumn("size", size).select("*", F.explode(F.array(stretch, stretch - 1)).alias("stretch"))
+    groups = near.groupBy("row", "item", "length", "words", "size", "stretch").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # A window that sticks out of the text is smaller, and shares at least this part of the item.
+    least = F.greatest(F.ceil(F.col("size") * similarity - 1e-9), F.lit(1)).cast("int")
+    groups = groups.withColumn("least", least).where(F.size("at") >= F.col("least"))
+    low = F.greatest(F.col("stretch") * F.col("size"), F.expr("at[least - 1]") - F.col("size") + 1)
+    high = F.least(F.col("stretch") * F.col("size") + F.col("size") - 1, F.expr("at[size(at) - least]"))
+    starts = groups.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("start", F.explode(F.sequence("low", "high")))
+    inside = F.expr("size(filter(at, p -> p >= start and p < start + size))")
+    held = F.least(F.col("start") + F.col("length"), F.col("words")) - F.greatest("start", F.lit(0))
+    own = F.greatest(held - (WORDS - 1), F.lit(1))
+    # Similarity is common / (own + size - common), and common is at most what is inside.
+    enough = inside * (1 + similarity) >= (own + F.col("size")) * similarity - 1e-6
+    return starts.where((held > 0) & enough).select("row", F.col("start").cast("int").alias("start"), "length", "item").distinct()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Windows of documents that hold a benchmark item: ``row, doc_id, item_id, start, similarity``.
 
-    Windows are as long as the item, in words. A window as similar as asked for shares shingles with its item, so
-    windows are laid wherever a document's shingle, taken at its place in an item that has it, puts that item:
-    this loses no window over the threshold whose words are in step with the item at one shared shingle, and leaves the
-    rest of 100 TB unfingerprinted. Each window gets a SimHash; a multi-index of RADIUS + 1 blocks finds
-    the items of that length with every fingerprint within RADIUS bits, and the exact weighted
-    Jaccard similarity of the shingles (repeats count) decides.
+    Windows are as long as the item, in words. They are laid at every start with enough of an item's shingles inside, whatever
+    their order (``lay``): this loses no window over the threshold and leaves the rest of 100 TB unfingerprinted. Each window gets a SimHash; a multi-index of RADIUS + 1 blocks finds
+    the items of that length with every fingerprint within RADIUS bits. The exact
+    weighted Jaccard similarity of the shingles (repeats count) decides.
     """
     items = cut(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashes("text").alias("h"))
@@ -90,13 +114,10 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     small = shingles.count() <= BROADCAST_SHINGLES
     # A hint only below the stated size; above it the planner shuffles both sides.
     hint = F.broadcast if small else lambda df: df
-    places = hint(shingles.select("shingle", F.col("pos").alias("item_pos"), F.col("n").alias("length")).distinct())
+    places = hint(shingles.select("shingle", "item", F.col("n").alias("length")).distinct())
     source = docs.select("row", "doc_id", "text")
     texts = source.select("row", hashes("text").alias("h")).withColumn("n", F.size("h"))
-    anchors = shingle_rows(texts, ["row"], "n", "h").join(places, "shingle").select("row", (F.col("pos") - F.col("item_pos")).alias("start"), "length", F.col("n").alias("words"))
-    # A window may stick out of the text by the part that the threshold lets miss.
-    inside = (F.least(F.col("start") + F.col("length"), F.col("words")) - F.greatest("start", F.lit(0))) >= F.col("length") * similarity * 0.9
-    anchors = cut(anchors.where(inside).select("row", "start", "length").distinct())
+    anchors = cut(lay(shingle_rows(texts, ["row"], "n", "h").join(places, "shingle").withColumnRenamed("n", "words"), similarity))
     at = cut(anchors.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("at")))
     # The texts with windows: a hint only below a checked number of rows, else the join is shuffled.
     few = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at

@@ -77,6 +77,20 @@ def test_decontamination_finds_verbatim_and_edited_items(spark, texts):
         assert k in found[k].item_ids and k in found[100 + k].item_ids and k not in found[200 + k].item_ids
 
 
+def scanned(spark, docs, items):
+    return {r.doc_id: r for r in decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_decontamination_finds_an_item_out_of_order(spark):
+    item = [f"word{k}" for k in range(50)]
+    swapped = item[25:] + item[:25]
+    around = [f"other{k}" for k in range(80)]
+    docs = [(1, " ".join(around + swapped + around)), (2, " ".join(swapped)), (3, " ".join(around + item[:25] + around + item[25:]))]
+    found = scanned(spark, docs, [(7, " ".join(item))])
+    assert found[1].item_ids == [7] and found[2].item_ids == [7] and not found[3].contaminated
+    assert found[1].best_similarity == pytest.approx(42 / 50)
+
+
 def test_base_score_is_exact(spark, sf, texts):
     out = {r.doc_id: r for r in registry.QUERIES["op5_lm_scoring"](spark, sf).collect()}
     tokens = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] + [None] for i, t in texts.items()}
