@@ -102,8 +102,8 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
     Windows are as long as the item, in words. They are laid at every start with enough of an item's shingles inside, whatever
     their order (``lay``): this loses no window over the threshold and leaves the rest of 100 TB unfingerprinted. Each window gets a SimHash; a multi-index of RADIUS + 1 blocks finds
-    the items of that length with every fingerprint within RADIUS bits. The exact
-    weighted Jaccard similarity of the shingles (repeats count) decides.
+    the items of that length with every fingerprint within RADIUS bits. These and the items a window was laid for are
+    compared by the exact weighted Jaccard similarity of the shingles (repeats count), which decides.
     """
     items = cut(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashes("text").alias("h"))
@@ -129,7 +129,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     item_marks = simhash(items, ["item", "n"], "h").select("item", F.col("n").alias("length"), F.col("mark").alias("item_mark"))
     left = marked.select(*key, "mark", F.explode(index_blocks("mark")).alias("block"))
     right = hint(item_marks.select("item", "length", "item_mark", F.explode(index_blocks("item_mark")).alias("block")))
-    near = left.join(right, ["length", "block"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS).select(*key, "item").distinct()
+    near = left.join(right, ["length", "block"]).where(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= RADIUS).select(*key, "item")
+    # The radius alone loses pairs over the threshold, so every window laid for an item is checked against it as well.
+    near = near.unionByName(anchors.select(*key, "item")).distinct()
     both = rows.join(near, key).join(hint(items.select("item", "item_id", F.col("h").alias("g"))), "item")
     own = shingle_rows(both.select(*key, "doc_id", "item", "item_id", F.col("h"), F.size("h").alias("n")), [*key, "doc_id", "item", "item_id"], "n", "h")
     have = own.groupBy(*key, "doc_id", "item", "item_id", "shingle").agg(F.count(F.lit(1)).alias("x"))

@@ -91,6 +91,16 @@ def test_decontamination_finds_an_item_out_of_order(spark):
     assert found[1].best_similarity == pytest.approx(42 / 50)
 
 
+def test_decontamination_does_not_depend_on_the_fingerprint(spark, monkeypatch):
+    """No window within the radius, and the items are found all the same; a radius of 1 stands for edits far beyond it."""
+    monkeypatch.setattr(decontaminate, "RADIUS", 1)
+    items = {k: [f"i{k}w{j}" for j in range(60)] for k in range(8)}
+    docs = [(k, " ".join(["before"] * 9 + t[:-5] + [f"x{j}" for j in range(40)])) for k, t in items.items()]
+    found = scanned(spark, docs, [(k, " ".join(t)) for k, t in items.items()])
+    for k in items:
+        assert found[k].item_ids == [k] and found[k].best_similarity == pytest.approx(51 / 61)
+
+
 def test_base_score_is_exact(spark, sf, texts):
     out = {r.doc_id: r for r in registry.QUERIES["op5_lm_scoring"](spark, sf).collect()}
     tokens = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] + [None] for i, t in texts.items()}
