@@ -28,16 +28,16 @@ def hashes(text: str) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def shingle_rows(df: DataFrame, keys: list[str], n: str, array: str) -> DataFrame:
-    """One row a shingle: ``keys, pos, shingle``. A text of fewer than ``WORDS`` words gives one shingle of all.
+def shingle_rows(df: DataFrame, keys: list[str], n: str, array: str, size: int = WORDS) -> DataFrame:
+    """One row a shingle: ``keys, pos, shingle``. A text of fewer than ``size`` words gives one shingle of all.
 
     The hash is computed after the generator, so inside generated code and not in a lambda.
     """
     # Slices of equal length, shifted by one word each, zip into windows; a short text has nulls at the end.
-    count = F.greatest(F.col(n) - (WORDS - 1), F.lit(1))
-    zipped = F.arrays_zip(*[F.slice(F.col(array), k + 1, count).alias(f"w{k}") for k in range(WORDS)])
+    count = F.greatest(F.col(n) - (size - 1), F.lit(1))
+    zipped = F.arrays_zip(*[F.slice(F.col(array), k + 1, count).alias(f"w{k}") for k in range(size)])
     rows = df.where(F.col(n) > 0).select(*keys, n, F.posexplode(zipped).alias("pos", "w"))
-    return rows.select(*keys, n, "pos", F.xxhash64(*[f"w.w{k}" for k in range(WORDS)]).alias("shingle"))
+    return rows.select(*keys, n, "pos", F.xxhash64(*[f"w.w{k}" for k in range(size)]).alias("shingle"))
 
 
 def simhash(windows: DataFrame, keys: list[str], array: str) -> DataFrame:
@@ -117,7 +117,10 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     places = hint(shingles.select("shingle", "item", F.col("n").alias("length")).distinct())
     source = docs.select("row", "doc_id", "text")
     texts = source.select("row", hashes("text").alias("h")).withColumn("n", F.size("h"))
-    anchors = cut(lay(shingle_rows(texts, ["row"], "n", "h").join(places, "shingle").withColumnRenamed("n", "words"), similarity))
+    # An item of fewer than WORDS words is one shingle of that length: longer texts give those too, for the lengths there are.
+    short = sorted(r.n for r in items.where(F.col("n") < WORDS).select("n").distinct().collect())
+    parts = [shingle_rows(texts, ["row"], "n", "h"), *(shingle_rows(texts.where(F.col("n") > k), ["row"], "n", "h", k) for k in short)]
+    anchors = cut(lay(reduce(DataFrame.unionByName, parts).join(places, "shingle").withColumnRenamed("n", "words"), similarity))
     at = cut(anchors.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("at")))
     # The texts with windows: a hint only below a checked number of rows, else the join is shuffled.
     few = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
@@ -157,7 +160,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
     Words are runs of letters and digits in lower case, so case, punctuation and line ends do not
     hide an item. Null and empty texts, and an empty benchmark, give clean documents; an item shorter than five words is one
-    shingle and must occur whole; repeated rows get the same verdict; other columns of ``docs`` pass through and
+    shingle and must occur whole, anywhere in a text; repeated rows get the same verdict; other columns of ``docs`` pass through and
     columns named like the added ones are replaced.
     """
     docs = numbered(docs.drop("row", "contaminated", "item_ids", "best_similarity"))

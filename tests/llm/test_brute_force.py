@@ -101,6 +101,12 @@ def test_decontamination_does_not_depend_on_the_fingerprint(spark, monkeypatch):
         assert found[k].item_ids == [k] and found[k].best_similarity == pytest.approx(51 / 61)
 
 
+def test_decontamination_finds_short_items_in_longer_texts(spark):
+    docs = [(1, "one of a kind: Tiny item, here and there"), (2, "at the very end of it a tiny item"), (3, "a tiny"), (4, "the tiny item"), (5, "tiny little item in the middle of it"), (6, "你好，世界 and more of it all, really"), (7, "tiny item")]
+    found = scanned(spark, docs, [(8, "tiny item"), (9, "你好")])
+    assert {k: r.item_ids for k, r in found.items()} == {1: [8], 2: [8], 3: [], 4: [8], 5: [], 6: [9], 7: [8]}
+
+
 def test_base_score_is_exact(spark, sf, texts):
     out = {r.doc_id: r for r in registry.QUERIES["op5_lm_scoring"](spark, sf).collect()}
     tokens = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] + [None] for i, t in texts.items()}
