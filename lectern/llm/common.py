@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch handed to a Python worker; a single longer text is a batch of its own.
 ARROW_BYTES = 8 << 20
@@ -43,6 +43,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts the lineage as :func:`cut` does, and later reads take only the columns they need."""
+    path = path or f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark can reach."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what :func:`cut` or :func:`stored` wrote for ``frames``, of which nothing that is still to run may depend."""
+    for df in frames:
+        if df is None:
+            continue
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        for leaf in (leaves.apply(k) for k in range(leaves.size())):
+            if leaf.nodeName() == "LogicalRDD":
+                file = leaf.rdd().getCheckpointFile()
+                if file.isDefined():
+                    delete(df.sparkSession, file.get())
+            elif leaf.nodeName() == "LogicalRelation":
+                path = leaf.relation().location().rootPaths().head().toString()
+                if path.rsplit("/", 1)[-1].startswith("table-"):
+                    delete(df.sparkSession, path)
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that name a row by its content, alike in a retried task: two hashes of the values and of which of them are null."""
+    parts = [F.col(f"`{c}`") for c in columns]
+    nulls = F.concat(*[p.isNull().cast("string") for p in parts])
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *parts)), 16, "0") for seed in (1, 2)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list ``(a, b)``: distributed union-find.
 
@@ -69,10 +106,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = hooked.select(F.col("id").alias("label"), F.col("label").alias("top"))
         # A label is always a vertex of the same component, so the inner join keeps every row.
         step = cut(hooked.join(up, "label").select("id", "was", F.least("label", "top").alias("label")))
-        labels = step.select("id", "label")
+        release(labels)
+        labels = step
         if step.where("was <> label").isEmpty():
-            return labels
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
+            release(both)
+            return step.select("id", "label")

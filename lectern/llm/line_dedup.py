@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, cut, table
-from lectern.llm.linking import Sets, maybe, partition_buckets, presence, resolve
+from lectern.llm.common import bound_batches, cut, release, stored, table
+from lectern.llm.linking import ROW_BITS, Sets, maybe, partition_buckets, presence, resolve
 from lectern.llm.wordhash import LOWER, SPACE, mix, powers, utf8
 
 NEWLINE, BLANK = 10, 32
@@ -38,22 +38,25 @@ class Lines:
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        space = SPACE[raw]
-        keep = ~space
-        at = np.flatnonzero(space)
-        newlines = at[raw[at] == NEWLINE]
+        at = np.flatnonzero(SPACE.take(raw))
+        # Text boundaries, as marks at the byte behind them.
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offsets] = True
+        is_newline = raw[at] == NEWLINE
+        newlines = at[is_newline]
+        dropped = at
         if len(at):
             # Runs of white space inside a text; one without a line feed and with text on both sides leaves one blank, at its last place.
             first = np.ones(len(at), bool)
-            first[1:] = (at[1:] != at[:-1] + 1) | np.isin(at[1:], offsets, assume_unique=True)
+            first[1:] = (at[1:] != at[:-1] + 1) | edge[at[1:]]
             start = np.flatnonzero(first)
-            last = at[np.append(start[1:], len(at)) - 1]
-            broken = np.add.reduceat(raw[at] == NEWLINE, start) > 0
-            inner = ~broken & ~np.isin(at[start], offsets) & ~np.isin(last + 1, offsets)
-            keep[last[inner]] = True
-        self.raw = NORMAL[raw][keep]
-        kept = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(keep, out=kept[1:])
+            final = np.append(start[1:], len(at)) - 1
+            broken = np.add.reduceat(is_newline, start) > 0 if len(newlines) else np.zeros(len(start), bool)
+            inner = ~broken & ~edge[at[start]] & ~edge[at[final] + 1]
+            away = np.ones(len(at), bool)
+            away[final[inner]] = False
+            dropped = at[away]
+        self.raw = np.delete(NORMAL.take(raw), dropped)
         # A line runs from the start of its text, or behind a line feed, to the next line feed or the end of the text.
         per_text = np.diff(np.searchsorted(newlines, offsets)) + 1
         lines = int(per_text.sum())
@@ -64,7 +67,8 @@ class Lines:
         inner_lines = np.ones(lines, bool)
         inner_lines[final] = False
         end[final], end[inner_lines] = offsets[1:], newlines
-        length = np.diff(kept[end], prepend=kept[offsets[0]])
+        kept = end - np.searchsorted(dropped, end)  # bytes kept before each line's end
+        length = np.diff(kept, prepend=0)
         some = length > 0
         self.text, self.number = text[some], number[some]
         self.ptr = np.concatenate([[0], np.cumsum(length[some])])
@@ -153,7 +157,7 @@ def band_keys(full: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def signed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, line_no, line_id, keys`` of every line that is not blank; no keys for a line that its task signed lately."""
+    """``doc_id, line_no, line_id, keys`` of every line that is not blank, the keys packed; none for a line that its task signed lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64)
@@ -165,37 +169,34 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
                 at = np.sort(at[new])
                 keys = band_keys(signatures(*found.shingles(at, settings.size), settings), settings)
                 size = np.zeros(len(found.ids), np.int64)
-                size[at] = settings.bands
-                offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                size[at] = settings.bands * 8
+                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids),
-                        pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-                    ],
+                    [batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids), packed],
                     ["doc_id", "line_no", "line_id", "keys"],
-                )
+                )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long, keys array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long, keys binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def contents(docs: DataFrame, spots: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id, content``: the lines listed in ``ids``, each read from one document that has it.
+def contents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, content``: the lines listed in ``ids``, each once.
 
-    Filters of fixed size keep other documents and lines from being split and shuffled; the join then is exact.
+    A filter of fixed size keeps most other lines from being shuffled, and a task sends a line that it sent lately only once; the join then is exact.
     """
-    chosen = spots.join(ids, spots["line_id"] == ids["id"], "left_semi").groupBy("line_id").agg(F.min("doc_id").alias("doc_id"))
-    chosen = cut(chosen)
-    spot = F.xxhash64("doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast((presence(chosen, spot), presence(ids, F.col("id"))))
+    shared = docs.sparkSession.sparkContext.broadcast(presence(ids, F.col("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_docs, in_lines = shared.value
+        sent = np.zeros(0, np.int64)
         for batch in batches:
-            batch = batch.filter(pa.array(maybe(in_docs, batch.column(1).to_numpy())))
             for _, _, found in lines(batch.column(0)):
                 own, at = np.unique(found.ids, return_index=True)
-                at = np.sort(at[maybe(in_lines, own)])
+                new = maybe(shared.value, own)
+                new[new] = ~np.isin(own[new], sent, assume_unique=True)
+                sent = np.concatenate([sent if len(sent) < REMEMBERED else sent[:0], own[new]])
+                at = np.sort(at[new])
                 length = np.diff(found.ptr)
                 pick = np.zeros(len(length), bool)
                 pick[at] = True
@@ -204,20 +205,31 @@ def contents(docs: DataFrame, spots: DataFrame, ids: DataFrame) -> DataFrame:
                 packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ptr.tobytes()), pa.py_buffer(raw.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(found.ids[at]), packed], ["id", "content"])
 
-    rows = docs.select("text", spot.alias("spot")).mapInArrow(run, "id long, content binary").join(ids, "id", "left_semi")
+    rows = docs.select("text").mapInArrow(run, "id long, content binary").join(ids, "id", "left_semi")
     return rows.groupBy("id").agg(F.first("content").alias("content"))
 
 
 def compared(settings: Settings) -> Sets:
     """Exact Jaccard similarity of the lines' character shingles."""
 
-    def unpack(column: pa.Array) -> list[np.ndarray]:
-        # Contents are lines in normal form, so each is its own only line.
-        out = []
+    row = np.uint64(64 - ROW_BITS)
+
+    def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # Contents are lines in normal form, so each is its own only line. Keys of (line, shingle) are sorted a chunk of lines at a time.
+        out, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         for _, _, found in lines(column):
             hashes, ptr = found.shingles(np.arange(len(found.ids)), settings.size)
-            out += [np.unique(hashes[ptr[k] : ptr[k + 1]]) for k in range(len(ptr) - 1)]
-        return out
+            hashes >>= np.uint64(ROW_BITS)
+            for at in range(0, len(ptr) - 1, 1 << ROW_BITS):
+                own = ptr[at : at + (1 << ROW_BITS) + 1]
+                keys = (np.repeat(np.arange(len(own) - 1, dtype=np.uint64), np.diff(own)) << row) | hashes[own[0] : own[-1]]
+                keys.sort()
+                new = np.ones(len(keys), bool)
+                new[1:] = keys[1:] != keys[:-1]
+                keys = keys[new]
+                sizes.append(np.bincount((keys >> row).astype(np.int64), minlength=len(own) - 1))
+                out.append(keys & ((np.uint64(1) << row) - np.uint64(1)))
+        return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
     return Sets(unpack, None, settings.similarity)
 
@@ -233,21 +245,29 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     links only to its equals; of repeated rows with equal ids each line's row is marked alike; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    signs = cut(signed(docs, settings))
+    signs = stored(signed(docs, settings))
     spots = signs.drop("keys")
-    hot = partition_buckets(signs.select(F.col("line_id").alias("id"), F.explode("keys").alias("key")))
+    hot = partition_buckets(signs.select(F.col("line_id").alias("id"), "keys"))
     labels = None
     if not hot.isEmpty():
-        texts = cut(contents(docs, spots, cut(hot.select("id").distinct())))
+        ids = cut(hot.select("id").distinct())
+        texts = stored(contents(docs, ids))
         labels = resolve(hot, texts, compared(settings), partners=1)
+        release(ids, texts)
+    release(hot)
+    # Each node's first line, then each class's: aggregations with map-side combine, so a line in every document is no hot spot.
+    nodes = spots.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
     if labels is None:
-        named = spots.withColumn("class_id", F.col("line_id"))
+        listed = nodes.where("copies > 1").select(F.col("line_id").alias("node"), F.col("line_id").alias("class"), "first")
     else:
-        named = spots.join(labels.select(F.col("id").alias("line_id"), "label"), "line_id", "left").withColumn("class_id", F.coalesce("label", "line_id")).drop("label")
-    # The first line of each class: partial aggregation, so a line in every document is no hot spot.
-    first = named.groupBy("class_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    kept = (F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no"))
-    return named.join(first, "class_id").select("doc_id", "line_no", "line_id", "class_id", kept.alias("kept"))
+        named = nodes.join(labels.select(F.col("id").alias("line_id"), "label"), "line_id", "left").where("copies > 1 OR label IS NOT NULL")
+        named = stored(named.select(F.col("line_id").alias("node"), F.coalesce("label", "line_id").alias("class"), "first"))
+        listed = named.drop("first").join(named.groupBy("class").agg(F.min("first").alias("first")), "class")
+    # A line that is alone is its own class; the others meet theirs by an equi-join, which adaptive execution splits at a frequent line.
+    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
+    return spots.join(listed, F.col("node") == F.col("line_id"), "left").select(
+        "doc_id", "line_no", "line_id", F.coalesce("class", "line_id").alias("class_id"), (F.col("node").isNull() | is_first).alias("kept")
+    )
 
 
 def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

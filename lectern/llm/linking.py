@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, cut
+from lectern.llm.common import components, cut, release, stored
+from lectern.llm.wordhash import mix, utf8
 
 #: Words of 64 bits of the presence filter.
 FILTER_WORDS = 1 << 16
@@ -19,15 +20,21 @@ QUERIES, MEMBERS = 512, 4096
 QUERY_BYTES, MEMBER_BYTES = 2 << 20, 8 << 20
 #: Rows of a partition that wait to be grouped by key.
 HELD = 4_000_000
+#: Pairs that a task deals to partitions at a time.
+DEALT = 1_000_000
 #: Elements that a matrix of a block spans at a time.
 SPAN = 2048
+#: Bits that number the rows of a chunk, above the bits of an element; elements of a chunk of pairs.
+ROW_BITS = 12
+PAIR_ELEMENTS = 1 << 21
 
 
 @dataclass(frozen=True)
 class Sets:
-    """How rows are compared: ``unpack`` turns a content column into sorted arrays of distinct elements, ``weigh`` weighs elements."""
+    """How rows are compared: ``unpack`` turns a content column into each row's sorted distinct elements, one after another, and
+    pointers to them; ``weigh`` weighs elements. Elements that all weigh 1 have at most 64 - ``ROW_BITS`` bits."""
 
-    unpack: Callable[[pa.Array], list[np.ndarray]]
+    unpack: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     weigh: Callable[[np.ndarray], np.ndarray] | None  # None: all weigh 1
     similarity: float
 
@@ -61,13 +68,41 @@ def buckets(members: DataFrame) -> DataFrame:
     return cut(members.join(ends, "key").select("key", "id", "pivot"))
 
 
-def partition_buckets(members: DataFrame) -> DataFrame:
-    """As :func:`buckets`, for very many keys: one shuffle by key, and a numpy sort of each partition's rows in turn.
+def partition_buckets(signed: DataFrame) -> DataFrame:
+    """As :func:`buckets`, for very many keys: ``signed`` has ``id, keys``, the packed 64-bit keys of each row.
 
-    When the rows held pass ``HELD``, members of keys met more than once are sent on, and each key keeps its smallest id only; if
-    a later row has a smaller one still, the old pivot is sent as its member, so members stay joined through pivots.
-    Memory is in proportion to a partition's keys and not to the rows of any key.
+    Keys are dealt to partitions in Python and travel as packed pairs, a row for each piece and partition, so the shuffle moves bytes
+    and not a row a key. Each partition's pairs are then sorted by numpy. When the pairs held pass ``HELD``, members of keys met more than
+    once are sent on, and each key keeps its smallest id only; if a later row has a smaller one still, the old pivot is sent as its
+    member, so members stay joined through pivots. Memory is in proportion to a partition's keys and not to the rows of any key.
     """
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        rows = 0
+
+        def piece() -> pa.RecordBatch:
+            pairs = np.concatenate(waiting)
+            part = ((mix(pairs[:, 0].view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            pairs = pairs[np.argsort(part, kind="stable")]
+            size = np.bincount(part, minlength=parts)
+            some = np.flatnonzero(size)
+            ends = np.cumsum(size[some])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array([pairs[end - n : end].tobytes() for n, end in zip(size[some], ends, strict=True)], pa.binary())], ["part", "pairs"]
+            )
+
+        for batch in batches:
+            raw, offsets = utf8(batch.column(1))
+            keys = np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), np.int64)
+            waiting.append(np.stack([keys, np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // 8)], 1))
+            rows += len(keys)
+            if rows > DEALT:
+                yield piece()
+                waiting, rows = [], 0
+        if rows:
+            yield piece()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, ids, whether sent on before
@@ -91,16 +126,19 @@ def partition_buckets(members: DataFrame) -> DataFrame:
             return batch, (keys[start], ids[start], (size > 1) | sent[start])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.zeros(batch.num_rows, bool)))
-            rows += batch.num_rows
-            if rows > HELD:
-                out, kept = settle()
-                yield out
-                held, rows = [kept], min(len(kept[0]), HELD // 2)
+            for x in batch.column(0):
+                pairs = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2)
+                held.append((pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), bool)))
+                rows += len(pairs)
+                if rows > HELD:
+                    out, kept = settle()
+                    yield out
+                    held, rows = [kept], min(len(kept[0]), HELD // 2)
         if held:
             yield settle()[0]
 
-    return cut(members.select("key", "id").repartition("key").mapInArrow(run, "key long, id long, pivot long"))
+    dealt = signed.select("id", "keys").mapInArrow(deal, "part int, pairs binary")
+    return stored(dealt.repartitionById(parts, F.col("part")).select("pairs").mapInArrow(run, "key long, id long, pivot long"))
 
 
 def similar(a: np.ndarray, b: np.ndarray, sets: Sets) -> bool:
@@ -117,13 +155,49 @@ def similar(a: np.ndarray, b: np.ndarray, sets: Sets) -> bool:
     return bool(common >= sets.similarity * (sets.weigh(a).sum() + sets.weigh(b).sum() - common))
 
 
+def ragged(ptr: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the elements of ``rows``, and the number in ``rows`` of the row that each belongs to."""
+    size = ptr[rows + 1] - ptr[rows]
+    of = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(of)) + np.repeat(ptr[rows] - (np.cumsum(size) - size), size), of
+
+
+def similar_pairs(a: tuple[np.ndarray, np.ndarray], i: np.ndarray, b: tuple[np.ndarray, np.ndarray], j: np.ndarray, sets: Sets) -> np.ndarray:
+    """For each k whether row ``i[k]`` of ``a`` is similar to row ``j[k]`` of ``b``; both are elements and pointers.
+
+    Without weights a chunk of pairs is compared at once: what occurs twice among its sorted (pair, element) keys is common.
+    """
+    (all_a, ptr_a), (all_b, ptr_b) = a, b
+    if sets.weigh is not None:
+        return np.array([similar(all_a[ptr_a[x] : ptr_a[x + 1]], all_b[ptr_b[y] : ptr_b[y + 1]], sets) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    out = np.zeros(len(i), bool)
+    size_a, size_b = ptr_a[i + 1] - ptr_a[i], ptr_b[j + 1] - ptr_b[j]
+    upto = np.cumsum(size_a + size_b)
+    at = 0
+    while at < len(i):
+        done = upto[at - 1] if at else 0
+        end = max(at + 1, min(at + (1 << ROW_BITS), int(np.searchsorted(upto, done + PAIR_ELEMENTS, "right"))))
+        keys = []
+        for elements, ptr, rows in ((all_a, ptr_a, i), (all_b, ptr_b, j)):
+            place, of = ragged(ptr, rows[at:end])
+            keys.append((of.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | elements[place])
+        both = np.concatenate(keys)
+        both.sort()
+        twice = both[1:][both[1:] == both[:-1]] >> np.uint64(64 - ROW_BITS)
+        common = np.bincount(twice.astype(np.int64), minlength=end - at)
+        out[at:end] = common >= sets.similarity * (size_a[at:end] + size_b[at:end] - common)
+        at = end
+    return out
+
+
 def verify(pairs: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     """The pairs ``(a, b)`` that are similar. Both joins are plain equi-joins on an id, so adaptive execution splits a pivot with many partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similar(x, y, sets) for x, y in zip(sets.unpack(batch.column(2)), sets.unpack(batch.column(3)), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            rows = np.arange(batch.num_rows)
+            good = similar_pairs(sets.unpack(batch.column(2)), rows, sets.unpack(batch.column(3)), rows, sets)
+            yield batch.select([0, 1]).filter(pa.array(good))
 
     left, right = texts.select(F.col("id").alias("a"), F.col("content").alias("x")), texts.select(F.col("id").alias("b"), F.col("content").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -176,42 +250,51 @@ def compare_blocks(mixed: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     as_member = blocks_.select("key", "id", "label", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("row"), F.pmod(F.shiftright(spot, 20), F.col("wide")).cast("int").alias("col"))
     rows = as_query.unionByName(as_member).join(texts, "id").select("key", "row", "col", "id", "label", "query", "content")
 
-    def compare(part: pa.RecordBatch, content: list[np.ndarray], at: int, end: int) -> Iterator[tuple[int, int]]:
-        ids, labels = part.column("id").to_numpy()[at:end], part.column("label").to_numpy()[at:end]
-        query = part.column("query").to_numpy(zero_copy_only=False)[at:end].astype(bool)
-        q, m = np.flatnonzero(query), np.flatnonzero(~query)
-        if len(q) * len(m) <= 64:  # too small for matrices to pay
-            met = set()
-            for i in q.tolist():
-                for j in m.tolist():
-                    if labels[i] != labels[j] and (i, labels[j]) not in met and similar(content[at + i], content[at + j], sets):
-                        met.add((i, labels[j]))
-                        yield int(ids[i]), int(ids[j])
-            return
-        link = block_links([content[at + k] for k in q], [content[at + k] for k in m], sets) & (labels[q][:, None] != labels[m])
-        i, j = np.nonzero(link)
-        if len(i):
-            _, first = np.unique(np.stack([i, labels[m][j]]), axis=1, return_index=True)
-            yield from ((int(ids[q[i[k]]]), int(ids[m[j[k]]])) for k in first)
+    def links(part: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        """Links of whole blocks: the many small ones as pairs, all at once; the others by matrix products."""
+        elements, ptr = content = sets.unpack(part.column("content"))
+        ids, labels = part.column("id").to_numpy(), part.column("label").to_numpy()
+        query = part.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        ends = np.append(starts[1:], part.num_rows)
+        queries = np.add.reduceat(query, starts, dtype=np.int64)
+        members = ends - starts - queries
+        few = queries * members <= 64
+        # Pairs of the small blocks: every query row beside every member row of its block.
+        of_block = np.repeat(np.arange(len(starts)), ends - starts)
+        member_rows = np.flatnonzero(~query)
+        first_member = np.searchsorted(member_rows, starts)
+        q = np.flatnonzero(query & few[of_block])
+        many = members[of_block[q]]
+        i = np.repeat(q, many)
+        j = member_rows[np.arange(len(i)) + np.repeat(first_member[of_block[q]] - (np.cumsum(many) - many), many)]
+        apart = labels[i] != labels[j]
+        i, j = i[apart], j[apart]
+        good = similar_pairs(content, i, content, j, sets)
+        found = [(i[good], j[good])]
+        for k in np.flatnonzero(~few & (queries > 0)).tolist():
+            own = np.arange(starts[k], ends[k])
+            q, m = own[query[own]], own[~query[own]]
+            link = block_links([elements[ptr[x] : ptr[x + 1]] for x in q], [elements[ptr[x] : ptr[x + 1]] for x in m], sets) & (labels[q][:, None] != labels[m])
+            x, y = np.nonzero(link)
+            found.append((q[x], m[y]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(i):  # one link of a query into each other component
+            _, first = np.unique(np.stack([i, labels[j]]), axis=1, return_index=True)
+            i, j = i[first], j[first]
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks arrive in order; the one that a batch cuts waits for its other rows."""
         waiting: list[pa.RecordBatch] = []
-
-        def links(part: pa.RecordBatch, bounds: list[int]) -> pa.RecordBatch:
-            content = sets.unpack(part.column("content"))
-            out = [x for k in range(len(bounds) - 1) for x in compare(part, content, bounds[k], bounds[k + 1])]
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
         for batch in batches:
             part = pa.concat_batches([*waiting, batch])
             place = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "row", "col")])
-            starts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1).tolist()]
+            starts = np.concatenate([[0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1])
             if len(starts) > 1:
-                yield links(part, starts)
+                yield links(part.slice(0, starts[-1]), starts[:-1])
             waiting = [part.slice(starts[-1])]
         if waiting and waiting[0].num_rows:
-            yield links(waiting[0], [0, waiting[0].num_rows])
+            yield links(waiting[0], np.zeros(1, np.int64))
 
     ordered = rows.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
     return ordered.mapInArrow(run, "a long, b long")
@@ -232,12 +315,14 @@ def resolve(hot: DataFrame, texts: DataFrame, sets: Sets, partners: int = 2) ->
     near = near.select(F.explode(F.array(F.struct(F.col("pivot").alias("a"), F.col("id").alias("b")), F.struct(F.col("r").alias("a"), F.col("id").alias("b")))).alias("p"))
     pairs = cut(near.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a < b").distinct())
     labels = components(verify(pairs, texts, sets))
+    release(pairs)
     named = hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # The one pair of a bucket of two has been compared.
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2").select("key")
     mixed = cut(named.join(split, "key").select("key", "id", "label"))
     found = None if mixed.isEmpty() else cut(compare_blocks(mixed, texts, sets))
     if found is None or found.isEmpty():
+        release(mixed, found)
         return None if labels.isEmpty() else labels
     # The new links join whole components: it is these that are joined, and their members follow.
     own = mixed.select("id", "label").distinct()
@@ -245,4 +330,6 @@ def resolve(hot: DataFrame, texts: DataFrame, sets: Sets, partners: int = 2) ->
     joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     everyone = labels.unionByName(mixed.select("id", "label")).distinct()
     merged = everyone.join(joined.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left")
-    return cut(merged.select("id", F.coalesce("top", "label").alias("label")))
+    out = cut(merged.select("id", F.coalesce("top", "label").alias("label")))
+    release(labels, mixed, found, joined)
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import SPACES, bound_batches, cut, table
 from lectern.llm.linking import Sets, buckets, maybe, presence, resolve
-from lectern.llm.wordhash import blocks, mix
+from lectern.llm.wordhash import blocks, mix, utf8
 
 #: Counters of the document-frequency table and slices in which it travels.
 SLOTS, SLICES = 1 << 18, 16
@@ -154,8 +154,13 @@ def elements(shingles: np.ndarray) -> np.ndarray:
 
 def compared(idf: np.ndarray, settings: Settings) -> Sets:
     """Weighted Jaccard similarity over packed elements: the sum of the lesser tf * idf over the sum of the greater."""
+
+    def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, offsets = utf8(column)
+        return np.frombuffer(raw[offsets[0] : offsets[-1]].tobytes(), np.uint64), (offsets - offsets[0]) // 8
+
     return Sets(
-        lambda column: [np.frombuffer(x.as_buffer(), np.uint64) for x in column],
+        unpack,
         lambda e: idf[(e >> np.uint64(46)).astype(np.int64)],
         settings.similarity,
     )

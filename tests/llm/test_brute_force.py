@@ -151,6 +151,58 @@ def test_lines_against_brute_force(spark):
     assert out[1, 0].kept and not out[1, 2].kept and not out[2, 0].kept and out[2, 2].kept and out[3, 0].kept
 
 
+def line_shingles(line):
+    raw = line.encode()
+    return {raw[k : k + 8] for k in range(max(len(raw) - 7, 1))}
+
+
+def test_line_links_are_found(spark):
+    """Every pair of lines of the documents at 0.8 or more by brute force over all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = collections.defaultdict(list)
+    for r in docs.collect():
+        for n, line in enumerate((r.text or "").split("\n")):
+            if line := re.sub(r"[\x20\x09-\x0D]+", " ", line).strip(" "):
+                lines[re.sub("[A-Z]", lambda m: m[0].lower(), line)].append((r.doc_id, n))
+    names = list(lines)
+    of = collections.defaultdict(list)
+    sets = [line_shingles(x) for x in names]
+    for k, s in enumerate(sets):
+        for x in s:
+            of[x].append(k)
+    common = collections.Counter()
+    for members in of.values():
+        if len(members) < 400:  # a pair at 0.8 shares rarer shingles too
+            for a, x in enumerate(members):
+                common.update((x, y) for y in members[a + 1 :])
+    links = [(a, b) for (a, b) in common if (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) > 100
+    out = line_dedup.classes(docs).collect()
+    found = {(r.doc_id, r.line_no): r for r in out}
+    assert len(out) == sum(map(len, lines.values())) == len(found)
+    same = sum(found[lines[names[a]][0]].class_id == found[lines[names[b]][0]].class_id for a, b in links)
+    assert same >= 0.99 * len(links)
+    # No class holds lines that no links join, and each keeps its first line.
+    parent = list(range(len(names)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[top(a)] = top(b)
+    expected = collections.defaultdict(set)
+    for k, x in enumerate(names):
+        for place in lines[x]:
+            expected[found[place].class_id].add(top(k))
+    assert all(len(x) == 1 for x in expected.values())
+    first = {}
+    for r in out:
+        first[r.class_id] = min(first.get(r.class_id, (r.doc_id, r.line_no)), (r.doc_id, r.line_no))
+    assert all(r.kept == (first[r.class_id] == (r.doc_id, r.line_no)) for r in out)
+
+
 def test_word_hashes_agree_with_python_words():
     texts = ["Hello  wOrld\n x", "", None, "éa Éa hello", " lead"]
     words = wordhash.Words.of(texts)
@@ -191,7 +243,10 @@ def test_buckets_hold_every_key_with_several_ids(spark, monkeypatch, held):
     monkeypatch.setattr(linking, "HELD", held)
     random = np.random.default_rng(4)
     rows = [(int(k), int(i)) for k, i in zip(random.integers(0, 30, 300), random.integers(0, 200, 300), strict=True)]
-    members = spark.createDataFrame(rows, "key long, id long").repartition(3)
+    keys = collections.defaultdict(list)
+    for k, i in rows:
+        keys[i].append(k)
+    members = spark.createDataFrame([(i, np.array(k, np.int64).tobytes()) for i, k in keys.items()], "id long, keys binary").repartition(3)
     expected = collections.defaultdict(set)
     for k, i in rows:
         expected[k].add(i)
