@@ -15,23 +15,29 @@ from lectern.llm.common import bound_batches, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never part of the text: code, chrome of the page, controls.
 DROPPED = frozenset(
-    "script style noscript template iframe object svg math canvas audio video head title nav footer aside form button select textarea input dialog menu".split()
+    "script style noscript template iframe object svg math canvas audio video head title nav footer aside button select textarea input label dialog menu".split()
 )
 #: An end tag closes only elements above these; a paragraph cannot hold them.
 BLOCKS = frozenset(
     "html body p div section article main header hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary fieldset center hr".split()
-) | DROPPED.intersection({"nav", "footer", "aside", "form", "menu", "dialog"})
+) | {"nav", "footer", "aside", "form", "menu", "dialog"}
 #: Opening one of these ends an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSE_WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "thead", "tbody", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4".split())
-UNLIKELY = frozenset(
+#: Parts of names by what they say of an element: readers' remarks; other chrome; what a text may be about too, and then has few links.
+REMARKS = frozenset("comment comments commentlist disqus respond reply replies".split())
+CHROME = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion banner sidebar
-    comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login
-    share sharing social related recommended recommendations more menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar
-    toolbar popup modal overlay widget pager pagination paywall skip tags""".split()
+    cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login
+    recommended recommendations menu navbar nav navigation breadcrumb breadcrumbs footer masthead topbar
+    toolbar popup modal overlay pager pagination paywall""".split()
 )
+TOPICAL = frozenset("share sharing social related more skip tags widget".split())
 LIKELY = frozenset("article content main post entry body text story page column".split())
+#: Parts that say where a piece stands or how it looks, and parts that make a name a state of the page, not a role: "has-sidebar".
+PLACES = frozenset("box block section list area wrapper wrap container bar top bottom left right inner outer item items holder panel slot unit primary secondary read header title links buttons form message text".split())
+STATES = frozenset("no not non has have with without is on off open closed show hide enabled disabled".split())
 ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar form".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACE = re.compile(r"\s+")
@@ -39,34 +45,61 @@ NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "name", "parent", "prior")
+    __slots__ = ("children", "drop", "name", "parent", "prior", "suspect")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False, prior: float = 0.0):
-        self.name, self.parent, self.drop, self.prior, self.children = name, parent, drop, prior, []
+    def __init__(self, name: str, parent: Node | None, drop: bool = False, prior: float = 0.0, suspect: str = ""):
+        self.name, self.parent, self.drop, self.prior, self.suspect, self.children = name, parent, drop, prior, suspect, []
 
 
-def judged(name: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, float]:
-    """Whether an element's subtree is dropped, and its score before any paragraph counts."""
+def says(name: str) -> str:
+    """What one class or id says: "likely", "remark", "chrome", "maybe" (chrome, if its text is poor) or nothing."""
+    parts = {x.lower() for x in NAMES.findall(name)}
+    unlikely = parts & (REMARKS | CHROME)
+    if parts & STATES or not (unlikely or parts & (TOPICAL | LIKELY)):
+        return ""
+    if not unlikely:
+        return "likely" if parts & LIKELY else "maybe"
+    if parts - unlikely - LIKELY - TOPICAL - PLACES:
+        return "maybe"
+    return "remark" if parts & REMARKS else "chrome"
+
+
+def judged(name: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, float, str]:
+    """Whether an element's subtree is dropped outright, its score before any paragraph counts, and what makes it suspect."""
     prior = {"article": 25.0, "main": 20.0, "section": 2.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0}.get(name, 0.0)
     if name in DROPPED or name == "header" and not inside:
-        return True, prior
+        return True, prior, ""
+    suspect = "form" if name == "form" else ""
     if not attrs or name in ("html", "body"):
-        return False, prior
+        return False, prior, suspect
     found: set[str] = set()
     for key, value in attrs:
         if key in ("class", "id") and value:
-            found.update(x.lower() for x in NAMES.findall(value))
+            found.update(map(says, value.split()))
         elif key == "hidden" or key == "aria-hidden" and value == "true":
-            return True, prior
+            return True, prior, ""
         elif key == "role" and value and value.lower() in ROLES:
-            return True, prior
+            return True, prior, ""
         elif key == "style" and value and HIDDEN.search(value.lower()):
-            return True, prior
-    if found & LIKELY:
+            return True, prior, ""
+    if "likely" in found:
         prior += 15.0
-    if found & UNLIKELY and not (found & LIKELY and name in ("article", "main")):
-        return name not in ("article", "main"), prior - 25.0
-    return False, prior
+    for kind, loss in (("remark", 25.0), ("chrome", 25.0), ("maybe", 10.0)):
+        if kind in found:
+            # A name for each side: its text decides.
+            return False, prior - loss, "maybe" if "likely" in found else kind
+    return False, prior, suspect
+
+
+def poor(x: Node, chars: int, links: int, total: int) -> bool:
+    """Whether a suspect subtree is dropped: readers' remarks always, chrome unless it wraps nearly all of the page, forms that hold no more than half of it, others if short or made of links."""
+    if x.suspect == "remark":
+        return True
+    if x.suspect == "chrome":
+        return chars <= 0.8 * total or links > 0.5 * chars
+    if x.suspect == "form":
+        return chars <= 0.5 * total
+    return links > 0.5 * chars or chars < (25 if x.name in SCORED else 0.25 * total)
 
 
 class Tree(HTMLParser):
@@ -184,6 +217,12 @@ def main_text(html: str | None) -> str:
     tree.feed(html or "")
     tree.close()
     chars, links, commas, order = lengths(tree.root)
+    total = chars[tree.root]
+    suspects = [x for x in order if x.suspect and poor(x, chars[x], links[x], total)]
+    if suspects:
+        for x in suspects:
+            x.drop = True
+        chars, links, commas, order = lengths(tree.root)
     score: dict[Node, float] = {}
     for x in order:
         direct = x.name in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and c.strip() for c in x.children)
@@ -222,7 +261,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Paragraphs pass points for length and commas to their ancestors, which are discounted by link
     density; the best container and the siblings that fit it are kept, without menus, page headers, footers, sidebars,
-    notices, adverts, forms, code and comments. Every block kept is returned whole: white space inside a block is
+    notices, adverts, forms, code and comments. Classes and ids move the score; a subtree goes for its name only if its text is poor as well
+    (:func:`poor`), so a wrapper that names a sidebar or a form around the whole page loses nothing. Every block kept is returned whole: white space inside a block is
     one space, blocks are joined by one line feed in page order.
 
     A null page or one without text gives an empty text; broken or cut markup is read as far as it
