@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +15,17 @@ from lectern.llm.common import bound_batches, cut, table
 from lectern.llm.sample import fold
 from lectern.llm.wordhash import blocks, mix
 
-#: Words of the neural model's output layer with its three marks; size of a word's vector.
-VOCABULARY, WIDTH = 2048, 32
-UNKNOWN, END, BEGIN = 0, 1, 2
+#: Outputs of the neural model: two marks, the most frequent words, and classes into which a hash deals all other words; size of a vector.
+VOCABULARY, CLASSES, WIDTH = 2048, 512, 32
+END, BEGIN, FIRST_WORD, FIRST_CLASS = 0, 1, 2, VOCABULARY - CLASSES
 #: Most frequent words whose counts every task holds (16 bytes each); the others are joined.
 FREQUENT = 1 << 17
-#: Tasks that train side by side; noise words a batch shares; windows of a batch.
-TRAINERS, NOISE, BATCH = 12, 64, 512
+#: Windows of a trainer, and tasks at most (beyond it a task trains several models in turn); noise words a batch shares; windows of a batch.
+WINDOWS, TASKS, NOISE, BATCH = 1 << 21, 10_000, 64, 512
+#: Windows of a text that travel together; windows handed to a trainer at once.
+PIECE, HANDED = 4096, 1 << 15
+#: Slices in which a model's weights are averaged.
+SLICES = 8
 #: Key of the end token in the table of counts.
 END_KEY = np.uint64(0xE0D0E0D0E0D0E0D1)
 LN10 = float(np.log(10))
@@ -33,7 +38,9 @@ class Counts:
     ends: int
     hashes: np.ndarray  # the most frequent words, sorted by hash
     counts: np.ndarray
-    model_id: np.ndarray  # id in the neural model, UNKNOWN for the others
+    model_id: np.ndarray  # id in the neural model, -1 for words of a class
+    class_tokens: np.ndarray  # of each class: its tokens
+    class_types: np.ndarray  # and its distinct words
 
 
 @dataclass(frozen=True)
@@ -96,14 +103,26 @@ def summarise(counts: DataFrame) -> Counts:
         if room < 0:
             break
         least = bin_
-    top = plain.where(step >= least) if least is not None else plain.limit(FREQUENT)
+    # Words that tie with more than fit are taken by their hash, so reruns agree.
+    top = plain.where(step >= least) if least is not None else plain.orderBy(F.desc("count"), "word").limit(FREQUENT)
     rows = sorted(((r["count"], r["word"]) for r in top.select("word", "count").collect()), key=lambda x: (-x[0], x[1]))
     word, count = np.array([w for _, w in rows], np.int64).view(np.uint64), np.array([c for c, _ in rows], np.int64)
-    ids = np.zeros(len(word), np.int32)
-    known = min(len(word), VOCABULARY - 3)
-    ids[:known] = np.arange(3, 3 + known)
+    ids = np.full(len(word), -1, np.int32)
+    known = min(len(word), FIRST_CLASS - FIRST_WORD)
+    ids[:known] = np.arange(FIRST_WORD, FIRST_WORD + known)
+    tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    of = (F.shiftrightunsigned("word", 40) % CLASSES).alias("of")
+    for r in plain.groupBy(of).agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("types")).collect():
+        tokens[r.of], types[r.of] = r.tokens, r.types
+    own = class_of(word[:known])
+    tokens -= np.bincount(own, count[:known], CLASSES).astype(np.int64)
+    types -= np.bincount(own, minlength=CLASSES)
     order = np.argsort(word)
-    return Counts(n.n or 0, n.v or 0, n.ends or 0, word[order], count[order], ids[order])
+    return Counts(n.n or 0, n.v or 0, n.ends or 0, word[order], count[order], ids[order], tokens, types)
+
+
+def class_of(words: np.ndarray) -> np.ndarray:
+    return ((words >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64)
 
 
 def look_up(words: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +134,12 @@ def look_up(words: np.ndarray, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
     return at, counts.hashes[at] == words
 
 
+def model_ids(words: np.ndarray, at: np.ndarray, hit: np.ndarray, counts: Counts) -> np.ndarray:
+    """Ids in the neural model: a frequent word's own, or its class's."""
+    ids = np.where(hit, counts.model_id[at], -1) if len(counts.hashes) else np.full(len(words), -1)
+    return np.where(ids >= 0, ids, FIRST_CLASS + class_of(words)).astype(np.int32)
+
+
 def sequences(words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Model ids of all tokens with each text's end, the ids one and two before, and the text of each token."""
     texts = len(words.ptr) - 1
@@ -131,15 +156,12 @@ def sequences(words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def unigram(counts: Counts) -> np.ndarray:
-    """Smoothed unigram shares of the model's ids; the begin mark is never predicted."""
+    """Smoothed unigram shares of the model's ids; the begin mark is never predicted, nor are ids without a word."""
     share = np.zeros(VOCABULARY)
-    np.add.at(share, counts.model_id, counts.counts)
-    share[END] = counts.ends
-    share[UNKNOWN] = max(counts.tokens - share[END] - share[3:].sum(), 0)
-    share += 1
-    share[BEGIN] = 0
-    used = 3 + int((counts.model_id > 0).sum())
-    share[used:] = 0
+    own = counts.model_id >= 0
+    share[counts.model_id[own]] = counts.counts[own] + 1
+    share[FIRST_CLASS:] = counts.class_tokens + 1
+    share[END] = counts.ends + 1
     return share / share.sum()
 
 
@@ -209,46 +231,96 @@ NAMES = ("context", "target", "one", "two", "bias")
 
 
 def training_windows(docs: DataFrame, counts: Counts, seed: int = 3) -> DataFrame:
-    """``shard, windows``: every position of every text as (two back, one back, word), dealt at random to ``TRAINERS`` shards."""
+    """``trainer, turn, windows``: every position of every text as (two back, one back, word), in pieces of a text.
+
+    A piece's trainer and its turn there are a hash of the document's id, its text and the piece's place, so they do not depend on how
+    the rows lie in partitions. There are as many trainers as the corpus has ``WINDOWS`` windows. Only rows equal in id and text go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    trainers = max(1, -(-counts.tokens // WINDOWS))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for _, _, words in blocks(batch.column(0)):
+            spots = batch.column(1).to_numpy().view(np.uint64)
+            for first, end, words in blocks(batch.column(0)):
                 at, hit = look_up(words.hash, counts)
-                target, one, two, _ = sequences(words, np.where(hit, counts.model_id[at], UNKNOWN) if len(counts.hashes) else np.zeros(len(at), np.int32))
-                where = mix(np.arange(len(target), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (words.hash[:1].sum() + np.uint64(seed)))
-                shard = ((where >> np.uint64(40)) % np.uint64(TRAINERS)).astype(np.int64)
+                target, one, two, _ = sequences(words, model_ids(words.hash, at, hit, counts))
                 rows = np.stack([two, one, target], 1).astype(np.int16)
-                for k in np.unique(shard).tolist():
-                    yield pa.RecordBatch.from_pydict({"shard": [k], "windows": [rows[shard == k].tobytes()]})
-
-    return docs.select("text").mapInArrow(gather, "shard long, windows binary")
+                place = np.arange(len(words.hash)) - np.repeat(words.ptr[:-1], words.counts)
+                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
+                text = mix(upto[words.ptr[1:]] - upto[words.ptr[:-1]] + spots[first:end] + np.uint64(seed))
+                size = words.counts + 1
+                pieces = -(-size // PIECE)
+                of = np.repeat(np.arange(len(size)), pieces)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = (words.ptr[:-1] + np.arange(len(size)))[of] + nth * PIECE
+                stop = np.minimum(start + PIECE, (words.ptr[1:] + np.arange(len(size)) + 1)[of])
+                turn = mix(text[of] + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                trainer = ((turn >> np.uint64(33)) % np.uint64(trainers)).astype(np.int64)
+                raw = [rows[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(trainer), pa.array(turn.view(np.int64)), pa.array(raw, pa.binary())], ["trainer", "turn", "windows"])
+
+    return docs.select("text", F.xxhash64("doc_id").alias("spot")).mapInArrow(gather, "trainer long, turn long, windows binary")
 
 
 def fit(docs: DataFrame, counts: Counts, seed: int = 3) -> dict[str, np.ndarray]:
     """Train on the windows of all positions of all training texts.
 
-    Windows are dealt at random to ``TRAINERS`` tasks, which start alike and stream through them; their
-    weights are averaged by the windows seen. A window is six bytes; what is gathered is in
-    proportion to the corpus, what reaches the driver is ``TRAINERS`` sets of weights.
+    Each trainer starts alike and streams through its windows in the order of their turns; the models are averaged by the windows
+    seen, slice by slice in tasks of their own. A window is six bytes; what is gathered is in proportion to the corpus, and so is the number
+    of trainers; what reaches the driver is a few sums of weights of fixed size.
     """
     share = unigram(counts)
     shared = docs.sparkSession.sparkContext.broadcast(share)
+    tasks = min(max(1, -(-counts.tokens // WINDOWS)), TASKS)
+    size = sum(v.size for v in initial(seed, share).values())
+    edges = [size * k // SLICES for k in range(SLICES + 1)]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (np.frombuffer(x.as_buffer(), np.int16).reshape(-1, 3) for batch in batches for x in batch.column(0))
-        seen, p = train(stream, shared.value, seed)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [b"".join(p[k].astype(np.float32).tobytes() for k in NAMES)]})
-
-    trained = training_windows(docs, counts, seed).repartition(TRAINERS, "shard").select("windows").mapInArrow(learn, "seen long, weights binary").collect()
+        rows = ((t, np.frombuffer(x.as_buffer(), np.int16).reshape(-1, 3)) for batch in batches for t, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+
+        def handed(own: Iterator[tuple[int, np.ndarray]]) -> Iterator[np.ndarray]:
+            waiting, n = [], 0
+            for _, x in own:
+                waiting.append(x)
+                n += len(x)
+                if n >= HANDED:
+                    whole = np.concatenate(waiting)
+                    yield whole[: n - n % BATCH]
+                    waiting, n = [whole[n - n % BATCH :]], n % BATCH
+            if n:
+                yield np.concatenate(waiting)
+
+        for trainer, own in groupby(rows, key=lambda x: x[0]):
+            seen, p = train(handed(own), shared.value, seed)
+            whole = np.concatenate([p[k].ravel() for k in NAMES]).astype(np.float64) * seen
+            for k in range(SLICES):
+                yield pa.RecordBatch.from_pydict({"slice": [k], "trainer": [trainer], "seen": [seen], "weights": [whole[edges[k] : edges[k + 1]].tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for k, seen, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = sums.setdefault(k, [0, np.zeros(edges[k + 1] - edges[k])])
+                own[0] += seen
+                own[1] += np.frombuffer(weights.as_buffer(), np.float64)
+        for k, (seen, total) in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": [k], "seen": [seen], "weights": [total.tobytes()]})
+
+    windows = training_windows(docs, counts, seed).repartitionById(tasks, (F.col("trainer") % tasks).cast("int")).sortWithinPartitions("trainer", "turn")
+    models = windows.select("trainer", "windows").mapInArrow(learn, "slice long, trainer long, seen long, weights binary")
+    # Sums in a fixed order: eight parts of each slice, by trainer.
+    parts = models.repartitionById(8 * SLICES, (F.col("slice") * 8 + F.col("trainer") % 8).cast("int")).sortWithinPartitions("slice", "trainer")
+    sums = sorted(parts.select("slice", "seen", "weights").mapInArrow(add, "slice long, seen long, weights binary").collect(), key=lambda r: (r.slice, r.seen, bytes(r.weights)))
     start = initial(seed, share)
-    if not trained:
+    total = sum(r.seen for r in sums if r.slice == 0)
+    if not total:
         return start
-    total = sum(r.seen for r in trained)
-    mean = sum(np.frombuffer(r.weights, np.float32).astype(np.float64) * (r.seen / total) for r in trained)
+    mean = np.zeros(size)
+    for r in sums:
+        mean[edges[r.slice] : edges[r.slice + 1]] += np.frombuffer(r.weights, np.float64)
+    mean /= total
     out, at = {}, 0
     for k in NAMES:
         out[k] = mean[at : at + start[k].size].reshape(start[k].shape)
@@ -277,8 +349,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     Tokens are the words (A-Z lower-cased) and one end. ``base_score`` is the add-one unigram log10 probability from the
     counts of all training documents (crc32 of the id mod 7 not 2). ``score`` is that of the log-bilinear model:
-    given the two tokens before, it spreads probability over its vocabulary, the end and all other words
-    together; these share theirs by add-one counts, so texts of any words have a proper probability.
+    given the two tokens before, it spreads probability over the end, its vocabulary and the classes of all other words,
+    and within a class by add-one counts with one share for unseen words; so texts of any words have a proper probability.
 
     Frequent words are looked up in a table of fixed size; all others are joined with the counts by word, whose rows no
     single word can dominate.
@@ -293,10 +365,8 @@ def score(docs: DataFrame) -> DataFrame:
     counts = summarise(table_)
     share = unigram(counts)
     tables = normalised(fit(training, counts), share)
-    inner = int((counts.model_id > 0).sum()) + 1
-    unknown = max(counts.tokens - counts.ends - int(counts.counts[counts.model_id > 0].sum()), 0)
     log_all = np.log10(counts.tokens + counts.types + 1)
-    log_unknown = np.log10(unknown + max(counts.types - inner, 0) + 1)
+    log_class = np.log10(counts.class_tokens + counts.class_types + 1.0)
     shared = docs.sparkSession.sparkContext.broadcast((counts, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,17 +378,18 @@ def score(docs: DataFrame) -> DataFrame:
             for _, _, words in blocks(batch.column(2)):
                 texts = len(words.ptr) - 1
                 at, hit = look_up(words.hash, counts)
-                ids = np.where(hit, counts.model_id[at], UNKNOWN) if len(counts.hashes) else np.zeros(len(at), np.int32)
+                ids = model_ids(words.hash, at, hit, counts)
                 target, one, two, text = sequences(words, ids)
                 log_p = (tables.one[one, target] + tables.two[two, target] - tables.norm[one, two]) / LN10
                 of = words.text_of_word
                 own = np.where(hit, log_count[at], 0.0) if len(log_count) else np.zeros(len(at))
                 n = words.counts + 1
-                other = hit & (ids == UNKNOWN)
+                other = ids >= FIRST_CLASS
+                inside = own[other] - log_class[ids[other] - FIRST_CLASS]
                 tokens.append(n)
                 known.append(np.bincount(of, hit, texts) + (counts.ends > 0))
                 base.append(np.bincount(of, own, texts) + log_end - n * log_all)
-                model.append(np.bincount(text, log_p, texts) + np.bincount(of[other], own[other], texts) - np.bincount(of[ids == UNKNOWN], minlength=texts) * log_unknown)
+                model.append(np.bincount(text, log_p, texts) + np.bincount(of[other], inside, texts))
                 rare, of = words.hash[~hit], of[~hit]
                 order = np.lexsort((rare, of))
                 rare, of = rare[order], of[order]
