@@ -21,10 +21,22 @@ SLOTS, OPENED, FEATURES = 1 << 18, 4096, 1024
 GRAM = 5
 #: Share of mined features that may be there by chance.
 FALSE_SHARE = 0.1
-#: Voters into which the mined words, and the mined patterns, are dealt.
-GROUPS = 4
-#: Words that a person would vote on without having seen a label.
-LEXICON = "idiot moron stupid dumb fool loser scum trash garbage worthless pathetic disgusting clown jerk creep freak lowlife filth vermin imbecile".split()
+#: Voters into which the mined words and byte patterns are dealt by strength.
+GROUPS = 24
+#: Words that a person would vote on without having seen a label, a voter a language.
+LEXICONS = {
+    "en": "idiot moron stupid dumb fool loser scum trash garbage worthless pathetic disgusting clown jerk creep freak lowlife filth vermin imbecile",
+    "de": "idiot dumm dummkopf trottel depp blödmann abschaum versager schwein drecksau arschloch scheiße ekelhaft widerlich armselig erbärmlich wertlos gesindel",
+    "fr": "idiot imbécile crétin stupide débile abruti connard salaud ordure minable pathétique dégoûtant merde racaille pourriture",
+    "es": "idiota imbécil estúpido tonto inútil basura escoria asqueroso patético payaso cretino mierda gentuza desgraciado",
+}
+#: Patterns that no language owns: words in capitals (three, or three in ten), stacked marks, letters masked by signs, a letter four times.
+PATTERNS = np.array([0xA11CA95000000001 + (k << 46) * 7 for k in range(5)], np.uint64)
+LETTER, UPPER, MARK, SIGN = np.zeros((4, 256), bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+UPPER[65:91] = True
+MARK[[33, 63]] = True
+SIGN[[ord(c) for c in "*@$#"]] = True
 
 
 @dataclass(frozen=True)
@@ -34,10 +46,30 @@ class Model:
     bias: float
 
 
+def patterns(words) -> np.ndarray:
+    """Which of ``PATTERNS`` each text of a block has: (texts, patterns)."""
+    raw, offsets = words.raw, words.offsets
+    texts = len(offsets) - 1
+    of = np.repeat(np.arange(texts), np.diff(offsets))
+    upto = np.concatenate([[0], np.cumsum(UPPER[raw])])
+    length = words.ends - words.starts
+    shouted = np.bincount(words.text_of_word[(length >= 3) & (upto[words.ends] - upto[words.starts] == length)], minlength=texts)
+    out = np.zeros((texts, len(PATTERNS)), bool)
+    out[:, 0] = shouted >= 3
+    out[:, 1] = (shouted >= 3) & (shouted * 10 >= 3 * words.counts)
+    if len(raw) >= 4:
+        mark, sign, letter = MARK[raw], SIGN[raw], LETTER[raw]
+        same = (raw[1:] == raw[:-1]) & letter[1:] & (of[1:] == of[:-1])
+        for k, hit in ((2, mark[:-1] & mark[1:] & (of[1:] == of[:-1])), (3, letter[:-2] & sign[1:-1] & letter[2:] & (of[2:] == of[:-2])), (4, same[:-2] & same[1:-1] & same[2:])):
+            out[of[: len(hit)][hit], k] = True
+    return out
+
+
 def found(words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the byte patterns in them, and the text each is from."""
+    """Hashes of the words, of the byte patterns in them and of ``PATTERNS``, and the text each is from."""
     grams, of = words.grams(GRAM)
-    return np.concatenate([words.hash, grams]), np.concatenate([words.text_of_word, of])
+    text, k = np.nonzero(patterns(words))
+    return np.concatenate([words.hash, grams, PATTERNS[k]]), np.concatenate([words.text_of_word, of, text])
 
 
 def slot_counts(docs: DataFrame, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -86,24 +118,24 @@ def surprise(ones: np.ndarray, zeros: np.ndarray, n1: float, n0: float) -> np.nd
     return 2 * (part(ones, share * n1) + part(zeros, share * n0) + part(n1 - ones, (1 - share) * n1) + part(n0 - zeros, (1 - share) * n0))
 
 
-def label_model(votes: np.ndarray, prior: float, steps: int = 40) -> np.ndarray:
+def label_model(votes: np.ndarray, marks: np.ndarray, steps: int = 40) -> np.ndarray:
     """Posterior of label 1 from binary votes (rows, voters), by EM.
 
-    The model has for each voter its rates of voting under either label, and for each pair the
-    correlation left under a label; a voter's evidence is divided by the correlated evidence beside it, so that many
-    voters that say the same by construction count as few.
+    The model has for each voter its rates of voting under either label, and for each pair the correlation left under a label; a
+    voter's evidence is divided by the correlated evidence beside it, so that many voters that say the same by construction count as
+    few. The annotators' ``marks`` are no vote: they start the rates, and each step estimates rates and correlations from them and the posteriors alike.
     """
-    mean = votes.mean(1)
-    q = np.clip(np.where(mean > 0, 0.5 + mean / 2, prior / 2), 0.01, 0.99)
+    q = np.clip(marks, 0.05, 0.95)
     for _ in range(steps):
-        rate1 = (q @ votes + 1) / (q.sum() + 2)
-        rate0 = ((1 - q) @ votes + 1) / ((1 - q).sum() + 2)
-        centred = votes - (q[:, None] * rate1 + (1 - q)[:, None] * rate0)
+        t = (q + marks) / 2
+        rate1 = (t @ votes + 0.5) / (t.sum() + 1)
+        rate0 = ((1 - t) @ votes + 0.5) / ((1 - t).sum() + 1)
+        centred = votes - (t[:, None] * rate1 + (1 - t)[:, None] * rate0)
         spread = np.sqrt((centred**2).mean(0)) + 1e-6
         correlation = np.abs(centred.T @ centred / len(votes) / spread / spread[:, None])
         weight = 1 / correlation.sum(1)
         evidence = votes * (np.log(rate1) - np.log(rate0)) + (1 - votes) * (np.log1p(-rate1) - np.log1p(-rate0))
-        share = np.clip(q.mean(), 1e-3, 1 - 1e-3)
+        share = np.clip(t.mean(), 1e-3, 1 - 1e-3)
         q = 1 / (1 + np.exp(-np.clip(evidence @ weight + np.log(share / (1 - share)), -30, 30)))
     return q
 
@@ -132,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     opened = np.sort(order[counts[1][order] >= 3])
     tried = max(int((counts.sum(0) >= 3).sum()), 1)
     shared = docs.sparkSession.sparkContext.broadcast((ids, opened))
-    seed = np.sort(hash_words(LEXICON))
+    lexicons = [hash_words(words.split()) for words in LEXICONS.values()]
+    seed = np.unique(np.concatenate([*lexicons, PATTERNS]))
+    lexical = np.unique(np.concatenate(lexicons))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sampled documents' features in the opened slots."""
@@ -156,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     keep = np.array([i in seen for i in ids.tolist()], bool)
     ids, y = ids[keep], y[keep]
     if len(ids) == 0 or y.min() == y.max():  # nothing to learn from: the lexicon alone votes
-        return Model(seed, np.full(len(seed), 3.0), -2.0)
+        return Model(lexical, np.full(len(lexical), 3.0), -2.0)
     own = [seen[i] for i in ids.tolist()]
     of = np.repeat(np.arange(len(ids)), [len(f) for _, f in own])
     all_ = np.concatenate([f for _, f in own])
@@ -172,20 +206,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chance = np.where(odds > 1.2, np.exp(-surprise(ones, zeros, n1, n0) / 2), 1.0)
     ranked = np.sort(chance)
     passed = np.flatnonzero(ranked <= FALSE_SHARE * np.arange(1, len(ranked) + 1) / max(tried, len(ranked)))
-    enough = (chance <= (ranked[passed[-1]] if len(passed) else 0.0)) | np.isin(hashes, seed)
+    enough = (chance <= (ranked[passed[-1]] if len(passed) else 0.0)) | np.isin(hashes, lexical)
     best = np.argsort(-np.where(enough, strength, -np.inf), kind="stable")[: min(FEATURES, int(enough.sum()))]
     place = np.full(len(hashes), -1)
     place[best] = np.arange(len(best))
     keep = place[column] >= 0
     x = np.zeros((len(ids), len(best)))
     x[row[keep], place[column[keep]]] = np.log1p(times[keep])
-    # Voters: the lexicon, the mined features dealt by strength, several different hits, dense hits, and the annotator.
+    # Voters: a lexicon a language, the patterns, the mined features dealt by strength, and several or dense hits.
     hit = x > 0
     size = np.array([w for w, _ in own])
-    dealt = np.arange(len(best)) * 2 * GROUPS // max(len(best), 1)
-    votes = [hit[:, dealt == k].any(1) for k in range(2 * GROUPS) if (dealt == k).any()]
-    votes += [hit[:, np.isin(hashes[best], seed)].any(1), hit.sum(1) >= 2, hit.sum(1) >= 4, hit.sum(1) * 100 >= np.maximum(size, 1), y > 0.5]
-    q = label_model(np.stack(votes, 1).astype(float), float(y.mean()))
+    dealt = np.arange(len(best)) * GROUPS // max(len(best), 1)
+    votes = [hit[:, dealt == k].any(1) for k in range(GROUPS) if (dealt == k).any()]
+    votes += [np.bincount(row[np.isin(hashes[column], words)], minlength=len(ids)) > 0 for words in (*lexicons, *PATTERNS[:, None])]
+    votes += [hit.sum(1) >= n for n in (2, 3, 4, 8)] + [hit.sum(1) * per >= np.maximum(size, 1) for per in (100, 30)]
+    q = label_model(np.stack(votes, 1).astype(float), y)
     w, b = logistic(x, q)
     order = np.argsort(hashes[best])
     return Model(hashes[best][order], w[order], b)
@@ -223,10 +258,9 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ()) -> DataF
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Toxicity of every document: ``doc_id, held_out, score, predicted``.
 
-    Lexicon and pattern voters, mined from a bounded sample of labelled rows (all words and byte patterns of
-    their whole texts), and the annotator's own mark go through a generative label model that estimates each
-    voter's accuracy and the correlations among voters; its posteriors train a linear classifier, which scores
-    every whole text. Rows of the held-out fold (crc32 of the id mod 5 = 0) are never learned from.
+    Tens of voters (lexicons of four languages, patterns of no language, and words and byte patterns mined from the whole texts of a
+    bounded sample of labelled rows) go through a generative label model that estimates each voter's accuracy and the correlations
+    among voters, with the annotators' marks of the sample; its posteriors train a linear classifier, which scores every whole text. Rows of the held-out fold (crc32 of the id mod 5 = 0) are never learned from.
 
     Null and empty texts score the classifier's bias; a null id is not held out; without usable
     labels the fixed lexicon decides; repeated rows score alike; an empty table gives no rows.
