@@ -73,6 +73,11 @@ def release(*frames: DataFrame | None) -> None:
                     delete(df.sparkSession, path)
 
 
+def packed(df: DataFrame, *columns: str) -> Column:
+    """All of a frame's columns, or those named, as one struct ``d``, so that none can clash with columns that a plan adds; ``d.*`` unpacks them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns or df.columns]).alias("d")
+
+
 def row_key(*columns: str) -> Column:
     """128 bits that name a row by its content, alike in a retried task: two hashes of the values and of which of them are null."""
     parts = [F.col(f"`{c}`") for c in columns]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, table
+from lectern.llm.common import cut, packed, row_key, table
 
 #: Words of a shingle, least similarity, and the Hamming radius within which the search finds every fingerprint.
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 12
@@ -146,13 +146,9 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     return scored.where(F.col("similarity") >= similarity).select("row", "doc_id", "item_id", "start", "similarity")
 
 
-def row_key() -> Column:
-    """A row's number, which a retried task computes again alike: a hash of the content."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000")), F.coalesce("text", F.lit("")))
-
-
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row", row_key())
+    """``docs`` with a name of each row, which a retried task computes again alike: 128 bits of its id and text."""
+    return docs.withColumn("row", row_key("doc_id", "text"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -175,7 +171,7 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     hits = cut(find(numbered(docs.select("doc_id", "text")), benchmark).select("row").distinct())
     few = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS else hits
-    return docs.withColumn("__row", row_key()).join(few.withColumnRenamed("row", "__row"), "__row", "left_anti").select(*docs.columns)
+    return docs.select(packed(docs), row_key("doc_id", "text").alias("row")).join(few, "row", "left_anti").select("d.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from lectern.llm.wordhash import LOWER, SPACE, Words, blocks, mix
 SAMPLE = 4096
 #: Terms: hashed byte trigrams, then word-level marks of style. Dimensions of the latent space. Neighbours.
 GRAMS, RANK, NEIGHBOURS = 4096, 64, 25
-MARKS = 12
+MARKS = 11
 #: Weight of the block of style marks beside that of the trigrams (each block has unit length).
 STYLE = 1.5
 
@@ -75,9 +75,8 @@ def terms(words: Words) -> np.ndarray:
     style[:, 6] = np.bincount(of_pair, twice, texts) / many * 2
     style[:, 7] = np.bincount(text, (length <= 2), texts) / many
     style[:, 8] = np.bincount(text, (length > 20), texts) / many * 2
-    style[:, 9] = np.bincount(of, raw == 124, texts) / many * 2
-    style[:, 10] = 0.5
-    style[:, 11] = np.minimum(1.0, 20 / (counts + 1)) * 0.5
+    style[:, 9] = 0.5
+    style[:, 10] = np.minimum(1.0, 20 / (counts + 1)) * 0.5
     return out
 
 
@@ -179,8 +178,11 @@ def judge(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = (), sam
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is 0.7 or more, with all their columns in order."""
     bound_batches(docs.sparkSession)
-    scored = score(docs, fit(docs, labels), tuple(docs.columns), "__quality")
-    return scored.where(F.col("__quality") >= 0.7).select(*docs.columns)
+    name = "quality_score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    scored = score(docs, fit(docs, labels), tuple(docs.columns), name)
+    return scored.where(F.col(name) >= 0.7).select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, bound_batches, cut, table
+from lectern.llm.common import SPACES, bound_batches, cut, packed, release, row_key, table
 from lectern.llm.linking import Sets, buckets, maybe, presence, resolve
 from lectern.llm.wordhash import blocks, mix, utf8
 
@@ -236,6 +236,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if not hot.isEmpty():
         texts = cut(contents(docs, hot.select("id").distinct(), settings))
         labels = resolve(hot, texts, compared(idf, settings))
+        release(texts)
+    release(hot)
     if labels is None:
         nodes = groups.select("digest", "rep", F.col("rep").alias("class_id"))
     else:
@@ -244,16 +246,24 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest ``doc_id``, with all its columns; rows with a null id stay."""
+    """One document of each class, that with the smallest ``doc_id``, with all its columns; rows with a null id stay.
+
+    Of different rows under one id the one with the least hash of its content stays, so reruns agree.
+    """
     found = cut(classes(docs).select("doc_id", "class_id"))
-    first = found.where("doc_id = class_id").select("doc_id").distinct()
-    out = docs.join(first, "doc_id", "left_semi")
+    first = found.where("doc_id = class_id").select(F.col("doc_id").alias("id")).distinct()
+    out = docs.select(packed(docs), F.col("doc_id").alias("id"), row_key(*docs.columns).alias("key")).join(first, "id", "left_semi")
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+        out = out.groupBy("id").agg(F.min_by("d", "key").alias("d"))
+    return out.select("d.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cut(classes(table(spark, sf_dir, "documents")))
-    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return found.join(sizes, "class_id").select("doc_id", "class_id", "class_size", "rep_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return sized(cut(classes(table(spark, sf_dir, "documents"))))
+
+
+def sized(found: DataFrame) -> DataFrame:
+    """One row per document with the size of its class; rows of the null class (see :func:`classes`) count together and all stay."""
+    sizes = found.groupBy(F.col("class_id").alias("of")).agg(F.count(F.lit(1)).alias("class_size"))
+    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())
+    return found.join(sizes, F.col("class_id").eqNullSafe(F.col("of"))).select("doc_id", "class_id", "class_size", "rep_id", kept.alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, cut, table
+from lectern.llm.common import WORD, cut, packed, row_key, table
 
 #: Hex digits of the seeded hash that form the bins in which running sizes are kept.
 BIN_DIGITS = 3
@@ -30,23 +30,25 @@ def water_fill(sources: DataFrame, epochs: float) -> DataFrame:
     with k clamped sources the level is (total - their caps) / (weight of the others), and the first k whose
     level keeps the next source at or below its cap is the fixed point of the repeated resharing.
     """
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    capped = sources.withColumn("cap", F.col("source_size") * F.lit(float(epochs))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    order = Window.orderBy(F.col("ratio").asc_nulls_last(), F.col("source").asc_nulls_last())
+    weight = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))
+    capped = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
+    capped = capped.withColumn("ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
+    rest = F.col("all_weight") - F.col("weight_below")
     ranked = (
         capped.withColumn("total", F.sum("source_size").over(everything).cast("double"))
         .withColumn("all_weight", F.sum("weight").over(everything))
         .withColumn("caps_below", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("weight_below", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("caps_below")) / (F.col("all_weight") - F.col("weight_below")))
+        .withColumn("level", F.when((F.col("weight") > 0) & (rest > 0), (F.col("total") - F.col("caps_below")) / rest))
         .withColumn("fits", F.col("level") <= F.col("ratio"))
     )
     # Levels of a clamped prefix only matter up to the first that fits.
     final = F.min(F.when(F.col("fits"), F.struct("ratio", F.col("source").isNull(), "source", "level"))).over(everything)
-    return ranked.withColumn("level", final["level"]).select(
-        "source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target")
-    )
+    target = F.when(F.col("weight") > 0, F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).otherwise(F.lit(0.0))
+    return ranked.withColumn("level", final["level"]).select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, epochs: float = 3.0, seed: int = 17, weights: DataFrame | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -56,20 +58,23 @@ def mix(docs: DataFrame, epochs: float = 3.0, seed: int = 17, weights: DataFrame
     floor(e) times, and once more those whose middle, in the running size along a seeded hash order,
     lies below the fraction left: so each source's words come within half a document of its target.
     Running sizes are kept in two steps, over 16**3 hash bins of a source and then inside a bin, so no
-    task orders a whole source. ``weights`` is a table ``(source, weight)``; by default 1, 2, 3, repeating.
+    task orders a whole source. ``weights`` is a table ``(source, weight)``; by default 1, 2, 3, repeating. A source that it
+    does not list, or lists with a weight that is null, zero or negative, has the target 0 (its words still count in the total that
+    the others share); of a source listed twice the weights are added.
 
     Returns ``doc_id, size, source_size, target, repeats, taken`` and ``columns``. Null texts have size 0
     and are taken 0 words; a null source is a source of its own; repeated rows count each by itself and
-    rows that tie in the hash order are ordered by size; a mix of empty texts has targets 0.
+    rows that tie in the hash order are ordered by size; rows with a null id are ordered by a hash of their text; a mix of empty texts has targets 0.
     """
-    keyed = docs.select("doc_id", "source", words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order"), *columns)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.select("doc_id", "source", words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("order"), *columns)
     rows = cut(keyed)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         weighed = default_weights(sources)
     else:
-        w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
-        weighed = sources.join(w, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
+        w = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum(F.greatest(F.col("weight").cast("double"), F.lit(0.0))).alias("weight"))
+        weighed = sources.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source")
     targets = water_fill(weighed, epochs)
     bin_ = F.substring("order", 1, BIN_DIGITS)
     bins = rows.groupBy("source", bin_.alias("bin")).agg(F.sum("size").alias("bin_size"))
@@ -96,14 +101,14 @@ def take(docs: DataFrame, epochs: float = 3.0, seed: int = 17, weights: DataFram
     Rows meet their number of repeats by a hash of the whole row; equal rows are interchangeable, so they are
     taken together as often as all of them.
     """
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    slim = docs.select("doc_id", "source", "text", key.alias("__key"))
-    chosen = cut(mix(slim, epochs, seed, weights, ("__key",)).groupBy("__key").agg(F.sum("repeats").alias("__repeats"), F.count(F.lit(1)).alias("__rows")))
-    keyed = docs.withColumn("__key", key)
-    if not chosen.where("__rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["__key"])
-    taken = keyed.join(chosen.where("__repeats > 0").select("__key", "__repeats"), "__key")
-    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*docs.columns)
+    key = row_key(*docs.columns)
+    slim = docs.select("doc_id", "source", "text", key.alias("key"))
+    chosen = cut(mix(slim, epochs, seed, weights, ("key",)).groupBy("key").agg(F.sum("repeats").alias("repeats"), F.count(F.lit(1)).alias("rows")))
+    keyed = docs.select(packed(docs), key.alias("key"))
+    if not chosen.where("rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["key"])
+    taken = keyed.join(chosen.where("repeats > 0").select("key", "repeats"), "key")
+    return taken.select("d", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("d.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +118,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '#' || md5(coalesce(text, '')))) AS ord
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY 1

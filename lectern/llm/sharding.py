@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, table
+from lectern.llm.common import cut, packed, table
 
 #: Bits of the hash, and how many of them one pass over the sizes can split.
 MAX_BITS, STEP = 60, 10
-LIMIT = 16 << 20
+#: Bytes of a shard by default, and in the query: small enough to split small tables too.
+LIMIT, QUERY_LIMIT = 16 << 20, 256 << 10
 #: Directory cells that may go to every task (some 50 bytes each); a larger table is joined by a shuffle.
 BROADCAST_CELLS = 100_000
 ADDED = ("n_bytes", "shard", "shard_bits", "page", "shard_bytes", "oversize")
@@ -64,41 +65,40 @@ def shard(docs: DataFrame, limit: int = LIMIT, columns: tuple[str, ...] = ()) ->
     """
     columns = tuple(c for c in columns if c not in ("doc_id", *ADDED))
     levels, full = directory(docs.select("doc_id", "text"), limit)
-    kept = ["doc_id", *columns]
-    placed = docs.select(*kept, sized().alias("__bytes"), hashed().alias("__hash"))
+    placed = docs.select(packed(docs, "doc_id", *columns), sized().alias("n_bytes"), hashed().alias("hash"))
     for k, leaves in enumerate(levels):
         # The first level has 2**STEP cells at most; a deeper one is counted before it is sent anywhere.
         small = leaves if k and leaves.count() > BROADCAST_CELLS else F.broadcast(leaves)
-        here = small.select(F.col("cell").alias("__cell"), F.col("leaf").alias(f"__leaf{k}"))
-        placed = placed.withColumn("__cell", F.shiftright("__hash", MAX_BITS - (k + 1) * STEP)).join(here, "__cell", "left")
-    leaf = F.coalesce(*[F.col(f"__leaf{k}") for k in range(len(levels))])
-    placed = placed.select(*kept, "__bytes", "__hash", leaf.alias("__leaf"))
-    out = placed.where("__leaf IS NOT NULL") if full else placed
+        here = small.select("cell", F.col("leaf").alias(f"leaf{k}"))
+        placed = placed.withColumn("cell", F.shiftright("hash", MAX_BITS - (k + 1) * STEP)).join(here, "cell", "left")
+    leaf = F.coalesce(*[F.col(f"leaf{k}") for k in range(len(levels))])
+    placed = placed.select("d", "n_bytes", "hash", leaf.alias("leaf"))
+    out = placed.where("leaf IS NOT NULL") if full else placed
     done = out.select(
-        *kept, F.col("__bytes").alias("n_bytes"), F.expr("lpad(bin(__leaf.prefix), __leaf.bits, '0')").alias("shard"), F.col("__leaf.bits").alias("shard_bits"),
-        F.lit(0).cast("long").alias("page"), F.col("__leaf.shard_bytes").alias("shard_bytes"), F.lit(False).alias("oversize"),
+        "d.*", "n_bytes", F.expr("lpad(bin(leaf.prefix), leaf.bits, '0')").alias("shard"), F.col("leaf.bits").alias("shard_bits"),
+        F.lit(0).cast("long").alias("page"), F.col("leaf.shard_bytes").alias("shard_bytes"), F.lit(False).alias("oversize"),
     )
-    return done.unionByName(overflow(placed.where("__leaf IS NULL"), limit, kept)) if full else done
+    return done.unionByName(overflow(placed.where("leaf IS NULL"), limit)) if full else done
 
 
-def overflow(rows: DataFrame, limit: int, kept: list[str]) -> DataFrame:
+def overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages for rows whose bucket is over the limit at full depth: inside each partition, so no key meets in one task."""
-    rows = cut(rows).withColumn("__part", F.spark_partition_id())
-    order = Window.partitionBy("__hash", "__part").orderBy("__bytes", "doc_id")
-    running = F.sum("__bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut(rows.select("d", "n_bytes", "hash")).withColumn("part", F.spark_partition_id())
+    order = Window.partitionBy("hash", "part").orderBy("n_bytes", "d.doc_id")
+    running = F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # Small rows fill slots of half a limit and overlap the next by less than half; a large row has a page of its own.
-    slot = F.when(F.col("__bytes") * 2 > limit, -F.row_number().over(order)).otherwise(F.floor(F.greatest(running - 1, F.lit(0)) * 2 / F.lit(limit)))
-    paged = rows.withColumn("__slot", slot)
-    page = F.shiftleft(F.col("__part").cast("long"), 32) + F.col("__slot")
-    own = Window.partitionBy("__hash", "__part", "__slot")
+    slot = F.when(F.col("n_bytes") * 2 > limit, -F.row_number().over(order)).otherwise(F.floor(F.greatest(running - 1, F.lit(0)) * 2 / F.lit(limit)))
+    paged = rows.withColumn("slot", slot)
+    page = F.shiftleft(F.col("part").cast("long"), 32) + F.col("slot")
+    own = Window.partitionBy("hash", "part", "slot")
     return paged.select(
-        *kept, F.col("__bytes").alias("n_bytes"), F.expr(f"lpad(bin(__hash), {MAX_BITS}, '0')").alias("shard"), F.lit(MAX_BITS).alias("shard_bits"),
-        page.alias("page"), F.sum("__bytes").over(own).alias("shard_bytes"), (F.col("__bytes") > limit).alias("oversize"),
+        "d.*", "n_bytes", F.expr(f"lpad(bin(hash), {MAX_BITS}, '0')").alias("shard"), F.lit(MAX_BITS).alias("shard_bits"),
+        page.alias("page"), F.sum("n_bytes").over(own).alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"),
     )
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(table(spark, sf_dir, "documents"))
+    return shard(table(spark, sf_dir, "documents"), QUERY_LIMIT)
 
 
 SQL = f"""
@@ -111,7 +111,7 @@ WITH rows AS (
   FROM rows, (SELECT CAST(unnest(range({MAX_BITS + 1})) AS INTEGER) AS bits) GROUP BY ALL
 ), leaves AS (
   SELECT r.doc_id, r.hash, r.n_bytes, min(d.bits) AS shard_bits, arg_min(d.prefix, d.bits) AS prefix, arg_min(d.shard_bytes, d.bits) AS shard_bytes
-  FROM rows r JOIN depths d ON r.hash >> ({MAX_BITS} - d.bits) = d.prefix WHERE d.shard_bytes <= {LIMIT} GROUP BY ALL
+  FROM rows r JOIN depths d ON r.hash >> ({MAX_BITS} - d.bits) = d.prefix WHERE d.shard_bytes <= {QUERY_LIMIT} GROUP BY ALL
 )
 SELECT doc_id, n_bytes, CASE WHEN shard_bits = 0 THEN '' ELSE lpad(bin(prefix), shard_bits, '0') END AS shard, shard_bits,
   CAST(0 AS BIGINT) AS page, shard_bytes, false AS oversize

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, lbl_scoring, line_dedup, linking, minhash_dedup, registry, wordhash
+from lectern.llm import decontaminate, html_text, knn_quality, lbl_scoring, line_dedup, linking, minhash_dedup, registry, sharding, toxicity, wordhash
 from tests.oracle import connect, same
 
 
@@ -125,9 +125,9 @@ def test_base_score_is_exact(spark, sf, texts):
 
 
 def test_model_probabilities_sum_to_one():
-    counts = lbl_scoring.Counts(1000, 50, 20, np.arange(40, dtype=np.uint64), np.arange(1, 41), np.arange(3, 43, dtype=np.int32))
+    counts = lbl_scoring.Counts(1000, 50, 20, np.arange(40, dtype=np.uint64), np.arange(1, 41), np.arange(2, 42, dtype=np.int32), np.arange(512), np.arange(512))
     share = lbl_scoring.unigram(counts)
-    windows = np.random.default_rng(1).integers(0, 43, (5000, 3)).astype(np.int16)
+    windows = np.random.default_rng(1).integers(0, 42, (5000, 3)).astype(np.int16)
     windows[windows == lbl_scoring.BEGIN] = lbl_scoring.END
     seen, p = lbl_scoring.train(iter([windows]), share, 3)
     t = lbl_scoring.normalised({k: v.astype(np.float64) for k, v in p.items()}, share)
@@ -135,6 +135,29 @@ def test_model_probabilities_sum_to_one():
         assert np.exp(t.one[a].astype(float) + t.two[b] - t.norm[a, b]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_model_does_not_depend_on_partitions_or_order(documents, monkeypatch):
+    """With several trainers, and with rows that lie otherwise."""
+    monkeypatch.setattr(lbl_scoring, "WINDOWS", 6000)
+    docs = documents.limit(120).cache()
+    runs = [{r.doc_id: r.score for r in lbl_scoring.score(x).collect()} for x in (docs, docs.repartition(7), docs.orderBy(F.desc("doc_id")))]
+    assert runs[0] and all(run[i] == pytest.approx(runs[0][i], rel=1e-9) for run in runs[1:] for i in runs[0])
+
+
+def test_words_of_a_class_share_its_probability(documents):
+    """Within each class the known words and one unseen word have shares that sum to one."""
+    table = lbl_scoring.word_counts(documents).cache()
+    counts = lbl_scoring.summarise(table)
+    words = np.array([r.word for r in table.collect()], np.int64)
+    times = {r.word: r["count"] for r in table.collect()}
+    words = words[words != lbl_scoring.END_KEY.view(np.int64)].view(np.uint64)
+    at, hit = lbl_scoring.look_up(words, counts)
+    ids = lbl_scoring.model_ids(words, at, hit, counts)
+    total = np.ones(lbl_scoring.CLASSES)
+    inside = ids >= lbl_scoring.FIRST_CLASS
+    np.add.at(total, ids[inside] - lbl_scoring.FIRST_CLASS, np.array([times[int(w)] for w in words[inside].view(np.int64)]) + 1)
+    assert inside.any() and np.array_equal(total, counts.class_tokens + counts.class_types + 1)
+
+
 def test_model_trains_on_every_position(documents):
     docs = documents.limit(20)
     counts = lbl_scoring.summarise(lbl_scoring.word_counts(docs))
@@ -151,6 +174,108 @@ def test_lines_against_brute_force(spark):
     assert out[1, 0].kept and not out[1, 2].kept and not out[2, 0].kept and out[2, 2].kept and out[3, 0].kept
 
 
+WIDE = "/root/testdata/sf0.01"
+
+
+def brute_pairs(sets, most=400):
+    """Pairs at 0.8 or more among multisets, of all that share an element that not too many have."""
+    of = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            of[x].append(k)
+    pairs = {(x, y) for members in of.values() if len(members) < most for a, x in enumerate(members) for y in members[a + 1 :]}
+    out = []
+    for a, b in pairs:
+        n = sum((sets[a] & sets[b]).values())
+        if n >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - n):
+            out.append((a, b))
+    return out
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{WIDE}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    links = [(rows[a][0], rows[b][0]) for a, b in brute_pairs([shingles(t) for _, t in rows])]
+    found = {r.doc_id: r.class_id for r in minhash_dedup.classes(docs).collect()}
+    assert len(links) > 50
+    assert sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+    # The idf moves a similarity a little, so classes may also hold pairs somewhat under the threshold, and none far from it.
+    text = dict(rows)
+    classes = collections.defaultdict(list)
+    for i, c in found.items():
+        classes[c].append(i)
+    for members in classes.values():
+        for i in members[1:]:
+            assert max(sum((shingles(text[i]) & shingles(text[j])).values()) / max(sum((shingles(text[i]) | shingles(text[j])).values()), 1) for j in members if j != i) >= 0.75 or not text[i].split()
+
+
+def test_decontamination_against_all_windows(spark):
+    """Every window of an item's length, at every place where it shares a shingle with the item."""
+    docs, items = spark.read.parquet(f"{WIDE}/documents.parquet"), spark.read.parquet(f"{WIDE}/benchmark.parquet")
+    tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    grams = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
+    wanted = {r.item_id: tokens(r.text) for r in items.collect()}
+    of = collections.defaultdict(set)
+    for i, w in wanted.items():
+        for g in grams(w):
+            of[g].add(i)
+    expected = {}
+    for r in docs.collect():
+        w = tokens(r.text)
+        places = collections.defaultdict(set)
+        for k in range(max(len(w) - 4, min(len(w), 1))):
+            for i in of.get(tuple(w[k : k + 5]), ()):
+                places[i].add(k)
+        hits = set()
+        for i, at in places.items():
+            n, own = len(wanted[i]), grams(wanted[i])
+            for start in {s for k in at for s in range(k - n, k + 1)}:
+                window = grams(w[max(start, 0) : start + n])
+                common = sum((window & own).values())
+                if common >= 0.8 * (sum(window.values()) + sum(own.values()) - common) and common:
+                    hits.add(i)
+        expected[r.doc_id] = sorted(hits)
+    found = {r.doc_id: r.item_ids for r in decontaminate.scan(docs, items).collect()}
+    assert sum(map(bool, expected.values())) > 10
+    assert found == expected
+
+
+def test_shards_against_a_directory_split_bucket_by_bucket(spark, sf):
+    import hashlib
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, len((r.text or "").encode()), bin(int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16))[2:].zfill(60)) for r in docs.collect()]
+    buckets, leaves = {"": rows}, {}
+    while buckets:
+        prefix, own = buckets.popitem()
+        if sum(n for _, n, _ in own) <= 20_000:
+            leaves |= {i: (prefix, sum(n for _, n, _ in own)) for i, _, _ in own}
+        else:
+            for bit in "01":
+                buckets[prefix + bit] = [x for x in own if x[2].startswith(prefix + bit)]
+    out = {r.doc_id: (r.shard, r.shard_bytes) for r in sharding.shard(docs, limit=20_000).where("NOT oversize").collect()}
+    assert len({s for s, _ in out.values()}) > 8
+    assert out == {i: x for i, x in leaves.items() if i in out} and len(out) == len(rows)
+
+
+def area(rows):
+    """Area under the ROC curve of (label, score)."""
+    good, bad = [s for y, s in rows if y == 1], [s for y, s in rows if y == 0]
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+@pytest.mark.parametrize("module,column,modulus,fold,least", [(toxicity, "toxic", 5, 0, 0.75), (knn_quality, "quality", 4, 2, 0.95)])
+def test_classifiers_on_held_out_labels(spark, module, column, modulus, fold, least):
+    docs, labels = spark.read.parquet(f"{WIDE}/documents.parquet"), spark.read.parquet(f"{WIDE}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == fold
+    other = labels.withColumn(column, F.when(held, 1 - F.col(column)).otherwise(F.col(column)))
+    out, changed = ({r.doc_id: r for r in module.judge(docs, x).collect()} for x in (labels, other.repartition(3)))
+    truth = {r.doc_id: r[column] for r in labels.collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % modulus == fold) for i, r in out.items())
+    assert {i: r.score for i, r in out.items()} == {i: r.score for i, r in changed.items()}
+    assert area([(truth[i], r.score) for i, r in out.items() if r.held_out and truth.get(i) is not None]) >= least
+
+
 def line_shingles(line):
     raw = line.encode()
     return {raw[k : k + 8] for k in range(max(len(raw) - 7, 1))}
@@ -232,6 +357,38 @@ PAGES = [
 ]
 
 
+BODY = "".join(f"<p>Paragraph {k} of the story, long enough to count, with commas, and more of it to read.</p>" for k in range(4))
+STORY = "\n".join(f"Paragraph {k} of the story, long enough to count, with commas, and more of it to read." for k in range(4))
+CHROME = (
+    "<nav><a href=/>Home</a></nav><div class='sidebar'><ul><li><a href=/a>First link here</a></li><li><a href=/b>Second link, here</a></li></ul></div>"
+    "<div class='ad-box'><p>Buy now, cheap, good</p></div>{}<div id='cookie-notice'><p>We use cookies, to know you, better.</p></div>"
+    "<div class='comment-body'><p>I read it all, twice, and I liked it, mostly, I think, so there.</p></div><div class='social-links'><a href=/x>Share</a> <a href=/y>Send</a></div>"
+)
+WRAPPERS = [
+    "<div class='content no-sidebar'>{}</div>", "<div class='page has-sidebar'>{}</div>", "<div class='social-science'>{}</div>", "<div id='read-more-article'>{}</div>",
+    "<div class='post tags-on'>{}</div>", "<form id='aspnetForm'><div class='content'>{}</div><input name=q><label>Search</label></form>",
+    "<div class='post-content has-sidebar'>{}</div>", "<div class='story social-issues'>{}</div>", "<div>{}</div>", "<section><div><div>{}</div></div></section>", "<td>{}</td>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("page", ["{}", CHROME])
+def test_names_do_not_decide_alone(wrapper, page):
+    assert html_text.main_text("<body>" + page.format(wrapper.format(BODY)) + "</body>") == STORY
+
+
+def test_scoring_finds_the_container_among_others():
+    """No article tag, no telling names: commas, length and links decide, and a paragraph named like a link stays if it reads like one."""
+    lists = "<div>" + "".join(f"<p><a href=/{k}>A headline of some length, number {k}</a></p>" for k in range(8)) + "</div>"
+    html = f"<body><div>{lists}<div><h2>Title of it</h2>{BODY}<p class='read-more'>There is more to read, of course, and it goes on here.</p></div></div><div><p>Imprint</p></div></body>"
+    assert html_text.main_text(html) == "Title of it\n" + STORY + "\nThere is more to read, of course, and it goes on here."
+
+
+def test_remarks_longer_than_the_article_go():
+    html = f"<body><div class='entry'>{BODY}</div><div id='comments'>" + BODY.replace("story", "remark") * 5 + "</div></body>"
+    assert html_text.main_text(html) == STORY
+
+
 @pytest.mark.parametrize("html,text", PAGES)
 def test_main_text_of_small_pages(html, text):
     assert html_text.main_text(html) == text

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, exact_dedup, knn_quality, lbl_scoring, line_dedup, minhash_dedup, mixing, sharding, toxicity
+from lectern.llm import decontaminate, exact_dedup, html_text, knn_quality, lbl_scoring, line_dedup, minhash_dedup, mixing, sharding, toxicity
 
 
 def test_exact_dedup(spark, odd, none):
@@ -24,7 +24,66 @@ def test_exact_dedup_is_incremental(spark):
     out = {r.doc_id: r for r in exact_dedup.deduplicate(second, again).collect()}
     assert out[1].keep_id == 5 and not out[1].kept and out[1].group_size == 2
     assert out[2].keep_id == 2 and out[2].kept and out[3].keep_id == 2
-    assert index.read().count() == 3
+    assert index.read().select("digest").distinct().count() == 3 and index.read().agg(F.sum("copies")).first()[0] == 5
+
+
+def rows_of(df, *columns):
+    return sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect())))
+
+
+def test_exact_dedup_of_a_repeated_batch(spark):
+    """A batch that is run again returns what it did, and later batches count each batch once."""
+    index = exact_dedup.new_index(spark, 4)
+    batches = [[(1, "a b"), (2, "a  b"), (3, "c")], [(4, "c"), (5, "d"), (None, "d")], [(6, "c"), (7, "a b")]]
+    frames = [spark.createDataFrame(rows, "doc_id long, text string") for rows in batches]
+    for df in frames[:2]:
+        first, again = (exact_dedup.deduplicate(df, index) for _ in range(2))
+        columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+        assert rows_of(first, *columns) == rows_of(again, *columns)
+    out = {r.doc_id: r for r in exact_dedup.deduplicate(frames[2], index).collect()}
+    assert (out[6].keep_id, out[6].group_size, out[6].kept) == (3, 3, False)
+    assert (out[7].keep_id, out[7].group_size, out[7].kept) == (1, 3, False)
+    index.drop()
+
+
+def test_exact_dedup_keeps_one_row_of_each_group(spark, odd):
+    docs = spark.createDataFrame([(None, "x y"), (None, "x  y"), (None, "z"), (9, "z"), (9, "z")], "doc_id long, text string")
+    for df in (docs, odd):
+        kept = {}
+        for r in exact_dedup.deduplicate(df, exact_dedup.new_index(spark, 4)).collect():
+            kept.setdefault(r.text_sha256, []).append(r.kept)
+        assert all(sum(x) == 1 for x in kept.values())
+
+
+def test_near_dedup_returns_every_row(spark, odd):
+    """Also those whose text only rows without an id have."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(None, text), (None, text + " x"), (None, "e"), (None, "e")], "doc_id long, text string"))
+    out = minhash_dedup.sized(minhash_dedup.classes(docs)).collect()
+    assert len(out) == docs.count()
+    lone = [r for r in out if r.class_id is None]
+    assert len(lone) == 4 and all(r.kept and r.class_size == 4 and r.rep_id is None for r in lone)
+
+
+def test_near_dedup_picks_alike_among_texts_of_one_id(spark):
+    rows = [(1, f"text number {k} of the id", f"s{k}") for k in range(6)] + [(2, "another one", "s"), (2, "another one", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    picked = [rows_of(minhash_dedup.keep(x), "doc_id", "text", "id") for x in (docs, docs.repartition(5), docs.orderBy(F.desc("text")))]
+    assert len(picked[0]) == 2 and picked[0] == picked[1] == picked[2]
+
+
+CLASH = "doc_id long, text string, source string, row string, key string, d string, id string, n_words string, quality_score string, __row string, __key string, hash string, cell string"
+
+
+def test_columns_of_any_name_pass_through(spark, benchmark, labels):
+    texts = [" ".join(f"w{(k * 7 + j) % 50}" for j in range(30)) for k in range(12)]
+    rows = [(k if k else None, t, "s", *("abcdefghij"[:10])) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASH)
+    for out in (minhash_dedup.keep(docs), decontaminate.keep(docs, benchmark), mixing.take(docs, epochs=1.0), knn_quality.keep(docs, labels)):
+        assert out.columns == docs.columns
+        assert all(tuple(r)[3:] == rows[0][3:] for r in out.collect())
+    out = sharding.shard(docs, limit=100, columns=tuple(docs.columns[1:]))
+    assert set(docs.columns) | set(sharding.ADDED) == set(out.columns) and out.count() == len(rows)
 
 
 def test_near_dedup(odd, none):
@@ -74,6 +133,19 @@ def test_lm_scoring(odd, none):
     assert lbl_scoring.score(none).collect() == []
 
 
+def test_html_pages(spark):
+    schema = "page_id long, html string, text string, n_chars string, url string"
+    long = "<div class='content'>" + "<p>word, and so on</p>" * 60_000 + "<div>" * 3000
+    rows = [(1, None, "x", "y", None), (2, "", "x", "y", "u"), (None, "<p>one", "x", "y", "u"), (4, long, None, None, "u"), (4, long, None, None, "u"), (5, "<<<>&#xZ;</p", None, None, None)]
+    out = html_text.extract(spark.createDataFrame(rows, schema))
+    assert sorted(out.columns) == ["n_chars", "page_id", "text", "url"]
+    got = out.collect()
+    assert len(got) == 6 and all(r.n_chars == len(r.text) for r in got)
+    assert {r.text for r in got if r.page_id in (1, 2)} == {""} and [r.text for r in got if r.page_id is None] == ["one"]
+    assert [r.text.count("\n") for r in got if r.page_id == 4] == [59_999] * 2
+    assert html_text.extract(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_mixing(odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count()
@@ -92,6 +164,17 @@ def test_mixing_clamps_and_reshares(spark):
     assert all(abs(total - target) <= 10 for target, total in targets.values())
 
 
+def test_mixing_with_weights_that_are_missing_null_or_zero(spark):
+    rows = [(k, "w " * 10, f"s{k % 5}") for k in range(50)] + [(None, "w w", None), (None, "v v", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("s0", 1.0), ("s1", 0.0), ("s2", None), ("s3", -2.0), ("s0", 1.0), ("other", 5.0)], "source string, weight double")
+    out = mixing.mix(docs, weights=weights, columns=("source",)).collect()
+    assert len(out) == len(rows)
+    assert {r.target for r in out if r.source == "s0"} == {300.0} and {r.target for r in out if r.source != "s0"} == {0.0}
+    assert sum(r.taken for r in out) == 300
+    assert {r.taken for r in mixing.mix(docs, weights=weights.limit(0)).collect()} == {0}
+
+
 def test_sharding(odd, none):
     out = sharding.shard(odd, limit=200).collect()
     assert len(out) == odd.count()
