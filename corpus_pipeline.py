@@ -2,7 +2,7 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps with all their columns; the last adds
 the shard of each. ``run`` writes each stage's result as Parquet in the cluster's shared folder and rereads it, so a
-lost executor costs at most the stage at work.
+lost executor costs at most the stage at work; a stage's result is deleted once the next one's is written.
 
 Rows with a null id are scored, scanned, mixed and sharded like any other; near-dedup, which names documents by their
 id, keeps them. Rows repeated with one id are one document to near-dedup. Extra columns pass through
@@ -14,10 +14,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, knn_quality, minhash_dedup, mixing, sharding
-from lectern.llm.common import shared_folder, table
+from lectern.llm.common import delete, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
