@@ -64,7 +64,7 @@ def local_endpoint(url: str) -> tuple[str, int]:
     parts = urlsplit(url)
     if parts.scheme != "http" or parts.username is not None or parts.password is not None or parts.path not in ("", "/") or parts.query or parts.fragment:
         raise ValueError("a plain http URL of this machine is required")
-    host = parts.hostname or ""
+    host = "127.0.0.1" if parts.hostname == "localhost" else parts.hostname or ""
     if not ipaddress.ip_address(host).is_loopback:
         raise ValueError("a loopback address is required")
-    return host, parts.port or 11434
+    return f"[{host}]" if ":" in host else host, parts.port or 11434

@@ -108,10 +108,20 @@ def join_cjk(value: Column) -> Column:
 
 
 def distinct_by(values: Column, key) -> Column:
-    """Array elements whose key no earlier element has, in order. ``key`` is a column function."""
-    pairs = F.transform(values, lambda v: F.struct(key(v).alias("k"), v.alias("v")))
-    keys = F.transform(pairs, lambda p: p["k"])
-    return F.transform(F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1), lambda p: p["v"])
+    """Array elements whose key no earlier element has, in order. ``key`` is a column function, evaluated once an element.
+
+    Elements are sorted by key and place, those that differ from the one before are kept and put back in order: n log n for n elements.
+    """
+    keyed = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
+    # The array as an element of another is bound to a name, so it is not computed again for each of its elements.
+    first = F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: x["k"].isNotNull() & ((i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"]))))
+    ordered = F.array_sort(F.transform(F.element_at(first, 1), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
+    return F.transform(ordered, lambda x: x["v"])
+
+
+def labels_typed(value: Column) -> Column:
+    """Labels typed into a form: parts between commas, stripped, without blanks."""
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), ","), strip), lambda v: v != "")
 
 
 def clean_list(values: Column, key=F.lower) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.digest import flag, positive_id
@@ -67,6 +67,52 @@ def order_key() -> list[Column]:
     return [rank.asc(), F.col("year").desc_nulls_last(), ascii_lower(F.coalesce("title", "filename")).asc(), F.col("id").asc()]
 
 
+def ranked(hits: DataFrame, name: str = "position") -> DataFrame:
+    """``hits`` with their place in display order, counted in two steps so that no task orders all of them.
+
+    Groups of equal relevance, year and first two letters of the title follow one another; the table of group sizes, some thousands of
+    rows whatever the number of hits, gives where each begins, and a window inside a group the rest.
+    """
+    title, last = order_key()[2:]
+    folded = ascii_lower(F.coalesce("title", "filename"))
+    relevance = effective("relevance")
+    group = {"__rank": F.when(relevance == "A", 0).when(relevance == "B", 1).when(relevance == "C", 2).otherwise(3), "__start": F.substring(folded, 1, 2)}
+    grouped = hits.withColumns(group)
+    keys = ["__rank", "year", "__start"]
+    order = Window.orderBy(F.col("__rank"), F.col("year").desc_nulls_last(), F.col("__start")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = grouped.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    begins = sizes.select(F.col("__rank").alias("__r"), F.col("year").alias("__y"), F.col("__start").alias("__s"), F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(title, last))
+    placed = grouped.withColumn("__inside", inside)
+    joined = placed.join(begins, (F.col("__rank") == F.col("__r")) & F.col("year").eqNullSafe(F.col("__y")) & F.col("__start").eqNullSafe(F.col("__s")))
+    return joined.withColumn(name, (F.col("__before") + F.col("__inside")).cast("int")).select(*hits.columns, name)
+
+
+def bounded_years(chosen: tuple[int, int], known: tuple[int, int]) -> tuple[int | None, int | None]:
+    """Bounds that a reader's choice of years means: the whole known range is no bound, so papers of unknown year stay visible."""
+    return (None, None) if tuple(chosen) == tuple(known) else (chosen[0], chosen[1])
+
+
+def by_id(papers: DataFrame, paper_id: int) -> DataFrame:
+    return papers.where(F.col("id") == F.lit(paper_id))
+
+
+def by_hash(papers: DataFrame, file_hash: str) -> DataFrame:
+    return papers.where(F.col("file_hash") == F.lit(file_hash))
+
+
+def flags_of(papers: DataFrame, state: DataFrame) -> DataFrame:
+    """``paper_id, is_favorite, read_later`` of every paper, false where no state is stored."""
+    stored = state.select("paper_id", "is_favorite", "read_later")
+    joined = papers.select(F.col("id").alias("paper_id")).join(stored, "paper_id", "left")
+    return joined.select("paper_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_favorite", "read_later")])
+
+
+def run_history(runs: DataFrame, paper_id: int, answer: str = "primary_category STRING") -> DataFrame:
+    """Runs of one paper in order, their stored answer parsed."""
+    return runs.where(F.col("paper_id") == F.lit(paper_id)).withColumn("result", F.from_json("result_json", answer)).orderBy("id")
+
+
 def search(
     papers: DataFrame,
     labels: DataFrame,

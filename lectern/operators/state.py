@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ascii_lower, collapse
-from lectern.model import RETRIED
+from lectern.functions.text import ascii_lower, collapse, distinct_by, folder_key, strip
+from lectern.model import CATEGORIES, LABEL_FIELDS, RELEVANCES, RETRIED
 
 
 def latest(log: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
@@ -53,6 +53,53 @@ def default_status(has_classification: Column, reasons: Column) -> Column:
     return F.when(has_classification, "classified").when(F.size(reasons) > 0, "needs_review").otherwise("pending")
 
 
+def add_papers(incoming: DataFrame, papers: DataFrame, first_id: int) -> dict[str, DataFrame]:
+    """The rows that new papers add to ``papers``, ``labels`` and ``runs``, to be committed as one version.
+
+    ``incoming`` has a paper's columns but its id, ``reasons`` and, where it is classified already, ``labels`` (an array of ``field,
+    label``) and ``result_json``. A hash that is stored already, or comes twice, is an error. Ids follow ``first_id`` in order of the hash;
+    a paper is classified, held for review if it has reasons, or pending; only a classified one has labels and a run.
+    """
+    known = papers.select("file_hash", F.lit(True).alias("__known")).distinct()
+    copies = incoming.groupBy("file_hash").agg(F.count(F.lit(1)).alias("__copies"))
+    checked = incoming.join(known, "file_hash", "left").join(copies, "file_hash")
+    again = F.col("__known").isNotNull() | (F.col("__copies") > 1)
+    hashed = checked.withColumn("file_hash", F.when(again, F.raise_error(F.lit("a paper with this hash exists")).cast("string")).otherwise(F.col("file_hash")))
+    # Ids in two steps: where the hashes with one beginning start, and the place among them.
+    begin = F.substring("file_hash", 1, 3)
+    sizes = incoming.groupBy(begin.alias("__begin")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = hashed.withColumn("__begin", begin).join(starts.drop("__n"), "__begin")
+    own = F.row_number().over(Window.partitionBy("__begin").orderBy("file_hash"))
+    done = F.col("result_json").isNotNull()
+    rows = numbered.withColumn("id", F.lit(first_id - 1).cast("long") + F.col("__start") + own).withColumn("classification_status", default_status(done, F.col("reasons")))
+    kept = [c for c in incoming.columns if c not in ("reasons", "labels", "result_json")]
+    classified = rows.where(done)
+    labels = classified.select(F.col("id").alias("paper_id"), F.explode("labels").alias("l")).select("paper_id", "l.field", F.lit("ai").alias("value_source"), "l.label")
+    return {
+        "papers": rows.select("id", *kept, "classification_status"), "labels": labels,
+        "runs": classified.select(F.col("id").alias("paper_id"), F.lit("classified").alias("status"), "result_json"),
+    }
+
+
+def update_metadata(papers: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
+    """Papers with ``columns``, status and error from the last of their ``updates`` (``id, seq, status, error``, columns), nulls included; other rows as they are."""
+    fields = [*columns, "classification_status", "classification_error"]
+    new = updates.groupBy("id").agg(F.max_by(F.struct(*columns, F.col("status").alias("classification_status"), F.col("error").alias("classification_error")), "seq").alias("__new"))
+    joined = papers.join(new, "id", "left")
+    return joined.withColumns({c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in fields if c in papers.columns}).select(*papers.columns)
+
+
+def metadata_values(rows: DataFrame, lists: tuple[str, ...]) -> DataFrame:
+    """Metadata as it is stored: lists and maps as JSON text, in the order given."""
+    return rows.withColumns({c: F.to_json(F.coalesce(c, F.array().cast("array<string>"))) for c in lists})
+
+
+def row_metadata(rows: DataFrame, lists: tuple[str, ...]) -> DataFrame:
+    """Stored metadata with its JSON text parsed; a missing list is empty."""
+    return rows.withColumns({c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in lists})
+
+
 def guarded_update(papers: DataFrame, update: DataFrame, columns: list[str]) -> DataFrame:
     """Papers with ``columns`` from ``update`` where id and hash both agree; other rows as they are."""
     new = update.select("id", "file_hash", *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__new"))
@@ -81,19 +128,64 @@ def replace_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def review(papers: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Human reviews set the human side and the mark; a missing reason keeps the old, at most 500 characters; confidence stays."""
-    new = reviews.select(F.col("paper_id").alias("id"), F.col("primary_category").alias("__c"), F.col("relevance").alias("__r"), F.substring(collapse(F.col("relevance_reason")), 1, 500).alias("__why"), F.lit(True).alias("__new"))
+    """Human reviews set the human side and the mark; a missing reason keeps the old, at most 500 characters; confidence stays.
+
+    A value outside its closed set is an error. Of several reviews of a paper the last by ``seq`` holds, if there is such a column, else the largest.
+    """
+    category, relevance = F.col("primary_category"), F.col("relevance")
+    good = (category.isNull() | category.isin(*CATEGORIES)) & (relevance.isNull() | relevance.isin(*RELEVANCES))
+    why = F.nullif(F.substring(collapse(F.col("relevance_reason")), 1, 500), F.lit(""))
+    checked = reviews.withColumn("primary_category", F.when(good, category).otherwise(F.raise_error(F.lit("a review has a value that is not allowed")).cast("string")))
+    one = F.struct("primary_category", "relevance", why.alias("relevance_reason"))
+    new = checked.groupBy(F.col("paper_id").alias("id")).agg((F.max_by(one, "seq") if "seq" in reviews.columns else F.max(one)).alias("__new"))
+    by_hand = F.col("__new").isNotNull()
     out = papers.join(new, "id", "left").withColumns(
         {
-            "primary_category": F.when(F.col("__new"), F.col("__c")).otherwise(F.col("primary_category")),
-            "relevance": F.when(F.col("__new"), F.col("__r")).otherwise(F.col("relevance")),
-            "relevance_reason": F.coalesce(F.when(F.col("__new"), F.nullif(F.col("__why"), F.lit(""))), F.col("relevance_reason")),
-            "manually_reviewed": F.coalesce("__new", "manually_reviewed"),
+            "primary_category": F.when(by_hand, F.col("__new.primary_category")).otherwise(F.col("primary_category")),
+            "relevance": F.when(by_hand, F.col("__new.relevance")).otherwise(F.col("relevance")),
+            "relevance_reason": F.coalesce("__new.relevance_reason", "relevance_reason"),
+            "manually_reviewed": by_hand | F.col("manually_reviewed"),
         }
     )
     return out.select(*papers.columns)
 
 
+def review_labels(labels: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Human label sets after ``reviews`` (``paper_id`` and an array a field): tags are always replaced, the other fields only if given."""
+    sets = {f: F.coalesce(f, F.array().cast("array<string>")) if f == "tags" else F.col(f) for f in LABEL_FIELDS}
+    given = reviews.select("paper_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), a.alias("labels")) for f, a in sets.items()])).alias("s"))
+    rows = given.where("s.labels IS NOT NULL").select("paper_id", "s.field", F.lit("current").alias("value_source"), F.explode_outer(distinct_by(F.filter(F.transform("s.labels", collapse), lambda v: v != ""), ascii_lower)).alias("label"))
+    return replace_labels(labels, rows)
+
+
+def create_folders(folders: DataFrame, names: DataFrame, first_id: int) -> DataFrame:
+    """``folders`` with the new ``names``: stripped, at most 100 characters, and none whose key there is already or comes twice."""
+    wanted = names.select(strip(F.col("name")).alias("name"))
+    keyed = wanted.withColumn("name_key", folder_key("name"))
+    return folders.unionByName(_unique_folders(keyed, folders).withColumn("id", F.lit(first_id - 1).cast("long") + F.row_number().over(Window.orderBy("name_key"))).select(*folders.columns))
+
+
+def rename_folder(folders: DataFrame, folder_id: int, name: str) -> DataFrame:
+    """``folders`` with one renamed; a key that another folder has is an error."""
+    own = F.col("id") == F.lit(folder_id)
+    renamed = folders.where(own).select("id", strip(F.lit(name)).alias("name")).withColumn("name_key", folder_key("name"))
+    return folders.where(~own).unionByName(_unique_folders(renamed, folders.where(~own)).select(*folders.columns))
+
+
+def _unique_folders(rows: DataFrame, others: DataFrame) -> DataFrame:
+    known = others.select("name_key", F.lit(True).alias("__known"))
+    copies = rows.groupBy("name_key").agg(F.count(F.lit(1)).alias("__copies"))
+    joined = rows.join(known, "name_key", "left").join(copies, "name_key")
+    good = F.col("__known").isNull() & (F.col("__copies") == 1) & F.length("name").between(1, 100)
+    return joined.withColumn("name", F.when(good, F.col("name")).otherwise(F.raise_error(F.lit("a folder name must be new and of 1 to 100 characters")).cast("string"))).drop("__known", "__copies")
+
+
+def current_labels(labels: DataFrame, papers: DataFrame) -> DataFrame:
+    """Labels after a migration: human ones of papers that no one reviewed are dropped."""
+    unreviewed = papers.where(~F.coalesce("manually_reviewed", F.lit(False))).select(F.col("id").alias("paper_id"), F.lit("current").alias("value_source"))
+    return labels.join(unreviewed, ["paper_id", "value_source"], "left_anti").select(*labels.columns)
+
+
 def upsert_flags(state: DataFrame, changes: DataFrame) -> DataFrame:
     """Only the flags given change; ``changed`` tells rows that differ from before, so an equal write appends nothing."""
     new = latest_given(changes, "paper_id", "seq", "is_favorite", "read_later").withColumnsRenamed({"is_favorite": "__f", "read_later": "__l"})

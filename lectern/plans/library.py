@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from lectern.model import CATEGORIES, CLASSIFICATION_STATUSES, STATUSES
 
 
+#: Lengths of the words that stand for labels of each field, machine and human.
+AI_LENGTHS = {"tags": (2, 3), "target_vulnerabilities": (14, 16), "research_methods": (12, 12)}
+HUMAN_LENGTHS = {"tags": (3, 3), "research_methods": (13, 13)}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +34,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("file_hash"),
         F.concat(F.lit("doc_"), i.cast("string"), F.lit(".pdf")).alias("filename"),
         F.when(i % 11 != 0, F.substring("text", 1, 60)).alias("title"),
-        F.substring("text", 61, 400).alias("abstract"),
+        F.expr("substring(text, 61)").alias("abstract"),
         F.when(i % 7 != 0, 1990 + i % 35).cast("int").alias("year"),
         ai.alias("ai_primary_category"),
         F.when(F.col("quality") == 1, pick(CATEGORIES, i % 8)).alias("primary_category"),
@@ -44,12 +49,17 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the whole text, by their length: machine labels of every document, human ones of those reviewed."""
     docs, reviews = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    word = lambda k: F.get(F.split("text", " "), k)
-    row = lambda field, source, k: F.struct(F.lit(field).alias("field"), F.lit(source).alias("value_source"), word(k).alias("label"))
-    ai = docs.select(F.col("doc_id").alias("paper_id"), F.explode(F.array(row("tags", "ai", 0), row("tags", "ai", 1), row("target_vulnerabilities", "ai", 2), row("research_methods", "ai", 3))).alias("r"))
-    human = docs.join(reviews, "doc_id").select(F.col("doc_id").alias("paper_id"), F.explode(F.array(row("tags", "current", 4), row("research_methods", "current", 5))).alias("r"))
-    return ai.unionByName(human).select("paper_id", "r.*").where("label <> ''")
+
+    def rows(source: str, lengths: dict[str, tuple[int, int]]) -> Column:
+        sets = [F.struct(F.lit(f).alias("field"), F.lit(source).alias("value_source"), F.filter("words", lambda w: F.length(w).between(*between)).alias("words")) for f, between in lengths.items()]
+        return F.explode(F.array(*sets)).alias("r")
+
+    words = docs.select(F.col("doc_id").alias("paper_id"), F.array_distinct(F.split("text", " ")).alias("words"))
+    ai = words.select("paper_id", rows("ai", AI_LENGTHS))
+    human = words.join(reviews.select(F.col("doc_id").alias("paper_id")), "paper_id").select("paper_id", rows("current", HUMAN_LENGTHS))
+    return ai.unionByName(human).select("paper_id", "r.field", "r.value_source", F.explode("r.words").alias("label"))
 
 
 def user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +103,7 @@ _CLASSIFICATION = ", ".join(f"'{c}'" for c in CLASSIFICATION_STATUSES)
 SQL = f"""
 WITH papers AS (
   SELECT d.doc_id AS id, sha256(text) AS file_hash, 'doc_' || d.doc_id || '.pdf' AS filename,
-    CASE WHEN d.doc_id % 11 <> 0 THEN substr(text, 1, 60) END AS title, substr(text, 61, 400) AS abstract,
+    CASE WHEN d.doc_id % 11 <> 0 THEN substr(text, 1, 60) END AS title, substr(text, 61) AS abstract,
     CASE WHEN d.doc_id % 7 <> 0 THEN CAST(1990 + d.doc_id % 35 AS INTEGER) END AS year,
     CASE WHEN n_chars % 9 < 8 THEN [{_CATEGORIES}][n_chars % 9 % 8 + 1] END AS ai_primary_category,
     CASE WHEN quality = 1 THEN [{_CATEGORIES}][d.doc_id % 8 + 1] END AS primary_category,
@@ -103,12 +113,14 @@ WITH papers AS (
     [{_STATUSES}][d.doc_id % 4 + 1] AS status, quality IS NOT NULL AS manually_reviewed,
     [{_CLASSIFICATION}][n_chars % 4 + 1] AS classification_status
   FROM documents d LEFT JOIN labels USING (doc_id)
+), words AS (
+  SELECT doc_id AS paper_id, list_distinct(string_split(text, ' ')) AS words FROM documents
 ), paper_labels AS (
-  SELECT * FROM (
-    SELECT doc_id AS paper_id, unnest(['tags', 'tags', 'target_vulnerabilities', 'research_methods']) AS field, 'ai' AS value_source, unnest(string_split(text, ' ')[1:4]) AS label FROM documents
-    UNION ALL
-    SELECT doc_id, unnest(['tags', 'research_methods']), 'current', unnest(string_split(text, ' ')[5:6]) FROM documents JOIN labels USING (doc_id)
-  ) WHERE field IS NOT NULL AND label <> ''
+  SELECT paper_id, 'tags' AS field, 'ai' AS value_source, unnest(list_filter(words, lambda w: length(w) BETWEEN 2 AND 3)) AS label FROM words
+  UNION ALL SELECT paper_id, 'target_vulnerabilities', 'ai', unnest(list_filter(words, lambda w: length(w) BETWEEN 14 AND 16)) FROM words
+  UNION ALL SELECT paper_id, 'research_methods', 'ai', unnest(list_filter(words, lambda w: length(w) = 12)) FROM words
+  UNION ALL SELECT paper_id, 'tags', 'current', unnest(list_filter(words, lambda w: length(w) = 3)) FROM words WHERE paper_id IN (SELECT doc_id FROM labels)
+  UNION ALL SELECT paper_id, 'research_methods', 'current', unnest(list_filter(words, lambda w: length(w) = 13)) FROM words WHERE paper_id IN (SELECT doc_id FROM labels)
 ), effective AS (
   SELECT *, CASE WHEN manually_reviewed THEN primary_category ELSE ai_primary_category END AS effective_primary_category,
     CASE WHEN manually_reviewed THEN relevance ELSE ai_relevance END AS effective_relevance,

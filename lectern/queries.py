@@ -63,9 +63,7 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
         lib.papers(spark, d), lib.labels(spark, d), statuses=("Unread", "Read", "Important"), relevances=("A", "B"), year_min=1995, year_max=2020,
         tags=("The", "OF", "and", "de", "in"), ordered=False,
     )
-    # Ranked by a global sort and running count per range partition would do; a result set fits one window after the filters.
-    position = F.row_number().over(Window.orderBy(*search.order_key()))
-    return found.select("id", "title", "year", search.effective("relevance").alias("effective_relevance"), position.alias("position"))
+    return search.ranked(found).select("id", "title", "year", search.effective("relevance").alias("effective_relevance"), "position")
 
 
 @query("SELECT id, effective_primary_category FROM effective WHERE effective_primary_category IN ('Authentication', 'Token Security')")
@@ -217,8 +215,8 @@ def latest_run_per_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, status, json_extract_string(result_json, '$.primary_category') AS primary_category, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS position FROM runs WHERE paper_id = 7")
 def run_history(spark: SparkSession, d: str) -> DataFrame:
-    runs = lib.runs(spark, d).where("paper_id = 7")
-    return runs.select("id", "status", F.get_json_object("result_json", "$.primary_category").alias("primary_category"), F.row_number().over(Window.orderBy("id")).alias("position"))
+    runs = search.run_history(lib.runs(spark, d), 7)
+    return runs.select("id", "status", "result.primary_category", F.row_number().over(Window.orderBy("id")).alias("position"))
 
 
 @query(
@@ -392,15 +390,16 @@ def provider_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return metrics.evaluate_providers(runs.join(papers, "paper_id").select("id", "provider", "model", "file_hash", "truth", "predicted"))[0]
 
 
-LABEL_SETS = """, sets AS (SELECT doc_id AS doc, list_distinct([trim(regexp_replace(x, '[\\s]+', ' ', 'g')) for x in string_split(text, ' ')[1:3]]) AS truth,
-  list_distinct([trim(regexp_replace(x, '[\\s]+', ' ', 'g')) for x in string_split(text, ' ')[2:4]]) AS predicted FROM documents WHERE len(string_split(text, ' ')) >= 4 AND NOT list_contains(string_split(text, ' ')[1:4], ''))"""
+LABEL_SETS = """, split AS (SELECT doc_id AS doc, [y for y in [trim(regexp_replace(x, '[\\s]+', ' ', 'g')) for x in string_split(text, ' ')] if y <> ''] AS words FROM documents),
+  sets AS (SELECT doc, list_distinct(words[1:len(words) - 1]) AS truth, list_distinct(words[2:]) AS predicted FROM split)"""
 
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split("text", " ")
-    four = F.slice(words, 1, 4)
-    docs = read(spark, d, "documents").where((F.size(words) >= 4) & ~F.array_contains(four, ""))
-    return docs.select(F.col("doc_id").alias("doc"), F.slice(words, 1, 3).alias("truth"), F.slice(words, 2, 3).alias("predicted"))
+    """Two label sets of each document: all words but the last, and all but the first."""
+    words = F.filter(F.transform(F.split("text", " "), tx.collapse), lambda w: w != "")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("doc"), words.alias("words"))
+    most = F.greatest(F.size("words") - 1, F.lit(0))
+    return docs.select("doc", F.slice("words", F.lit(1), most).alias("truth"), F.slice("words", F.lit(2), most).alias("predicted"))
 
 
 @query(
@@ -458,11 +457,15 @@ def duration_checks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", tx.valid_seconds(v).alias("good"))
 
 
-@query("SELECT paper_id, string_agg(label, '|' ORDER BY pos) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, lower(label) ORDER BY pos) AS nth FROM (SELECT doc_id AS paper_id, unnest(string_split(text, ' ')[1:40]) AS label, unnest(range(1, 41)) AS pos FROM documents) WHERE label IS NOT NULL AND trim(regexp_replace(label, '\\s+', ' ', 'g')) = label AND label <> '') WHERE nth = 1 GROUP BY 1", library=False)
+@query(
+    """SELECT paper_id, string_agg(label, '|' ORDER BY pos) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, lower(label) ORDER BY pos) AS nth
+      FROM (SELECT paper_id, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, pos
+        FROM (SELECT doc_id AS paper_id, unnest(string_split(text, ' ')) AS label, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents)) WHERE label <> '') WHERE nth = 1 GROUP BY 1""",
+    library=False,
+)
 def first_spelling(spark: SparkSession, d: str) -> DataFrame:
-    """First spelling of the words of each text's start that agree but for case, in order."""
-    words = F.filter(F.slice(F.split("text", " "), 1, 40), lambda w: (tx.collapse(w) == w) & (w != ""))
-    out = read(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.array_join(tx.clean_list(words), "|").alias("labels"))
+    """First spelling of the words of each whole text that agree but for case, in order."""
+    out = read(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.array_join(tx.clean_list(F.split("text", " ")), "|").alias("labels"))
     return out.where("labels <> ''")
 
 
@@ -543,7 +546,7 @@ def label_replacement(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, substr(coalesce(title, 'Unknown'), 1, 500) AS title, nullif(abstract, '') AS abstract, CASE WHEN nullif(abstract, '') IS NULL THEN substr(nullif(coalesce(title, ''), ''), 1, 2500) END AS introduction_excerpt FROM papers"""
+    """SELECT id, substr(coalesce(title, 'Unknown'), 1, 500) AS title, substr(nullif(abstract, ''), 1, 6000) AS abstract, CASE WHEN nullif(abstract, '') IS NULL THEN substr(nullif(coalesce(title, ''), ''), 1, 2500) END AS introduction_excerpt FROM papers"""
 )
 def classifier_payload(spark: SparkSession, d: str) -> DataFrame:
     no_words = F.array().cast("array<string>")
@@ -651,12 +654,119 @@ def audit_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, n AS (SELECT file_hash, count(*) AS n FROM papers WHERE id < 50 AND id <> 7 GROUP BY 1)
-    SELECT '7' AS what, 'id missing' AS error UNION ALL SELECT CAST(id AS VARCHAR), 'id unexpected' FROM papers WHERE id < 50 AND id > 40 UNION ALL SELECT '0', 'id unexpected' FROM papers WHERE id = 0
+    """, index AS (SELECT id, file_hash FROM papers WHERE id <> 7), n AS (SELECT file_hash, count(*) AS n FROM index GROUP BY 1)
+    SELECT CAST(i AS VARCHAR) AS what, 'id missing' AS error FROM range(1, 901) t(i) WHERE i NOT IN (SELECT id FROM index) UNION ALL SELECT CAST(id AS VARCHAR), 'id unexpected' FROM index WHERE id NOT BETWEEN 1 AND 900
     UNION ALL SELECT file_hash, 'hash twice' FROM n WHERE n > 1"""
 )
 def frozen_index_check(spark: SparkSession, d: str) -> DataFrame:
-    return refresh.index_errors(lib.papers(spark, d).where("id < 50 AND id <> 7").select("id", "file_hash"), 1, 40)
+    """All papers but one, against a set that should hold ids 1 to 900."""
+    return refresh.index_errors(lib.papers(spark, d).where("id <> 7").select("id", "file_hash"), 1, 900)
+
+
+# --- further mutations, lookups, forms ---
+
+INCOMING = """, incoming AS (SELECT *, row_number() OVER (ORDER BY file_hash) + 999 AS new_id FROM (SELECT DISTINCT file_hash, id % 3 AS kind FROM papers p WHERE id % 2 = 1 AND file_hash NOT IN (SELECT file_hash FROM papers WHERE id % 2 = 0)
+  AND id = (SELECT min(id) FROM papers q WHERE q.file_hash = p.file_hash)))"""
+
+
+def _added(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    papers = lib.papers(spark, d).select("id", "file_hash")
+    stored = papers.where("id % 2 = 0")
+    first = papers.groupBy("file_hash").agg(F.min("id").alias("id"))
+    new = first.where("id % 2 = 1").join(stored.select("file_hash"), "file_hash", "left_anti")
+    kind = F.col("id") % 3
+    reasons = F.when(kind == 1, F.array(F.lit("no title"))).otherwise(F.array().cast("array<string>"))
+    made = F.array(F.struct(F.lit("tags").alias("field"), F.lit("OAuth").alias("label")), F.struct(F.lit("research_methods").alias("field"), F.lit("survey").alias("label")))
+    incoming = new.select("file_hash", reasons.alias("reasons"), made.alias("labels"), F.when(kind == 2, F.lit("{}")).alias("result_json"))
+    return state.add_papers(incoming, stored, 1000)
+
+
+@query(INCOMING + " SELECT new_id AS id, file_hash, CASE kind WHEN 2 THEN 'classified' WHEN 1 THEN 'needs_review' ELSE 'pending' END AS classification_status FROM incoming")
+def added_papers(spark: SparkSession, d: str) -> DataFrame:
+    return _added(spark, d)["papers"]
+
+
+@query(INCOMING + " SELECT new_id AS paper_id, unnest(['tags', 'research_methods']) AS field, 'ai' AS value_source, unnest(['OAuth', 'survey']) AS label FROM incoming WHERE kind = 2")
+def added_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _added(spark, d)["labels"]
+
+
+@query(INCOMING + " SELECT new_id AS paper_id, 'classified' AS status, '{}' AS result_json FROM incoming WHERE kind = 2")
+def added_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _added(spark, d)["runs"]
+
+
+@query(
+    """SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN NULL ELSE 'second' END ELSE title END AS title,
+    CASE WHEN id % 3 = 0 THEN 'needs_review' ELSE classification_status END AS classification_status, CASE WHEN id % 3 = 0 THEN 'held' END AS classification_error FROM papers"""
+)
+def metadata_update(spark: SparkSession, d: str) -> DataFrame:
+    """Of two updates the second holds, a null title included."""
+    papers = lib.papers(spark, d).select("id", "title", "classification_status", F.lit(None).cast("string").alias("classification_error"))
+    some = papers.where("id % 3 = 0")
+    one = some.select("id", F.lit(1).alias("seq"), F.lit("first").alias("title"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"))
+    two = some.select("id", F.lit(2).alias("seq"), F.when(F.col("id") % 2 == 1, "second").alias("title"), F.lit("needs_review").alias("status"), F.lit("held").alias("error"))
+    return state.update_metadata(papers, one.unionByName(two), ["title"])
+
+
+@query(
+    """, w AS (SELECT doc_id AS id, [x for x in string_split(text, ' ') if length(x) = 5] AS keywords FROM documents)
+    SELECT id, CASE WHEN len(keywords) = 0 THEN '[]' ELSE CAST(to_json(keywords) AS VARCHAR) END AS stored, CAST(len(keywords) AS INTEGER) AS parsed, array_to_string(keywords, ' ') AS keywords FROM w"""
+)
+def stored_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Lists as JSON text and back."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split("text", " "), lambda w: F.length(w) == 5).alias("keywords"))
+    stored = state.metadata_values(rows, ("keywords",)).withColumn("stored", F.col("keywords"))
+    return state.row_metadata(stored, ("keywords",)).select("id", "stored", F.size("keywords").alias("parsed"), F.array_join("keywords", " ").alias("keywords"))
+
+
+@query("""SELECT paper_id, field, value_source, label FROM paper_labels WHERE NOT (paper_id % 4 = 0 AND value_source = 'current' AND (field = 'tags' OR field = 'research_methods' AND paper_id % 8 = 0))
+    UNION ALL SELECT id, 'tags', 'current', unnest(['Web', 'OAuth']) FROM papers WHERE id % 4 = 0 UNION ALL SELECT id, 'research_methods', 'current', 'survey' FROM papers WHERE id % 8 = 0""")
+def reviewed_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Tags are always replaced, methods only where the review gives them; spellings that agree but for case are one label."""
+    reviews = lib.papers(spark, d).where("id % 4 = 0").select(
+        F.col("id").alias("paper_id"), F.array(F.lit(" Web "), F.lit("OAuth"), F.lit("web"), F.lit(" ")).alias("tags"), F.when(F.col("id") % 8 == 0, F.array(F.lit("survey"))).alias("research_methods"),
+        F.lit(None).cast("array<string>").alias("target_vulnerabilities"),
+    )
+    return state.review_labels(lib.labels(spark, d), reviews)
+
+
+@query("SELECT paper_id, field, value_source, label FROM paper_labels l JOIN papers p ON p.id = l.paper_id WHERE value_source = 'ai' OR manually_reviewed")
+def migrated_labels(spark: SparkSession, d: str) -> DataFrame:
+    return state.current_labels(lib.labels(spark, d), lib.papers(spark, d))
+
+
+@query("SELECT id, name, name_key FROM folders UNION ALL SELECT 100 + row_number() OVER (ORDER BY r_name), 'Region ' || r_name, lower('Region ' || r_name) FROM region")
+def folder_creation(spark: SparkSession, d: str) -> DataFrame:
+    names = read(spark, d, "region").select(F.concat(F.lit("  Region "), "r_name", F.lit(" ")).alias("name"))
+    return state.create_folders(lib.folders(spark, d), names, 101)
+
+
+@query("SELECT id, CASE WHEN id = 3 THEN 'Sessions' ELSE name END AS name, CASE WHEN id = 3 THEN 'sessions' ELSE name_key END AS name_key FROM folders")
+def folder_renaming(spark: SparkSession, d: str) -> DataFrame:
+    return state.rename_folder(lib.folders(spark, d), 3, " Sessions ")
+
+
+@query("SELECT id AS paper_id, coalesce(is_favorite, false) AS is_favorite, coalesce(read_later, false) AS read_later FROM papers LEFT JOIN user_state ON paper_id = id")
+def paper_flags(spark: SparkSession, d: str) -> DataFrame:
+    return search.flags_of(lib.papers(spark, d), lib.user_state(spark, d))
+
+
+@query("SELECT id, filename, year FROM papers WHERE id = 11")
+def lookup_by_id(spark: SparkSession, d: str) -> DataFrame:
+    return search.by_id(lib.papers(spark, d), 11).select("id", "filename", "year")
+
+
+@query("SELECT id, year FROM papers")
+def filter_whole_range(spark: SparkSession, d: str) -> DataFrame:
+    """The whole known range chosen by a reader is no bound, so papers of unknown year stay."""
+    low, high = search.bounded_years((1990, 2024), (1990, 2024))
+    return search.search(lib.papers(spark, d), lib.labels(spark, d), year_min=low, year_max=high, ordered=False).select("id", "year")
+
+
+@query("SELECT doc_id, array_to_string([y for y in [trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) for x in string_split(text, ',')] if y <> ''], '|') AS labels FROM documents", library=False)
+def typed_labels(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.array_join(tx.labels_typed(F.col("text")), "|").alias("labels"))
 
 
 # --- rules that SQL cannot express: extraction and the scan ---
@@ -678,7 +788,18 @@ def extracted_metadata(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "metadata.title", "metadata.abstract", "metadata.year", F.array_join("metadata.review_reasons", "; ").alias("review_reasons"), "failure")
 
 
-@query()
+GATE = f"""
+, clean AS (SELECT id, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS t, abstract AS a FROM papers),
+judged AS (SELECT id, length(t) < 8 OR regexp_matches(lower(t), '^(?:reprinted from|regular paper|abstractproxy)|^(?:abstract|keywords?|key words?|index terms?)\\b|received:|accepted:|^(?:unknown|untitled|paper|usenix association|the usenix association)$|^proceedings\\s+of\\b')
+    OR regexp_matches(lower(t), '^arxiv\\s*:\\s*(?:\\d{{4}}\\.\\d{{4,5}}|[a-z-]+/\\d{{7}})(?:v\\d+)?(?:\\s|$)')
+    OR regexp_matches(lower(t), '^(?:main|paper|manuscript|submission|draft|document|untitled|output)(?:[-_](?:[a-z]+\\d+|\\d+|final|draft|camera[-_]?ready|rev\\d*|copy))+(?:\\.(?:pdf|tex|dvi))?$|^(?:main|manuscript|submission|document|output)\\.(?:pdf|tex|dvi)$')
+    OR length(t) < 28 AND regexp_matches(t, '^[^\\p{{L}}]+$') AS no_title,
+  NOT (coalesce(length(a), 0) > 0 AND length(trim(a)) >= 80 AND NOT regexp_matches(lower(a), 'abstractproxy|httpxproxy|(?:\\bactivate\\s*\\(\\)\\s*close\\s*\\(\\)\\s*proxy\\b(?s:.*)){{2}}')) AS no_text FROM clean)
+SELECT id, concat_ws('; ', CASE WHEN no_title THEN '{ingest.NO_TITLE}' END, CASE WHEN no_text THEN '{ingest.NO_TEXT}' END) AS issues FROM judged
+"""
+
+
+@query(GATE)
 def input_gate(spark: SparkSession, d: str) -> DataFrame:
     issues = ingest.input_issues(F.col("title"), F.col("abstract"), F.lit(None).cast("string"))
     return lib.papers(spark, d).select("id", F.array_join(issues, "; ").alias("issues"))

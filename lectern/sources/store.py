@@ -1,8 +1,8 @@
 """A library kept as immutable versions of Parquet tables, with a pointer to the current one.
 
-A commit writes a new version beside the others, checks it, and renames a pointer file over the old: readers
-see all of a version or none. The old version is the backup. One writer at a time: a commit names the version it
-started from and is refused if that is no longer current.
+A commit writes a new version beside the others, checks it, and renames a staged pointer file to the next number: readers take the pointer with
+the highest number, so they see all of a version or none, and at no time no version. The old version is the backup. A rename that meets a pointer
+of its number is refused, so of two writers that start from one version one fails.
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ class Store:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def pointers(self) -> list[str]:
+        folder = self._path(self.path)
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(n for n in names if n.startswith("CURRENT-"))
+
     def version(self) -> str | None:
-        pointer = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(pointer):
+        pointers = self.pointers()
+        if not pointers:
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first().value)["version"]
+        return json.loads(self.spark.read.text(f"{self.path}/{pointers[-1]}", wholetext=True).first().value)["version"]
 
     def tables(self, version: str | None = None) -> list[str]:
         version = version or self.version()
@@ -53,11 +58,10 @@ class Store:
         out = self._fs.create(staged, False)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        pointer = self._path(f"{self.path}/CURRENT")
-        if base is not None:
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(staged, pointer):
-            raise ValueError("the pointer could not be moved")
+        number = int(self.pointers()[-1].rsplit("-", 1)[1]) + 1 if base is not None else 1
+        pointer = self._path(f"{self.path}/CURRENT-{number:012d}")
+        if self._fs.exists(pointer) or not self._fs.rename(staged, pointer):
+            raise ValueError("the library has changed since it was read")
         return version
 
     def digest(self, version: str | None = None, drop: dict[str, tuple[str, ...]] | None = None) -> str:
