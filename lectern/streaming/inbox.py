@@ -13,15 +13,27 @@ BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY
 
 
 def arrivals(spark: SparkSession, directory: str, per_batch: int = 1000) -> DataFrame:
-    """Files as they arrive, with their hash; one row for each hash ever seen by the stream's state."""
+    """Files as they arrive, ``path, filename, length, file_hash``; one row for each hash ever seen by the stream's state.
+
+    The bytes are hashed where they are read and go no further; :func:`contents` reads those of the new files again.
+    """
     files = (
         spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]")
         .option("maxFilesPerTrigger", per_batch).load(directory)
     )
-    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.sha2("content", 256).alias("file_hash"), "content")
+    named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.sha2("content", 256).alias("file_hash"))
     return named.dropDuplicates(["file_hash"])
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """``files`` of a micro-batch with their ``content``, read by path; a file that has changed since is left out."""
+    paths = [r.path for r in files.select("path").toLocalIterator()]
+    if not paths:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    read = files.sparkSession.read.format("binaryFile").load(paths).select("path", "content")
+    return files.join(read, "path").where(F.sha2("content", 256) == F.col("file_hash"))
+
+
 def ingest(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand every micro-batch to ``process``, which routes it against the stored state; ends when all files are read.
 
