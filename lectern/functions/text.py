@@ -112,10 +112,10 @@ def distinct_by(values: Column, key) -> Column:
 
     Elements are sorted by key and place, those that differ from the one before are kept and put back in order: n log n for n elements.
     """
-    keyed = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
+    keyed = F.sort_array(F.transform(values, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"), v.alias("v"))))
     # The array as an element of another is bound to a name, so it is not computed again for each of its elements.
     first = F.transform(F.array(keyed), lambda s: F.filter(s, lambda x, i: x["k"].isNotNull() & ((i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"]))))
-    ordered = F.array_sort(F.transform(F.element_at(first, 1), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
+    ordered = F.sort_array(F.transform(F.element_at(first, 1), lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v"))))
     return F.transform(ordered, lambda x: x["v"])
 
 
@@ -163,9 +163,11 @@ def normalize_labels(values: Column, field: str) -> Column:
         raise ValueError(f"unknown field {field}")
     own = [(k, v) for k, (v, fields) in ALIASES.items() if field in fields]
     names = F.create_map(*[F.lit(x) for pair in own for x in pair])
-    cleaned = F.transform(values, lambda v: F.coalesce(F.element_at(names, F.lower(collapse(v))), collapse(v)))
-    good = values.isNotNull() & F.forall(values, lambda v: v.isNotNull() & (collapse(v) != ""))
-    return F.when(F.coalesce(good, F.lit(False)), F.array_sort(F.array_distinct(cleaned))).otherwise(F.raise_error(F.lit(f"{field}: a list of nonempty strings is required")).cast("array<string>"))
+    cleaned = F.transform(F.transform(values, collapse), lambda v: F.coalesce(F.element_at(names, F.lower(v)), v))
+    error = F.raise_error(F.lit(f"{field}: a list of nonempty strings is required")).cast("array<string>")
+    good = lambda c: F.coalesce(F.forall(c, lambda v: v.isNotNull() & (v != "")), F.lit(False))
+    # As the element of another array the cleaned one is bound to a name, so it is computed once.
+    return F.element_at(F.transform(F.array(cleaned), lambda c: F.when(good(c), F.sort_array(F.array_distinct(c))).otherwise(error)), 1)
 
 
 def format_input(title: Column, abstract: Column, introduction: Column, keywords: Column) -> Column:
