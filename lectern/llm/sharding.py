@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, packed, table
 
-#: Bits of the hash, and how many of them one pass over the sizes can split.
-MAX_BITS, STEP = 60, 10
+#: Bits of the hash; cells to a shard in the first pass, as bits; how many bits a further pass can split.
+MAX_BITS, SPARE, STEP = 60, 3, 10
 #: Bytes of a shard by default, and in the query: small enough to split small tables too.
 LIMIT, QUERY_LIMIT = 16 << 20, 256 << 10
 #: Directory cells that may go to every task (some 50 bytes each); a larger table is joined by a shuffle.
@@ -25,28 +25,38 @@ def sized() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
 
 
-def directory(docs: DataFrame, limit: int = LIMIT) -> tuple[list[DataFrame], bool]:
-    """Tables ``(cell, leaf)`` of the directory, one for each further ``STEP`` bits, and whether some bucket is full at the last.
+def directory(docs: DataFrame, limit: int = LIMIT) -> tuple[list[tuple[int, DataFrame]], bool]:
+    """Tables ``(cell, leaf)`` of the directory, each with the bits of its cells, and whether some bucket is full at the last.
 
     It starts as one bucket; only a bucket over the limit splits, on its next bit, until every bucket fits.
-    Sizes are summed by cells of ``STEP`` further bits, from which all splits in between follow, and only rows
-    of buckets still too large enter the next pass.
+    Sizes are summed by cells of leading bits, from which all splits above follow. The first pass has some eight cells to a shard, so its
+    table grows with the shards and not with the rows; only rows of buckets still too large enter the next pass, on further bits.
     """
     left = cut(docs.select(sized().alias("n_bytes"), hashed().alias("hash")).groupBy("hash").agg(F.sum("n_bytes").alias("n_bytes")))
-    levels: list[DataFrame] = []
-    for base in range(0, MAX_BITS, STEP):
-        cell = F.shiftright("hash", MAX_BITS - base - STEP)
+    total = left.agg(F.sum("n_bytes")).first()[0] or 0
+    levels: list[tuple[int, DataFrame]] = []
+    base, upto = 0, min(max((total // limit).bit_length() + SPARE, 1), MAX_BITS)
+    while True:
+        cell = F.shiftright("hash", MAX_BITS - upto)
         cells = cut(left.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes")))
-        depths = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(base + 1 if base else 0), F.lit(base + STEP))).alias("bits"))
-        prefixed = depths.withColumn("prefix", F.expr(f"shiftright(cell, CAST({base + STEP} - bits AS INT))"))
-        buckets = prefixed.groupBy("bits", "prefix").agg(F.sum("bytes").alias("shard_bytes")).where(F.col("shard_bytes") <= limit)
-        leaves = cut(prefixed.join(buckets, ["bits", "prefix"]).groupBy("cell").agg(F.min(F.struct("bits", "prefix", "shard_bytes")).alias("leaf")))
-        levels.append(leaves)
+        least = base + 1 if base else 0
+        depths = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(least), F.lit(upto))).alias("bits"))
+        prefixed = depths.withColumn("prefix", F.expr(f"shiftright(cell, CAST({upto} - bits AS INT))"))
+        buckets = cut(prefixed.groupBy("bits", "prefix").agg(F.sum("bytes").alias("shard_bytes")))
+        # A leaf fits and its parent does not, so each cell meets one leaf at most.
+        full = buckets.where(F.col("shard_bytes") > limit).select((F.col("bits") + 1).alias("b"), F.col("prefix").alias("p"))
+        fits = buckets.where(F.col("shard_bytes") <= limit)
+        below = fits.where(F.col("bits") > least).join(full, (F.col("b") == F.col("bits")) & (F.col("p") == F.shiftright("prefix", 1)), "left_semi")
+        found = below.unionByName(fits.where(F.col("bits") == least))
+        leaves = cut(prefixed.drop("bytes").join(found, ["bits", "prefix"]).select("cell", F.struct("bits", "prefix", "shard_bytes").alias("leaf")))
+        levels.append((upto, leaves))
         over = cells.join(leaves, "cell", "left_anti").select("cell")
         if over.isEmpty():
             return levels, False
+        if upto == MAX_BITS:
+            return levels, True
         left = left.withColumn("cell", cell).join(over, "cell", "left_semi").drop("cell")
-    return levels, True
+        base, upto = upto, min(upto + STEP, MAX_BITS)
 
 
 def shard(docs: DataFrame, limit: int = LIMIT, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -66,11 +76,11 @@ def shard(docs: DataFrame, limit: int = LIMIT, columns: tuple[str, ...] = ()) ->
     columns = tuple(c for c in columns if c not in ("doc_id", *ADDED))
     levels, full = directory(docs.select("doc_id", "text"), limit)
     placed = docs.select(packed(docs, "doc_id", *columns), sized().alias("n_bytes"), hashed().alias("hash"))
-    for k, leaves in enumerate(levels):
-        # The first level has 2**STEP cells at most; a deeper one is counted before it is sent anywhere.
-        small = leaves if k and leaves.count() > BROADCAST_CELLS else F.broadcast(leaves)
+    for k, (bits, leaves) in enumerate(levels):
+        # Cells are counted before they are sent anywhere.
+        small = leaves if leaves.count() > BROADCAST_CELLS else F.broadcast(leaves)
         here = small.select("cell", F.col("leaf").alias(f"leaf{k}"))
-        placed = placed.withColumn("cell", F.shiftright("hash", MAX_BITS - (k + 1) * STEP)).join(here, "cell", "left")
+        placed = placed.withColumn("cell", F.shiftright("hash", MAX_BITS - bits)).join(here, "cell", "left")
     leaf = F.coalesce(*[F.col(f"leaf{k}") for k in range(len(levels))])
     placed = placed.select("d", "n_bytes", "hash", leaf.alias("leaf"))
     out = placed.where("leaf IS NOT NULL") if full else placed
