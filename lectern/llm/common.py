@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch handed to a Python worker; a single longer text is a batch of its own.
 ARROW_BYTES = 8 << 20
 
+#: A key is heavy if it has over 1 / HEAVY of the rows of all keys with more than FEW: so fewer than HEAVY keys are, whatever the data.
+HEAVY, FEW = 1 << 12, 1 << 8
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,13 +88,36 @@ def row_key(*columns: str) -> Column:
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), nulls, *parts)), 16, "0") for seed in (1, 2)])
 
 
+def even(rows: DataFrame, groups: DataFrame, on: str, counts: DataFrame) -> DataFrame:
+    """Inner equi-join on ``on``, null meeting null, in which no task has to take all rows of a heavy key; ``on`` comes first.
+
+    ``groups`` has one row a key and ``counts``, a table, the number ``n`` of ``rows`` of each. The fewer than ``HEAVY`` heavy keys go to every task
+    with the number of their parts; their ``rows`` are dealt to parts by a hash of their content, alike in a retried task, and
+    their row of ``groups`` is copied to each part. There are fewer than 2 * ``HEAVY`` parts in all, so the copies are bounded too.
+    """
+    others = [c for c in groups.columns if c != on]
+    right = groups.withColumnRenamed(on, "of")
+    many = counts.where(F.col("n") > FEW).select(F.col(on).alias("heavy"), "n")
+    total = many.agg(F.sum("n")).first()[0]
+    if total is None:
+        return rows.join(right, F.col(on).eqNullSafe(F.col("of"))).select(on, *[c for c in rows.columns if c != on], *others)
+    parts = F.ceil(F.least(F.col("n") * HEAVY / total, F.col("n") / FEW)).cast("int")
+    heavy = cut(many.where(F.col("n") * HEAVY > total).select("heavy", parts.alias("parts")))
+    spot = F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1))).cast("int")
+    left = rows.join(F.broadcast(heavy), F.col(on).eqNullSafe(F.col("heavy")), "left").select(*rows.columns, spot.alias("part"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part_of")
+    right = right.join(F.broadcast(heavy), F.col("of").eqNullSafe(F.col("heavy")), "left").select("of", *others, copies)
+    joined = left.join(right, F.col(on).eqNullSafe(F.col("of")) & (F.col("part") == F.col("part_of")))
+    return joined.select(on, *[c for c in rows.columns if c != on], *others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list ``(a, b)``: distributed union-find.
 
     Every vertex hooks onto the smallest label among its neighbours, then labels are shortened by
     pointer jumping, until nothing changes. Labels only ever travel between rows of DataFrames;
-    nothing but one change count per round reaches the driver. Joins are plain equi-joins so that
-    adaptive execution can split the rows of a hub vertex.
+    nothing but one change count per round reaches the driver. Both sides of the joins that a hub vertex or the
+    label of a large component makes uneven are tables, so that each is shuffled for the join and adaptive execution can split it.
 
     Returns ``(id, label)`` with ``label`` the smallest vertex of the component; vertices without an
     edge are not listed.
@@ -107,11 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("id"))
             .agg(F.min("label").alias("m"))
         )
-        hooked = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        hooked = cut(labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label")))
         up = hooked.select(F.col("id").alias("label"), F.col("label").alias("top"))
         # A label is always a vertex of the same component, so the inner join keeps every row.
         step = cut(hooked.join(up, "label").select("id", "was", F.least("label", "top").alias("label")))
-        release(labels)
+        release(labels, hooked)
         labels = step
         if step.where("was <> label").isEmpty():
             release(both)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, cut, delete, shared_folder, table
+from lectern.llm.common import SPACES, cut, delete, even, release, shared_folder, table
 
 
 def digest(text: str = "text"):
@@ -85,14 +85,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -
     known = index.before(batch).join(groups.select("digest").hint("merge"), "digest", "left_semi")
     known = cut(known.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies")))
     index.append(groups, known, batch)
-    verdict = groups.join(known.select("digest", F.lit(True).alias("was_known"), F.col("keep_id").alias("old_id"), F.col("copies").alias("old")), "digest", "left").select(
+    verdict = cut(groups.join(known.select("digest", F.lit(True).alias("was_known"), F.col("keep_id").alias("old_id"), F.col("copies").alias("old")), "digest", "left").select(
         F.col("digest").alias("text_sha256"),
         F.when(F.col("was_known"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         (F.col("copies") + F.coalesce("old", F.lit(0))).alias("group_size"),
-        F.when(F.col("was_known"), F.lit(-1)).otherwise(F.col("keep_row")).alias("keep_row"),
-    )
-    # An equi-join: adaptive execution splits the rows of a digest that many documents share.
-    return rows.join(verdict, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+        F.when(F.col("was_known"), F.lit(-1)).otherwise(F.col("keep_row")).alias("keep_row"), F.col("copies").alias("n"),
+    ))
+    # The rows of a digest that very many documents share are dealt to several tasks.
+    joined = even(rows, verdict.drop("n"), "text_sha256", verdict.select("text_sha256", "n"))
+    release(groups, known)
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def new_index(spark: SparkSession, buckets: int = 48) -> DigestIndex:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, cut, release, stored, table
+from lectern.llm.common import bound_batches, cut, even, release, stored, table
 from lectern.llm.linking import ROW_BITS, Sets, maybe, partition_buckets, presence, resolve
 from lectern.llm.wordhash import LOWER, SPACE, mix, powers, utf8
 
@@ -252,7 +252,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if not hot.isEmpty():
         ids = cut(hot.select("id").distinct())
         texts = stored(contents(docs, ids))
-        labels = resolve(hot, texts, compared(settings), partners=1)
+        labels = resolve(hot, texts, compared(settings))
         release(ids, texts)
     release(hot)
     # Each node's first line, then each class's: aggregations with map-side combine, so a line in every document is no hot spot.
@@ -262,7 +262,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     else:
         named = nodes.join(labels.select(F.col("id").alias("line_id"), "label"), "line_id", "left").where("copies > 1 OR label IS NOT NULL")
         named = stored(named.select(F.col("line_id").alias("node"), F.coalesce("label", "line_id").alias("class"), "first"))
-        listed = named.drop("first").join(named.groupBy("class").agg(F.min("first").alias("first")), "class")
+        firsts = cut(named.groupBy("class").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")))
+        listed = even(named.drop("first"), firsts.drop("n"), "class", firsts.select("class", "n"))
     # A line that is alone is its own class; the others meet theirs by an equi-join, which adaptive execution splits at a frequent line.
     is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
     return spots.join(listed, F.col("node") == F.col("line_id"), "left").select(

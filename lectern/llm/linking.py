@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, cut, release, stored
+from lectern.llm.common import components, cut, even, release, stored
 from lectern.llm.wordhash import mix, utf8
 
 #: Words of 64 bits of the presence filter.
@@ -63,9 +63,12 @@ def maybe(present: np.ndarray, spots: np.ndarray) -> np.ndarray:
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """``key, id, pivot`` of the ``(key, id)`` whose key has several members; the pivot is the smallest id."""
-    ends = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
-    return cut(members.join(ends, "key").select("key", "id", "pivot"))
+    """``key, id, pivot, other`` of the ``(key, id)`` whose key has several members; the pivot is the smallest id, ``other`` one that a hash picks."""
+    ends = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.min_by("id", F.xxhash64("id", "key")).alias("other"), F.count(F.lit(1)).alias("n"))
+    ends = cut(ends.where("pivot < last").drop("last"))
+    out = cut(even(members, ends.drop("n"), "key", ends.select("key", "n")))
+    release(ends)
+    return out
 
 
 def partition_buckets(signed: DataFrame) -> DataFrame:
@@ -239,8 +242,8 @@ def compare_blocks(mixed: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
     """
     sized = mixed.join(texts.select("id", F.octet_length("content").alias("bytes")), "id")
     sizes = sized.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    total = sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "label")).alias("most"))
-    placed = mixed.join(total.select("key", "rows", "bytes", "most", F.col("most.label").alias("main")), "key")
+    total = cut(sizes.groupBy("key").agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "label")).alias("most")))
+    placed = even(mixed, total.select("key", "rows", "bytes", "most", F.col("most.label").alias("main")), "key", total.select("key", F.col("rows").alias("n")))
     wide = F.ceil(F.greatest(F.col("rows") / MEMBERS, F.col("bytes") / MEMBER_BYTES, F.lit(1.0)))
     high = F.ceil(F.greatest((F.col("rows") - F.col("most.n")) / QUERIES, (F.col("bytes") - F.col("most.bytes")) / QUERY_BYTES, F.lit(1.0)))
     blocks_ = placed.select("key", "id", "label", "main", wide.cast("int").alias("wide"), high.cast("int").alias("high"))
@@ -297,30 +300,30 @@ def compare_blocks(mixed: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame:
             yield links(waiting[0], np.zeros(1, np.int64))
 
     ordered = rows.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
-    return ordered.mapInArrow(run, "a long, b long")
+    out = cut(ordered.mapInArrow(run, "a long, b long"))
+    release(total)
+    return out
 
 
-def resolve(hot: DataFrame, texts: DataFrame, sets: Sets, partners: int = 2) -> DataFrame | None:
+def resolve(hot: DataFrame, texts: DataFrame, sets: Sets) -> DataFrame | None:
     """Components ``(id, label)`` of the links among members of the buckets; None if there is no link.
 
-    First every member meets its bucket's pivot, and with two ``partners`` another member that a hash picks for each bucket, so that a
+    First every member meets its bucket's pivot, and the ``other`` member if ``hot`` names one, so that a
     member meets different ones in different bands, which connects large groups of copies that are far from the pivot. What then lies in different components of a bucket is compared in blocks.
     So each pair of a bucket is compared or connected already, and a bucket of n copies takes about n comparisons.
     """
-    if partners > 1:
-        picked = hot.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("r"))
-        near = hot.join(picked, "key")
-    else:
-        near = hot.withColumn("r", F.col("pivot"))
-    near = near.select(F.explode(F.array(F.struct(F.col("pivot").alias("a"), F.col("id").alias("b")), F.struct(F.col("r").alias("a"), F.col("id").alias("b")))).alias("p"))
+    partners = [c for c in ("pivot", "other") if c in hot.columns]
+    near = hot.select(F.explode(F.array(*[F.struct(F.col(c).alias("a"), F.col("id").alias("b")) for c in partners])).alias("p"))
     pairs = cut(near.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).where("a < b").distinct())
     labels = components(verify(pairs, texts, sets))
     release(pairs)
-    named = hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = hot.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     # The one pair of a bucket of two has been compared.
-    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2").select("key")
-    mixed = cut(named.join(split, "key").select("key", "id", "label"))
-    found = None if mixed.isEmpty() else cut(compare_blocks(mixed, texts, sets))
+    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
+    split = cut(split.select("key", "n"))
+    mixed = cut(even(named, split.select("key"), "key", split).select("key", "id", "label"))
+    release(split)
+    found = None if mixed.isEmpty() else compare_blocks(mixed, texts, sets)
     if found is None or found.isEmpty():
         release(mixed, found)
         return None if labels.isEmpty() else labels

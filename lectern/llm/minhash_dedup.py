@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACES, bound_batches, cut, packed, release, row_key, table
+from lectern.llm.common import SPACES, bound_batches, cut, even, packed, release, row_key, table
 from lectern.llm.linking import Sets, buckets, maybe, presence, resolve
 from lectern.llm.wordhash import blocks, mix, utf8
 
@@ -264,6 +264,6 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sized(found: DataFrame) -> DataFrame:
     """One row per document with the size of its class; rows of the null class (see :func:`classes`) count together and all stay."""
-    sizes = found.groupBy(F.col("class_id").alias("of")).agg(F.count(F.lit(1)).alias("class_size"))
+    sizes = cut(found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
     kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())
-    return found.join(sizes, F.col("class_id").eqNullSafe(F.col("of"))).select("doc_id", "class_id", "class_size", "rep_id", kept.alias("kept"))
+    return even(found, sizes, "class_id", sizes.withColumnRenamed("class_size", "n")).select("doc_id", "class_id", "class_size", "rep_id", kept.alias("kept"))

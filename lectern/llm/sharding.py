@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, packed, table
+from lectern.llm.common import cut, packed, release, table
 
 #: Bits of the hash; cells to a shard in the first pass, as bits; how many bits a further pass can split.
 MAX_BITS, SPARE, STEP = 60, 3, 10
@@ -47,14 +47,18 @@ def directory(docs: DataFrame, limit: int = LIMIT) -> tuple[list[tuple[int, Data
         full = buckets.where(F.col("shard_bytes") > limit).select((F.col("bits") + 1).alias("b"), F.col("prefix").alias("p"))
         fits = buckets.where(F.col("shard_bytes") <= limit)
         below = fits.where(F.col("bits") > least).join(full, (F.col("b") == F.col("bits")) & (F.col("p") == F.shiftright("prefix", 1)), "left_semi")
-        found = below.unionByName(fits.where(F.col("bits") == least))
-        leaves = cut(prefixed.drop("bytes").join(found, ["bits", "prefix"]).select("cell", F.struct("bits", "prefix", "shard_bytes").alias("leaf")))
+        found = cut(below.unionByName(fits.where(F.col("bits") == least)))
+        # Cells look for their leaf at the depths that leaves have: the short prefixes above would bring all cells into a few tasks.
+        low, high = found.agg(F.min("bits"), F.max("bits")).first()
+        there = prefixed.drop("bytes") if low is None else prefixed.drop("bytes").where(F.col("bits").between(low, high))
+        leaves = cut(there.join(found, ["bits", "prefix"]).select("cell", F.struct("bits", "prefix", "shard_bytes").alias("leaf")))
         levels.append((upto, leaves))
         over = cells.join(leaves, "cell", "left_anti").select("cell")
         if over.isEmpty():
             return levels, False
         if upto == MAX_BITS:
             return levels, True
+        release(buckets, found)
         left = left.withColumn("cell", cell).join(over, "cell", "left_semi").drop("cell")
         base, upto = upto, min(upto + STEP, MAX_BITS)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, html_text, knn_quality, lbl_scoring, line_dedup, linking, minhash_dedup, registry, sharding, toxicity, wordhash
+from lectern.llm import common, decontaminate, exact_dedup, html_text, knn_quality, lbl_scoring, line_dedup, linking, minhash_dedup, registry, sharding, toxicity, wordhash
 from tests.oracle import connect, same
 
 
@@ -416,3 +416,40 @@ def test_buckets_hold_every_key_with_several_ids(spark, monkeypatch, held):
         for i in pivots:  # every member leads to the smallest id
             while i != min(expected[k]):
                 i = min(pivots[i] - {i})
+
+
+@pytest.mark.parametrize("few", [1, 20, 1 << 8])
+def test_even_join_keeps_every_row(spark, monkeypatch, few):
+    """With a key that holds a third of all rows, a null key, repeated rows and a key that only one side has."""
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(common, "HEAVY", 16)
+    keys = [7] * 500 + [None] * 300 + [3] * 25 + list(range(100, 600))
+    rows = spark.createDataFrame([(k, i // 2) for i, k in enumerate(keys)], "key long, v long").repartition(5)
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    groups = groups.unionByName(spark.createDataFrame([(9, 0, 0)], groups.schema)).where("key IS NULL OR key <> 100")
+    sums = collections.Counter()
+    for i, k in enumerate(keys):
+        sums[k] += i // 2
+    found = common.even(rows, groups.drop("n"), "key", groups.select("key", "n"))
+    assert found.columns == ["key", "v", "s"]
+    expected = collections.Counter((k, i // 2, sums[k]) for i, k in enumerate(keys) if k != 100)
+    assert collections.Counter(map(tuple, found.collect())) == expected
+
+
+def test_large_groups_do_not_change_classes(spark, documents, monkeypatch):
+    """Classes, sizes and verdicts are alike whether the rows of a group are dealt to several tasks or not."""
+    rows = documents.select("doc_id", "text").unionByName(documents.where("doc_id < 5").select((F.col("doc_id") % 2 + 10_000).alias("doc_id"), "text"))
+
+    def results():
+        index = exact_dedup.new_index(spark)
+        out = [sorted(map(tuple, x.collect()), key=str) for x in (
+            minhash_dedup.sized(minhash_dedup.classes(rows).checkpoint()), line_dedup.classes(rows).select("doc_id", "line_no", "class_id"),
+            exact_dedup.deduplicate(rows, index).select("doc_id", "keep_id", "group_size", "text_sha256"))]
+        index.drop()
+        return out
+
+    common.shared_folder(spark)
+    plain = results()
+    monkeypatch.setattr(common, "FEW", 1)
+    monkeypatch.setattr(common, "HEAVY", 64)
+    assert results() == plain
