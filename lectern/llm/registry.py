@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe_counts, decontaminate, exact_dedup, html_text, knn_quality, lbl_scoring, lexical_search, line_dedup, minhash_dedup, mixing, sharding, toxicity
+from lectern.llm import bpe_counts, decontaminate, exact_dedup, html_text, knn_quality, lbl_scoring, lexical_search, line_dedup, minhash_dedup, mixing, sharding, toxicity, window_panes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1_minhash_dedup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_token_counts": bpe_counts.op11_token_counts,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_window_panes": window_panes.op13_window_panes,
 }
 
-SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op12_lexical_search": lexical_search.SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.SQL, "op7_sharding": sharding.SQL, "op12_lexical_search": lexical_search.SQL, "op13_window_panes": window_panes.SQL}
