@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import sys
 import unicodedata
 
 import pandas as pd
@@ -51,6 +52,24 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.str.casefold()
 
 
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other, those in order, and those that fold to several: what Unicode says, asked of Python once."""
+    folds = {c: f for c in map(chr, range(sys.maxunicode + 1)) if (f := c.casefold()) != c}
+    single = {c: f for c, f in folds.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folds.items() if len(f) > 1}
+
+
+FOLDED, FOLDS, MULTIPLE = _fold_tables()
+
+
+def full_casefold(value: Column) -> Column:
+    """Full Unicode case folding in the JVM: a translation, and for texts with one of the hundred characters that fold to several a table of these."""
+    one = F.translate(value, FOLDED, FOLDS)
+    table = F.create_map(*[F.lit(x) for pair in MULTIPLE.items() for x in pair])
+    several = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    return F.when(one.rlike(f"[{''.join(MULTIPLE)}]"), several).otherwise(one)
+
+
 @F.pandas_udf(T.StringType())
 def folder_key(values: pd.Series) -> pd.Series:
     """NFC of the case-folded name: equal for names that a reader takes as equal."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import answers
 from lectern.functions.text import collapse
 from lectern.model import CATEGORIES, CLASSIFICATION, METADATA, RELEVANCES
 from lectern.operators.state import routed
@@ -95,7 +97,7 @@ def payload(title, abstract, keywords, introduction):
 
 
 def valid_answer(answer: object) -> dict:
-    """A strict classification: all seven fields, no other, exact types, bounded lists and texts."""
+    """One strict classification on the driver or in a provider's own retries; plans judge answers by :mod:`lectern.functions.answers`."""
     fields = {f.name for f in CLASSIFICATION.fields}
     if not isinstance(answer, dict) or set(answer) != fields:
         raise ValueError("fields")
@@ -122,24 +124,21 @@ def valid_answer(answer: object) -> dict:
 
 
 def classified(rows: DataFrame, classifier: Classifier) -> DataFrame:
-    """Add ``classification`` and ``error`` to rows with ``title, abstract, keywords, introduction_excerpt``. A bad answer is that row's error."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("classification", CLASSIFICATION), T.StructField("error", T.StringType())])
+    """Add ``classification`` and ``error`` to rows with ``title, abstract, keywords, introduction_excerpt``. A bad answer is that row's error.
+
+    The provider's answers leave Python as JSON text; what they are worth is decided by columns.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("answer", T.StringType()), T.StructField("failure_to_answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good, bad = [], []
-            for answer in classifier.classify(batch):
-                try:
-                    if isinstance(answer, str):
-                        raise ValueError(answer)
-                    good.append(valid_answer(answer))
-                    bad.append(None)
-                except ValueError as e:
-                    good.append(None)
-                    bad.append(f"Classification failed ({e})")
-            yield batch.assign(classification=good, error=bad)
-
-    return rows.mapInPandas(run, schema)
+            given = classifier.classify(batch)
+            yield batch.assign(answer=[None if isinstance(x, str) else json.dumps(x) for x in given], failure_to_answer=[x if isinstance(x, str) else None for x in given])
+
+    judged = rows.mapInPandas(run, schema).withColumn("answer", answers.parsed(F.col("answer"))).withColumn("refused", answers.errors(F.col("answer")))
+    why = F.coalesce("failure_to_answer", F.when(F.size("refused") > 0, F.array_join("refused", "; ")))
+    error = F.when(why.isNotNull(), F.concat(F.lit("Classification failed ("), why, F.lit(")")))
+    return judged.select(*[F.col(f"`{c}`") for c in rows.columns], answers.classification(F.col("answer"), F.col("refused")).alias("classification"), error.alias("error"))
 
 
 def plan(files: DataFrame, papers: DataFrame, extract: Callable[[DataFrame], DataFrame], classifier: Classifier | None, reclassify: bool = False) -> DataFrame:

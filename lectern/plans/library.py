@@ -95,6 +95,24 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id`` and a classifier's raw ``answer`` for each document, made of its whole text; by id some have a text for a number, a null, a further or a missing field, are cut off, or an array."""
+    docs = read(spark, sf_dir, "documents")
+    i, words = F.col("doc_id"), F.array_distinct(F.split("text", " "))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+    of = lambda n: F.filter("words", lambda w: F.length(w) == n)
+    share = (F.col("n_chars") % 120 / 100).cast("string")
+    fields = {
+        "primary_category": quoted(pick((*CATEGORIES, "Unknown"), i % 9)), "tags": F.when(i % 8 == 1, "null").otherwise(F.to_json(of(11))), "research_methods": F.to_json(of(13)),
+        "target_vulnerabilities": F.to_json(of(15)), "relevance": F.when(i % 8 != 3, quoted(pick(("A", "B", "C", "D"), F.floor(i / 8) % 4))), "relevance_reason": quoted(F.array_join(of(9), " ")),
+        "relevance_confidence": F.when(i % 8 == 0, quoted(share)).otherwise(share), "note": F.when(i % 8 == 2, "1"),
+    }
+    parts = F.array_compact(F.array(*[F.concat(F.lit(f'"{name}":'), value) for name, value in fields.items()]))
+    whole = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+    answer = F.when(i % 8 == 4, F.left(whole, F.length(whole) - 1)).when(i % 8 == 5, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
+    return docs.select("doc_id", "n_chars", words.alias("words")).select(i.alias("id"), answer.alias("answer"))
+
+
 _CATEGORIES = ", ".join(f"'{c}'" for c in CATEGORIES)
 _STATUSES = ", ".join(f"'{c}'" for c in STATUSES)
 _CLASSIFICATION = ", ".join(f"'{c}'" for c in CLASSIFICATION_STATUSES)

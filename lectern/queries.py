@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions import i18n
+from lectern.functions import answers, i18n
 from lectern.functions import text as tx
 from lectern.model import BLOCK, CATEGORIES, LABEL_FIELDS, PAGE, RELEVANCES, SIZE
 from lectern.operators import extraction, metrics, search, state
@@ -594,6 +594,62 @@ def years_in_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).cast("long").alias("years"), first.cast("int").alias("first_year"))
 
 
+_LISTS = {"tags": (11, 30), "research_methods": (13, 20), "target_vulnerabilities": (15, 30)}
+
+
+def _objections() -> str:
+    out = []
+    for f in ("primary_category", "tags", "research_methods", "target_vulnerabilities", "relevance", "relevance_reason", "relevance_confidence"):
+        kind = f"json_type(j, '$.{f}')"
+        out.append(f"CASE WHEN NOT json_exists(j, '$.{f}') THEN '{f}: missing' END")
+        if f in _LISTS:
+            out += [f"CASE WHEN {kind} <> 'ARRAY' OR len(list_filter(json_extract(j, '$.{f}[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN '{f}: not a list of texts' END", f"CASE WHEN json_array_length(j, '$.{f}') > {_LISTS[f][1]} THEN '{f}: over {_LISTS[f][1]}' END"]
+        elif f == "relevance_confidence":
+            out.append(f"CASE WHEN {kind} NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN '{f}: not a number' WHEN {kind} IS NOT NULL AND CAST(json_extract_string(j, '$.{f}') AS DOUBLE) NOT BETWEEN 0 AND 1 THEN '{f}: not between 0 and 1' END")
+        elif f == "relevance_reason":
+            out.append(f"CASE WHEN {kind} <> 'VARCHAR' THEN '{f}: not a text' WHEN trim(regexp_replace(json_extract_string(j, '$.{f}'), '\\s+', ' ', 'g')) = '' THEN '{f}: blank' WHEN length(json_extract_string(j, '$.{f}')) > 500 THEN '{f}: over 500' END")
+        else:
+            allowed = ", ".join(f"'{x}'" for x in (CATEGORIES if f == "primary_category" else RELEVANCES))
+            out.append(f"CASE WHEN {kind} <> 'VARCHAR' THEN '{f}: not a text' WHEN json_extract_string(j, '$.{f}') NOT IN ({allowed}) THEN '{f}: not allowed' END")
+    return ", ".join(out)
+
+
+ANSWERS = f"""
+WITH w AS (SELECT doc_id AS id, n_chars, list_filter(string_split(text, ' '), lambda x: true) AS split FROM documents),
+d AS (SELECT id, n_chars, list_filter(split, lambda x, i: list_position(split, x) = i) AS words FROM w),
+parts AS (
+  SELECT id, [x for x in [
+    '"primary_category":' || to_json([{", ".join(f"'{c}'" for c in (*CATEGORIES, "Unknown"))}][id % 9 + 1]),
+    '"tags":' || CASE WHEN id % 8 = 1 THEN 'null' ELSE CAST(to_json(list_filter(words, lambda x: length(x) = 11)) AS VARCHAR) END,
+    '"research_methods":' || to_json(list_filter(words, lambda x: length(x) = 13)), '"target_vulnerabilities":' || to_json(list_filter(words, lambda x: length(x) = 15)),
+    CASE WHEN id % 8 <> 3 THEN '"relevance":' || to_json(['A', 'B', 'C', 'D'][id // 8 % 4 + 1]) END, '"relevance_reason":' || to_json(array_to_string(list_filter(words, lambda x: length(x) = 9), ' ')),
+    '"relevance_confidence":' || CASE WHEN id % 8 = 0 THEN '"' || CAST(n_chars % 120 / 100 AS VARCHAR) || '"' ELSE CAST(n_chars % 120 / 100 AS VARCHAR) END, CASE WHEN id % 8 = 2 THEN '"note":1' END] if x IS NOT NULL] AS parts FROM d
+), raw AS (
+  SELECT id, CASE id % 8 WHEN 4 THEN '{{' || array_to_string(parts, ',') WHEN 5 THEN '[{{' || array_to_string(parts, ',') || '}}]' ELSE '{{' || array_to_string(parts, ',') || '}}' END AS answer FROM parts
+), read AS (SELECT id, CASE WHEN json_valid(answer) THEN CAST(answer AS JSON) END AS j FROM raw),
+judged AS (
+  SELECT id, j, CASE WHEN j IS NULL THEN 'malformed' WHEN json_type(j) <> 'OBJECT' THEN 'not an object'
+    ELSE array_to_string(list_concat([x for x in [{_objections()}] if x IS NOT NULL], [x || ': unknown' for x in list_sort(json_keys(j)) if x NOT IN ('primary_category', 'tags', 'research_methods', 'target_vulnerabilities', 'relevance', 'relevance_reason', 'relevance_confidence')]), '; ') END AS errors FROM read
+), cleaned AS (
+  SELECT *, {", ".join(f"[trim(regexp_replace(x, '\\s+', ' ', 'g')) for x in json_extract_string(j, '$.{f}[*]')] AS {f}" for f in _LISTS)} FROM judged
+)
+SELECT id, errors, CASE WHEN errors = '' THEN json_extract_string(j, '$.primary_category') END AS primary_category, CASE WHEN errors = '' THEN json_extract_string(j, '$.relevance') END AS relevance,
+  {", ".join(f"CASE WHEN errors = '' THEN array_to_string(list_filter({f}, lambda x, i: x <> '' AND list_position(list_transform({f}, lambda y: lower(y)), lower(x)) = i), '|') END AS {f}" for f in _LISTS)},
+  CASE WHEN errors = '' THEN trim(regexp_replace(json_extract_string(j, '$.relevance_reason'), '\\s+', ' ', 'g')) END AS relevance_reason,
+  CASE WHEN errors = '' THEN CAST(json_extract_string(j, '$.relevance_confidence') AS DOUBLE) END AS relevance_confidence
+FROM cleaned
+"""
+
+
+@query(ANSWERS, library=False)
+def strict_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Raw answers read strictly: a classification, or every reason to refuse it."""
+    read_ = lib.answers(spark, d).select("id", answers.parsed(F.col("answer")).alias("answer"))
+    judged = read_.withColumn("errors", answers.errors(F.col("answer"))).select("id", "errors", answers.classification(F.col("answer"), F.col("errors")).alias("c"))
+    lists = [F.array_join(f"c.{f}", "|").alias(f) for f in LABEL_FIELDS]
+    return judged.select("id", F.array_join("errors", "; ").alias("errors"), "c.primary_category", "c.relevance", *lists, "c.relevance_reason", "c.relevance_confidence")
+
+
 # --- refresh and audit ---
 
 
