@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches, cut, even, release, stored, table
+from lectern.llm.common import bound_batches, cut, even, packed, release, row_key, stored, table
 from lectern.llm.linking import ROW_BITS, Sets, maybe, partition_buckets, presence, resolve
 from lectern.llm.wordhash import LOWER, SPACE, mix, powers, utf8
 
@@ -18,6 +18,8 @@ NEWLINE, BLANK = 10, 32
 #: Bytes of texts per block: its arrays stay in a processor's cache.
 BLOCK = 1 << 17
 NORMAL = np.where(SPACE, np.uint8(BLANK), LOWER).astype(np.uint8)
+#: What each byte adds to a line's sum.
+BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 #: Line hashes a task remembers, so as to sign a line that it saw before only once.
 REMEMBERED = 1 << 18
 
@@ -35,6 +37,7 @@ class Lines:
     """Lines of a block of texts in normal form: A-Z in lower case, runs of white space as one blank, none at the ends.
 
     ``raw[ptr[k]:ptr[k + 1]]`` is line ``k``, of text ``text[k]`` with number ``number[k]`` and hash ``ids[k]``; blank lines are left out.
+    :meth:`sums` are hashes that do not depend on ``ids``, to tell lines apart that share one.
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
@@ -76,6 +79,10 @@ class Lines:
         a = self.ptr[:-1]
         self.ids = mix((self.total[self.ptr[1:]] - self.total[a]) * self.down[a] + length[some].astype(np.uint64)).view(np.int64)
 
+    def sums(self) -> np.ndarray:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(BYTE.take(self.raw))])
+        return np.diff(total[self.ptr]).view(np.int64)
+
     def shingles(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` bytes of the lines chosen (in order), and pointers. A shorter line is one shingle."""
         length = np.diff(self.ptr)
@@ -157,7 +164,7 @@ def band_keys(full: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def signed(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, line_no, line_id, keys`` of every line that is not blank, the keys packed; none for a line that its task signed lately."""
+    """``doc_id, line_no, line_id, sum, keys`` of every line that is not blank, the keys packed; none for a line that its task signed lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(0, np.int64)
@@ -173,11 +180,11 @@ def signed(docs: DataFrame, settings: Settings) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids), packed],
-                    ["doc_id", "line_no", "line_id", "keys"],
+                    [batch.column(0).take(pa.array(first + found.text)), pa.array(found.number.astype(np.int32)), pa.array(found.ids), pa.array(found.sums()), packed],
+                    ["doc_id", "line_no", "line_id", "sum", "keys"],
                 )
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long, keys binary"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, line_id long, sum long, keys binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -237,8 +244,8 @@ def compared(settings: Settings) -> Sets:
 def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Class of every line that is not blank: ``doc_id, line_no, line_id, class_id, kept``.
 
-    Lines that agree but for the case of A-Z and white space are one node (``line_id``, a 64-bit hash). Nodes are compared
-    by character shingles: MinHash signatures, banding of high recall, exact Jaccard similarity of candidates, and
+    Lines that agree but for the case of A-Z and white space are one node (``line_id``, a 64-bit hash). Should different lines share a
+    hash, a second one tells them apart: all but those with the smallest are left alone, kept and in no class. Nodes are compared by character shingles: MinHash signatures, banding of high recall, exact Jaccard similarity of candidates, and
     components of the links. In each class the first line by (doc_id, line_no) is kept; a null ``doc_id`` sorts first.
 
     Blank lines have no row and are always kept in a text. Null and empty texts have no lines; a line shorter than a shingle
@@ -247,7 +254,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     bound_batches(docs.sparkSession)
     signs = stored(signed(docs, settings))
     spots = signs.drop("keys")
-    hot = partition_buckets(signs.select(F.col("line_id").alias("id"), "keys"))
+    hot = partition_buckets(signs.select(F.col("line_id").alias("id"), "keys"), signs.count() * settings.bands)
     labels = None
     if not hot.isEmpty():
         ids = cut(hot.select("id").distinct())
@@ -256,27 +263,34 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         release(ids, texts)
     release(hot)
     # Each node's first line, then each class's: aggregations with map-side combine, so a line in every document is no hot spot.
-    nodes = spots.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+    nodes = spots.groupBy("line_id").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("sum", "doc_id", "line_no")).alias("least"), F.max("sum").alias("most"))
+    nodes = nodes.select("line_id", "copies", F.struct("least.doc_id", "least.line_no").alias("first"), F.when(F.col("least.sum") < F.col("most"), F.col("least.sum")).alias("own"))
     if labels is None:
-        listed = nodes.where("copies > 1").select(F.col("line_id").alias("node"), F.col("line_id").alias("class"), "first")
+        listed = nodes.where("copies > 1").select(F.col("line_id").alias("node"), F.col("line_id").alias("class"), "first", "own")
     else:
         named = nodes.join(labels.select(F.col("id").alias("line_id"), "label"), "line_id", "left").where("copies > 1 OR label IS NOT NULL")
-        named = stored(named.select(F.col("line_id").alias("node"), F.coalesce("label", "line_id").alias("class"), "first"))
+        named = stored(named.select(F.col("line_id").alias("node"), F.coalesce("label", "line_id").alias("class"), "first", "own"))
         firsts = cut(named.groupBy("class").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")))
         listed = even(named.drop("first"), firsts.drop("n"), "class", firsts.select("class", "n"))
     # A line that is alone is its own class; the others meet theirs by an equi-join, which adaptive execution splits at a frequent line.
     is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
-    return spots.join(listed, F.col("node") == F.col("line_id"), "left").select(
-        "doc_id", "line_no", "line_id", F.coalesce("class", "line_id").alias("class_id"), (F.col("node").isNull() | is_first).alias("kept")
-    )
+    stranger = F.coalesce(F.col("own") != F.col("sum"), F.lit(False))
+    of = F.when(stranger, F.xxhash64("line_id", "sum")).otherwise(F.coalesce("class", "line_id"))
+    return spots.join(listed, F.col("node") == F.col("line_id"), "left").select("doc_id", "line_no", "line_id", of.alias("class_id"), (F.col("node").isNull() | stranger | is_first).alias("kept"))
 
 
 def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with ``text`` less the lines that an earlier line's class has already; other columns pass through."""
-    dropped = classes(docs, settings).where("NOT kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped_lines"))
-    joined = docs.join(dropped.withColumnRenamed("doc_id", "dropped_doc"), F.col("doc_id").eqNullSafe(F.col("dropped_doc")), "left")
-    left = F.filter(F.transform(F.split("text", "\n"), lambda line, k: F.when(~F.array_contains("dropped_lines", k), line)), lambda line: line.isNotNull())
-    return joined.withColumn("text", F.when(F.col("dropped_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+    """``docs`` with ``text`` less the lines that an earlier line's class has already; other columns pass through, whatever their names.
+
+    Rows are told apart by all their values, so rows with one id, or without one, each lose their own lines only; of rows with one id the order is
+    that of a hash of the row. Rows equal in all values are cleaned alike. A null text stays null.
+    """
+    rows = docs.select(packed(docs), row_key(*docs.columns).alias("row"))
+    named = rows.select(F.struct(F.col("d.doc_id").alias("id"), "row").alias("doc_id"), F.col("d.text").alias("text"))
+    dropped = classes(named, settings).where("NOT kept").groupBy(F.col("doc_id.row").alias("row")).agg(F.collect_set("line_no").alias("lines"))
+    left = F.filter(F.transform(F.split("d.text", "\n"), lambda line, k: F.when(~F.array_contains("lines", k), line)), lambda line: line.isNotNull())
+    text = F.when(F.col("lines").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
+    return rows.join(dropped, "row", "left").select(F.col("d").withField("text", text).alias("d")).select("d.*")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from lectern.llm.common import components, cut, even, release, stored
 from lectern.llm.wordhash import mix, utf8
 
-#: Words of 64 bits of the presence filter.
-FILTER_WORDS = 1 << 16
+#: Bits of the presence filter for each id, and its words of 64 bits at least and at most: 512 KB and 32 MB.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST = 16, 1 << 16, 1 << 22
 #: Most rows and bytes, on average, of a block's queries and of the members they are compared with.
 QUERIES, MEMBERS = 512, 4096
 QUERY_BYTES, MEMBER_BYTES = 2 << 20, 8 << 20
-#: Rows of a partition that wait to be grouped by key.
-HELD = 4_000_000
+#: Rows of a partition that wait to be grouped by key; keys of a partition, on average and at most.
+HELD, DEALT_TO = 4_000_000, 2_000_000
 #: Pairs that a task deals to partitions at a time.
 DEALT = 1_000_000
 #: Elements that a matrix of a block spans at a time.
@@ -43,22 +43,24 @@ class Sets:
 
 
 def presence(ids: DataFrame, spot: Column | None = None) -> np.ndarray:
-    """A filter of fixed size that says for every row of ``ids`` that its ``spot`` may be there: a distributed bit-or.
+    """A filter of bounded size that says for every row of ``ids`` that its ``spot`` may be there: a distributed bit-or.
 
-    ``spot`` is a well-mixed long, by default xxhash64 of ``id``.
+    ``spot`` is a well-mixed long, by default xxhash64 of ``id``. The filter's size follows the number of rows, so that few others pass, up to a
+    bound; beyond that more pass, which costs a shuffle and no result.
     """
     spot = F.xxhash64("id") if spot is None else spot
-    low = spot.bitwiseAND(FILTER_WORDS * 64 - 1)
+    words = min(max(FILTER_LEAST, 1 << (ids.count() * FILTER_BITS // 64).bit_length()), FILTER_MOST)
+    low = spot.bitwiseAND(words * 64 - 1)
     bits = ids.select(F.shiftright(low, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int")).alias("bit"))
-    present = np.zeros(FILTER_WORDS, np.uint64)
-    for x in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        present[x.word] = np.int64(x.bits).view(np.uint64)
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    present = np.zeros(words, np.uint64)
+    present[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return present
 
 
 def maybe(present: np.ndarray, spots: np.ndarray) -> np.ndarray:
     """Which ``spots`` the filter may have."""
-    at = spots & (FILTER_WORDS * 64 - 1)
+    at = spots & (len(present) * 64 - 1)
     return (present[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
@@ -71,15 +73,16 @@ def buckets(members: DataFrame) -> DataFrame:
     return out
 
 
-def partition_buckets(signed: DataFrame) -> DataFrame:
-    """As :func:`buckets`, for very many keys: ``signed`` has ``id, keys``, the packed 64-bit keys of each row.
+def partition_buckets(signed: DataFrame, n_keys: int = 0) -> DataFrame:
+    """As :func:`buckets`, for very many keys: ``signed`` has ``id, keys``, the packed 64-bit keys of each row, ``n_keys`` in all at most.
 
     Keys are dealt to partitions in Python and travel as packed pairs, a row for each piece and partition, so the shuffle moves bytes
     and not a row a key. Each partition's pairs are then sorted by numpy. When the pairs held pass ``HELD``, members of keys met more than
     once are sent on, and each key keeps its smallest id only; if a later row has a smaller one still, the old pivot is sent as its
-    member, so members stay joined through pivots. Memory is in proportion to a partition's keys and not to the rows of any key.
+    member, so members stay joined through pivots. Memory is in proportion to a partition's keys, whose number the number of partitions bounds,
+    and not to the rows of any key.
     """
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // DEALT_TO))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []

@@ -190,3 +190,41 @@ def test_sharding_pages_rows_of_one_id(spark):
     for r in out:
         size[r.shard, r.page] = size.get((r.shard, r.page), 0) + r.n_bytes
     assert max(size.values()) <= 100
+
+
+def test_line_clean_takes_only_a_rows_own_lines(spark):
+    """Rows that share an id, or have none, keep lines that stand nowhere else; columns may have any name."""
+    rows = [(0, "A line of text", 1, 2), (1, "A line of text", 3, 4), (1, "Quite another line", 5, 6), (None, "the only one of its kind", 7, 8), (None, "A line of text\nlast words here", 9, 10), (2, None, 0, 0), (3, "", 0, 0), (3, "", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_lines int, dropped_doc int").withColumns({c: F.lit("x") for c in ("row", "d", "lines", "line_no", "sum", "keys")})
+    out = line_dedup.clean(docs)
+    assert out.columns == docs.columns
+    texts = sorted((r.dropped_lines, r.text) for r in out.collect() if r.dropped_lines)
+    # A null id sorts first, so its line is the one that stays.
+    assert texts == [(1, ""), (3, ""), (5, "Quite another line"), (7, "the only one of its kind"), (9, "A line of text\nlast words here")]
+    assert sorted(str(r.text) for r in out.collect() if not r.dropped_lines) == ["", "", "None"]
+
+
+def test_lines_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With all ids alike by construction no line but copies of one is dropped."""
+    docs = spark.createDataFrame([(1, "first line"), (2, "second line"), (3, "first line"), (4, "third line of all")], "doc_id long, text string")
+    plain = {r.doc_id: r for r in line_dedup.classes(docs).collect()}
+    assert [plain[k].kept for k in (1, 2, 3, 4)] == [True, True, False, True]
+    signed = line_dedup.signed
+    monkeypatch.setattr(line_dedup, "signed", lambda docs, settings: signed(docs, settings).withColumn("line_id", F.lit(7).cast("long")))
+    out = {r.doc_id: r for r in line_dedup.classes(docs).collect()}
+    assert sum(not r.kept for r in out.values()) <= 1 and len({r.class_id for r in out.values()}) == 3
+
+
+def test_filter_follows_the_number_of_ids(spark, monkeypatch):
+    import numpy as np
+
+    from lectern.llm import linking
+
+    monkeypatch.setattr(linking, "FILTER_LEAST", 1)
+    few, many = (linking.presence(spark.range(n).select(F.xxhash64("id").alias("id")), F.col("id")) for n in (10, 5000))
+    assert len(few) < len(many) == 2048
+    ids = np.array([r.id for r in spark.range(20_000).select(F.xxhash64("id").alias("id")).collect()])
+    found = linking.maybe(many, ids)
+    assert found[:5000].all() and found[5000:].mean() < 0.1
+    monkeypatch.setattr(linking, "FILTER_MOST", 4)
+    assert len(linking.presence(spark.range(5000))) == 4
