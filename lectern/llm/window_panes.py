@@ -33,6 +33,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # A query runs once, then another starts: stores of ended runs, each with megabytes of preallocated files, would only wait for maintenance.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
