@@ -24,10 +24,10 @@ HOUR, DAY = 3_600_000_000, 86_400_000_000
 DUE, CLOSED = 6 * HOUR, 4 * DAY
 #: The clock before any row.
 NEVER = -(1 << 62)
-#: Shards for each partition of the state, so that a hash deals them evenly.
-SHARDS = 2
+#: Shards for each partition of the state, so that a hash deals them evenly; rows of a batch for each partition, and least partitions.
+SHARDS, ROWS, LEAST = 2, 250_000, 4
 
-PART = "hour long, kind string, part long, batch long, clock long, last boolean, click_id long, n_rows long, cents long"
+PART = "pane_hour long, pane_kind string, part long, hour long, kind string, batch long, clock long, last boolean, click_id long, n_rows long, cents long"
 RECORD = "batch long, hour long, kind string, click_id long, n_rows long, cents long, record string"
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -87,7 +87,7 @@ class Shard(StatefulProcessor):
             frame = frame[~frame["tick"]]
             late = frame[frame["late"]]
             if len(late):
-                yield late.assign(part=key[0], n_rows=1)[[c.split()[0] for c in PART.split(", ")]]
+                yield late.assign(pane_hour=0, pane_kind="", part=key[0], n_rows=1)[[c.split()[0] for c in PART.split(", ")]]
             sums = frame[~frame["late"]].groupby(["hour", "kind"], sort=False)["cents"].agg(["size", "sum"])
             for (h, k), n, c in zip(sums.index, sums["size"], sums["sum"], strict=True):
                 part = parts.setdefault((int(h), k), [0, 0])
@@ -97,8 +97,9 @@ class Shard(StatefulProcessor):
             clock = int(tick["clock"])
             if parts:
                 panes, sums = zip(*parts, strict=True), zip(*parts.values(), strict=True)
-                yield pd.DataFrame(dict(zip(("hour", "kind", "n_rows", "cents"), (*panes, *sums), strict=True))).assign(
-                    part=-1, batch=int(tick["batch"]), clock=clock, last=bool(tick["last"]), click_id=-1
+                parted = pd.DataFrame(dict(zip(("hour", "kind", "n_rows", "cents"), (*panes, *sums), strict=True)))
+                yield parted.assign(
+                    pane_hour=parted["hour"], pane_kind=parted["kind"], part=-1, batch=int(tick["batch"]), clock=clock, last=bool(tick["last"]), click_id=-1
                 )[[c.split()[0] for c in PART.split(", ")]]
             parts = {p: [0, 0] for p in parts if clock < (p[0] + 1) * HOUR + CLOSED}
         self.open.update(([p[0] for p in parts], [p[1] for p in parts], [s[0] for s in parts.values()], [s[1] for s in parts.values()]))
@@ -108,7 +109,7 @@ class Shard(StatefulProcessor):
 
 
 class Merger(StatefulProcessor):
-    """Totals of one pane and whether they were published. Late rows, keyed by their shard too, pass."""
+    """Totals of one pane and whether they were published. Late rows, keyed by their shard alone, pass."""
 
     def init(self, handle):
         self.pane = handle.getValueState("pane", "n_rows long, cents long, published boolean")
@@ -153,10 +154,14 @@ def panes(rows: DataFrame, batches: int = BATCHES, files_per_trigger: int | None
     folder = f"{shared_folder(spark)}/panes-{uuid.uuid4().hex}"
     rows.write.partitionBy("batch").parquet(f"{folder}/batches")
     kept = spark.read.schema(rows.schema).parquet(f"{folder}/batches")
-    most = {r.batch: r.most for r in kept.groupBy("batch").agg(F.max("event").alias("most")).collect()}
-    shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
+    sizes = kept.groupBy("batch").agg(F.max("event").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    most = {r.batch: r.most for r in sizes}
+    # A store costs a task's start and megabytes whatever it holds, so their number follows the rows of the largest batch, not the session's shuffles.
+    parts = max([LEAST, *(-(-r.n // ROWS) for r in sizes)])
+    shards = SHARDS * parts
+    settings = SETTINGS | {"spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         clock = NEVER
@@ -173,8 +178,8 @@ def panes(rows: DataFrame, batches: int = BATCHES, files_per_trigger: int | None
             stream = spark.readStream.schema(fed.schema)
             if files_per_trigger:
                 stream = stream.option("maxFilesPerTrigger", files_per_trigger)
-            parts = stream.parquet(f"{folder}/feed").groupBy("shard").transformWithStateInPandas(Shard(), PART, "append", "none")
-            records = parts.groupBy("hour", "kind", "part").transformWithStateInPandas(Merger(), RECORD, "append", "none")
+            partial = stream.parquet(f"{folder}/feed").groupBy("shard").transformWithStateInPandas(Shard(), PART, "append", "none")
+            records = partial.groupBy("pane_hour", "pane_kind", "part").transformWithStateInPandas(Merger(), RECORD, "append", "none")
             query = records.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
             query.awaitTermination()
             clock = max(clock, most.get(batch, NEVER))

@@ -111,7 +111,7 @@ def test_equals_the_simulation(spark, rows):
 def test_rows_of_a_hot_pane_are_spread(spark):
     """However many rows one pane has, a shard holds a part of them, and the merger meets one part a shard."""
     rows = spark.range(20_000).select(F.lit(0).alias("batch"), F.col("id").alias("event"), F.lit(0).cast("long").alias("hour"), F.lit("k").alias("kind"), F.col("id").alias("click_id"), F.lit(1).cast("long").alias("cents"))
-    shards = wp.SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = wp.SHARDS * wp.LEAST
     sizes = [r["count"] for r in rows.groupBy(F.pmod(F.xxhash64("click_id", "event"), F.lit(shards))).count().collect()]
     assert len(sizes) == shards and max(sizes) < 1.2 * 20_000 / shards
     assert [tuple(r) for r in wp.panes(rows, batches=1).collect()] == [(0, 0, "k", -1, 20_000, 20_000, "final")]
@@ -119,6 +119,7 @@ def test_rows_of_a_hot_pane_are_spread(spark):
 
 def test_empty_table(spark, rows):
     df = wp.arrivals(spark.createDataFrame([], SCHEMA))
-    before = {k: spark.conf.get(k, None) for k in wp.SETTINGS}
+    names = [*wp.SETTINGS, "spark.sql.shuffle.partitions"]
+    before = {k: spark.conf.get(k, None) for k in names}
     assert wp.panes(df, batches=1).collect() == []
-    assert {k: spark.conf.get(k, None) for k in wp.SETTINGS} == before
+    assert {k: spark.conf.get(k, None) for k in names} == before
