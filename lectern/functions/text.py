@@ -65,7 +65,7 @@ FOLDED, FOLDS, MULTIPLE = _fold_tables()
 def full_casefold(value: Column) -> Column:
     """Full Unicode case folding in the JVM: a translation, and for texts with one of the hundred characters that fold to several a table of these."""
     one = F.translate(value, FOLDED, FOLDS)
-    table = F.create_map(*[F.lit(x) for pair in MULTIPLE.items() for x in pair])
+    table = F.str_to_map(F.lit("\n".join(f"{c}\t{f}" for c, f in MULTIPLE.items())), F.lit("\n"), F.lit("\t"))
     several = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
     return F.when(one.rlike(f"[{''.join(MULTIPLE)}]"), several).otherwise(one)
 

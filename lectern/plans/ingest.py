@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lectern.functions import answers
 from lectern.functions.text import collapse
 from lectern.model import CATEGORIES, CLASSIFICATION, METADATA, RELEVANCES
+from lectern.operators.fields import bad_title, noisy
 from lectern.operators.state import routed
 
 # Fixed texts of the gate and the report.
@@ -22,20 +23,6 @@ NO_TEXT = "A usable abstract or bounded introduction excerpt is required."
 HELD = "Classification held for metadata review"
 UNCONFIGURED = "Classifier is not configured"
 
-# Fixed patterns of titles that are none (arXiv ids, proceedings, drafts, digits).
-BAD_TITLE = (
-    r"(?U)^(?:reprinted from|regular paper|abstractproxy)",
-    r"(?U)^(?:abstract|keywords?|key words?|index terms?)\b",
-    r"received:|accepted:",
-    r"^(?:unknown|untitled|paper|usenix association|the usenix association)$",
-    r"(?U)^arxiv\s*:\s*(?:\d{4}\.\d{4,5}|[a-z-]+/\d{7})(?:v\d+)?(?=\s|$)",
-    r"(?U)^proceedings\s+of\b",
-    r"^(?:main|paper|manuscript|submission|draft|document|untitled|output)(?:[-_](?:[a-z]+\d+|\d+|final|draft|camera[-_]?ready|rev\d*|copy))+(?:\.(?:pdf|tex|dvi))?$",
-    r"^(?:main|manuscript|submission|document|output)\.(?:pdf|tex|dvi)$",
-)
-NOISE = r"(?s)abstractproxy|httpxproxy|(?:\bactivate\s*\(\)\s*close\s*\(\)\s*proxy\b.*){2}"
-
-
 class Classifier(Protocol):
     """A provider answers for a batch of inputs (title, abstract, keywords, introduction) with a classification or an error each."""
 
@@ -66,18 +53,6 @@ class RuleClassifier:
         return out
 
 
-def bad_title(title):
-    folded = F.lower(collapse(title))
-    found = F.lit(False)
-    for pattern in BAD_TITLE:
-        found = found | folded.rlike(pattern)
-    return found | ((F.length(folded) < 28) & folded.rlike(r"(?U)^[\d\W_]+$"))
-
-
-def noisy(text):
-    return F.coalesce(F.lower(text).rlike(NOISE), F.lit(False))
-
-
 def input_issues(title, abstract, introduction):
     """Why a record is held before classification: an array of reasons, empty for a good one."""
     clean = collapse(F.coalesce(title, F.lit("")))

@@ -5,10 +5,12 @@ The rules below are a stand-in for a scanned library: deterministic, without a l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.model import CATEGORIES, CLASSIFICATION_STATUSES, STATUSES
+from pyspark.sql.types import ArrayType
+
+from lectern.model import BLOCK, CATEGORIES, CLASSIFICATION_STATUSES, STATUSES
 
 
 #: Lengths of the words that stand for labels of each field, machine and human.
@@ -95,6 +97,46 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, text, properties, blocks``: each document's whole text below a line that dates it, by id, and by id a property that does."""
+    docs = read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    year = (1990 + i % 35).cast("string")
+    n = (i % 30 + 1).cast("string")
+    heads = (
+        F.concat(F.lit("Journal of Web Security, Vol. "), n, F.lit(", "), year), F.concat(F.lit("© "), year, F.lit(" The Authors")), F.concat(F.lit("Received: 2 May 1989; Published: 3 June "), year),
+        F.concat(F.lit("Proceedings of the "), n, F.lit("th USENIX Security Symposium\nAugust 12, "), year), F.concat(F.lit("Paper published at Workshop on Web Security "), year, F.lit(".")), F.concat(F.lit("Copyright "), year, F.lit("\n(c) 1989 Others")),
+        F.concat(F.lit("arXiv of "), year), F.concat(F.lit("International Conference on Web Safety "), year), F.concat(F.lit("Published "), year), F.concat(F.lit("NDSS "), year),
+    )
+    head = F.element_at(F.array(*heads), (i % 10 + 1).cast("int"))
+    stated = F.when(i % 4 == 0, F.concat((1991 + i % 35).cast("string"), F.lit("-0"), (i % 11).cast("string")))
+    properties = F.when(stated.isNotNull(), F.create_map(F.lit("publicationdate"), stated)).otherwise(F.create_map().cast("map<string,string>"))
+    return docs.select(i.alias("key"), F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"), properties.alias("properties"), F.array().cast(ArrayType(BLOCK)).alias("blocks"))
+
+
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs in columns, from the lines of an order: ``key, at, y0, y1, x0, x1, n``, several to a page."""
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = read(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(lines))
+    y0 = (F.col("l_partkey") % 700).cast("double")
+    x0 = (F.col("l_suppkey") % 3 * 180).cast("double")
+    return rows.select(F.col("l_orderkey").alias("key"), "at", y0.alias("y0"), (y0 + F.col("l_quantity") * 3).alias("y1"), x0.alias("x0"), (x0 + 170 + F.col("l_quantity")).alias("x1"), F.col("l_extendedprice").alias("n"))
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, page, blocks, height``: each document's lines as blocks down a page, their sizes by their lengths; some are set upright."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def block(line: Column, k: Column) -> Column:
+        size = (12 + F.length(line) % 7).cast("double")
+        y0 = (20 * k).cast("double")
+        upright = (F.length(line) % 11 == 0).cast("double")
+        box = [F.lit(60.0).alias("x0"), y0.alias("y0"), (F.lit(60.0) + F.length(line) * 5).cast("double").alias("x1"), (y0 + size).alias("y1"), size.alias("font_size")]
+        return F.struct(line.alias("text"), *box, F.struct((1.0 - upright).alias("dx"), upright.alias("dy")).alias("direction"), F.array().cast(BLOCK["lines"].dataType).alias("lines"))
+
+    return docs.select("key", F.lit(1).alias("page"), F.transform(F.split("text", "\n"), block).alias("blocks"), F.lit(800.0).alias("height"))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id`` and a classifier's raw ``answer`` for each document, made of its whole text; by id some have a text for a number, a null, a further or a missing field, are cut off, or an array."""
     docs = read(spark, sf_dir, "documents")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lectern.functions import answers, i18n
 from lectern.functions import text as tx
 from lectern.model import BLOCK, CATEGORIES, LABEL_FIELDS, PAGE, RELEVANCES, SIZE
-from lectern.operators import extraction, metrics, search, state
+from lectern.operators import evidence, extraction, fields, layout, metrics, search, state
 from lectern.plans import ingest, refresh
 from lectern.plans import library as lib
 from lectern.plans.library import SQL as LIBRARY
@@ -650,6 +650,135 @@ def strict_answers(spark: SparkSession, d: str) -> DataFrame:
     return judged.select("id", F.array_join("errors", "; ").alias("errors"), "c.primary_category", "c.relevance", *lists, "c.relevance_reason", "c.relevance_confidence")
 
 
+# --- evidence and layout as rows ---
+
+_MONTHS = r"\b(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\b"
+_AFFILIATION = evidence.AFFILIATION.replace("(?iU)", "(?i)")
+_BEFORE = evidence.BEFORE_KNOWN.replace("(?iUs)", "(?is)")
+#: The known venues without a look ahead: what follows the name is a second group.
+_KNOWN = [(r"USENIX Security Symposium", ""), (r"Symposium on Usable Privacy and Security", ""), (r"Network and Distributed System Security\s*\(NDSS\)\s*Symposium", ""), ("NDSS", r"\s+[’'']?\d{2,4}\b"), ("ESORICS", r"\s+20\d{2}\b"), ("Computer Security Symposium", ""), (r"情報処理学会第\d+回全国大会", ""), ("WWW", r"\s+20\d{2}\b")]
+
+
+def _known_venue() -> str:
+    parts = []
+    for name, tail in _KNOWN:
+        before = f"regexp_extract(r, '(?is)^(.*?)({name}){tail}', 1)"
+        parts.append(f"WHEN len(r) <= 450 AND regexp_matches(r, '(?i){name}{tail}') AND regexp_matches(trim({before}), '{_BEFORE}') THEN {{'name': trim(regexp_extract(r, '(?is)^(.*?)({name}){tail}', 2)), 'source': '{evidence.HEADER}'}}")
+    return " ".join(parts)
+
+
+def _plain(pattern: str) -> str:
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''")
+
+
+PUBLISHED = rf"""
+WITH d AS (
+  SELECT doc_id AS key, CAST(1990 + doc_id % 35 AS VARCHAR) AS y, CAST(doc_id % 30 + 1 AS VARCHAR) AS n, coalesce(text, '') AS body, CASE WHEN doc_id % 4 = 0 THEN (1991 + doc_id % 35) || '-0' || doc_id % 11 END AS stated FROM documents
+), pages AS (
+  SELECT key, stated, CASE key % 10 WHEN 0 THEN 'Journal of Web Security, Vol. ' || n || ', ' || y WHEN 1 THEN '© ' || y || ' The Authors' WHEN 2 THEN 'Received: 2 May 1989; Published: 3 June ' || y
+    WHEN 3 THEN 'Proceedings of the ' || n || 'th USENIX Security Symposium' || chr(10) || 'August 12, ' || y WHEN 4 THEN 'Paper published at Workshop on Web Security ' || y || '.' WHEN 5 THEN 'Copyright ' || y || chr(10) || '(c) 1989 Others'
+    WHEN 6 THEN 'arXiv of ' || y WHEN 7 THEN 'International Conference on Web Safety ' || y WHEN 8 THEN 'Published ' || y ELSE 'NDSS ' || y END || chr(10) || body AS text FROM d
+), split AS (
+  SELECT key, text, [trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) for x in regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')] AS raw FROM pages
+), lines AS (
+  SELECT key, unnest(list_filter(raw, lambda x: x <> '')) AS line, generate_subscripts(list_filter(raw, lambda x: x <> ''), 1) AS pos FROM split
+), paired AS (
+  SELECT *, lead(line) OVER (PARTITION BY key ORDER BY pos) AS following FROM lines
+), records AS (
+  SELECT key, r, min(place) AS place FROM (SELECT key, line AS r, (0, pos) AS place FROM paired UNION ALL SELECT key, line || ' ' || following, (2, pos) FROM paired WHERE len(line) < 160 AND len(following) < 160) GROUP BY 1, 2
+), covers AS (
+  SELECT key, regexp_matches(text, '{_plain(evidence.PROCEEDINGS)}') AND len(list_filter(raw, lambda x: regexp_matches(x, '{_plain(evidence.FRONT_HEADING)}'))) = 0 AS cover FROM split
+), read AS (
+  SELECT records.*, cover, CASE WHEN regexp_matches(r, '{_plain(evidence.NO_DATE)}') OR regexp_matches(r, '{_plain(evidence.NO_VENUE)}') THEN NULL {_known_venue()}
+    WHEN regexp_matches(p, '{_plain(evidence.MEETING_NAME)}') AND NOT regexp_matches(p, '{_plain(evidence.PUBLISHER)}') THEN {{'name': p, 'source': '{evidence.PUBLICATION}'}}
+    WHEN regexp_matches(j, '{_plain(evidence.SERIAL)}') AND NOT regexp_matches(j, '{_AFFILIATION}') AND NOT regexp_matches(j, '{_plain(evidence.RIGHTS)}') THEN {{'name': j, 'source': '{evidence.JOURNAL}'}}
+    WHEN m <> '' AND NOT regexp_matches(m, '{_plain(evidence.HOST)}') AND regexp_matches(m, '^(?:(?:(?i:on|of|the|and|in|for|conference|symposium|workshop)|\p{{Lu}}\S*)(?:\s+|$))+$') THEN {{'name': m, 'source': '{evidence.HEADER}'}} END AS v
+  FROM (SELECT *, trim(regexp_extract(r, '{_plain(evidence.PUBLISHED_AT)}', 1)) AS p, trim(regexp_extract(r, '{_plain(evidence.VOLUME_OF)}', 1), ' ,;:-') AS j, trim(regexp_extract(r, '{_plain(evidence.MEETING)}', 1)) AS m FROM records) records JOIN covers USING (key)
+), found AS (
+  SELECT key, r, place, cover, v.name AS venue, CASE WHEN v.source = '{evidence.HEADER}' AND cover THEN 'first page proceedings cover' ELSE v.source END AS source FROM read
+), venues AS (
+  SELECT key, arg_min({{'venue': venue, 'source': source}}, (NOT regexp_matches(r, '{_plain(evidence.VOLUME)}'), place)) AS v FROM found WHERE venue IS NOT NULL GROUP BY key
+), spans AS (
+  SELECT key, place, 4 AS priority, '{evidence.PUBLICATION}' AS source, regexp_extract(r, '(?i)(?:^|;\s*)published\s*[:：]\s*(.*?)(?:;|copyright|©|$)', 1) AS span FROM found WHERE regexp_matches(r, '(?i)(?:^|;\s*)published\s*[:：]')
+  UNION ALL
+  SELECT key, place, CASE WHEN venue IS NOT NULL THEN CASE WHEN source = '{evidence.JOURNAL}' THEN 4 ELSE 3 END WHEN published THEN 4 WHEN on_cover THEN 3 ELSE 1 END,
+    CASE WHEN venue IS NOT NULL THEN source WHEN published THEN '{evidence.PUBLICATION}' WHEN on_cover THEN '{evidence.DATED_COVER}' ELSE '{evidence.RIGHTS_LINE}' END, CASE WHEN venue IS NOT NULL THEN regexp_split_to_array(r, '{_plain(evidence.COPYRIGHT)}')[1] ELSE r END
+  FROM (SELECT *, regexp_matches(r, '{_plain(evidence.PUBLISHED_YEAR)}') AS published, cover AND len(r) < 140 AND regexp_matches(r, '(?i){_MONTHS}') AND NOT regexp_matches(r, '(?i)copyright|©') AS on_cover, regexp_matches(r, '{_plain(evidence.COPYRIGHT_LINE)}') AS rights FROM found
+    WHERE NOT regexp_matches(r, '{_plain(evidence.NO_DATE)}') AND regexp_matches(r, '\b(?:19|20)\d{{2}}\b')) WHERE venue IS NOT NULL OR published OR on_cover OR rights
+), evidence AS (
+  SELECT key, place, priority, source, CAST(unnest(regexp_extract_all(span, '\b(?:19|20)\d{{2}}\b')) AS INTEGER) AS year FROM spans
+  UNION ALL SELECT key, (3, 1), 2, 'PDF metadata', CAST(substr(stated, 1, 4) AS INTEGER) FROM pages WHERE try_cast(stated || '-01' AS DATE) IS NOT NULL
+), best AS (
+  SELECT key, CASE WHEN min(year) = max(year) THEN min(year) END AS year, CASE WHEN min(year) = max(year) THEN arg_min(source, place) END AS source FROM evidence JOIN (SELECT key, max(priority) AS priority FROM evidence GROUP BY 1) USING (key, priority) GROUP BY 1
+)
+SELECT key AS doc_id, v.venue AS venue, v.source AS venue_source, year, best.source AS year_source FROM pages LEFT JOIN venues USING (key) LEFT JOIN best USING (key)
+"""
+
+
+@query(PUBLISHED, library=False)
+def publication_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Venue and year of every document by rules over the records of its text, and what each rests on."""
+    pages = lib.dated(spark, d)
+    found = evidence.located(pages)
+    years = evidence.agreed(evidence.evidence(pages, found)).withColumnRenamed("source", "year_source")
+    out = pages.select("key").join(evidence.venues(found).withColumnRenamed("source", "venue_source"), "key", "left").join(years, "key", "left")
+    return out.select(F.col("key").alias("doc_id"), "venue", "venue_source", "year", "year_source")
+
+
+@query(
+    """WITH rows AS (
+      SELECT l_orderkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, CAST(l_partkey % 700 AS DOUBLE) AS y0, l_partkey % 700 + l_quantity * 3 AS y1, CAST(l_suppkey % 3 * 180 AS DOUBLE) AS x0, l_suppkey % 3 * 180 + 170 + l_quantity AS x1, l_extendedprice AS n FROM lineitem
+    ), best AS (
+      SELECT key, arg_max({'pos': pos, 'x0': x0, 'x1': x1}, (n, -y0, -x0, -pos)) AS b FROM rows GROUP BY 1
+    ), fit AS (
+      SELECT rows.*, pos = b.pos AS chosen FROM rows JOIN best USING (key) WHERE pos = b.pos OR abs(b.x0 - x0) <= greatest(18, (b.x1 - b.x0) * 0.1) AND x1 <= b.x1 + 25
+    ), gaps AS (
+      SELECT *, coalesce(y0 - lag(y1) OVER (PARTITION BY key ORDER BY y0, chosen DESC, x0, pos) > 32, false) AS apart FROM fit
+    ), islands AS (
+      SELECT *, sum(apart::INT) OVER (PARTITION BY key ORDER BY y0, chosen DESC, x0, pos ROWS UNBOUNDED PRECEDING) AS run FROM gaps
+    )
+    SELECT key, count(*) AS paragraphs, min(y0) AS top, max(y1) AS bottom, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY y0, chosen DESC, x0, pos) AS rows FROM islands WHERE (key, run) IN (SELECT (key, run) FROM islands WHERE chosen) GROUP BY 1""",
+    library=False,
+)
+def paragraph_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs that follow the weightiest of each page in its column without a large gap: islands of rows."""
+    rows = lib.columns(spark, d)
+    rank = F.struct("n", (-F.col("y0")).alias("y"), (-F.col("x0")).alias("x"), (-F.col("at")).alias("a"))
+    ranked = rows.withColumn("best", F.max_by("at", rank).over(Window.partitionBy("key")))
+    kept = layout.runs(ranked, ("key",), F.col("at") == F.col("best"))
+    order = F.struct("y0", (~F.col("chosen")).alias("other"), "x0", "at")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["at"].cast("string")), " ")
+    return kept.groupBy("key").agg(F.count(F.lit(1)).alias("paragraphs"), F.min("y0").alias("top"), F.max("y1").alias("bottom"), listed.alias("rows"))
+
+
+_BAD_TITLES = " OR ".join(f"regexp_matches(lower(clean), '{p.replace('(?U)', '').replace('(?=', '(?:')}')" for p in fields.BAD_TITLE)
+
+
+@query(
+    rf"""WITH rows AS (
+      SELECT doc_id AS key, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents
+    ), blocks AS (
+      SELECT key, pos, text, 20.0 * pos AS y0, 20.0 * pos + 12 + len(text) % 7 AS y1, 12.0 + len(text) % 7 AS size, len(text) % 11 <> 0 AS flat, len(text) * 5.0 AS width,
+        trim(trim(regexp_replace(replace(text, chr(160), ' '), '\s+', ' ', 'g')), ' -–—|:：⋆∗†‡*') AS clean FROM rows
+    ), fit AS (
+      SELECT *, max(size) OVER (PARTITION BY key) AS largest FROM blocks WHERE flat AND y0 <= 200 AND size >= 13 AND width >= 2 * size AND len(clean) BETWEEN 5 AND 300 AND NOT contains(clean, '@') AND len(string_split(clean, ' ')) <= 42
+        AND NOT ({_BAD_TITLES} OR len(clean) < 28 AND regexp_matches(clean, '^[^\pL]+$'))
+        AND NOT regexp_matches(text, '(?i)^[ \t]*(?:abstract[ \t]*(?:$|[:：.–—-])|summary[ \t]*(?:$|[:：–—]))') AND NOT regexp_matches(trim(text), '(?i)^[ \t]*(?:(?:\d{{1,2}}(?:\.\d+)*[.)]?|[IVX]+[.)])[ \t]+[A-Za-z][^\n]{{0,100}}|(?:references|bibliography|acknowledge?ments)[ \t]*|(?:\d{{1,2}}[.)]?[ \t]*)?introduction[ \t]*:?)$')
+    ), best AS (
+      SELECT key, arg_max({{'y0': y0, 'y1': y1, 'size': size, 'pos': pos}}, (4 * size - y0 / 100, -y0, -pos)) AS b FROM fit WHERE size >= largest - 2.6 GROUP BY 1
+    ), picked AS (
+      SELECT fit.* FROM fit JOIN best USING (key) WHERE size >= largest - 2.6 AND (pos = b.pos OR y0 - b.y1 BETWEEN -1 AND greatest(25, b.size * 2.2) AND abs(size - b.size) <= 2.6)
+    ), joined AS (
+      SELECT key, string_agg(clean, ' ' ORDER BY y0, pos) AS clean, max(y1) AS bottom FROM picked GROUP BY 1
+    )
+    SELECT key AS doc_id, trim(clean, ' -–—|:：⋆∗†‡*') AS title, CAST(bottom AS DOUBLE) AS bottom FROM joined WHERE len(clean) BETWEEN 5 AND 300 AND len(string_split(clean, ' ')) <= 42 AND NOT ({_BAD_TITLES})""",
+    library=False,
+)
+def layout_titles(spark: SparkSession, d: str) -> DataFrame:
+    """The largest early line of each document with the lines of its size that follow it."""
+    return layout.titles(layout.blocks(lib.printed(spark, d))).select(F.col("key").alias("doc_id"), "title", "bottom")
+
+
 # --- refresh and audit ---
 
 
