@@ -27,6 +27,10 @@ CLOSE_WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 #: Parts of names by what they say of an element: readers' remarks; other chrome; what a text may be about too, and then has few links.
 REMARKS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Those that name readers' remarks whatever else the name says, but for a state; what marks a remark's author and its date.
+SURELY = frozenset("comment comments commentlist commenter disqus".split())
+AUTHORS = frozenset("author user username avatar commenter nick nickname poster byline".split())
+DATES = frozenset("date time timestamp datetime ago posted published".split())
 CHROME = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored promo promoted promotion banner sidebar
     cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login
@@ -45,10 +49,11 @@ NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("children", "drop", "name", "parent", "prior", "suspect")
+    __slots__ = ("children", "drop", "look", "marks", "name", "parent", "prior", "suspect")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False, prior: float = 0.0, suspect: str = ""):
         self.name, self.parent, self.drop, self.prior, self.suspect, self.children = name, parent, drop, prior, suspect, []
+        self.look, self.marks = "", 0
 
 
 def says(name: str) -> str:
@@ -57,6 +62,8 @@ def says(name: str) -> str:
     unlikely = parts & (REMARKS | CHROME)
     if parts & STATES or not (unlikely or parts & (TOPICAL | LIKELY)):
         return ""
+    if parts & SURELY:
+        return "remark"
     if not unlikely:
         return "likely" if parts & LIKELY else "maybe"
     if parts - unlikely - LIKELY - TOPICAL - PLACES:
@@ -91,6 +98,42 @@ def judged(name: str, attrs: list[tuple[str, str | None]], inside: bool) -> tupl
     return False, prior, suspect
 
 
+def marked(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, int]:
+    """An element's first class, and whether it marks an author (1) or a date (2)."""
+    names = [v for k, v in attrs if k in ("class", "id", "itemprop", "rel") and v]
+    parts = {x.lower() for v in names for x in NAMES.findall(v)}
+    classes = next((v.split() for k, v in attrs if k == "class" and v), [])
+    return classes[0] if classes else "", (1 if parts & AUTHORS else 0) | (2 if tag == "time" or parts & DATES else 0)
+
+
+def talk(order: list[Node], chars: dict[Node, int]) -> list[Node]:
+    """Readers' remarks by their structure, whatever their names: blocks that are nearly all made of three or more alike elements, each with an author, a date and no heading, behind text of another kind."""
+    marks: dict[Node, int] = {}
+    titled: set[Node] = set()
+    for x in reversed(order):
+        marks[x] = marks.get(x, 0) | x.marks
+        if x.name in ("h1", "h2", "h3"):
+            titled.add(x)
+        if x.parent is not None:
+            marks[x.parent] = marks.get(x.parent, 0) | marks[x]
+            if x in titled:
+                titled.add(x.parent)
+    found, ahead, done = [], 0, set()
+    for x in order:
+        if x.parent in done:
+            done.add(x)
+            continue
+        items = [c for c in x.children if isinstance(c, Node) and not c.drop and chars.get(c)]
+        alike = [c for c in items if (c.name, c.look) == (items[0].name, items[0].look)] if len(items) > 2 else []
+        signed = [c for c in alike if marks[c] == 3 and c not in titled]
+        if len(signed) > 2 and len(signed) >= 0.8 * len(items) and sum(chars[c] for c in signed) >= 0.8 * chars[x] and ahead >= 140:
+            found.append(x)
+            done.add(x)
+            continue
+        ahead += sum(len(c.strip()) for c in x.children if isinstance(c, str)) if x.name != "a" else 0
+    return found
+
+
 def poor(x: Node, chars: int, links: int, total: int) -> bool:
     """Whether a suspect subtree is dropped: readers' remarks always, chrome unless it wraps nearly all of the page, forms that hold no more than half of it, others if short or made of links."""
     if x.suspect == "remark":
@@ -120,6 +163,7 @@ class Tree(HTMLParser):
             self.at.children.append(Node(tag, self.at))
             return
         node = Node(tag, self.at, *judged(tag, attrs, self.inside > 0))
+        node.look, node.marks = marked(tag, attrs)
         self.at.children.append(node)
         self.at = node
         self.inside += tag in ("article", "main")
@@ -218,7 +262,7 @@ def main_text(html: str | None) -> str:
     tree.close()
     chars, links, commas, order = lengths(tree.root)
     total = chars[tree.root]
-    suspects = [x for x in order if x.suspect and poor(x, chars[x], links[x], total)]
+    suspects = [x for x in order if x.suspect and poor(x, chars[x], links[x], total)] + talk(order, chars)
     if suspects:
         for x in suspects:
             x.drop = True
@@ -261,7 +305,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Paragraphs pass points for length and commas to their ancestors, which are discounted by link
     density; the best container and the siblings that fit it are kept, without menus, page headers, footers, sidebars,
-    notices, adverts, forms, code and comments. Classes and ids move the score; a subtree goes for its name only if its text is poor as well
+    notices, adverts, forms, code and readers' comments, which go by their names or by their structure (:func:`talk`). Classes and ids move the score; a subtree goes for its name only if its text is poor as well
     (:func:`poor`), so a wrapper that names a sidebar or a form around the whole page loses nothing. Every block kept is returned whole: white space inside a block is
     one space, blocks are joined by one line feed in page order.
 
