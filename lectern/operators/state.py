@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import ascii_lower, collapse, distinct_by, folder_key, strip
+from lectern.functions.text import ascii_lower, collapse, distinct_by, folder_key, full_casefold, strip, valid_folder_name
 from lectern.model import CATEGORIES, LABEL_FIELDS, RELEVANCES, RETRIED
 
 
@@ -65,14 +65,8 @@ def add_papers(incoming: DataFrame, papers: DataFrame, first_id: int) -> dict[st
     checked = incoming.join(known, "file_hash", "left").join(copies, "file_hash")
     again = F.col("__known").isNotNull() | (F.col("__copies") > 1)
     hashed = checked.withColumn("file_hash", F.when(again, F.raise_error(F.lit("a paper with this hash exists")).cast("string")).otherwise(F.col("file_hash")))
-    # Ids in two steps: where the hashes with one beginning start, and the place among them.
-    begin = F.substring("file_hash", 1, 3)
-    sizes = incoming.groupBy(begin.alias("__begin")).agg(F.count(F.lit(1)).alias("__n"))
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = hashed.withColumn("__begin", begin).join(starts.drop("__n"), "__begin")
-    own = F.row_number().over(Window.partitionBy("__begin").orderBy("file_hash"))
     done = F.col("result_json").isNotNull()
-    rows = numbered.withColumn("id", F.lit(first_id - 1).cast("long") + F.col("__start") + own).withColumn("classification_status", default_status(done, F.col("reasons")))
+    rows = numbered(hashed, F.col("file_hash"), first_id).withColumn("classification_status", default_status(done, F.col("reasons")))
     kept = [c for c in incoming.columns if c not in ("reasons", "labels", "result_json")]
     classified = rows.where(done)
     labels = classified.select(F.col("id").alias("paper_id"), F.explode("labels").alias("l")).select("paper_id", "l.field", F.lit("ai").alias("value_source"), "l.label")
@@ -83,11 +77,15 @@ def add_papers(incoming: DataFrame, papers: DataFrame, first_id: int) -> dict[st
 
 
 def update_metadata(papers: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
-    """Papers with ``columns``, status and error from the last of their ``updates`` (``id, seq, status, error``, columns), nulls included; other rows as they are."""
+    """Papers with ``columns``, status and error from the last of their ``updates`` (``id, seq, status, error``, columns), nulls included; other rows as they are.
+
+    An update of a paper that is not there is an error.
+    """
     fields = [*columns, "classification_status", "classification_error"]
     new = updates.groupBy("id").agg(F.max_by(F.struct(*columns, F.col("status").alias("classification_status"), F.col("error").alias("classification_error")), "seq").alias("__new"))
-    joined = papers.join(new, "id", "left")
-    return joined.withColumns({c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in fields if c in papers.columns}).select(*papers.columns)
+    joined = papers.withColumn("__known", F.lit(True)).join(new, "id", "full")
+    known = F.when(F.col("__known"), F.col("id")).otherwise(F.raise_error(F.lit("no paper has this id")).cast("long"))
+    return joined.withColumn("id", known).withColumns({c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in fields if c in papers.columns}).select(*papers.columns)
 
 
 def metadata_values(rows: DataFrame, lists: tuple[str, ...]) -> DataFrame:
@@ -111,7 +109,36 @@ def label_dictionary(arrivals: DataFrame) -> DataFrame:
     """Canonical spelling of each label: the first ever seen of those that agree but for ASCII case. Collapsed, at most 120 characters."""
     clean = F.substring(collapse(F.col("label")), 1, 120)
     rows = arrivals.withColumn("label", clean).where("label <> ''")
-    return rows.groupBy("field", ascii_lower(F.col("label")).alias("label_key")).agg(F.min_by("label", "arrival").alias("name"))
+    return rows.groupBy("field", ascii_lower(F.col("label")).alias("label_key")).agg(F.min_by("label", F.struct("arrival", "label")).alias("name"))
+
+
+def numbered(rows: DataFrame, by: Column, first: Column | int) -> DataFrame:
+    """``rows`` with a gapless ``id`` from ``first`` in the order of ``by``, a hex hash: where the hashes with one beginning start, and the place among those, so no task sorts all rows."""
+    keyed = rows.withColumn("__by", by).withColumn("__begin", F.left(F.col("__by"), F.lit(3)))
+    sizes = keyed.groupBy("__begin").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__begin", F.coalesce(F.sum("__n").over(Window.orderBy("__begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__begin").orderBy("__by"))
+    first = F.lit(first) if isinstance(first, int) else first
+    return keyed.join(starts, "__begin").withColumn("id", (first + F.col("__start") + own - 1).cast("long")).drop("__by", "__begin", "__start")
+
+
+def extended_dictionary(dictionary: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The dictionary ``(id, field, label_key, name)`` after a commit of ``arrivals`` (``field, label, arrival``): its entries as they are, then new ones.
+
+    The first spelling ever seen stays the name, and an entry that no paper uses any more stays too, so an id means one label for ever. New ids follow the highest.
+    """
+    known = dictionary.select("field", "label_key")
+    new = label_dictionary(arrivals).join(known, ["field", "label_key"], "left_anti")
+    top = dictionary.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    rows = numbered(new, F.sha2(F.concat_ws("|", "field", "label_key"), 256), 1)
+    return dictionary.unionByName(rows.withColumn("id", F.col("id") + top).select(*dictionary.columns))
+
+
+def junction_ids(arrivals: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``paper_id, field, value_source, label_id``, each once: label sets by the dictionary's ids."""
+    clean = F.substring(collapse(F.col("label")), 1, 120)
+    rows = arrivals.withColumn("label_key", ascii_lower(clean)).where("label_key <> ''")
+    return rows.join(dictionary.select("field", "label_key", F.col("id").alias("label_id")), ["field", "label_key"]).select("paper_id", "field", "value_source", "label_id").distinct()
 
 
 def junction(arrivals: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -154,7 +181,7 @@ def review_labels(labels: DataFrame, reviews: DataFrame) -> DataFrame:
     """Human label sets after ``reviews`` (``paper_id`` and an array a field): tags are always replaced, the other fields only if given."""
     sets = {f: F.coalesce(f, F.array().cast("array<string>")) if f == "tags" else F.col(f) for f in LABEL_FIELDS}
     given = reviews.select("paper_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), a.alias("labels")) for f, a in sets.items()])).alias("s"))
-    rows = given.where("s.labels IS NOT NULL").select("paper_id", "s.field", F.lit("current").alias("value_source"), F.explode_outer(distinct_by(F.filter(F.transform("s.labels", collapse), lambda v: v != ""), ascii_lower)).alias("label"))
+    rows = given.where("s.labels IS NOT NULL").select("paper_id", "s.field", F.lit("current").alias("value_source"), F.explode_outer(distinct_by(F.filter(F.transform("s.labels", lambda v: F.substring(collapse(v), 1, 120)), lambda v: v != ""), full_casefold)).alias("label"))
     return replace_labels(labels, rows)
 
 
@@ -166,9 +193,11 @@ def create_folders(folders: DataFrame, names: DataFrame, first_id: int) -> DataF
 
 
 def rename_folder(folders: DataFrame, folder_id: int, name: str) -> DataFrame:
-    """``folders`` with one renamed; a key that another folder has is an error."""
+    """``folders`` with one renamed; a key that another folder has is an error, and so is an id that none has."""
     own = F.col("id") == F.lit(folder_id)
-    renamed = folders.where(own).select("id", strip(F.lit(name)).alias("name")).withColumn("name_key", folder_key("name"))
+    asked = folders.sparkSession.range(1).select(F.lit(folder_id).cast("long").alias("id")).join(folders.select("id", F.lit(True).alias("__there")), "id", "left")
+    there = F.when(F.col("__there"), strip(F.lit(name))).otherwise(F.raise_error(F.lit("no folder has this id")).cast("string"))
+    renamed = asked.select("id", there.alias("name")).withColumn("name_key", folder_key("name"))
     return folders.where(~own).unionByName(_unique_folders(renamed, folders.where(~own)).select(*folders.columns))
 
 
@@ -176,8 +205,8 @@ def _unique_folders(rows: DataFrame, others: DataFrame) -> DataFrame:
     known = others.select("name_key", F.lit(True).alias("__known"))
     copies = rows.groupBy("name_key").agg(F.count(F.lit(1)).alias("__copies"))
     joined = rows.join(known, "name_key", "left").join(copies, "name_key")
-    good = F.col("__known").isNull() & (F.col("__copies") == 1) & F.length("name").between(1, 100)
-    return joined.withColumn("name", F.when(good, F.col("name")).otherwise(F.raise_error(F.lit("a folder name must be new and of 1 to 100 characters")).cast("string"))).drop("__known", "__copies")
+    good = F.col("__known").isNull() & (F.col("__copies") == 1) & valid_folder_name(F.col("name")).isNotNull()
+    return joined.withColumn("name", F.when(good, F.col("name")).otherwise(F.raise_error(F.lit("a folder name must be new and of 1 to 100 characters, none a control character")).cast("string"))).drop("__known", "__copies")
 
 
 def current_labels(labels: DataFrame, papers: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from lectern.plans import library as lib
 from lectern.plans.library import SQL as LIBRARY
 from lectern.plans.library import read
 from lectern.sources import files
+from lectern.streaming import retries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -230,28 +231,67 @@ def inserts_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return fresh.select("file_hash", "filepath", F.lit("Insert").alias("route"))
 
 
-@query(
-    """, old AS (SELECT file_hash, min(id) AS paper_id, arg_min(classification_status, id) AS s FROM papers WHERE id % 2 = 0 GROUP BY 1),
+ROUTES = """, old AS (SELECT file_hash, min(id) AS paper_id, arg_min(classification_status, id) AS s FROM papers WHERE id % 2 = 0 GROUP BY 1),
     files AS (SELECT file_hash, filename AS filepath, row_number() OVER (PARTITION BY file_hash ORDER BY filename) AS nth FROM papers)
     SELECT filepath, CASE WHEN nth > 1 THEN 'Skipped' WHEN paper_id IS NULL THEN 'Insert' WHEN s IN ('pending', 'failed', 'needs_review') THEN 'Retry' ELSE 'Skipped' END AS route
     FROM files LEFT JOIN old USING (file_hash)"""
-)
+
+
+@query(ROUTES)
 def scan_routes(spark: SparkSession, d: str) -> DataFrame:
     papers = lib.papers(spark, d)
     stored = papers.where("id % 2 = 0").groupBy("file_hash").agg(F.min("id").alias("id"), F.min_by("classification_status", "id").alias("classification_status"))
     return state.routed(papers.select("file_hash", F.col("filename").alias("filepath")), stored).select("filepath", "route")
 
 
+@query(ROUTES)
+def scan_routes_by_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same routes from keyed state: outcomes in one run of the stream, files in the next, started anew on its checkpoint."""
+    papers = lib.papers(spark, d)
+    stored = papers.where("id % 2 = 0").groupBy("file_hash").agg(F.min_by("classification_status", "id").alias("classification_status"))
+    folder = retries.new_folder(spark)
+    retries.run(spark, folder, retries.outcomes(stored), pause=0)
+    retries.run(spark, folder, retries.files(papers.select("file_hash", F.col("filename").alias("filepath"))), pause=0)
+    return spark.read.schema(retries.ROUTE).parquet(f"{folder}/out").select("filepath", "route")
+
+
 @query(
     """, arrivals AS (SELECT paper_id, field, value_source, substr(trim(regexp_replace(label, '\\s+', ' ', 'g')), 1, 120) AS label, paper_id AS arrival FROM paper_labels),
     folded AS (SELECT field, translate(label, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS label_key, label, arrival FROM arrivals WHERE label <> '')
-    SELECT field, label_key, count(*) AS uses, min(arrival) AS first_paper FROM folded GROUP BY ALL"""
+    SELECT field, label_key, arg_min(label, (arrival, label)) AS name, count(*) AS uses, min(arrival) AS first_paper FROM folded GROUP BY field, label_key"""
 )
 def label_dictionary(spark: SparkSession, d: str) -> DataFrame:
     arrivals = lib.labels(spark, d).withColumn("arrival", F.col("paper_id"))
     names = state.label_dictionary(arrivals)
     clean = arrivals.withColumn("label_key", tx.ascii_lower(F.substring(tx.collapse(F.col("label")), 1, 120)))
-    return clean.join(names, ["field", "label_key"]).groupBy("field", "label_key").agg(F.count(F.lit(1)).alias("uses"), F.min("arrival").alias("first_paper"))
+    return clean.join(names, ["field", "label_key"]).groupBy("field", "label_key").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("uses"), F.min("arrival").alias("first_paper"))
+
+
+_DICTIONARY = """, arrivals AS (SELECT paper_id, field, value_source, substr(trim(regexp_replace(label, '\\s+', ' ', 'g')), 1, 120) AS label, paper_id % 3 AS batch FROM paper_labels),
+    folded AS (SELECT *, translate(label, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS label_key FROM arrivals WHERE label <> ''),
+    entries AS (SELECT field, label_key, arg_min(label, (batch, paper_id, label)) AS name, min(batch) AS batch FROM folded GROUP BY field, label_key),
+    dictionary AS (SELECT row_number() OVER (ORDER BY batch, sha256(field || '|' || label_key)) AS id, field, label_key, name FROM entries)"""
+
+
+def _dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The dictionary after three commits of labels, one a batch of papers, and all arrivals."""
+    arrivals = lib.labels(spark, d).withColumn("arrival", F.col("paper_id"))
+    dictionary = spark.createDataFrame([], "id long, field string, label_key string, name string")
+    for batch in range(3):
+        dictionary = state.extended_dictionary(dictionary, arrivals.where(F.col("paper_id") % 3 == batch))
+    return dictionary, arrivals
+
+
+@query(_DICTIONARY + " SELECT id, field, label_key, name FROM dictionary")
+def canonical_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A label's name is its first spelling over all commits, and its id stays."""
+    return _dictionary(spark, d)[0]
+
+
+@query(_DICTIONARY + " SELECT DISTINCT paper_id, field, value_source, id AS label_id FROM folded JOIN dictionary USING (field, label_key)")
+def label_junction(spark: SparkSession, d: str) -> DataFrame:
+    dictionary, arrivals = _dictionary(spark, d)
+    return state.junction_ids(arrivals, dictionary)
 
 
 @query(
@@ -385,9 +425,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     SELECT provider, model, count(*) AS evaluated, count(*) FILTER (truth = predicted) / count(*) AS accuracy FROM last WHERE truth <> '' AND predicted <> '' GROUP BY ALL"""
 )
 def provider_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    papers = lib.papers(spark, d).where("manually_reviewed").select(F.col("id").alias("paper_id"), "file_hash", F.coalesce("primary_category", F.lit("")).alias("truth"))
-    runs = lib.runs(spark, d).where("status = 'classified'").withColumn("predicted", F.coalesce(F.get_json_object("result_json", "$.primary_category"), F.lit("")))
-    return metrics.evaluate_providers(runs.join(papers, "paper_id").select("id", "provider", "model", "file_hash", "truth", "predicted"))[0]
+    return metrics.evaluate_providers(files.reviewed_runs(lib.runs(spark, d), lib.papers(spark, d)))[0]
 
 
 LABEL_SETS = """, split AS (SELECT doc_id AS doc, [y for y in [trim(regexp_replace(x, '[\\s]+', ' ', 'g')) for x in string_split(text, ' ')] if y <> ''] AS words FROM documents),
