@@ -36,6 +36,30 @@ def classification_projection(attempts: DataFrame) -> DataFrame:
     )
 
 
+def folded(attempts: DataFrame) -> DataFrame:
+    """The mergeable state behind :func:`classification_projection`: for each paper the last attempt, success and duration with their ids, and counts."""
+    success = F.col("status") == "classified"
+    last = lambda names, given=None: F.max(F.when(F.lit(True) if given is None else given, F.struct("id", *names)))
+    return attempts.groupBy("paper_id").agg(
+        last(["status", "error"]).alias("attempt"), last(["result_json", "provider", "model"], success).alias("success"), last(["processing_seconds"], F.col("processing_seconds").isNotNull()).alias("duration"),
+        F.count_if(success).alias("successes"), F.count(F.lit(1)).alias("attempts"),
+    )
+
+
+def merged(stored: DataFrame, delta: DataFrame) -> DataFrame:
+    """The state of a log from those of two parts of it, in any order: later ids win. Only the new part of the log is read."""
+    both = stored.unionByName(delta)
+    return both.groupBy("paper_id").agg(*[F.max(c).alias(c) for c in ("attempt", "success", "duration")], *[F.sum(c).alias(c) for c in ("successes", "attempts")])
+
+
+def projected(states: DataFrame) -> DataFrame:
+    """:func:`classification_projection` from its folded state."""
+    return states.select(
+        "paper_id", F.col("attempt.status").alias("classification_status"), F.col("attempt.error").alias("classification_error"), "success.result_json", F.col("success.provider").alias("classification_provider"),
+        F.col("success.model").alias("classification_model"), "duration.processing_seconds", "successes", "attempts",
+    )
+
+
 def run_log(attempts: DataFrame) -> DataFrame:
     """Only successes and failures enter the run history."""
     return attempts.where(F.col("status").isin("classified", "failed"))

@@ -197,17 +197,28 @@ def status_histogram(spark: SparkSession, d: str) -> DataFrame:
 # --- run history and state ---
 
 
-@query(
-    """SELECT paper_id, arg_max(status, id) AS classification_status, CASE WHEN arg_max(status, id) = 'failed' THEN 'failed' END AS classification_error,
+PROJECTION = """SELECT paper_id, arg_max(status, id) AS classification_status, CASE WHEN arg_max(status, id) = 'failed' THEN 'failed' END AS classification_error,
       arg_max(result_json, id) FILTER (status = 'classified') AS result_json,
       CASE WHEN max(id) FILTER (status = 'classified') % 5 = 0 THEN NULL WHEN max(id) FILTER (status = 'classified') % 2 = 0 THEN 'local' WHEN max(id) FILTER (status = 'classified') IS NOT NULL THEN 'remote' END AS classification_provider,
       arg_max(model, id) FILTER (status = 'classified') AS classification_model, arg_max(processing_seconds, id) AS processing_seconds,
       CAST(count(*) FILTER (status = 'classified') AS BIGINT) AS successes, count(*) AS attempts FROM runs GROUP BY 1"""
-)
+
+
+@query(PROJECTION)
 def classification_projection(spark: SparkSession, d: str) -> DataFrame:
     return state.classification_projection(lib.runs(spark, d))
 
 
+@query(PROJECTION)
+def projection_in_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same projection kept up to date: each of five parts of the log is folded once and merged into the state."""
+    runs = lib.runs(spark, d)
+    states = state.folded(runs.where("id % 5 = 0"))
+    for part in range(1, 5):
+        states = state.merged(states, state.folded(runs.where(F.col("id") % 5 == part)))
+    return state.projected(states)
+
+
 @query("SELECT id, paper_id, provider, model, status FROM runs QUALIFY row_number() OVER (PARTITION BY coalesce(provider, 'unknown'), model, paper_id ORDER BY id DESC) = 1")
 def latest_run_per_model(spark: SparkSession, d: str) -> DataFrame:
     runs = lib.runs(spark, d).withColumn("named", F.coalesce("provider", F.lit("unknown")))

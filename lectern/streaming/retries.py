@@ -28,6 +28,8 @@ DAY = 86_400_000
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    # With timers a query would otherwise run batches without data for ever; what is due goes out with the next rows.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
