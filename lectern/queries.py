@@ -17,6 +17,8 @@ from lectern.plans import library as lib
 from lectern.plans.library import SQL as LIBRARY
 from lectern.plans.library import read
 from lectern.sources import files
+from lectern.sources.digest_tree import Tree
+from lectern.sources.scratch import new_folder
 from lectern.streaming import retries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,7 +262,7 @@ def scan_routes_by_state(spark: SparkSession, d: str) -> DataFrame:
     """The same routes from keyed state: outcomes in one run of the stream, files in the next, started anew on its checkpoint."""
     papers = lib.papers(spark, d)
     stored = papers.where("id % 2 = 0").groupBy("file_hash").agg(F.min_by("classification_status", "id").alias("classification_status"))
-    folder = retries.new_folder(spark)
+    folder = new_folder(spark, "routes")
     retries.run(spark, folder, retries.outcomes(stored), pause=0)
     retries.run(spark, folder, retries.files(papers.select("file_hash", F.col("filename").alias("filepath"))), pause=0)
     return spark.read.schema(retries.ROUTE).parquet(f"{folder}/out").select("filepath", "route")
@@ -843,6 +845,16 @@ def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 DIFF = """, diff AS (SELECT id, id % 5 = 0 AND coalesce(title, '') <> 'other' AS t, id % 4 = 0 AND abstract IS NOT NULL AS a, id % 3 = 0 AND year IS NOT NULL AS y FROM papers)"""
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 101 = 0 THEN 'removed' WHEN doc_id % 997 = 3 THEN 'changed' END AS change FROM documents WHERE doc_id % 101 = 0 OR doc_id % 997 = 3 UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 499 = 7", library=False)
+def changed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in which a later version of the documents differs, by the buckets whose digests do."""
+    old = read(spark, d, "documents")
+    i = F.col("doc_id")
+    new = old.where(i % 101 != 0).withColumn("text", F.when(i % 997 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text"))).unionByName(old.where(i % 499 == 7).withColumn("doc_id", -1 - i))
+    folder = new_folder(spark, "tree")
+    return Tree.write(old, f"{folder}/old", ["doc_id"]).changes(Tree.write(new, f"{folder}/new", ["doc_id"]), ["doc_id"])
+
+
 @query(DIFF + " SELECT id, concat_ws(',', CASE WHEN t THEN 'title' END, CASE WHEN y THEN 'year' END, CASE WHEN a THEN 'abstract' END) AS changes, t OR a AS input_changed FROM diff")
 def refresh_changes(spark: SparkSession, d: str) -> DataFrame:
     old, new = _versions(spark, d)

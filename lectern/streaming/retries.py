@@ -7,8 +7,6 @@ the store holds the hashes of that span and not all there ever were; a forgotten
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,16 +96,6 @@ def run(spark: SparkSession, folder: str, rows: DataFrame, pause: int = DAY, liv
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in ``spark.checkpoint.dir``; a local session without it gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="lectern-stream-")
-    return f"{shared}/routes-{uuid.uuid4().hex}"
-
-
 def outcomes(papers: DataFrame) -> DataFrame:
     """Stored papers ``(file_hash, classification_status)`` as rows of the feed."""
     return papers.select("file_hash", F.lit(None).cast("string").alias("filepath"), F.col("classification_status").alias("status"))

@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from lectern.sources.scratch import new_folder
 from lectern.streaming import retries
 
 
@@ -17,7 +18,7 @@ def out(spark, folder):
 
 @pytest.mark.parametrize("live", [10_000_000])
 def test_states_survive_a_restart(spark, live):
-    folder = retries.new_folder(spark)
+    folder = new_folder(spark, "routes")
     retries.run(spark, folder, rows(spark, ("h1", None, "classified"), ("h2", None, "failed"), ("h3", "/c", None), ("h3", "/b", None)), pause=0, live=live)
     assert out(spark, folder) == [("h3", "/b", "Insert", 1), ("h3", "/c", "Skipped", 0)]
     retries.run(spark, folder, rows(spark, ("h1", "/1", None), ("h2", "/2", None), ("h3", "/b", None), ("h4", "/4", None)), pause=0, live=live)
@@ -26,7 +27,7 @@ def test_states_survive_a_restart(spark, live):
 
 
 def test_a_due_retry_is_sent_out_and_a_forgotten_state_is_gone(spark):
-    folder = retries.new_folder(spark)
+    folder = new_folder(spark, "routes")
     retries.run(spark, folder, rows(spark, ("h1", "/1", None), ("h2", "/2", None)), pause=1, live=10_000_000)
     retries.run(spark, folder, rows(spark, ("h1", None, "failed"), ("h2", None, "classified")), pause=1, live=10_000_000)
     # Any row starts a batch; the timer of h1 is due in it.
