@@ -60,6 +60,13 @@ def matching(papers: DataFrame, labels: DataFrame, keyword: str) -> DataFrame:
     return papers.join(hits, papers["id"] == F.col("__hit"), "left").where(own | F.col("__hit").isNotNull()).drop("__hit")
 
 
+def searched_texts(papers: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, text`` of all that a keyword is looked for in: titles, abstracts, effective tags and vulnerabilities."""
+    own = papers.select("id", F.explode(F.array("title", "abstract")).alias("text")).where("text IS NOT NULL")
+    named = effective_labels(papers, labels.where(F.col("field").isin("tags", "target_vulnerabilities")))
+    return own.unionByName(named.select(F.col("paper_id").alias("id"), F.col("label").alias("text")))
+
+
 def order_key() -> list[Column]:
     """Relevance A, B, C, none; newest first, unknown years last; title or file name without ASCII case."""
     relevance = effective("relevance")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lectern.functions import answers, i18n
 from lectern.functions import text as tx
 from lectern.model import BLOCK, CATEGORIES, LABEL_FIELDS, PAGE, RELEVANCES, SIZE
-from lectern.operators import evidence, extraction, fields, layout, metrics, search, state
+from lectern.operators import evidence, extraction, fields, layout, metrics, search, state, trigrams
 from lectern.plans import ingest, refresh
 from lectern.plans import library as lib
 from lectern.plans.library import SQL as LIBRARY
@@ -95,6 +95,18 @@ def filter_keyword(spark: SparkSession, d: str) -> DataFrame:
     return search.search(lib.papers(spark, d), lib.labels(spark, d), keyword="Er_TH", ordered=False).select("id")
 
 
+@query(
+    """SELECT id FROM papers p WHERE lower(title) LIKE '%ing_the%ther%' OR lower(abstract) LIKE '%ing_the%ther%' OR EXISTS (
+      SELECT 1 FROM effective_labels l WHERE l.paper_id = p.id AND l.field IN ('tags', 'target_vulnerabilities') AND lower(l.label) LIKE '%ing_the%ther%')"""
+)
+def keyword_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword search by a trigram index over the texts it searches, written sorted by trigram."""
+    texts = search.searched_texts(lib.papers(spark, d), lib.labels(spark, d))
+    path = f"{new_folder(spark, 'trigrams')}/index"
+    trigrams.index(texts).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(path)
+    return trigrams.matching(texts, spark.read.parquet(path), "%Ing_The%ther%").select("id").distinct()
+
+
 @query(
     """SELECT id FROM papers p WHERE EXISTS (SELECT 1 FROM effective_labels l WHERE l.paper_id = p.id AND field = 'tags' AND lower(label) IN ('the', 'of'))
       AND NOT EXISTS (SELECT 1 FROM effective_labels l WHERE l.paper_id = p.id AND field = 'research_methods' AND lower(label) = 'the')"""
