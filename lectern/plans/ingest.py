@@ -16,6 +16,7 @@ from lectern.functions.text import collapse
 from lectern.model import CATEGORIES, CLASSIFICATION, METADATA, RELEVANCES
 from lectern.operators.fields import bad_title, noisy
 from lectern.operators.state import routed
+from lectern.sources.scratch import cut
 
 # Fixed texts of the gate and the report.
 NO_TITLE = "A trustworthy title is required before classification."
@@ -125,11 +126,13 @@ def plan(files: DataFrame, papers: DataFrame, extract: Callable[[DataFrame], Dat
     """
     routes = routed(files, papers, reclassify)
     skipped = routes.where("route = 'Skipped'")
-    work = extract(routes.where("route <> 'Skipped'"))
+    found = ["filepath", "filename", "file_hash", "paper_id", "route", "metadata", "failure"]
+    # Written once: ready, held and failed files are parts of it, and their plans would each extract everything again.
+    work = cut(extract(routes.where("route <> 'Skipped'")).select(*found), "extracted")
     m = lambda c: F.col(f"metadata.{c}")
     reasons = F.array_distinct(F.concat(F.coalesce(m("review_reasons"), F.array().cast("array<string>")), input_issues(m("title"), m("abstract"), m("introduction_excerpt"))))
     gated = work.withColumn("issues", F.when(F.col("failure").isNull(), reasons))
-    keep = ["filepath", "filename", "file_hash", "paper_id", "route", "metadata", "failure", "issues"]
+    keep = [*found, "issues"]
     ready = gated.where("failure IS NULL AND size(issues) = 0").select(*keep, payload(m("title"), m("abstract"), m("keywords"), m("introduction_excerpt")).alias("p"))
     none = F.lit(None).cast(CLASSIFICATION)
     if classifier is None:

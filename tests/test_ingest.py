@@ -62,6 +62,19 @@ def test_scan(spark, classifier, expected):
         assert out["a"].classification.primary_category == "Session Management" and out["f"].message == "Classification retry succeeded"
 
 
+def test_a_file_is_extracted_once(spark):
+    """Ready, held and failed files are parts of one extraction; it ran once for each of them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    ingest.plan(inputs(spark, ROWS), library(spark, []), lambda df: extract(df.mapInPandas(counted, df.schema)), ingest.RuleClassifier()).collect()
+    assert read.value == 5
+
+
 @pytest.mark.parametrize(
     "title,abstract,introduction,n",
     [("A proper title", TEXT, None, 0), ("short", TEXT, None, 1), ("A proper title", "x" * 79, "y" * 200, 1), ("A proper title", None, "y" * 120, 0), (None, None, None, 2), ("A proper title", "httpxproxy " * 20, None, 1)],
