@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,13 +14,18 @@ from pyspark.sql import types as T
 
 #: Python's white space: Java's Unicode class lacks U+001C to U+001F.
 SPACE = r"(?U)[\s\x1C-\x1F]+"
-NOT_SPACE_ENDS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 EMAIL = r"(?U)\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
 CJK = "[\u3040-\u30ff\u3400-\u9fff]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: inside a lambda or a condition Spark shares no expressions."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, NOT_SPACE_ENDS, "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def collapse(value: Column) -> Column:
@@ -87,9 +93,16 @@ def join_hyphenated(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)([A-Za-z])[-‐‑]\s*\n\s*([a-z])", "$1$2")
 
 
+def blanked(value: Column, letters: str) -> Column:
+    """Each of some letters as a space; few are in most texts, and to look for each is faster than to translate."""
+    for letter in letters:
+        value = F.replace(value, F.lit(letter), F.lit(" "))
+    return value
+
+
 def clean_body(value: Column) -> Column:
     """Body text as one paragraph."""
-    out = F.translate(value, "\x00\ufeff", "  ")
+    out = blanked(value, "\x00\ufeff")
     out = join_hyphenated(out)
     out = F.regexp_replace(out, r"[\t\r]+", " ")
     out = F.regexp_replace(out, r" *\n+ *", " ")
@@ -97,7 +110,7 @@ def clean_body(value: Column) -> Column:
 
 
 def normalize(value: Column) -> Column:
-    return collapse(join_hyphenated(F.translate(value, "\u00a0\x00", "  ")))
+    return collapse(join_hyphenated(blanked(value, "\u00a0\x00")))
 
 
 def cut_at_first(value: Column, pattern: str) -> Column:

@@ -6,11 +6,13 @@ Everything is keyed by ``key``; a document's rows meet only in windows and aggre
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import collapse, strip
+from lectern.functions.text import collapse, let, strip
 
 # --- Fixed values: patterns that decide what names a venue or dates a publication ---
 
@@ -101,6 +103,9 @@ RULES = (
     Rule(JOURNAL, VOLUME_OF, wanted=(SERIAL,), barred=(AFFILIATION, RIGHTS), ends=" ,;:-"),
     Rule(HEADER, MEETING, wanted=(CAPITALISED,), barred=(HOST,)),
 )
+#: In lower case: one of the first is in all that the rules for meetings read, one of the second in all that the rule for serials does.
+MEETING_WORDS = ("symposium", "conference", "workshop", "published", "ndss", "esorics", "www", "情報処理学会第")
+SERIAL_WORDS = ("journal", "jurnal", "transactions", "annals", "letters", "review", "bulletin", "magazine", "information and media technologies", "コンピュータソフトウェア")
 #: Years of a record that names a venue weigh by its kind; records that name none by what they are.
 VENUE_PRIORITY = {JOURNAL: 4}
 OTHER_VENUE, FIELD_PRIORITY, PROPERTY_PRIORITY = 3, 4, 2
@@ -116,9 +121,21 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), strip), lambda x: x != "")
 
 
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def hinted(record: Column) -> Column:
+    """Whether a record holds words without which no rule reads it: a cheap look that spares most records the rules' patterns."""
+    # Further letters that a pattern without case takes for s, i and k.
+    for letter, plain in (("\u017f", "s"), ("\u0130", "i"), ("\u0131", "i"), ("\u212a", "k")):
+        record = F.replace(record, F.lit(letter), F.lit(plain))
+    return let(F.lower(record), lambda low: holds(low, MEETING_WORDS) | (holds(low, ("vol", "(")) & holds(low, SERIAL_WORDS)))
+
+
 def venue_of(record: Column) -> Column:
     """``name, source`` of the venue that a record names, or null."""
-    return F.when(~record.rlike(NO_DATE) & ~record.rlike(NO_VENUE), F.coalesce(*[rule.read(record) for rule in RULES]))
+    return F.when(hinted(record) & ~record.rlike(NO_DATE) & ~record.rlike(NO_VENUE), F.coalesce(*[rule.read(record) for rule in RULES]))
 
 
 def is_cover(text: Column) -> Column:
@@ -177,7 +194,7 @@ def evidence(pages: DataFrame, found: DataFrame) -> DataFrame:
         .when(r.rlike(COPYRIGHT_LINE), span(1, RIGHTS_LINE, r))
     )
     field = F.when(r.rlike(PUBLISHED_FIELD), span(FIELD_PRIORITY, PUBLICATION, F.regexp_extract(r, PUBLISHED_FIELD, 1)))
-    spans = found.where(r.rlike(YEAR)).select("key", "place", F.explode(F.array_compact(F.array(field, F.when(~r.rlike(NO_DATE), dated)))).alias("s"))
+    spans = found.where(holds(r, ("19", "20")) & r.rlike(YEAR)).select("key", "place", F.explode(F.array_compact(F.array(field, F.when(~r.rlike(NO_DATE), dated)))).alias("s"))
     printed = spans.select("key", "s.priority", F.explode(F.regexp_extract_all("s.text", F.lit(YEAR), F.lit(1)).cast("array<int>")).alias("year"), "s.source", "place")
     by_property = F.posexplode(F.array(*[stated_years(F.col("properties")[p]) for p in PROPERTIES]))
     stated = pages.select("key", by_property.alias("at", "years")).select("key", F.lit(PROPERTY_PRIORITY).alias("priority"), F.explode("years").alias("year"), F.lit(PROPERTY).alias("source"), F.struct(F.lit(3).alias("kind"), "at").alias("place"))

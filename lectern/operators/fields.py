@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import EMAIL, clean_body, collapse, distinct_by, full_casefold, normalize, strip
+from lectern.functions.text import EMAIL, clean_body, collapse, distinct_by, full_casefold, let, normalize, strip
 from lectern.operators.evidence import LINE_BREAK
 
 # --- Fixed values: patterns and limits that decide what is a field of the front matter ---
@@ -78,8 +78,8 @@ def affiliated(text: Column) -> Column:
 
 
 def mostly_latin(text: Column) -> Column:
-    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
-    return F.length(F.regexp_replace(text, "[^A-Za-z]", "")) >= LATIN * F.greatest(letters, F.lit(1))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    return F.length(F.regexp_replace(text, "[^A-Za-z]+", "")) >= LATIN * F.greatest(letters, F.lit(1))
 
 
 def before(text: Column, *stops: str) -> Column:
@@ -135,10 +135,11 @@ def abstracts(text: Column) -> Column:
     """Abstracts that a text labels, clean and at most 6000 characters; a summary counts only in the front matter."""
 
     def read(match: Column) -> Column:
+        front = ~F.lower(strip(match["label"])).startswith("summary") | in_front(text, match)
+        least = lambda body: F.when(body.rlike(CJK), LEAST_CJK_ABSTRACT).otherwise(LEAST_ABSTRACT)
+        good = lambda body: (F.length(body) >= LEAST_CJK_ABSTRACT) & (F.length(body) >= least(body)) & ~noisy(body)
         body = clean_body(F.ltrim(before(behind(text, match), ABSTRACT_STOP, SECTION, FRONT_NOISE), F.lit(BODY_ENDS)))
-        least = F.when(body.rlike(CJK), LEAST_CJK_ABSTRACT).otherwise(LEAST_ABSTRACT)
-        front = in_front(text, match) | ~F.lower(strip(match["label"])).startswith("summary")
-        return F.when(front & (F.length(body) >= least) & ~noisy(body), strip(F.left(body, F.lit(ABSTRACT_LIMIT))))
+        return F.when(front, let(body, lambda b: F.when(good(b), strip(F.left(b, F.lit(ABSTRACT_LIMIT))))))
 
     return F.array_compact(F.transform(found(F.coalesce(text, F.lit("")), ABSTRACT), read))
 
@@ -172,7 +173,7 @@ def keywords(texts: Column) -> Column:
         def of(match: Column) -> Column:
             tail = strip(before(behind(text, match), SECTION, KEYWORD_STOP, FRONT_NOISE))
             first = F.regexp_replace(F.get(F.split(tail, r"\n[ \t]*\n", 2), 0), r"(?U)^[:：]\s*", "")
-            return F.when(in_front(text, match), keyword_list(first)).otherwise(F.array().cast("array<string>"))
+            return F.when(in_front(text, match), let(first, keyword_list)).otherwise(F.array().cast("array<string>"))
 
         return F.flatten(F.transform(found(text, KEYWORDS), of))
 
@@ -183,13 +184,17 @@ def introduction(text: Column) -> Column:
     """The first introduction of a text that is prose, at most 2500 characters: no entry of a table of contents, and nothing from the first contact row on."""
 
     def read(match: Column) -> Column:
-        body = strip(behind(text, match))
-        listed = strip(F.get(F.split(body, LINE_BREAK, 2), 0)).rlike(PAGE_NUMBERS)
-        lines = F.split(before(body, SECTION, FRONT_NOISE), LINE_BREAK)
         contact = lambda s: s.rlike(CONTACT_ROW) & (F.size(F.split(collapse(s), " ")) <= CONTACT_WORDS) & ~s.rlike("[.!?。．]$")
-        row = F.array_min(F.transform(lines, lambda x, i: F.when(contact(strip(x)), i)))
-        kept = F.when(row.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.slice(lines, 1, F.coalesce(row, F.lit(0))), "\n"))
-        prose = clean_body(kept)
-        return F.when(~listed & (F.length(prose) >= LEAST_INTRODUCTION), strip(F.left(prose, F.lit(INTRODUCTION_LIMIT))))
+
+        def of(body: Column) -> Column:
+            listed = strip(F.get(F.split(body, LINE_BREAK, 2), 0)).rlike(PAGE_NUMBERS)
+            prose = let(F.split(before(body, SECTION, FRONT_NOISE), LINE_BREAK), lambda lines: clean_body(F.array_join(kept(lines), "\n")))
+            return F.when(~listed, let(prose, lambda p: F.when(F.length(p) >= LEAST_INTRODUCTION, strip(F.left(p, F.lit(INTRODUCTION_LIMIT))))))
+
+        def kept(lines: Column) -> Column:
+            row = F.array_min(F.transform(lines, lambda x, i: F.when(let(strip(x), contact), i)))
+            return let(row, lambda r: F.when(r.isNull(), lines).otherwise(F.slice(lines, 1, F.coalesce(r, F.lit(0)))))
+
+        return let(strip(behind(text, match)), of)
 
     return F.get(F.array_compact(F.transform(found(F.coalesce(text, F.lit("")), INTRODUCTION), read)), 0)
