@@ -275,8 +275,9 @@ def scan_routes_by_state(spark: SparkSession, d: str) -> DataFrame:
     papers = lib.papers(spark, d)
     stored = papers.where("id % 2 = 0").groupBy("file_hash").agg(F.min_by("classification_status", "id").alias("classification_status"))
     folder = new_folder(spark, "routes")
-    retries.run(spark, folder, retries.outcomes(stored), pause=0)
-    retries.run(spark, folder, retries.files(papers.select("file_hash", F.col("filename").alias("filepath"))), pause=0)
+    partitions = retries.partitions_for(papers.count())
+    retries.run(spark, folder, retries.outcomes(stored), pause=0, partitions=partitions)
+    retries.run(spark, folder, retries.files(papers.select("file_hash", F.col("filename").alias("filepath"))), pause=0, partitions=partitions)
     return spark.read.schema(retries.ROUTE).parquet(f"{folder}/out").select("filepath", "route")
 
 

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,6 +22,8 @@ STATE = "status string, attempt int, filepath string"
 #: Between its route and its outcome a file is under way.
 UNDER_WAY = "under way"
 DAY = 86_400_000
+#: Hashes of a state partition, at most, if their number is known when a checkpoint begins.
+KEYS = 10_000
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
@@ -41,36 +42,41 @@ class Routes(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", STATE, self.live)
 
-    def keep(self, status: str, attempt: int, path: str | None, now: int) -> None:
+    def keep(self, timed: bool, status: str, attempt: int, path: str | None, now: int) -> None:
         self.last.update((status, attempt, path))
-        for timer in list(self.handle.listTimers()):
+        # Each look at the store is a message to the JVM, so timers are listed only where there may be one.
+        for timer in list(self.handle.listTimers()) if timed else []:
             self.handle.deleteTimer(timer)
         if status in RETRIED and path is not None and self.pause:
             self.handle.registerTimer(now + self.pause)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows))
-        status, attempt, path = self.last.get() if self.last.exists() else (None, 0, None)
-        outcomes = whole[whole["status"].notna()]["status"]
-        if len(outcomes):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        outcomes, found = [], []
+        for row in rows:
+            if row.status is None:
+                found.append(row.filepath)
+            else:
+                outcomes.append(row.status)
+        status, attempt, path = self.last.get() or (None, 0, None)
+        timed = status in RETRIED and path is not None
+        if outcomes:
             # Several outcomes in one batch have no order but their names': the retry states come first, so a success holds.
             status, attempt = max(outcomes, key=lambda s: (s not in RETRIED, s)), attempt + len(outcomes)
-        found = sorted(whole[whole["status"].isna()]["filepath"])
+        found.sort()
         routes = []
         for k, place in enumerate(found):
             route = "Skipped" if k else "Insert" if status is None else "Retry" if status in RETRIED else "Skipped"
             if route != "Skipped":
                 status, path = UNDER_WAY, place
-            routes.append((key[0], place, route, attempt + 1 if route != "Skipped" else attempt))
-        self.keep(status, attempt, path if path is not None else (found[0] if found else None), timerValues.getCurrentProcessingTimeInMs())
-        if routes:
-            yield pd.DataFrame(routes, columns=[c.split()[0] for c in ROUTE.split(", ")])
+            routes.append(Row(file_hash=key[0], filepath=place, route=route, attempt=attempt + 1 if route != "Skipped" else attempt))
+        self.keep(timed, status, attempt, path if path is not None else (found[0] if found else None), timerValues.getCurrentProcessingTimeInMs() if self.pause else 0)
+        yield from routes
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempt, path = self.last.get() if self.last.exists() else (None, 0, None)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status, attempt, path = self.last.get() or (None, 0, None)
         if status in RETRIED and path is not None:
             self.last.update((UNDER_WAY, attempt, path))
-            yield pd.DataFrame([(key[0], path, "Retry", attempt + 1)], columns=[c.split()[0] for c in ROUTE.split(", ")])
+            yield Row(file_hash=key[0], filepath=path, route="Retry", attempt=attempt + 1)
 
     def close(self):
         pass
@@ -78,7 +84,12 @@ class Routes(StatefulProcessor):
 
 def routes(feed: DataFrame, pause: int = DAY, live: int = 30 * DAY) -> DataFrame:
     """Routes of a stream of :data:`FEED` rows: ``file_hash, filepath, route, attempt``. ``pause`` 0 sends nothing out by itself."""
-    return feed.groupBy("file_hash").transformWithStateInPandas(Routes(pause, live), ROUTE, "append", "processingTime")
+    return feed.groupBy("file_hash").transformWithState(Routes(pause, live), ROUTE, "append", "processingTime")
+
+
+def partitions_for(rows: int) -> int:
+    """State partitions for so many hashes: Python asks the store a few times for each, so a partition holds a bounded number."""
+    return max(4, -(-rows // KEYS))
 
 
 def run(spark: SparkSession, folder: str, rows: DataFrame, pause: int = DAY, live: int = 30 * DAY, partitions: int = 4) -> None:

@@ -38,3 +38,9 @@ def test_a_due_retry_is_sent_out_and_a_forgotten_state_is_gone(spark):
     assert out(spark, folder).count(("h9", "/9", "Insert", 1)) == 2
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{folder}/checkpoint")
     assert state.count() <= 3
+
+
+def test_state_partitions_follow_the_hashes():
+    """A partition holds a bounded number of hashes; there were four, whatever the number."""
+    assert retries.partitions_for(100) == 4
+    assert retries.partitions_for(1_500_000) == 150
