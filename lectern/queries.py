@@ -18,7 +18,7 @@ from lectern.plans.library import SQL as LIBRARY
 from lectern.plans.library import read
 from lectern.sources import files
 from lectern.sources.digest_tree import Tree
-from lectern.sources.scratch import new_folder
+from lectern.sources.scratch import cut, new_folder
 from lectern.streaming import retries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,11 +300,11 @@ _DICTIONARY = """, arrivals AS (SELECT paper_id, field, value_source, substr(tri
 
 
 def _dictionary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The dictionary after three commits of labels, one a batch of papers, and all arrivals."""
-    arrivals = lib.labels(spark, d).withColumn("arrival", F.col("paper_id"))
+    """The dictionary after three commits of labels, one a batch of papers, and all arrivals; each is written, as a commit's input and result are."""
+    arrivals = cut(lib.labels(spark, d), "arrivals").withColumn("arrival", F.col("paper_id"))
     dictionary = spark.createDataFrame([], "id long, field string, label_key string, name string")
     for batch in range(3):
-        dictionary = state.extended_dictionary(dictionary, arrivals.where(F.col("paper_id") % 3 == batch))
+        dictionary = cut(state.extended_dictionary(dictionary, arrivals.where(F.col("paper_id") % 3 == batch)), "dictionary")
     return dictionary, arrivals
 
 

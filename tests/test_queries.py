@@ -16,3 +16,10 @@ def test_query_equals_its_sql(spark, sf, con, name):
         same(df, con, SQL[name])
     else:
         assert len(df.columns) == len(set(df.columns)) and df.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["canonical_labels", "label_junction"])
+def test_a_commit_of_labels_is_not_computed_again(spark, sf, name):
+    """Each commit's dictionary is read as written; it carried the plans of all commits before, three times each."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "Generate" not in plan and plan.count("Relation") <= 3
