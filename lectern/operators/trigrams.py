@@ -13,24 +13,28 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import ascii_lower, like_ascii
 
-SIZE = 3
+SIZE, SPREAD = 3, 16
 
 
 def pieces_of(text: Column) -> Column:
-    """Distinct trigrams of a text, A-Z in lower case. Characters are split once, so the work is in proportion to the text."""
-    return F.array_distinct(F.transform(F.array(F.split(ascii_lower(text), "")), _runs)[0])
+    """Distinct trigrams of a text, A-Z in lower case. One pass reads the text, a character at a time with the two behind it; what is folded are the few that differ."""
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))."), F.lit(1))
+    return F.array_distinct(F.transform(F.array_distinct(runs), ascii_lower))
 
 
-def _runs(chars: Column) -> Column:
-    last = F.size(chars) - SIZE
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(SIZE)]))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
+def index(texts: DataFrame) -> DataFrame:
+    """``trigram, id`` of rows ``(id, text)``, each pair once for each text that holds it."""
+    rows = texts.where(F.length("text") >= SIZE).select("id", F.explode(pieces_of(F.col("text"))).alias("trigram"))
+    return rows.select("trigram", "id")
 
 
-def index(texts: DataFrame) -> DataFrame:
-    """``trigram, id`` of rows ``(id, text)``, each pair once, sorted by trigram where it is written: a reader of some trigrams skips the rest."""
-    rows = texts.where("text IS NOT NULL").select("id", F.explode(pieces_of(F.col("text"))).alias("trigram"))
-    return rows.select("trigram", "id").distinct()
+def write(texts: DataFrame, path: str) -> None:
+    """The :func:`index` sorted by trigram inside files, so that a reader of some trigrams skips the rest; a frequent trigram's list lies in up to :data:`SPREAD` files.
+
+    One shuffle, of one row for each trigram of each text: to make pairs unique takes a second one, and counting trigrams does not need it.
+    """
+    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+    index(texts).repartition("trigram", spread).sortWithinPartitions("trigram").write.parquet(path)
 
 
 def folded(pattern: str) -> str:

@@ -103,7 +103,7 @@ def keyword_by_index(spark: SparkSession, d: str) -> DataFrame:
     """The keyword search by a trigram index over the texts it searches, written sorted by trigram."""
     texts = search.searched_texts(lib.papers(spark, d), lib.labels(spark, d))
     path = f"{new_folder(spark, 'trigrams')}/index"
-    trigrams.index(texts).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(path)
+    trigrams.write(texts, path)
     return trigrams.matching(texts, spark.read.parquet(path), "%Ing_The%ther%").select("id").distinct()
 
 

@@ -26,3 +26,9 @@ def test_few_rows_are_compared(spark):
     found = trigrams.candidates(trigrams.index(many), "%ber 123 of%")
     assert [r.id for r in found.collect()] == [123]
     assert trigrams.candidates(trigrams.index(many), "%a_b%") is None
+
+
+def test_the_index_is_shuffled_once(spark, texts):
+    """Each trigram of a text is dealt once, on its way to its file; it was dealt to be made unique and again to be sorted."""
+    plan = trigrams.index(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
