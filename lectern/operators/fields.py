@@ -5,6 +5,9 @@ A pattern's matches in a text are an array of places (:func:`found`), and what a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,18 +93,15 @@ def before(text: Column, *stops: str) -> Column:
 
 
 def bad_title(title: Column) -> Column:
-    folded = F.lower(collapse(title))
-    bad = (F.length(folded) < SHORT_TITLE) & folded.rlike(r"(?U)^[\d\W_]+$")
-    for pattern in BAD_TITLE:
-        bad = bad | folded.rlike(pattern)
-    return bad
+    short = lambda t: (F.length(t) < SHORT_TITLE) & t.rlike(r"(?U)^[\d\W_]+$")
+    return let(F.lower(collapse(title)), lambda t: reduce(or_, [t.rlike(pattern) for pattern in BAD_TITLE], short(t)))
 
 
 def title_or_null(text: Column) -> Column:
     """A title in clean form, or null for what is none."""
     out = F.btrim(normalize(F.coalesce(text, F.lit(""))), F.lit(TITLE_ENDS))
-    good = F.length(out).between(*TITLE_LENGTH) & ~F.contains(out, F.lit("@")) & (F.size(F.split(collapse(out), " ")) <= TITLE_WORDS)
-    return F.when(good & ~bad_title(out), out)
+    good = lambda t: F.length(t).between(*TITLE_LENGTH) & ~F.contains(t, F.lit("@")) & (F.size(F.split(collapse(t), " ")) <= TITLE_WORDS)
+    return let(out, lambda t: F.when(good(t) & ~bad_title(t), t))
 
 
 def found(text: Column, pattern: str) -> Column:

@@ -180,3 +180,11 @@ def test_documents_are_dealt_once(spark):
     blocks = layout.blocks(ex.pages_of(docs))
     for plan in (layout.titles(blocks), layout.runs(blocks, ("key", "page"), F.col("at") == 0)):
         assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_a_common_title_is_cleaned_once(spark):
+    """The patterns of a bad title read one clean form of it; each made its own."""
+    from lectern.operators.fields import title_or_null
+
+    plan = spark.range(1).select(title_or_null(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 8
