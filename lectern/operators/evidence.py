@@ -202,7 +202,10 @@ def evidence(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def agreed(rows: DataFrame) -> DataFrame:
-    """``key, year, source``: the year on which all evidence of a document's highest priority agrees; documents whose best evidence disagrees are left out."""
-    ranks = rows.groupBy("key", "priority").agg(F.min("year").alias("low"), F.max("year").alias("high"), F.min_by("source", "place").alias("source"))
+    """``key, year, source``: the year on which all evidence of a document's highest priority agrees; documents whose best evidence disagrees are left out.
+
+    Of two kinds of evidence in one record, a field that states the publication names the source.
+    """
+    ranks = rows.groupBy("key", "priority").agg(F.min("year").alias("low"), F.max("year").alias("high"), F.min_by("source", F.struct("place", F.col("source") != PUBLICATION)).alias("source"))
     best = ranks.groupBy("key").agg(F.max_by(F.struct("low", "high", "source"), "priority").alias("b"))
     return best.where("b.low = b.high").select("key", F.col("b.low").alias("year"), "b.source")
